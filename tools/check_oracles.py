@@ -6,6 +6,7 @@ usage: check_oracles.py [--sf DIR] [--slow SECONDS] [name-prefix ...]
 from __future__ import annotations
 
 import argparse
+import logging
 import math
 import os
 import sys
@@ -41,7 +42,8 @@ def main() -> int:
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     spark = local_session()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
+    logging.disable(logging.CRITICAL)
     con = duckdb.connect()
     for f in os.listdir(args.sf):
         con.execute(f"create view {f.split('.')[0]} as select * from '{args.sf}/{f}'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Mat = list[list[Column]]
@@ -70,35 +70,34 @@ def quat_to_matrix(w: Column, x: Column, y: Column, z: Column, normalise: bool =
     ]
 
 
-def matrix_to_quat(m: Mat) -> list[Column]:
-    """Unit ``[w, x, y, z]`` whose first non-zero component is positive.
+def with_quaternion(df: DataFrame, m: Mat, *names: str) -> DataFrame:
+    """Add unit ``w, x, y, z`` (first non-zero component positive) of a rotation.
 
     The largest of the four squared components is solved for first, which keeps the
-    divisor away from zero; the other three follow from the off-diagonal sums.
+    divisor away from zero; the other three follow from the off-diagonal sums. The work is
+    split into three projections so that shared terms are computed once.
     """
     one = F.lit(1.0)
-    diag = [m[0][0], m[1][1], m[2][2]]
-    sq = [
-        one + diag[0] + diag[1] + diag[2], one + diag[0] - diag[1] - diag[2],
-        one - diag[0] + diag[1] - diag[2], one - diag[0] - diag[1] + diag[2],
-    ]
-    wx, wy, wz = m[2][1] - m[1][2], m[0][2] - m[2][0], m[1][0] - m[0][1]
-    xy, xz, yz = m[0][1] + m[1][0], m[0][2] + m[2][0], m[1][2] + m[2][1]
-    table = [[sq[0], wx, wy, wz], [wx, sq[1], xy, xz], [wy, xy, sq[2], yz], [wz, xz, yz, sq[3]]]
-    best = F.greatest(*sq)
-    parts = []
-    for j in range(4):
-        value = F.when(sq[0] == best, table[0][j])
-        for i in (1, 2, 3):
-            value = value.when(sq[i] == best, table[i][j])
-        parts.append(value)
-    norm = F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2] + parts[3] * parts[3])
-    unit = [p / norm for p in parts]
-    lead = F.when(F.abs(unit[0]) > 1e-12, unit[0])
-    for p in unit[1:]:
-        lead = lead.when(F.abs(p) > 1e-12, p)
-    flip = F.when(lead < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return [p * flip for p in unit]
+    d = [m[0][0], m[1][1], m[2][2]]
+    terms = {
+        "ww": one + d[0] + d[1] + d[2], "xx": one + d[0] - d[1] - d[2],
+        "yy": one - d[0] + d[1] - d[2], "zz": one - d[0] - d[1] + d[2],
+        "wx": m[2][1] - m[1][2], "wy": m[0][2] - m[2][0], "wz": m[1][0] - m[0][1],
+        "xy": m[0][1] + m[1][0], "xz": m[0][2] + m[2][0], "yz": m[1][2] + m[2][1],
+    }
+    c = lambda n: F.col(f"_q.{n}")
+    rows = {"ww": ("ww", "wx", "wy", "wz"), "xx": ("wx", "xx", "xy", "xz"),
+            "yy": ("wy", "xy", "yy", "yz"), "zz": ("wz", "xz", "yz", "zz")}
+    df = df.withColumn("_q", F.struct(*[e.alias(n) for n, e in terms.items()]))
+    df = df.withColumn("_best", F.greatest(*[c(n) for n in rows]))
+    pick = None
+    for lead, parts in rows.items():
+        arr = F.array(*[c(n) for n in parts])
+        pick = F.when(c(lead) == F.col("_best"), arr) if pick is None else pick.when(c(lead) == F.col("_best"), arr)
+    df = df.withColumn("_v", pick)
+    sign = F.when(F.filter("_v", lambda e: F.abs(e) > 1e-12)[0] < 0, -1.0).otherwise(1.0)
+    df = df.withColumn("_s", sign / F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, e: acc + e * e)))
+    return df.withColumns({n: F.col("_v")[i] * F.col("_s") for i, n in enumerate(names)}).drop("_q", "_best", "_v", "_s")
 
 
 def yaw_pose(tx: Column, ty: Column, yaw: Column, tz: Column | float = 0.0) -> Mat:

@@ -130,7 +130,10 @@ class Views:
         )
 
     def events(self) -> DataFrame:
-        return self.table("events").withColumn("timestamp", F.unix_micros("ts"))
+        """Events with integer microseconds, read off the wall clock without a time zone."""
+        return self.table("events").withColumn("timestamp", F.expr(
+            "unix_date(cast(ts AS date)) * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L"
+            " + cast(extract(SECOND FROM ts) * 1000000 AS bigint)"))
 
     def frames(self) -> DataFrame:
         """Frames of a scene in time order, numbered from zero."""
