@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import voxelmill
+
 # Settings every job relies on: runtime re-planning for skewed joins and UTC time stamps.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -17,8 +20,15 @@ SETTINGS = {
 }
 
 
+def ship_package() -> None:
+    """Send the package's own functions to Python workers by value, so that executors need no
+    installed copy. On a cluster ``--py-files`` does the same."""
+    cloudpickle.register_pickle_by_value(voxelmill)
+
+
 def local_session(cores: int = 8, memory: str = "12g", app: str = "voxelmill") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
+    ship_package()
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
