@@ -39,7 +39,9 @@ def _pieces(edges: np.ndarray, clip: np.ndarray, keep_shared: bool) -> np.ndarra
             t = -start / slope
         lo = np.where(~flat & (slope > 0), np.maximum(lo, t), lo)
         hi = np.where(~flat & (slope < 0), np.minimum(hi, t), hi)
-        outside = start < -EPS if keep_shared else start < EPS
+        # a shared border line counts once, and only if both interiors lie on the same side
+        opposite = (e * d).sum(-1) < 0
+        outside = (start < -EPS) | ((start < EPS) & opposite) if keep_shared else start < EPS
         hi = np.where(flat & outside, -1.0, hi)
     open_part = hi > lo
     s, t = p + d * lo[..., None], p + d * hi[..., None]
