@@ -102,8 +102,8 @@ def class_balanced_sample(frame_classes: DataFrame, classes: int, seed: int) ->
     and draw nothing. Frames are numbered per class in slices, drawn positions join back.
     """
     counts = frame_classes.groupBy("name").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    quota = counts.join(F.broadcast(total)).withColumn(  # one row
+    total = counts.agg(F.sum("_n").alias("_total")).scalar()
+    quota = counts.withColumn("_total", total).withColumn(
         "_draws", F.floor(c("_n") * ((F.lit(1.0) / classes) / (c("_n") / c("_total")))))
     numbered = with_row_number(frame_classes, ["name"], [c("frame_id")], F.expr("frame_id div 65536"), "_pos")
     key = F.conv(F.substring(F.md5("name"), 1, 7), 16, 10).cast("bigint")
@@ -247,12 +247,12 @@ def paste_objects(scene: DataFrame, pool: DataFrame, quotas: dict[str, int], see
         shuffled = with_row_number(
             pool.where(c("name") == name).withColumn("_draw", draw(seed, "object_id")),
             [], [c("_draw"), c("object_id")], slice_of(c("_draw"), 256), "_pos")
-        size = shuffled.agg(F.count("*").alias("_size"))
+        size = shuffled.agg(F.count("*").alias("_size")).scalar()
         have = scene.where(c("name") == name).groupBy("frame_id").agg(F.count("*").alias("_have"))
         slots = (frames.join(have, "frame_id", "left")
                  .withColumn("_need", F.lit(quota) - F.coalesce("_have", F.lit(0))).where(c("_need") > 0)
                  .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), c("_need") - 1)))
-                 .join(F.broadcast(size)))  # one row
+                 .withColumn("_size", size))
         slots = slots.where(c("_size") > 0).withColumn("_pos", (c("frame_id") * quota + c("slot")) % c("_size") + 1)
         cand = slots.join(shuffled.select("_pos", "object_id", "name", *cols), "_pos").select(
             "frame_id", "slot", "object_id", "name", *cols)

@@ -25,15 +25,21 @@ def value_slices(df: DataFrame, keys: Keys, value: str, rows_per_slice: int = 1
                  out: str = "_slice") -> DataFrame:
     """Add an order-preserving slice number: equal-width ranges of ``value`` per key,
     as many as the key's row count needs."""
-    stats = df.groupBy(*keys).agg(
-        F.min(value).cast("double").alias("_lo"),
-        F.max(value).cast("double").alias("_hi"),
-        F.ceil(F.count("*") / F.lit(rows_per_slice)).alias("_n"),
-    )
-    joined = df.join(stats, list(keys)) if keys else df.join(F.broadcast(stats))
-    span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    pos = F.floor((F.col(value).cast("double") - F.col("_lo")) / span * F.col("_n"))
-    return joined.withColumn(out, F.least(pos, F.col("_n") - 1)).drop("_lo", "_hi", "_n")
+    parts = F.struct(
+        F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"),
+        F.ceil(F.count("*") / F.lit(rows_per_slice)).alias("n"))
+    joined = with_group_value(df, keys, parts, "_range")
+    r = F.col("_range")
+    span = F.greatest(r.hi - r.lo, F.lit(1e-300))
+    pos = F.floor((F.col(value).cast("double") - r.lo) / span * r.n)
+    return joined.withColumn(out, F.least(pos, r.n - 1)).drop("_range")
+
+
+def with_group_value(df: DataFrame, keys: Keys, value: Column, out: str) -> DataFrame:
+    """Add an aggregate of each key's rows to the rows; without keys it is a scalar subquery."""
+    if not keys:
+        return df.withColumn(out, df.agg(value.alias(out)).scalar())
+    return df.join(df.groupBy(*keys).agg(value.alias(out)), list(keys))
 
 
 def with_row_number(df: DataFrame, keys: Keys, order: Sequence[Column], bucket: Column,
@@ -118,10 +124,9 @@ def exact_quantiles(df: DataFrame, keys: Keys, value: str, points: Sequence[floa
     """
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    counted = with_group_value(counted, keys, F.sum("_n"), "_total")
     sliced = value_slices(counted, keys, value, out="_vs")
     ranked = with_running(sliced, keys, [value], F.col("_vs"), {"_upto": ("sum", "_n")}).drop("_vs")
-    ranked = ranked.join(totals, keys) if keys else ranked.join(F.broadcast(totals))
     last = F.col("_upto") - 1
     first = F.col("_upto") - F.col("_n")
     picks = []
