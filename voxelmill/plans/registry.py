@@ -27,11 +27,13 @@ def _with_views(sql: str) -> str:
 
     visit(sql)
     text = sql.strip()
-    local = text.upper().startswith("WITH ")
     parts = [f"{name} AS ({SQL_VIEWS[name].strip()})" for name in needed]
     if not parts:
         return text
-    return "WITH " + ",\n".join(parts) + (",\n" + text[5:] if local else "\n" + text)
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(head):
+            return head + ",\n".join(parts) + ",\n" + text[len(head):]
+    return "WITH " + ",\n".join(parts) + "\n" + text
 
 
 def query(name: str, sql: str | None = None):
