@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.functions import boxes as bx
-from voxelmill.functions.random import draw, slice_of, uniform
+from voxelmill.functions.random import draw, hash_uniform, slice_of, uniform
 from voxelmill.operators import joins as jn
 from voxelmill.operators import voxels as vx
+from voxelmill.operators.batches import group_ids, map_groups
 from voxelmill.session import cut_lineage
-from voxelmill.skew import split_by_group_size, with_row_number
+from voxelmill.skew import exact_quantiles, split_by_group_size, value_slices, with_lag, with_row_number, with_running
 
 c = F.col
 
@@ -61,6 +62,12 @@ def point_sample(points: DataFrame, n: int, seed: int, far: Column | None = None
     return enough.unionByName(refill.select("frame_id", "slot", "point_id"))
 
 
+def shift_height(points: DataFrame) -> DataFrame:
+    """Height above the frame's floor, the 0.99-th percentile of z."""
+    floor = exact_quantiles(points, ["frame_id"], "z", [0.0099], ["_floor"])
+    return points.join(floor, "frame_id").withColumn("height", c("z") - c("_floor")).drop("_floor")
+
+
 def choose_sweeps(sweeps: DataFrame, n: int, train: bool, seed: int) -> DataFrame:
     """All sweeps when there are at most ``n``; else the nearest (test) or random (train) ones.
     Chains are at most 10 long, so the rank works on tiny groups."""
@@ -167,16 +174,6 @@ def voxel_point_sample(points: DataFrame, g: vx.VoxelGrid, max_points: int, max_
 
 # Farthest point sampling ------------------------------------------------------------------
 
-def _fps_numpy(feats: np.ndarray, m: int) -> np.ndarray:
-    m = min(m, len(feats))
-    chosen, best = np.zeros(m, dtype=np.int64), np.full(len(feats), 1e10)
-    for i in range(1, m):
-        diff = feats - feats[chosen[i - 1]]
-        best = np.minimum(best, (diff * diff).sum(axis=1))
-        chosen[i] = int(np.argmax(best))
-    return chosen
-
-
 def farthest_point_sample(points: DataFrame, m: int, features: Sequence[str] = ("x", "y", "z"),
                           group_bound: int = 100_000) -> DataFrame:
     """``m`` points per frame, each the farthest from those already chosen, starting at the
@@ -189,14 +186,27 @@ def farthest_point_sample(points: DataFrame, m: int, features: Sequence[str] = (
     points = points.select("frame_id", "point_id", *features)
     small, big = split_by_group_size(points, ["frame_id"], group_bound)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id")
-        idx = _fps_numpy(pdf[features].to_numpy(float), m)
-        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[0], "rank": np.arange(len(idx), dtype=np.int64),
-                             "point_id": pdf.point_id.to_numpy()[idx]})
+    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All frames of the batch at once: one farthest point per frame and step."""
+        feats, gid = pdf[features].to_numpy(float), group_ids(pdf, ["frame_id"])
+        starts = np.searchsorted(gid, np.arange(gid[-1] + 1))
+        sizes = np.diff(np.append(starts, len(pdf)))
+        best, last = np.full(len(pdf), 1e10), starts.copy()
+        picks = [(last, np.zeros(len(last), dtype=np.int64))]
+        for rank in range(1, m):
+            diff = feats - feats[last][gid]
+            best = np.minimum(best, (diff * diff).sum(axis=1))
+            top = best == np.maximum.reduceat(best, starts)[gid]
+            where = np.flatnonzero(top)
+            last = where[np.unique(gid[where], return_index=True)[1]]
+            open_ = sizes > rank
+            picks.append((last[open_], np.full(int(open_.sum()), rank)))
+        rows, ranks = (np.concatenate(p) for p in zip(*picks))
+        return pd.DataFrame({"frame_id": pdf.frame_id.to_numpy()[rows], "rank": ranks,
+                             "point_id": pdf.point_id.to_numpy()[rows]})
 
     schema = "frame_id bigint, rank bigint, point_id bigint"
-    done = small.groupBy("frame_id").applyInPandas(one, schema)
+    done = map_groups(small, ["frame_id"], [c("point_id")], sample, schema)
     if big.isEmpty():
         return done
     return done.unionByName(_fps_rounds(big, m, features))
@@ -263,7 +273,8 @@ def paste_objects(scene: DataFrame, pool: DataFrame, quotas: dict[str, int], see
             touch & (c("b_slot") > c("a_slot")))
         blocked = hit_scene.select("frame_id", c("a_slot").alias("slot")).unionByName(
             later.select("frame_id", c("a_slot").alias("slot")))
-        good = cand.join(blocked, ["frame_id", "slot"], "left_anti")
+        # later classes read the accepted objects again: keep their plan short
+        good = cut_lineage(cand.join(blocked, ["frame_id", "slot"], "left_anti"))
         accepted = good if accepted is None else accepted.unionByName(good)
         occupied = occupied.unionByName(good.select("frame_id", *cols, "slot"))
     return accepted
@@ -276,9 +287,12 @@ def object_noise(boxes: DataFrame, tries: int, shift: float, turn: float, seed:
     each frame is one group. Frames beyond the bound are cut into ground regions that are
     farther apart than any object can reach (see ``_regions``).
     """
-    drawn = boxes.select("frame_id", "box_id", "x", "y", "dx", "dy", "yaw", *[
-        F.transform(F.sequence(F.lit(0), F.lit(tries - 1)),
-                    lambda t, s=s: uniform(seed * 7 + s, c("box_id"), c("frame_id"), t)).alias(f"u{s}") for s in range(3)])
+    def draws(s: int) -> Column:
+        """Array of one uniform value per try."""
+        return F.transform(F.sequence(F.lit(0), F.lit(tries - 1)),
+                           lambda t: hash_uniform(seed * 7 + s, "box_id", "frame_id", t)).alias(f"u{s}")
+
+    drawn = boxes.select("frame_id", "box_id", "x", "y", "dx", "dy", "yaw", *[draws(s) for s in range(3)])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("box_id").reset_index(drop=True)
@@ -299,14 +313,12 @@ def object_noise(boxes: DataFrame, tries: int, shift: float, turn: float, seed:
     reach = F.sqrt(c("dx") * c("dx") + c("dy") * c("dy")) / 2 + shift * 1.5
     regions = _regions(drawn.withColumn("_reach", reach), group_bound)
     return regions.groupBy("frame_id", "_region").applyInPandas(
-        lambda pdf: one(pdf), "frame_id bigint, box_id bigint, attempt bigint, x double, y double, yaw double")
+        one, "frame_id bigint, box_id bigint, attempt bigint, x double, y double, yaw double")
 
 
 def _regions(boxes: DataFrame, bound: int) -> DataFrame:
     """Region 0 for frames up to ``bound`` objects. In larger frames x gaps that no object's
     reach crosses separate regions, found by running maxima over x slices."""
-    from voxelmill.skew import value_slices, with_lag, with_running
-
     small, big = split_by_group_size(boxes, ["frame_id"], bound)
     small = small.withColumn("_region", F.lit(0).cast("bigint"))
     big = big.withColumns({"_lo": c("x") - c("_reach"), "_hi": c("x") + c("_reach")})

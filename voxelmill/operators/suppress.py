@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from voxelmill.functions import boxes as bx
 from voxelmill.functions.overlap import overlap_area, rectangle_overlap_area
 from voxelmill.operators import joins as jn
+from voxelmill.operators.batches import group_ids, map_groups
 from voxelmill.operators.topk import top_per_group
 from voxelmill.session import cut_lineage
 from voxelmill.skew import split_by_group_size
@@ -40,7 +41,7 @@ class Rule:
     the tiles), the vectorised test, and the same test as a column on ``k_`` and plain names."""
 
     bounds: Callable[[], list[Column]]
-    hits: Callable[[dict[str, np.ndarray], int, np.ndarray], np.ndarray]
+    hits: Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
     test: Callable[[], Column]
 
 
@@ -51,10 +52,10 @@ def _flat_iou(area: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def rotated(threshold: float) -> Rule:
     """Ground IoU of turned rectangles above the threshold."""
 
-    def hits(g, i, rest):
-        one = {k: np.full(len(rest), g[k][i]) for k in ("x", "y", "dx", "dy", "yaw")}
-        area = overlap_area(*one.values(), *[g[k][rest] for k in one])
-        return _flat_iou(area, one["dx"] * one["dy"], g["dx"][rest] * g["dy"][rest]) > threshold
+    def hits(a, b):
+        cols = ("x", "y", "dx", "dy", "yaw")
+        area = overlap_area(*[a[k] for k in cols], *[b[k] for k in cols])
+        return _flat_iou(area, a["dx"] * a["dy"], b["dx"] * b["dy"]) > threshold
 
     def test():
         cols = ("x", "y", "dx", "dy", "yaw")
@@ -70,11 +71,11 @@ def _axis_bounds() -> list[Column]:
     return [b[0], b[1], b[3], b[4]]
 
 
-def _axis_overlap(g, i, rest, axes):
+def _axis_overlap(a, b, axes):
     inter = 1.0
     for k, d, centred in axes:
-        low_a, low_b = (g[k][i] - g[d][i] / 2, g[k][rest] - g[d][rest] / 2) if centred else (g[k][i], g[k][rest])
-        inter = inter * np.maximum(np.minimum(low_a + g[d][i], low_b + g[d][rest]) - np.maximum(low_a, low_b), 0.0)
+        low_a, low_b = (a[k] - a[d] / 2, b[k] - b[d] / 2) if centred else (a[k], b[k])
+        inter = inter * np.maximum(np.minimum(low_a + a[d], low_b + b[d]) - np.maximum(low_a, low_b), 0.0)
     return inter
 
 
@@ -82,9 +83,9 @@ def axis_aligned(threshold: float) -> Rule:
     """Ground IoU of the unrotated rectangles above the threshold."""
     axes = (("x", "dx", True), ("y", "dy", True))
 
-    def hits(g, i, rest):
-        inter = _axis_overlap(g, i, rest, axes)
-        return _flat_iou(inter, g["dx"][i] * g["dy"][i], g["dx"][rest] * g["dy"][rest]) > threshold
+    def hits(a, b):
+        inter = _axis_overlap(a, b, axes)
+        return _flat_iou(inter, a["dx"] * a["dy"], b["dx"] * b["dy"]) > threshold
 
     def test():
         a, b = jn.box_bounds_3d(bx.box("k_")), jn.box_bounds_3d(bx.box())
@@ -98,9 +99,9 @@ def aligned_3d(threshold: float) -> Rule:
     """3D IoU of axis-aligned boxes above the threshold; classes are separated by the key."""
     axes = (("x", "dx", True), ("y", "dy", True), ("z", "dz", False))
 
-    def hits(g, i, rest):
-        inter = _axis_overlap(g, i, rest, axes)
-        va, vb = (g["dx"][s] * g["dy"][s] * g["dz"][s] for s in (i, rest))
+    def hits(a, b):
+        inter = _axis_overlap(a, b, axes)
+        va, vb = (m["dx"] * m["dy"] * m["dz"] for m in (a, b))
         return inter / (va + vb - inter) > threshold
 
     def test():
@@ -114,8 +115,8 @@ def circle(threshold: float) -> Rule:
     """Squared centre distance at most ``threshold``."""
     half = math.sqrt(threshold) / 2 + 1e-9
 
-    def hits(g, i, rest):
-        return (g["x"][i] - g["x"][rest]) ** 2 + (g["y"][i] - g["y"][rest]) ** 2 <= threshold
+    def hits(a, b):
+        return (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 <= threshold
 
     def test():
         dx, dy = c("k_x") - c("x"), c("k_y") - c("y")
@@ -130,17 +131,25 @@ def suppress(dets: DataFrame, keys: Sequence[str], ident: str, rule: Rule, tile:
     keys = list(keys)
     small, big = split_by_group_size(dets, keys, group_bound)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", ident], ascending=[False, True], kind="stable").reset_index(drop=True)
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All groups at once: each step takes the best remaining row of every group."""
         g = {k: pdf[k].to_numpy(float) for k in GEOMETRY}
-        left, kept = np.arange(len(pdf)), []
-        while len(left):
-            i, left = left[0], left[1:]
-            kept.append(i)
-            left = left[~rule.hits(g, i, left)]
-        return pdf.iloc[kept]
-
-    done = small.groupBy(*keys).applyInPandas(one, dets.schema)
+        gid = group_ids(pdf, keys)
+        alive, kept = np.ones(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=bool)
+        leader = np.zeros(gid[-1] + 1, dtype=np.int64)
+        while alive.any():
+            idx = np.flatnonzero(alive)
+            groups, first = np.unique(gid[idx], return_index=True)
+            leader[groups] = idx[first]
+            kept[idx[first]] = True
+            alive[idx[first]] = False
+            idx = np.flatnonzero(alive)
+            lead = leader[gid[idx]]
+            hit = rule.hits({k: v[lead] for k, v in g.items()}, {k: v[idx] for k, v in g.items()})
+            alive[idx[hit]] = False
+        return pdf[kept]
+
+    done = map_groups(small, keys, [c("score").desc(), c(ident)], greedy, dets.schema)
     if big.isEmpty():
         return done
     return done.unionByName(suppress_rounds(big, keys, ident, rule, tile))
