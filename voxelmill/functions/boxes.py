@@ -196,9 +196,10 @@ def xyxyr(b: Box, mode: str = "lidar") -> list[Column]:
 
 def bev_bounds(b: Box, mode: str = "lidar") -> list[Column]:
     """Axis-aligned bounds of the rotated ground rectangle."""
-    pts = bev_corners(b, mode)
-    xs, ys = [p[0] for p in pts], [p[1] for p in pts]
-    return [F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)]
+    cx, cy, w, h, yaw = bev_columns(b, mode)
+    co, si = F.abs(F.cos(yaw)), F.abs(F.sin(yaw))
+    half_x, half_y = (w * co + h * si) / 2, (w * si + h * co) / 2
+    return [cx - half_x, cy - half_y, cx + half_x, cy + half_y]
 
 
 def convert_point(x: Column, y: Column, z: Column, src: str, dst: str, rt=None) -> list[Column]:
