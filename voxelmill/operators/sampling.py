@@ -322,7 +322,7 @@ def _regions(boxes: DataFrame, bound: int) -> DataFrame:
     small, big = split_by_group_size(boxes, ["frame_id"], bound)
     small = small.withColumn("_region", F.lit(0).cast("bigint"))
     big = big.withColumns({"_lo": c("x") - c("_reach"), "_hi": c("x") + c("_reach")})
-    sliced = value_slices(big, ["frame_id"], "_lo", bound, "_vs")
+    sliced = value_slices(big, ["frame_id"], "_lo", max(bound, 1), "_vs")
     upto = with_running(sliced, ["frame_id"], ["_lo", "box_id"], c("_vs"), {"_far": ("max", "_hi")})
     gap = with_lag(upto, ["frame_id"], ["_lo", "box_id"], c("_vs"), {"_before": "_far"})
     gap = gap.withColumn("_new", F.coalesce((c("_lo") > c("_before")).cast("bigint"), F.lit(0).cast("bigint")))

@@ -103,6 +103,19 @@ def _(v):
         bad.select(F.lit("fault").alias("kind"), "scene_id", c("message").alias("value")))
 
 
+@query("read_sensor_log", "SELECT n_name AS scene, r_name AS log FROM nation JOIN region ON r_regionkey = n_regionkey")
+def _(v):
+    folder = scratch_folder(v.spark, "log")
+    schemas = {}
+    for name in ("nation", "region"):  # log tables are one JSON array each
+        df = v.table(name)
+        schemas[name] = df.schema
+        df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(f"{folder}/{name}.json")
+    log = st.read_sensor_log(v.spark, folder, schemas)
+    region = log["region"].select(c("r_regionkey").alias("n_regionkey"), c("r_name").alias("log"))
+    return log["nation"].join(region, "n_regionkey").select(c("n_name").alias("scene"), "log")
+
+
 @query("unlabeled_import", f"SELECT frame_id, point_id, {r6('z * 0.001')} AS x, {r6('-x * 0.001')} AS y, {r6('-y * 0.001')} AS z, CAST(0 AS INTEGER) AS boxes FROM points")
 def _(v):
     rows = sk.unlabelled_records(v.points().select("frame_id", "point_id", "x", "y", "z"), 0.001, True)

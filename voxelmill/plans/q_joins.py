@@ -365,3 +365,16 @@ def _(v):
     b = v.detections().select("frame_id", "det_id", F.expr("det_id div 4").alias("box_id"), *[c(n).alias("b_" + n) for n in ("x", "y", "z", "dx", "dy", "dz")])
     return a.join(b, ["frame_id", "box_id"]).select(
         "frame_id", "box_id", "det_id", rd(mt.bev_l1_cost((50.0, 100.0), 0.25), 5).alias("bev_l1"), rd(mt.box_l1_cost(0.5), 5).alias("box_l1"))
+
+
+@query("grouping_operation", f"WITH {BALL} SELECT b.frame_id, b.centre_id, b.slot, {r6('p.x')} AS x, {r6('p.y')} AS y, {r6('p.z')} AS z FROM ball b JOIN points p ON p.frame_id = b.frame_id AND p.point_id = b.point_id")
+def _(v):
+    pts = v.points()
+    out = jn.gather(pts, jn.ball_query(pts, centres(v), 1.0, 5.0, 4), ["x", "y", "z"])
+    return out.select("frame_id", "centre_id", "slot", *[rd(k).alias(k) for k in "xyz"])
+
+
+@query("iof_3d", f"WITH {POLY} SELECT frame_id, box_id, det_id, {r6('overlap * hh / greatest(va, 1e-8)', 4)} AS iof FROM res WHERE overlap > 1e-6")
+def _(v):
+    out = jn.with_rotated_iou(pairs(v)).where(c("overlap") > 1e-6)
+    return out.select("frame_id", c("a_box_id").alias("box_id"), c("b_det_id").alias("det_id"), rd("iof_3d", 4).alias("iof"))

@@ -8,6 +8,7 @@ from voxelmill.functions import linalg as la
 from voxelmill.functions import text as tx
 from voxelmill.operators import index as ix
 from voxelmill.operators import quality as ql
+from voxelmill.operators import windows as wn
 from voxelmill.plans.q_metrics import STATS, stats
 from voxelmill.plans.q_raster import COLS, ROWS
 from voxelmill.plans.registry import query
@@ -426,3 +427,13 @@ def _(v):
 def _(v):
     return stats(v).where(c("point_count") < 240).groupBy(F.expr("frame_id div 10").alias("scene_id")).agg(
         F.count("*").alias("failed"), F.min("frame_id").alias("first_frame"))
+
+
+@query("check_sequence", f"""WITH {MANIFEST}, l AS (SELECT scene_id, frame_id, CASE WHEN event_id % 97 = 0 THEN timestamp - 864000000000 ELSE timestamp END AS timestamp FROM manifest WHERE event_id % 89 <> 0),
+ p AS (SELECT *, lag(frame_id) OVER w AS pf, lag(timestamp) OVER w AS pt FROM l WINDOW w AS (PARTITION BY scene_id ORDER BY frame_id))
+{fault_sql('pf IS NULL AND frame_id <> 0', 'frame_id', 'first frame id is not 0', source='p')} UNION ALL {fault_sql('pf IS NOT NULL AND frame_id <> pf + 1', 'frame_id', 'frame ids are not contiguous', source='p')}
+UNION ALL {fault_sql('timestamp <= pt', 'timestamp', 'timestamp does not grow', source='p')}""")
+def _(v):
+    rows = manifest(v).where(c("event_id") % 89 != 0).withColumn(
+        "timestamp", F.when(c("event_id") % 97 == 0, c("timestamp") - 864000000000).otherwise(c("timestamp")))
+    return wn.sequence_check(rows).select(*ql.FAULT)
