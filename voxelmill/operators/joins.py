@@ -24,7 +24,7 @@ def _tile(col: Column, size: float) -> Column:
     return F.floor(col / size)
 
 
-def _spread(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> DataFrame:
+def spread_tiles(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> DataFrame:
     """One row per ground tile between two corners."""
     return (df.withColumn("_tx", F.explode(F.sequence(_tile(x1, size), _tile(x2, size))))
             .withColumn("_ty", F.explode(F.sequence(_tile(y1, size), _tile(y2, size)))))
@@ -38,7 +38,7 @@ def box_tiles(boxes: DataFrame, size: float, prefix: str = "b_") -> DataFrame:
     """Boxes with prefixed columns and one row per touched tile."""
     named = boxes.select("frame_id", *[c(n).alias(prefix + n) for n in boxes.columns if n != "frame_id"])
     bounded = named.withColumn("_b", F.array(*bx.bev_bounds(bx.box(prefix))))
-    return _spread(bounded, c("_b")[0], c("_b")[1], c("_b")[2], c("_b")[3], size).drop("_b")
+    return spread_tiles(bounded, c("_b")[0], c("_b")[1], c("_b")[2], c("_b")[3], size).drop("_b")
 
 
 def join_points_boxes(points: DataFrame, boxes: DataFrame, test: Column, size: float, how: str = "inner") -> DataFrame:
@@ -116,7 +116,7 @@ def _distance2(prefix: str = "c_") -> Column:
 def radius_pairs(points: DataFrame, centres: DataFrame, rmax: float, rmin: float = 0.0) -> DataFrame:
     """Pairs at distance 0 or in ``[rmin, rmax)``; centres have ``centre_id, c_x, c_y, c_z``."""
     left = point_tiles(points, rmax)
-    right = _spread(centres, c("c_x") - rmax, c("c_y") - rmax, c("c_x") + rmax, c("c_y") + rmax, rmax)
+    right = spread_tiles(centres, c("c_x") - rmax, c("c_y") - rmax, c("c_x") + rmax, c("c_y") + rmax, rmax)
     pairs = left.join(right, TILE).drop("_tx", "_ty").withColumn("d2", _distance2())
     return pairs.where((c("d2") == 0) | ((c("d2") >= rmin * rmin) & (c("d2") < rmax * rmax)))
 
@@ -136,17 +136,15 @@ def ball_query(points: DataFrame, centres: DataFrame, rmin: float, rmax: float,
             .select("frame_id", "centre_id", "slot", padded.alias("point_id")))
 
 
-def _cells(size: Column, prefix: str = "") -> list[Column]:
-    return [F.floor(c(prefix + k) / size).alias(f"_q{k}") for k in "xyz"]
-
-
-def knn(points: DataFrame, centres: DataFrame, k: int, base: float = 1.0, levels: int = 8) -> DataFrame:
+def knn(points: DataFrame, centres: DataFrame, k: int, base: float = 4.0, levels: int = 5) -> DataFrame:
     """The ``k`` nearest points of every centre by (distance, point id), exact.
 
     Cells come in ``levels`` sizes ``base * 2**l``; the last level is the whole frame. For
     every centre the finest level whose own cell already holds ``k`` points bounds the
     distance by that cell's diagonal, so only the 27 cells of twice the size are searched.
-    The candidates therefore follow the local density, whatever the frame holds.
+    The candidates therefore follow the local density, whatever the frame holds. ``base``
+    and ``levels`` only tune the cost: choose them so that the finest cells hold a few
+    points and the coarsest regular ones reach across a frame.
     """
     pts = _keep_first_copies(points.select("frame_id", "point_id", "x", "y", "z"), k)
     whole = F.lit(levels)
@@ -168,7 +166,10 @@ def knn(points: DataFrame, centres: DataFrame, k: int, base: float = 1.0, levels
         near = F.sequence(F.floor(c("c_" + a) / size) - 1, F.floor(c("c_" + a) / size) + 1)
         at_top = F.array(F.lit(0).cast("bigint"))
         search = search.withColumn(f"_q{a}", F.explode(F.when(c("_l") < whole, near).otherwise(at_top)))
-    pairs = at_levels(pts, "", 1).join(search, key).withColumn("d2", _distance2())
+    used = search.select("frame_id", "_l").distinct()
+    by_level = pts.join(used, "frame_id").select("*", *[
+        F.when(c("_l") < whole, F.floor(c(a) / size)).otherwise(F.lit(0).cast("bigint")).alias(f"_q{a}") for a in "xyz"])
+    pairs = by_level.join(search, key).withColumn("d2", _distance2())
     w = Window.partitionBy("frame_id", "centre_id").orderBy("d2", "point_id")
     return (pairs.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
             .select("frame_id", "centre_id", "rank", "point_id", "d2"))
@@ -214,8 +215,8 @@ def box_pairs(left: DataFrame, right: DataFrame, size: float = 8.0, extra: list[
         return out.withColumn(f"_{prefix}", F.array(*bounds))
 
     a, b = named(left, "a_"), named(right, "b_")
-    a = _spread(a, c("_a_")[0], c("_a_")[1], c("_a_")[2], c("_a_")[3], size)
-    b = _spread(b, c("_b_")[0], c("_b_")[1], c("_b_")[2], c("_b_")[3], size)
+    a = spread_tiles(a, c("_a_")[0], c("_a_")[1], c("_a_")[2], c("_a_")[3], size)
+    b = spread_tiles(b, c("_b_")[0], c("_b_")[1], c("_b_")[2], c("_b_")[3], size)
     meet = a.join(b, [*keys, "_tx", "_ty"])
     first_x, first_y = F.greatest(c("_a_")[0], c("_b_")[0]), F.greatest(c("_a_")[1], c("_b_")[1])
     return meet.where(
@@ -331,7 +332,7 @@ def heuristic_assign(truth: DataFrame, predictions: DataFrame, limit: float) ->
     """Nearest same-class prediction of each truth box within ``limit``; a prediction taken
     twice keeps the nearer truth box. Both choices are aggregates, not windows."""
     t = truth.select("frame_id", "name", "gt_id", c("x").alias("c_x"), c("y").alias("c_y"))
-    t = _spread(t, c("c_x") - limit, c("c_y") - limit, c("c_x") + limit, c("c_y") + limit, limit)
+    t = spread_tiles(t, c("c_x") - limit, c("c_y") - limit, c("c_x") + limit, c("c_y") + limit, limit)
     p = point_tiles(predictions.select("frame_id", "name", "pred_id", "x", "y"), limit)
     pairs = t.join(p, [*TILE, "name"]).withColumn(
         "distance", F.sqrt((c("x") - c("c_x")) * (c("x") - c("c_x")) + (c("y") - c("c_y")) * (c("y") - c("c_y"))))

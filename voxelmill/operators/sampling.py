@@ -266,7 +266,8 @@ def paste_objects(scene: DataFrame, pool: DataFrame, quotas: dict[str, int], see
         slots = slots.where(c("_size") > 0).withColumn("_pos", (c("frame_id") * quota + c("slot")) % c("_size") + 1)
         cand = slots.join(shuffled.select("_pos", "object_id", "name", *cols), "_pos").select(
             "frame_id", "slot", "object_id", "name", *cols)
-        cand = cand.dropDuplicates(["frame_id", "object_id"])
+        # an object drawn twice keeps its first slot
+        cand = cand.groupBy("frame_id", "object_id", "name", *cols).agg(F.min("slot").alias("slot"))
         touch = jn.rectangles_touch(bx.box("a_"), bx.box("b_"))
         hit_scene = jn.box_pairs(cand.select("frame_id", "slot", *cols), occupied).where(touch)
         later = jn.box_pairs(cand.select("frame_id", "slot", *cols), cand.select("frame_id", "slot", *cols)).where(

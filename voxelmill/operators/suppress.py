@@ -130,6 +130,7 @@ def suppress(dets: DataFrame, keys: Sequence[str], ident: str, rule: Rule, tile:
     """Kept detections of every group, with all their columns."""
     keys = list(keys)
     small, big = split_by_group_size(dets, keys, group_bound)
+    hits = rule.hits  # only the numpy test travels to the workers
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         """All groups at once: each step takes the best remaining row of every group."""
@@ -145,7 +146,7 @@ def suppress(dets: DataFrame, keys: Sequence[str], ident: str, rule: Rule, tile:
             alive[idx[first]] = False
             idx = np.flatnonzero(alive)
             lead = leader[gid[idx]]
-            hit = rule.hits({k: v[lead] for k, v in g.items()}, {k: v[idx] for k, v in g.items()})
+            hit = hits({k: v[lead] for k, v in g.items()}, {k: v[idx] for k, v in g.items()})
             alive[idx[hit]] = False
         return pdf[kept]
 
@@ -164,12 +165,12 @@ def suppress_rounds(dets: DataFrame, keys: Sequence[str], ident: str, rule: Rule
     rest = cut_lineage(named)
     kept = None
     while not rest.isEmpty():
-        listed = jn._spread(rest, c("_b")[0], c("_b")[1], c("_b")[2], c("_b")[3], tile)
+        listed = jn.spread_tiles(rest, c("_b")[0], c("_b")[1], c("_b")[2], c("_b")[3], tile)
         best = listed.groupBy(*at).agg(F.max(F.struct(c("score"), (-c(ident)).alias("_neg"))).alias("_top"))
         ahead = listed.join(best, at).groupBy(*row).agg(F.min((-c("_top._neg") == c(ident)).cast("int")).alias("_wins"))
         won = cut_lineage(rest.join(ahead.where(c("_wins") == 1).select(*row), row, "left_semi"))
         kept = won if kept is None else kept.unionByName(won)
-        leaders = jn._spread(won, c("_b")[0], c("_b")[1], c("_b")[2], c("_b")[3], tile).select(
+        leaders = jn.spread_tiles(won, c("_b")[0], c("_b")[1], c("_b")[2], c("_b")[3], tile).select(
             *at, c(ident).alias("k_id"), *[c(g).alias("k_" + g) for g in GEOMETRY])
         lost = (listed.select(*row, "_tx", "_ty", *GEOMETRY).join(leaders, at).where(c("k_id") != c(ident))
                 .where(rule.test()).select(*row).distinct())
