@@ -139,9 +139,11 @@ def boundary_f1(cells: DataFrame, keys: Sequence[str], rows: int, cols: int, tol
     """
     keys = list(keys)
     ident = [*keys, "row", "col"]
-    core = rs.erode(cells.where(c("supervised") == 1).select(*ident), keys, tolerance, rows, cols)
-    pred = rs.cell_boundary(cells.where(c("score") >= 0.5).select(*ident), keys, rows, cols).join(core, ident, "left_semi")
-    true = rs.cell_boundary(cells.where(c("label") == 1).select(*ident), keys, rows, cols).join(core, ident, "left_semi")
+    # each of the three small tables is read several times below, so it is written once
+    core = cut_lineage(rs.erode(cells.where(c("supervised") == 1).select(*ident), keys, tolerance, rows, cols))
+    pred, true = (
+        cut_lineage(rs.cell_boundary(cells.where(test).select(*ident), keys, rows, cols).join(core, ident, "left_semi"))
+        for test in (c("score") >= 0.5, c("label") == 1))
 
     def matched(a, b):
         near = rs.dilate(b, keys, tolerance, rows, cols).withColumn("_hit", F.lit(1))
