@@ -5,8 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from voxelmill.llm.common import read_table
 from voxelmill.llm.token_counts import token_counts
+from voxelmill.llm.token_records import read_records, write_records
+from voxelmill.llm.url_rules import judge_urls, rule_table
+from voxelmill.session import scratch_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +31,46 @@ def query(name: str, sql: str | None = None):
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+# The host and path rules of the url filter.
+URL_RULES = [
+    ("org/", "||org/", "allow"),
+    ("example.org/es/", "||example.org/es/", "block"),
+    ("example.org/en/1", "||example.org/en/1", "block"),
+    ("com/fr/", "||com/fr/", "allow"),
+    ("com/de/", "||com/de/", "block"),
+]
+
+URL_SQL = """
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT page_id, host, path, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+@query("op2_url_rules", URL_SQL)
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+@query("op9_token_records")
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "token-records")
+    docs = read_table(spark, sf_dir, "documents")
+    write_records(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=0)
+    return read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
