@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -22,8 +21,9 @@ from pyspark.sql import functions as F
 from voxelmill.llm.common import id_text, pieces
 from voxelmill.llm.pretokens import compile_pattern
 
-NO_RANK = 2**31 - 1
-BUCKETS = 1 << 15
+ID_BITS = 17
+NO_RANK = (1 << ID_BITS) - 1
+GROUPS, SLOTS = 1 << 15, 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,23 +32,46 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of buckets by the CRC-32 of a piece, so that a lookup
-    compares with the few pieces of one bucket instead of all."""
-    buckets = defaultdict(lambda: {"k": [], "r": []})
-    for piece, rank in ranks.items():
-        bucket = buckets[zlib.crc32(piece) % BUCKETS]
-        bucket["k"].append(base64.b64encode(piece).decode())
-        bucket["r"].append(rank)
-    empty = {"k": [], "r": []}
-    text = json.dumps([buckets.get(i, empty) for i in range(BUCKETS)], separators=(",", ":"))
-    return F.from_json(F.lit(text), "array<struct<k:array<binary>,r:array<int>>>")
+def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """The rank of every pair of ids whose joined bytes are a piece."""
+    return {(ranks[piece[:i]], ranks[piece[i:]]): rank for piece, rank in ranks.items() for i in range(1, len(piece)) if piece[:i] in ranks and piece[i:] in ranks}
 
 
-def piece_literal(ranks: dict[bytes, int]) -> Column:
-    """The pieces by id, as one literal array."""
+def place_keys(pairs: dict[tuple[int, int], int]) -> tuple[int, list[int], list[int]]:
+    """A hash table without collisions: (factor, shift of each group, entries).
+
+    A pair belongs to a group; its slot is its hash plus the shift of the group. Groups are placed
+    from the largest to the smallest, each with the first shift that hits free slots only.
+    """
+    for factor in range(7919, 1 << 20, 2 * 7919):
+        groups = defaultdict(list)
+        for (a, b), rank in pairs.items():
+            groups[(a * 40_503 + b) % GROUPS].append(((a * factor + b * 31) % SLOTS, (a << ID_BITS | b) << ID_BITS | rank))
+        shifts, entries = [0] * GROUPS, [0] * SLOTS
+        for group, keys in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+            if len({h for h, _ in keys}) < len(keys):
+                break
+            shift = next((d for d in range(SLOTS) if not any(entries[(h + d) % SLOTS] for h, _ in keys)), None)
+            if shift is None:
+                break
+            shifts[group] = shift
+            for h, entry in keys:
+                entries[(h + shift) % SLOTS] = entry
+        else:
+            return factor, shifts, entries
+    raise ValueError("too many pairs for the table")
+
+
+def literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
+
+
+def rank_tables(ranks: dict[bytes, int]) -> Column:
+    """The ranks of pairs of ids and the pieces, as one literal. A lookup reads one entry."""
+    factor, shifts, entries = place_keys(pair_ranks(ranks))
     by_id = {rank: base64.b64encode(piece).decode() for piece, rank in ranks.items()}
-    return F.from_json(F.lit(json.dumps([by_id.get(i) for i in range(max(by_id) + 1)], separators=(",", ":"))), "array<binary>")
+    return F.struct(F.lit(factor).cast("long").alias("factor"), literal(shifts, "array<long>").alias("shifts"), literal(entries, "array<long>").alias("entries"),
+                    literal([by_id.get(i) for i in range(max(by_id) + 1)], "array<binary>").alias("pieces"))
 
 
 def let(value: Column, body) -> Column:
@@ -56,45 +79,46 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def rank_of(piece: Column, literal: Column) -> Column:
-    """Rank of a piece, or ``NO_RANK``."""
-    def look_up(p):
-        return let(F.get(literal, (F.crc32(p) % BUCKETS).cast("int")),
-                   lambda b: F.coalesce(F.get(b["r"], (F.array_position(b["k"], p) - 1).cast("int")), F.lit(NO_RANK)))
+def fold_merges(letters: Column, tables: Column) -> Column:
+    """Ids of one word from the ids of its bytes: merge the leftmost pair of lowest rank until no
+    pair has a rank.
+
+    The state is an array of longs, one for each piece: from the high bits the rank of the pair with
+    the next piece, the place of the piece in the word and its id. Its minimum is the pair to merge.
+    """
+    def id_of(x):
+        return x.bitwiseAND(F.lit(NO_RANK))
+
+    def place_of(x):
+        return F.shiftright(x, ID_BITS).bitwiseAND(F.lit(NO_RANK))
 
-    return let(piece, look_up)
+    def rank_of(left, right):
+        """Shifted to the high bits."""
+        shift = F.get(tables["shifts"], ((left * 40_503 + right) % GROUPS).cast("int"))
+        entry = F.get(tables["entries"], ((left * tables["factor"] + right * 31 + shift) % SLOTS).cast("int"))
+        pair = left * (1 << ID_BITS) + right
+        return let(entry, lambda e: F.when(F.shiftright(e, ID_BITS) == pair, e.bitwiseAND(F.lit(NO_RANK))).otherwise(F.lit(NO_RANK))) * (1 << 2 * ID_BITS)
 
+    def with_next(x, after):
+        """The piece ``x`` (place and id) before the piece ``after``, which is null at the end."""
+        return x + F.when(after.isNull(), F.lit(NO_RANK << 2 * ID_BITS)).otherwise(rank_of(id_of(x), id_of(after)))
 
-def fold_merges(word: Column, literal: Column) -> Column:
-    """Ids of one word: merge the leftmost pair of lowest rank until no pair has a rank. The state
-    keeps the pieces and the rank of each adjacent pair; a merge looks up two new ranks."""
-    size = F.length(word)
-    none = F.array().cast("array<int>")
-    letters = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank_of(F.substring(word, i, F.lit(2)), literal))).otherwise(none)
+    start = F.transform(letters, lambda x, k: with_next(k.cast("long") * (1 << ID_BITS) + x.cast("long"), F.get(letters, k + 1).cast("long")))
 
     def merge(state, _):
         def at(low):
-            p, r = state["p"], state["r"]
-
             def with_place(i):
-                def with_piece(new):
-                    left = F.when(i > 1, F.array(rank_of(F.concat(F.get(p, i - 2), new), literal))).otherwise(none)
-                    right = F.when(i < F.size(r), F.array(rank_of(F.concat(new, F.get(p, i + 1)), literal))).otherwise(none)
-                    return F.struct(
-                        F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
-                        F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r) + 1)).alias("r"))
-
-                return let(F.concat(F.get(p, i - 1), F.get(p, i)), with_piece)
+                merged = place_of(low) * (1 << ID_BITS) + F.shiftright(low, 2 * ID_BITS)
+                rest = F.filter(state, lambda x, k: k != i)
+                return F.transform(rest, lambda x, k: F.when(k == i - 1, with_next(merged, F.get(state, i + 1)))
+                                   .when(k == i - 2, with_next(x.bitwiseAND(F.lit((1 << 2 * ID_BITS) - 1)), merged)).otherwise(x))
 
-            return F.when(low < NO_RANK, let(F.array_position(r, low).cast("int"), with_place)).otherwise(state)
+            return F.when(F.shiftright(low, 2 * ID_BITS) < NO_RANK, let(F.size(F.filter(state, lambda x: place_of(x) <= place_of(low))), with_place)).otherwise(state)
 
-        return let(F.coalesce(F.array_min(state["r"]), F.lit(NO_RANK)), at)
+        return let(F.array_min(state), at)
 
-    steps = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(none)
-    folded = F.aggregate(steps, F.struct(letters.alias("p"), pairs.alias("r")), merge)
-    ids = let(folded, lambda s: F.transform(s["p"], lambda p: rank_of(p, literal)))
-    return let(rank_of(word, literal), lambda whole: F.when(whole < NO_RANK, F.array(whole)).otherwise(ids))
+    folded = F.aggregate(F.slice(letters, 2, F.size(letters)), start, merge)
+    return F.transform(folded, lambda x: id_of(x).cast("int"))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -144,6 +168,8 @@ def encode_decode(
 
     def blocks(batches):
         find = compile_pattern(pattern).findall
+        pieces_ = shared.value
+        byte_ids = np.array([pieces_[bytes([i])] for i in range(256)], np.int16)
 
         def block(rows):
             places, counts, words = [], [], {}
@@ -151,18 +177,23 @@ def encode_decode(
                 found = find(text)
                 counts.append(len(found))
                 places.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found)))
-            every = [w.encode() for w in words]
-            is_long = np.array([len(w) > fold_bytes for w in every], bool)
-            new = np.empty(len(every), np.int32)
-            new[~is_long] = np.arange((~is_long).sum())
-            new[is_long] = -1 - np.arange(is_long.sum())
-            long_words = [w for w in every if len(w) > fold_bytes]
-            flat = np.concatenate(places) if places else np.empty(0, np.int32)
-            return pa.RecordBatch.from_pylist([{
-                "ids": [i for i, _ in rows], "counts": counts, "places": new[flat].tobytes(), "words": [w for w in every if len(w) <= fold_bytes],
-                "long_ids": [merge_long(w, shared.value) for w in long_words]}],
-                schema=pa.schema([("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()),
-                                  ("words", pa.list_(pa.binary())), ("long_ids", pa.list_(pa.list_(pa.int32())))]))
+            # Words that are pieces, and words too long to fold, have their ids at once; their places are negative.
+            new, folded, ready = np.empty(len(words), np.int32), [], []
+            for k, w in enumerate(words):
+                w = w.encode()
+                if w in pieces_ or len(w) > fold_bytes:
+                    ready.append(merge_long(w, pieces_))
+                    new[k] = -len(ready)
+                else:
+                    new[k] = len(folded)
+                    folded.append(w)
+            flat = np.concatenate(places)
+            ends = np.concatenate([[0], np.cumsum([len(w) for w in folded], dtype=int)]).astype(np.int32)
+            letters = byte_ids[np.frombuffer(b"".join(folded), np.uint8)]
+            return pa.RecordBatch.from_arrays([
+                pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([new[flat].tobytes()], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(folded)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(letters))),
+                pa.array([ready], pa.list_(pa.list_(pa.int32())))], names=["ids", "counts", "places", "words", "ready"])
 
         rows, size = [], 0
         for batch in pieces(batches, 64):
@@ -175,16 +206,20 @@ def encode_decode(
         if rows:
             yield block(rows)
 
-    listed = id_text(docs, id_col, text_col).mapInArrow(blocks, "ids array<long>, counts array<int>, places binary, words array<binary>, long_ids array<array<int>>")
-    rank, piece = rank_literal(ranks), piece_literal(ranks)
+    listed = id_text(docs, id_col, text_col).mapInArrow(blocks, "ids array<long>, counts array<int>, places binary, words array<array<short>>, ready array<array<int>>")
+
+    def code(tables):
+        """The literals are named once, so that the plan holds one copy of them."""
+        def decode(tokens):
+            return F.aggregate(tokens, F.lit(b""), lambda acc, t: F.concat(acc, F.get(tables["pieces"], t)))
+
+        def both(tokens):
+            return F.struct(tokens.alias("t"), decode(tokens).alias("d"))
 
-    def decode(tokens):
-        return F.aggregate(tokens, F.lit(b""), lambda acc, t: F.concat(acc, F.get(piece, t)))
+        return F.struct(F.transform("words", lambda w: let(fold_merges(w, tables), both)).alias("words"),
+                        F.transform("ready", both).alias("ready"))
 
-    folded = listed.select(
-        "ids", "counts", "places",
-        F.transform("words", lambda w: let(fold_merges(w, rank), lambda t: F.struct(t.alias("t"), decode(t).alias("d")))).alias("words"),
-        F.transform("long_ids", lambda t: F.struct(t.alias("t"), decode(t).alias("d"))).alias("long_words"))
+    folded = listed.select("ids", "counts", "places", let(rank_tables(ranks), code).alias("c")).select("ids", "counts", "places", "c.words", "c.ready")
 
     def lay_out(batches):
         def parts(column):
@@ -197,8 +232,8 @@ def encode_decode(
         for batch in pieces(batches, 1):
             row = dict(zip(batch.schema.names, batch.columns))
             ids, text = parts(row["words"])
-            long_ids, long_text = parts(row["long_words"])
-            ids, text = ids + long_ids[::-1], text + long_text[::-1]  # place -1 is the first long word
+            ready_ids, ready_text = parts(row["ready"])
+            ids, text = ids + ready_ids[::-1], text + ready_text[::-1]  # place -1 is the first of them
             places = np.frombuffer(row["places"][0].as_py(), np.int32)
             ends = np.cumsum(row["counts"][0].as_py(), dtype=int)
             doc_ids = row["ids"][0].as_py()
