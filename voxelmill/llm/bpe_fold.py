@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.llm.common import id_text, pieces
-from voxelmill.llm.pretokens import compile_pattern
+from voxelmill.llm.pretokens import splitter
 
 ID_BITS = 17
 NO_RANK = (1 << ID_BITS) - 1
@@ -167,7 +167,7 @@ def encode_decode(
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def blocks(batches):
-        find = compile_pattern(pattern).findall
+        find = splitter(pattern)
         pieces_ = shared.value
         byte_ids = np.array([pieces_[bytes([i])] for i in range(256)], np.int16)
 

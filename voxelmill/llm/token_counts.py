@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.llm.common import id_text, pieces
-from voxelmill.llm.pretokens import PretokenEncoder, compile_pattern, encoder_of
+from voxelmill.llm.pretokens import PretokenEncoder, encoder_of, splitter
 
 
 def frequent_pretokens(texts: DataFrame, pattern: str, frequent: int, sample_rows: int) -> list[str]:
@@ -24,7 +24,7 @@ def frequent_pretokens(texts: DataFrame, pattern: str, frequent: int, sample_row
         return []
 
     def split(batches):
-        find = compile_pattern(pattern).findall
+        find = splitter(pattern)
         for batch in pieces(batches, 64):
             words = pa.array([w for t in batch.column(0).to_pylist() for w in find(t) if len(w) <= PretokenEncoder.LONGEST_CACHED], pa.string())
             counts = pc.value_counts(words)
