@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelmill.session import scratch_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,3 +31,10 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def blocks_for(rows: int, rows_per_block: int) -> int:
     """Number of blocks or buckets that keeps each near ``rows_per_block`` rows."""
     return max(1, -(-rows // rows_per_block))
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and continue from the written table."""
+    folder = scratch_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.llm.bpe_fold import encode_decode
 from voxelmill.llm.common import read_table
+from voxelmill.llm.near_dedup import near_duplicates
 from voxelmill.llm.token_counts import token_counts
 from voxelmill.llm.token_records import read_records, write_records
 from voxelmill.llm.url_rules import judge_urls, rule_table
@@ -82,3 +83,8 @@ def op4_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     coded = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_near_dedup")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)

@@ -116,9 +116,9 @@ class Words:
         short = np.flatnonzero((counts > 0) & (counts < n))
         extra = np.empty(len(short), U)
         for i, row in enumerate(short):
-            value = U(SEED) + U(counts[row])
+            value = U(SEED - 1) ^ U(counts[row])
             for h in self.hash[self.first[row] : self.first[row + 1]]:
-                value = mix(np.array([value + h], U))[0]
+                value = mix(np.array([value], U) + h)[0]
             extra[i] = value
         if len(short):
             hashes, rows = np.concatenate([hashes, extra]), np.concatenate([rows, short])
