@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxelmill.llm.bpe_fold import encode_decode
 from voxelmill.llm.common import read_table
 from voxelmill.llm.near_dedup import near_duplicates
+from voxelmill.llm.repeated_spans import repeated_spans
 from voxelmill.llm.token_counts import token_counts
 from voxelmill.llm.token_records import read_records, write_records
 from voxelmill.llm.url_rules import judge_urls, rule_table
@@ -88,3 +89,9 @@ def op4_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_near_dedup")
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query("op3_repeated_spans")
+def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(read_table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
