@@ -13,6 +13,7 @@ from voxelmill.llm.near_dedup import near_duplicates
 from voxelmill.llm.repeated_spans import repeated_spans
 from voxelmill.llm.token_counts import token_counts
 from voxelmill.llm.token_records import read_records, write_records
+from voxelmill.llm.toxicity import toxicity_scores
 from voxelmill.llm.url_rules import judge_urls, rule_table
 from voxelmill.session import scratch_folder
 
@@ -95,3 +96,8 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(read_table(spark, sf_dir, "documents"), length=50)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -67,10 +67,11 @@ class Words:
     """The words of many texts: runs of bytes other than space and 0x09-0x0D, A-Z lower-cased.
 
     ``hash``: a 64-bit value for each word; ``row``: its text; ``start`` and ``end``: its bytes in
-    the joined data; ``first``: for each text the place of its first word, and the end of the last.
+    the joined data; ``first``: for each text the place of its first word, and the end of the last;
+    ``prefixes``: pairs of a length in bytes and the hashes of that much of each word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, letters_only: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, letters_only: bool = False, prefixes: tuple[int, ...] = ()):
         table = byte_values()
         table[65:91] = table[97:123]
         keep = np.ones(256, bool)
@@ -92,9 +93,11 @@ class Words:
             terms = table[data[at]] * powers(int(place.max()) + 1)[place]
             first = np.searchsorted(at, self.start)
             self.hash = mix(np.add.reduceat(terms, first))
+            self.prefixes = [(k, mix(np.add.reduceat(np.where(place < k, terms, U(0)), first) + U(k))) for k in prefixes]
             self.end = np.append(at[first[1:] - 1], at[-1]) + 1
         else:
             self.hash, self.end = np.empty(0, U), np.empty(0, np.int64)
+            self.prefixes = [(k, self.hash) for k in prefixes]
         self.row = np.searchsorted(offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.row, np.arange(rows + 1))
 
