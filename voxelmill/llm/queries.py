@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.llm.bpe_fold import encode_decode
 from voxelmill.llm.common import read_table
+from voxelmill.llm.decontaminate import find_items
 from voxelmill.llm.near_dedup import near_duplicates
 from voxelmill.llm.repeated_spans import repeated_spans
 from voxelmill.llm.token_counts import token_counts
@@ -101,3 +102,8 @@ def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
