@@ -1,9 +1,9 @@
 """Byte-level BPE by folding ranked merges with Spark's higher-order functions.
 
-Tasks cut the texts of their scan partition into blocks and list the distinct words of each block.
-Spark folds the merges over the byte array of every distinct word, with the ranks as a literal, and
-decodes the ids by joining the literal pieces. The same tasks then lay the ids and bytes of the words
-out along the documents. Text is never shuffled; a block holds ``block_bytes`` of text or one text.
+Blocks of texts send their distinct words to hash buckets, where each distinct word of the corpus
+is folded once: Spark merges its array of byte ids by the ranks, which are a literal. The blocks get
+the ids of their words back and lay them out along their texts; decoding joins the binary pieces of
+the ids.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm.common import id_text, pieces
+from voxelmill.llm.blocks import PACKED, RECORD, block_rows, gathered, packed_blocks, record_batch, row_blocks
+from voxelmill.llm.common import blocks_for, id_text, pieces
 from voxelmill.llm.pretokens import splitter
 
 ID_BITS = 17
@@ -67,11 +69,9 @@ def literal(values: list, kind: str) -> Column:
 
 
 def rank_tables(ranks: dict[bytes, int]) -> Column:
-    """The ranks of pairs of ids and the pieces, as one literal. A lookup reads one entry."""
+    """The ranks of pairs of ids as one literal. A lookup reads one entry."""
     factor, shifts, entries = place_keys(pair_ranks(ranks))
-    by_id = {rank: base64.b64encode(piece).decode() for piece, rank in ranks.items()}
-    return F.struct(F.lit(factor).cast("long").alias("factor"), literal(shifts, "array<long>").alias("shifts"), literal(entries, "array<long>").alias("entries"),
-                    literal([by_id.get(i) for i in range(max(by_id) + 1)], "array<binary>").alias("pieces"))
+    return F.struct(F.lit(factor).cast("long").alias("factor"), literal(shifts, "array<long>").alias("shifts"), literal(entries, "array<long>").alias("entries"))
 
 
 def let(value: Column, body) -> Column:
@@ -152,7 +152,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def encode_decode(
     docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text",
-    block_bytes: int = 16 << 20, fold_bytes: int = 256,
+    block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, fold_bytes: int = 256,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row: the ids as little-endian unsigned 32-bit
     integers and the bytes decoded from them.
@@ -163,88 +163,96 @@ def encode_decode(
     than ``fold_bytes`` bytes are merged with a heap in the tasks, as a fold over their arrays would
     take the square of their length; the merges are the same.
     """
+    texts = id_text(docs, id_col, text_col)
     ranks = read_ranks(rank_path)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-
-    def blocks(batches):
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = blocks_for(size, bucket_bytes)
+
+    def split(data: np.ndarray, offsets: np.ndarray, find):
+        """Numbers of the words of each text and the distinct words as bytes, in order of first use."""
+        text, words, places = data.tobytes(), {}, []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            found = find(text[a:b].decode())
+            places.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found)))
+        return places, [w.encode() for w in words]
+
+    def sent(words: list[bytes]) -> dict[int, list[bytes]]:
+        """The words to fold, by bucket: those that are no piece themselves and not too long."""
+        out = defaultdict(list)
+        for w in words:
+            if len(w) <= fold_bytes and w not in shared.value:
+                out[zlib.crc32(w) % buckets].append(w)
+        return out
+
+    def send(batches):
         find = splitter(pattern)
-        pieces_ = shared.value
-        byte_ids = np.array([pieces_[bytes([i])] for i in range(256)], np.int16)
-
-        def block(rows):
-            places, counts, words = [], [], {}
-            for _, text in rows:
-                found = find(text)
-                counts.append(len(found))
-                places.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found)))
-            # Words that are pieces, and words too long to fold, have their ids at once; their places are negative.
-            new, folded, ready = np.empty(len(words), np.int32), [], []
-            for k, w in enumerate(words):
-                w = w.encode()
-                if w in pieces_ or len(w) > fold_bytes:
-                    ready.append(merge_long(w, pieces_))
-                    new[k] = -len(ready)
-                else:
-                    new[k] = len(folded)
-                    folded.append(w)
-            flat = np.concatenate(places)
-            ends = np.concatenate([[0], np.cumsum([len(w) for w in folded], dtype=int)]).astype(np.int32)
-            letters = byte_ids[np.frombuffer(b"".join(folded), np.uint8)]
-            return pa.RecordBatch.from_arrays([
-                pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([new[flat].tobytes()], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, len(folded)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(letters))),
-                pa.array([ready], pa.list_(pa.list_(pa.int32())))], names=["ids", "counts", "places", "words", "ready"])
-
-        rows, size = [], 0
-        for batch in pieces(batches, 64):
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows.append(row)
-                size += len(row[1])
-                if size >= block_bytes:
-                    yield block(rows)
-                    rows, size = [], 0
-        if rows:
-            yield block(rows)
-
-    listed = id_text(docs, id_col, text_col).mapInArrow(blocks, "ids array<long>, counts array<int>, places binary, words array<array<short>>, ready array<array<int>>")
-
-    def code(tables):
-        """The literals are named once, so that the plan holds one copy of them."""
-        def decode(tokens):
-            return F.aggregate(tokens, F.lit(b""), lambda acc, t: F.concat(acc, F.get(tables["pieces"], t)))
-
-        def both(tokens):
-            return F.struct(tokens.alias("t"), decode(tokens).alias("d"))
-
-        return F.struct(F.transform("words", lambda w: let(fold_merges(w, tables), both)).alias("words"),
-                        F.transform("ready", both).alias("ready"))
-
-    folded = listed.select("ids", "counts", "places", let(rank_tables(ranks), code).alias("c")).select("ids", "counts", "places", "c.words", "c.ready")
+        for block, _, offsets, data in row_blocks(batches, block_bytes):
+            rows = [(block, k, pack(np.array([len(w) for w in ws], np.uint16).tobytes() + b"".join(ws), len(ws))) for k, ws in sent(split(data, offsets, find)[1]).items()]
+            if rows:
+                yield record_batch(rows)
+
+    def meet(table):
+        """One row for each bucket: its distinct words, and for each block the places of its words."""
+        words, places = {}, []
+        for p in table["payload"].to_pylist():
+            n, body = unpack(p)
+            ends = (np.cumsum(np.frombuffer(body, np.uint16, n), dtype=np.int64) + 2 * n).tolist()
+            places.append(np.fromiter((words.setdefault(body[a:b], len(words)) for a, b in zip([2 * n, *ends], ends)), np.int32, n).tobytes())
+        byte_ids = np.array([shared.value[bytes([i])] for i in range(256)], np.int16)
+        ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+        letters = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
+        return pa.table([table["bucket"].slice(0, 1), pa.array([table["block"].to_pylist()], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())),
+                         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), letters)], names=["bucket", "blocks", "places", "words"])
+
+    def answer(batches):
+        for batch in pieces(batches, 1):
+            row = dict(zip(batch.schema.names, batch.columns))
+            flat = row["words"].flatten()
+            size = np.diff(flat.offsets.to_numpy())
+            start = np.cumsum(size) - size
+            ids = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            for block, places in zip(row["blocks"][0].as_py(), row["places"][0].as_py()):
+                at = np.frombuffer(places, np.int32)
+                n = size[at]
+                take = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                yield record_batch([(block, row["bucket"][0].as_py(), pack(n.astype(np.uint16).tobytes() + ids[take].tobytes(), len(at)))])
 
     def lay_out(batches):
-        def parts(column):
-            flat = column.flatten()
-            tokens, text = flat.field("t"), flat.field("d")
-            ids = tokens.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            at = tokens.offsets.to_numpy() - tokens.offsets[0].as_py() if len(tokens) else np.zeros(1, int)
-            return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], text.to_pylist()
-
+        find = splitter(pattern)
+        table = shared.value
+        spelled = {rank: piece for piece, rank in table.items()}
         for batch in pieces(batches, 1):
-            row = dict(zip(batch.schema.names, batch.columns))
-            ids, text = parts(row["words"])
-            ready_ids, ready_text = parts(row["ready"])
-            ids, text = ids + ready_ids[::-1], text + ready_text[::-1]  # place -1 is the first of them
-            places = np.frombuffer(row["places"][0].as_py(), np.int32)
-            ends = np.cumsum(row["counts"][0].as_py(), dtype=int)
-            doc_ids = row["ids"][0].as_py()
+            row = batch.to_pylist()[0]
+            doc_ids, data, offsets = block_rows(row)
+            places, words = split(data, offsets, find)
+            answers = {a["bucket"]: unpack(a["payload"]) for a in row["answers"] or []}
+            folded = {}
+            for k, ws in sent(words).items():
+                n, body = answers[k]
+                ids = np.frombuffer(body, np.int32, offset=2 * n).astype("<u4")
+                ends = np.cumsum(np.frombuffer(body, np.uint16, n), dtype=np.int64).tolist()
+                folded.update(zip(ws, (ids[a:b] for a, b in zip([0, *ends], ends))))
+            ids = [folded[w] if w in folded else np.array(merge_long(w, table), "<u4") for w in words]
+            text = [b"".join([spelled[i] for i in t.tolist()]) for t in ids]
+            ids = [t.tobytes() for t in ids]
             for a in range(0, len(doc_ids), 256):
-                out_ids, out_text = [], []
-                for k in range(a, min(a + 256, len(doc_ids))):
-                    words = places[ends[k - 1] if k else 0 : ends[k]].tolist()
-                    out_ids.append(b"".join([ids[w] for w in words]))
-                    out_text.append(b"".join([text[w] for w in words]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids[a : a + 256], pa.int64()), pa.array([len(x) // 4 for x in out_ids], pa.int64()), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.binary())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"])
-
-    return folded.mapInArrow(lay_out, "doc_id long, n_tokens long, ids binary, decoded binary")
+                order = [p.tolist() for p in places[a : a + 256]]
+                out_ids = [b"".join([ids[w] for w in p]) for p in order]
+                yield pa.RecordBatch.from_arrays([
+                    doc_ids.slice(a, 256), pa.array([len(x) // 4 for x in out_ids], pa.int64()), pa.array(out_ids, pa.binary()),
+                    pa.array([b"".join([text[w] for w in p]) for p in order], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    met = texts.mapInArrow(send, RECORD).groupBy("bucket").applyInArrow(meet, "bucket long, blocks array<long>, places array<binary>, words array<array<short>>")
+    folded = met.select("bucket", "blocks", "places", let(rank_tables(ranks), lambda tables: F.transform("words", lambda w: fold_merges(w, tables))).alias("words"))
+    packed = texts.mapInArrow(lambda batches: packed_blocks(batches, block_bytes), PACKED)
+    return packed.join(gathered(folded.mapInArrow(answer, RECORD), "answers"), "block", "left").mapInArrow(lay_out, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def pack(body: bytes, n: int) -> bytes:
+    return np.array([n, len(body)], np.uint32).tobytes() + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpack(payload: bytes) -> tuple[int, bytes]:
+    n, size = (int(x) for x in np.frombuffer(payload, np.uint32, 2))
+    return n, pa.decompress(payload[8:], size, "zstd", asbytes=True)

@@ -12,21 +12,18 @@ back for each; equal entries of a block are sent once. A block is known by a has
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.llm.anchors import gram_hashes, window_groups
+from voxelmill.llm.blocks import PACKED, RECORD, block_rows, by_bucket, gathered, packed_blocks, record_batch, row_blocks
 from voxelmill.llm.common import blocks_for, id_text
-from voxelmill.llm.wordhash import U, byte_chunks, bytes_of, mix
-
-RECORD = "block long, bucket long, payload binary"
-RECORD_TYPE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("payload", pa.binary())])
-
+from voxelmill.llm.wordhash import U, mix
 
 class Block:
     """Texts of consecutive rows and their runs of strings."""
@@ -76,14 +73,6 @@ class Block:
         return self.bucket[runs][first], start[first], count[first], self.doc[runs][first], runs, place
 
 
-def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(bucket, from, to) of a sorted array."""
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(bucket)]):
-        if b > a:
-            yield int(bucket[a]), int(a), int(b)
-
-
 def bits(payloads: list[dict] | None, bucket: np.ndarray) -> np.ndarray:
     """The answers of the buckets in the order of the entries sent."""
     out = np.zeros(len(bucket), bool)
@@ -93,19 +82,15 @@ def bits(payloads: list[dict] | None, bucket: np.ndarray) -> np.ndarray:
     return out
 
 
-def record_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(RECORD_TYPE)], schema=RECORD_TYPE)
-
-
 def repeated_spans(
     docs: DataFrame, *, length: int = 50, gram: int = 24, id_col: str = "doc_id", text_col: str = "text",
     block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, span_starts, span_stops, kept) of every row.
+    """(doc_id, n_bytes, n_removed, span_starts, span_stops, text_sha, kept) of every row.
 
     A byte is removed when a string of ``length`` bytes that covers it also starts in a document
     with a smaller id; strings are judged on the input and never cross documents. ``kept`` has the
-    other bytes, the arrays the maximal removed runs. Null and empty texts have no bytes. Rows
+    other bytes, the arrays the maximal removed runs, ``text_sha`` the SHA-256 of the whole text. Null and empty texts have no bytes. Rows
     without an id neither remove nor lose bytes; rows of one id remove nothing from each other. An
     empty table gives no rows; other columns are ignored.
     """
@@ -113,16 +98,8 @@ def repeated_spans(
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = blocks_for(size, bucket_bytes)
 
-    def blocks(batches):
-        """(block, ids, ends, data) of runs of rows of about ``block_bytes``."""
-        for part in byte_chunks(batches, block_bytes):
-            data, offsets = bytes_of(part.column(1))
-            ids = part.column(0)
-            seed = xxhash.xxh3_64_intdigest(np.asarray(ids.fill_null(-1)).tobytes() + offsets.tobytes())
-            yield xxhash.xxh3_64_intdigest(data, seed=seed) >> 1, ids, offsets, data
-
     def send_names(batches):
-        for block, ids, offsets, data in blocks(batches):
+        for block, ids, offsets, data in row_blocks(batches, block_bytes):
             bucket, name, several, _ = Block(ids, data, offsets, length, gram, buckets).names()
             short = np.ascontiguousarray(name).view(np.uint16).reshape(-1, 4)[:, :3]  # 48 bits
             rows = [(block, k, np.uint32(b - a).tobytes() + short[a:b].tobytes() + np.packbits(several[a:b]).tobytes()) for k, a, b in by_bucket(bucket)]
@@ -150,15 +127,10 @@ def repeated_spans(
         return pa.Table.from_batches([record_batch(rows)])
 
     def pack(batches):
-        for block, ids, offsets, data in blocks(batches):
-            yield pa.RecordBatch.from_arrays([
-                pa.array([block], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([offsets.tolist()], pa.list_(pa.int64())),
-                pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "ids", "ends", "data"])
+        yield from packed_blocks(batches, block_bytes)
 
     def unpack(row) -> Block:
-        offsets = np.array(row["ends"], np.int64)
-        data = np.frombuffer(pa.decompress(row["data"], int(offsets[-1]), "zstd", asbytes=True) if offsets[-1] else b"", np.uint8)
-        return Block(pa.array(row["ids"], pa.int64()), data, offsets, length, gram, buckets)
+        return Block(*block_rows(row), length, gram, buckets)
 
     def rows_of(batches):
         for batch in batches:
@@ -242,14 +214,44 @@ def repeated_spans(
             left = np.diff(before[a : b + 1])
             yield pa.RecordBatch.from_arrays([
                 block.ids.slice(a, b - a), pa.array(size), pa.array(size - left), *lists,
+                pa.array([hashlib.sha256(block.data[i:j]).hexdigest() for i, j in zip(offsets[a:b], offsets[a + 1 : b + 1])], pa.string()),
                 pa.array([kept[i:j] for i, j in zip(before[a:b], before[a + 1 : b + 1])], pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "span_starts", "span_stops", "kept"])
-
-    def gathered(replies, name):
-        return replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias(name))
+                names=["doc_id", "n_bytes", "n_removed", "span_starts", "span_stops", "text_sha", "kept"])
 
     live = gathered(texts.mapInArrow(send_names, RECORD).groupBy("bucket").applyInArrow(compare_names, RECORD), "live")
-    packed = texts.mapInArrow(pack, "block long, ids array<long>, ends array<long>, data binary").join(live, "block", "left")
+    packed = texts.mapInArrow(pack, PACKED).join(live, "block", "left")
     earlier = gathered(packed.mapInArrow(send_regions, RECORD).groupBy("bucket").applyInArrow(compare_regions, RECORD), "earlier")
-    schema = "doc_id long, n_bytes long, n_removed long, span_starts array<long>, span_stops array<long>, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, span_starts array<long>, span_stops array<long>, text_sha string, kept binary"
     return packed.join(earlier, "block", "left").mapInArrow(remove, schema)
+
+
+def cut_spans(text: bytes, starts: list[int], stops: list[int]) -> str:
+    """The text without the spans. A character that a span covers in part stays whole."""
+    out, at = [], 0
+    for a, b in zip(starts, stops):
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(text[at:a])
+        at = b
+    return b"".join([*out, text[at:]]).decode()
+
+
+def without_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with the found spans cut out of the text, and ``size_col`` (if the table has it) set
+    to the new length. Rows without a span stay as they are; a text may become empty. Rows that
+    share an id are told apart by their bytes, so each loses only its own spans."""
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    marked = spans.filter(F.size("span_starts") > 0).select(F.col("doc_id").alias("_id"), F.col("text_sha").alias("_sha"), F.col("span_starts").alias("_starts"), F.col("span_stops").alias("_stops")).dropDuplicates(["_id", "_sha"])
+    joined = docs.withColumn("_text_sha", digest).join(marked, (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        return pd.Series([t if a is None else cut_spans((t or "").encode(), list(a), list(b)) for t, a, b in zip(text, starts, stops)], dtype=object)
+
+    text = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(cut(text_col, "_starts", "_stops"))
+    out = joined.withColumn(text_col, text)
+    if size_col and size_col in docs.columns:
+        out = out.withColumn(size_col, F.when(F.col("_starts").isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
+    return out.select(*docs.columns)
