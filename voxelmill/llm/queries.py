@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxelmill.llm.bpe_fold import encode_decode
 from voxelmill.llm.common import read_table
 from voxelmill.llm.decontaminate import find_items
+from voxelmill.llm.lm_scores import lm_scores
 from voxelmill.llm.near_dedup import near_duplicates
 from voxelmill.llm.repeated_spans import repeated_spans
 from voxelmill.llm.token_counts import token_counts
@@ -107,3 +108,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_decontamination")
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_lm_scores")
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read_table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_scores(read_table(spark, sf_dir, "documents"), good)

@@ -84,7 +84,7 @@ def bits(payloads: list[dict] | None, bucket: np.ndarray) -> np.ndarray:
 
 def repeated_spans(
     docs: DataFrame, *, length: int = 50, gram: int = 24, id_col: str = "doc_id", text_col: str = "text",
-    block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20,
+    block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, span_starts, span_stops, text_sha, kept) of every row.
 
