@@ -13,6 +13,7 @@ import heapq
 import json
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +153,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def encode_decode(
     docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text",
-    block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, fold_bytes: int = 256,
+    block_bytes: int = 3 << 20, bucket_bytes: int = 3 << 20, fold_bytes: int = 256,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row: the ids as little-endian unsigned 32-bit
     integers and the bytes decoded from them.
@@ -170,12 +171,13 @@ def encode_decode(
     buckets = blocks_for(size, bucket_bytes)
 
     def split(data: np.ndarray, offsets: np.ndarray, find):
-        """Numbers of the words of each text and the distinct words as bytes, in order of first use."""
-        text, words, places = data.tobytes(), {}, []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            found = find(text[a:b].decode())
-            places.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found)))
-        return places, [w.encode() for w in words]
+        """The words of each text."""
+        text = data.tobytes()
+        return [find(text[a:b].decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+    def distinct(found: list[list[str]]) -> list[str]:
+        """The distinct words in order of first use."""
+        return list(dict.fromkeys(chain.from_iterable(found)))
 
     def sent(words: list[bytes]) -> dict[int, list[bytes]]:
         """The words to fold, by bucket: those that are no piece themselves and not too long."""
@@ -188,7 +190,7 @@ def encode_decode(
     def send(batches):
         find = splitter(pattern)
         for block, _, offsets, data in row_blocks(batches, block_bytes):
-            rows = [(block, k, pack(np.array([len(w) for w in ws], np.uint16).tobytes() + b"".join(ws), len(ws))) for k, ws in sent(split(data, offsets, find)[1]).items()]
+            rows = [(block, k, pack(np.array([len(w) for w in ws], np.uint16).tobytes() + b"".join(ws), len(ws))) for k, ws in sent([w.encode() for w in distinct(split(data, offsets, find))]).items()]
             if rows:
                 yield record_batch(rows)
 
@@ -211,7 +213,7 @@ def encode_decode(
             flat = row["words"].flatten()
             size = np.diff(flat.offsets.to_numpy())
             start = np.cumsum(size) - size
-            ids = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            ids = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             for block, places in zip(row["blocks"][0].as_py(), row["places"][0].as_py()):
                 at = np.frombuffer(places, np.int32)
                 n = size[at]
@@ -225,23 +227,24 @@ def encode_decode(
         for batch in pieces(batches, 1):
             row = batch.to_pylist()[0]
             doc_ids, data, offsets = block_rows(row)
-            places, words = split(data, offsets, find)
+            found = split(data, offsets, find)
+            spellings = distinct(found)
+            words = [w.encode() for w in spellings]
             answers = {a["bucket"]: unpack(a["payload"]) for a in row["answers"] or []}
             folded = {}
             for k, ws in sent(words).items():
-                n, body = answers[k]
-                ids = np.frombuffer(body, np.int32, offset=2 * n).astype("<u4")
-                ends = np.cumsum(np.frombuffer(body, np.uint16, n), dtype=np.int64).tolist()
-                folded.update(zip(ws, (ids[a:b] for a, b in zip([0, *ends], ends))))
-            ids = [folded[w] if w in folded else np.array(merge_long(w, table), "<u4") for w in words]
-            text = [b"".join([spelled[i] for i in t.tolist()]) for t in ids]
-            ids = [t.tobytes() for t in ids]
+                n, body = answers.pop(k)
+                ends = (4 * np.cumsum(np.frombuffer(body, np.uint16, n), dtype=np.int64) + 2 * n).tolist()
+                folded.update(zip(ws, (body[a:b] for a, b in zip([2 * n, *ends], ends))))
+            ids = [folded[w] if w in folded else np.array(merge_long(w, table), "<u4").tobytes() for w in words]
+            text = dict(zip(spellings, (b"".join([spelled[i] for i in np.frombuffer(t, "<u4").tolist()]) for t in ids)))
+            ids = dict(zip(spellings, ids))
+            del folded, words
             for a in range(0, len(doc_ids), 256):
-                order = [p.tolist() for p in places[a : a + 256]]
-                out_ids = [b"".join([ids[w] for w in p]) for p in order]
+                out_ids = [b"".join([ids[w] for w in ws]) for ws in found[a : a + 256]]
                 yield pa.RecordBatch.from_arrays([
                     doc_ids.slice(a, 256), pa.array([len(x) // 4 for x in out_ids], pa.int64()), pa.array(out_ids, pa.binary()),
-                    pa.array([b"".join([text[w] for w in p]) for p in order], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                    pa.array([b"".join([text[w] for w in ws]) for ws in found[a : a + 256]], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     met = texts.mapInArrow(send, RECORD).groupBy("bucket").applyInArrow(meet, "bucket long, blocks array<long>, places array<binary>, words array<array<short>>")
     folded = met.select("bucket", "blocks", "places", let(rank_tables(ranks), lambda tables: F.transform("words", lambda w: fold_merges(w, tables))).alias("words"))
