@@ -74,7 +74,7 @@ class Grams:
 
 def lm_scores(
     docs: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    weight: float = 10.0, floor: float = 0.5, block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20,
+    weight: float = 10.0, floor: float = 0.5, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20,
 ) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row.
 
