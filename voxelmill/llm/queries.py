@@ -12,6 +12,7 @@ from voxelmill.llm.common import read_table
 from voxelmill.llm.decontaminate import find_items
 from voxelmill.llm.lm_scores import lm_scores
 from voxelmill.llm.near_dedup import near_duplicates
+from voxelmill.llm.nearest_vectors import nearest_vectors
 from voxelmill.llm.repeated_spans import repeated_spans
 from voxelmill.llm.token_counts import token_counts
 from voxelmill.llm.token_records import read_records, write_records
@@ -114,3 +115,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = read_table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return lm_scores(read_table(spark, sf_dir, "documents"), good)
+
+
+@query("op8_nearest_vectors")
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(read_table(spark, sf_dir, "embeddings"))
