@@ -11,19 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm.bpe_fold import encode_decode
-from voxelmill.llm.common import materialize, read_table
+from voxelmill.llm.common import drop_listed, materialize, read_table
 from voxelmill.llm.decontaminate import find_items, without_items
 from voxelmill.llm.near_dedup import near_duplicates
 from voxelmill.llm.repeated_spans import repeated_spans, without_spans
 from voxelmill.llm.toxicity import toxicity_scores
 
 
-def drop_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in the one column of ``ids``; rows without id stay."""
-    listed = ids.toDF("_listed").distinct()
-    return docs.join(listed, F.col("doc_id") == F.col("_listed"), "left_anti")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     scored = toxicity_scores(docs, read_table(spark, sf_dir, "labels"))

@@ -38,3 +38,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     folder = scratch_folder(df.sparkSession, label)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def drop_listed(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``; rows without id stay."""
+    (listed,) = fresh(docs, "listed")
+    return docs.join(ids.toDF(listed).distinct(), F.col(id_col).cast("long") == F.col(listed), "left_anti")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelmill.llm.common import id_text, materialize
+from voxelmill.llm.common import drop_listed, id_text, materialize
 from voxelmill.llm.wordhash import U, Words, byte_chunks, bytes_of
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -198,5 +198,4 @@ def offsets_start(part: pa.RecordBatch, row: int) -> int:
 
 def without_items(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    hit = found.select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col).cast("long") == F.col("_hit"), "left_anti")
+    return drop_listed(docs, found.select("doc_id"), id_col)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.llm.anchors import gram_hashes, window_groups
 from voxelmill.llm.blocks import PACKED, RECORD, block_rows, by_bucket, gathered, packed_blocks, record_batch, row_blocks
-from voxelmill.llm.common import blocks_for, id_text
+from voxelmill.llm.common import blocks_for, fresh, id_text
 from voxelmill.llm.wordhash import U, mix
 
 class Block:
@@ -242,16 +242,17 @@ def without_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id",
     """``docs`` with the found spans cut out of the text, and ``size_col`` (if the table has it) set
     to the new length. Rows without a span stay as they are; a text may become empty. Rows that
     share an id are told apart by their bytes, so each loses only its own spans."""
+    doc, sha, mine, begins, ends = fresh(docs, "doc", "sha", "mine", "begins", "ends")
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    marked = spans.filter(F.size("span_starts") > 0).select(F.col("doc_id").alias("_id"), F.col("text_sha").alias("_sha"), F.col("span_starts").alias("_starts"), F.col("span_stops").alias("_stops")).dropDuplicates(["_id", "_sha"])
-    joined = docs.withColumn("_text_sha", digest).join(marked, (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left")
+    marked = spans.filter(F.size("span_starts") > 0).select("doc_id", "text_sha", "span_starts", "span_stops").toDF(doc, sha, begins, ends).dropDuplicates([doc, sha])
+    joined = docs.withColumn(mine, digest).join(marked, (F.col(id_col).cast("long") == F.col(doc)) & (F.col(mine) == F.col(sha)), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
         return pd.Series([t if a is None else cut_spans((t or "").encode(), list(a), list(b)) for t, a, b in zip(text, starts, stops)], dtype=object)
 
-    text = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(cut(text_col, "_starts", "_stops"))
+    text = F.when(F.col(begins).isNull(), F.col(text_col)).otherwise(cut(text_col, begins, ends))
     out = joined.withColumn(text_col, text)
     if size_col and size_col in docs.columns:
-        out = out.withColumn(size_col, F.when(F.col("_starts").isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
+        out = out.withColumn(size_col, F.when(F.col(begins).isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
     return out.select(*docs.columns)
