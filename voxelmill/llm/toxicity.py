@@ -68,7 +68,8 @@ class BlockMaxIndex:
     """Exact nearest examples by cosine. ``weights``: a row of unit length for each example."""
 
     def __init__(self, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray):
-        order = np.lexsort((ids, weights.max(1, initial=0), weights.argmax(1)))  # like examples share blocks
+        top = weights.argmax(1) if weights.size else np.zeros(len(ids), np.int64)
+        order = np.lexsort((ids, weights.max(1, initial=0), top))  # like examples share blocks
         self.weights, self.ids, self.labels = weights[order], ids[order], labels[order]
         starts = np.arange(0, len(ids), BLOCK)
         self.most = np.maximum.reduceat(self.weights, starts, axis=0) if len(ids) else np.zeros((0, weights.shape[1]))
@@ -123,7 +124,7 @@ def logit(p):
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = 8_000, max_terms: int = 4_096, least_chi2: float = 60.0, least_share: float = 0.02, neighbours: int = 15,
+    max_examples: int = 8_000, max_terms: int = 4_096, least_chi2: float = 30.0, least_share: float = 0.02, neighbours: int = 15,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row.
 
