@@ -30,7 +30,7 @@ class Grams:
     single tokens in it.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, buckets: int, size: int = 1 << 20):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, buckets: int, size: int = 1 << 18):
         hashes, rows, at = [np.empty(0, U)], [np.empty(0, np.int64)], 0
         while at < len(offsets) - 1:  # in pieces, as the arrays of letters are large
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)

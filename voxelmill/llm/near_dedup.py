@@ -139,7 +139,7 @@ def similar(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int) -> tu
     return np.nonzero(found)
 
 
-def verified_edges(docs: DataFrame, families: DataFrame, size: int, percent: int, tile_shingles: int = 200_000, tile_sets: int = 1024) -> DataFrame:
+def verified_edges(docs: DataFrame, families: DataFrame, size: int, percent: int, tile_shingles: int = 200_000, tile_sets: int = 512) -> DataFrame:
     """Edges (a, b) that connect exactly the sets of each family that verified links connect.
 
     ``families``: (node, family, n_shingles). A family is cut into tiles; every pair of its tiles is

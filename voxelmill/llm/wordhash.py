@@ -30,7 +30,7 @@ def powers(n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def byte_chunks(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def byte_chunks(batches: Iterable[pa.RecordBatch], size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose second column holds about ``size`` bytes, or one row."""
     for batch in batches:
         if not batch.num_rows:
