@@ -151,11 +151,13 @@ def test_optimal_assignment_against_all_permutations():
         assert len(set(got)) == 4
 
 
-def test_assignment_fails_loudly_above_the_bound(spark):
-    pdf = random_dets(30, 1, 4).rename(columns={"det_id": "pred_id"})
-    gt = pdf.head(3).rename(columns={"pred_id": "gt_id"})
-    with pytest.raises(Exception, match="proposal bound"):
-        mt.hungarian_assign(spark.createDataFrame(pdf), spark.createDataFrame(gt), (20.0, 20.0), max_proposals=10).collect()
+def test_assignment_of_a_large_frame_is_optimal(spark):
+    """More predictions than a strip holds, and every truth box gets its own copy."""
+    pdf = random_dets(700, 1, 4).rename(columns={"det_id": "pred_id"})
+    gt = pdf.iloc[::9].rename(columns={"pred_id": "gt_id"})
+    out = mt.hungarian_assign(spark.createDataFrame(pdf), spark.createDataFrame(gt), (20.0, 20.0)).toPandas()
+    taken = out[out.gt_id >= 0]
+    assert len(out) == 700 and len(taken) == len(gt) and taken.gt_id.is_unique
 
 
 def _boxes(spark, n=80, seed=9, frames=4, spread=60.0):

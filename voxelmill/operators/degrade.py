@@ -25,41 +25,41 @@ c = F.col
 
 # Augmentation -----------------------------------------------------------------------------
 
-def augmentation_parameters(frames: DataFrame, seed: int, turn: Sequence[float], scale: Sequence[float],
+def augmentation_parameters(rows: DataFrame, seed: int, turn: Sequence[float], scale: Sequence[float],
                             shift: float, epoch: int = 0) -> DataFrame:
-    """One random turn, scale and shift per frame."""
+    """The random turn, scale and shift of each row's frame. They depend on seed, epoch and
+    frame alone, so points and boxes compute them row by row and nothing is joined."""
     s = seed + 1000 * epoch
-    return frames.withColumns({
+    return rows.withColumns({
         "theta": F.lit(turn[0]) + (turn[1] - turn[0]) * uniform(s, "frame_id"),
         "factor": F.lit(scale[0]) + (scale[1] - scale[0]) * uniform(s + 1, "frame_id"),
         **{f"t{k}": normal(s + 2 + i, "frame_id") * shift for i, k in enumerate("xyz")}})
 
 
-def rot_scale_trans_points(points: DataFrame, params: DataFrame) -> DataFrame:
-    """Turn by -theta, shift, then scale (boxes turn by +theta, which is the same motion)."""
-    rows = points.join(params, "frame_id")
+def rot_scale_trans_points(rows: DataFrame) -> DataFrame:
+    """Turn points with parameters by -theta, shift, then scale (boxes turn by +theta, which is
+    the same motion)."""
     x, y = bx.rotate_points(c("x"), c("y"), -c("theta"))
     return rows.withColumns({"x": (x + c("tx")) * c("factor"), "y": (y + c("ty")) * c("factor"),
                              "z": (c("z") + c("tz")) * c("factor")})
 
 
-def rot_scale_trans_boxes(boxes: DataFrame, params: DataFrame) -> DataFrame:
-    rows = boxes.join(params, "frame_id")
+def rot_scale_trans_boxes(rows: DataFrame) -> DataFrame:
     moved = bx.scale(bx.translate(bx.rotate(bx.box(velocity=True), c("theta")), c("tx"), c("ty"), c("tz")), c("factor"))
     return rows.withColumns({n: getattr(moved, n) for n in ("x", "y", "z", "dx", "dy", "dz", "yaw", "vx", "vy")})
 
 
-def flip_parameters(frames: DataFrame, seed: int) -> DataFrame:
-    return frames.withColumns({"flip_h": draw(seed, "frame_id") % 2 == 1, "flip_v": draw(seed + 1, "frame_id") % 2 == 1})
+def flip_parameters(rows: DataFrame, seed: int) -> DataFrame:
+    """Whether each row's frame is flipped, from seed and frame alone."""
+    return rows.withColumns({"flip_h": draw(seed, "frame_id") % 2 == 1, "flip_v": draw(seed + 1, "frame_id") % 2 == 1})
 
 
-def random_flip_points(points: DataFrame, flips: DataFrame) -> DataFrame:
-    return points.join(flips, "frame_id").withColumns({
+def random_flip_points(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
         "y": F.when(c("flip_h"), -c("y")).otherwise(c("y")), "x": F.when(c("flip_v"), -c("x")).otherwise(c("x"))})
 
 
-def random_flip_boxes(boxes: DataFrame, flips: DataFrame) -> DataFrame:
-    rows = boxes.join(flips, "frame_id")
+def random_flip_boxes(rows: DataFrame) -> DataFrame:
     for flag, direction in (("flip_h", "horizontal"), ("flip_v", "vertical")):
         f = bx.flip(bx.box(velocity=True), direction)
         rows = rows.withColumns({n: F.when(c(flag), getattr(f, n)).otherwise(c(n)) for n in ("x", "y", "yaw", "vx", "vy")})

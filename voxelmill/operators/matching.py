@@ -62,42 +62,37 @@ def optimal_assignment(cost: np.ndarray) -> np.ndarray:
     return col_of
 
 
-def _bounded(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """Fail loudly when a frame has more rows than the model can propose."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    checked = counts.withColumn("_ok", F.when(c("_n") <= bound, True).otherwise(F.raise_error(
-        F.format_string("frame %s has %d boxes, more than the proposal bound", c(key).cast("string"), c("_n"))).cast("boolean")))
-    return df.join(checked.where("_ok").select(key), key)
-
-
 def hungarian_assign(predictions: DataFrame, truth: DataFrame, extent: Sequence[float],
-                     weights: Sequence[float] = (0.15, 0.25, 0.25), max_proposals: int = 2000) -> DataFrame:
+                     weights: Sequence[float] = (0.15, 0.25, 0.25)) -> DataFrame:
     """Optimal prediction-to-truth assignment per frame; unmatched predictions get gt_id -1.
 
-    Cost = weighted class cost + scaled ground L1 + (negative) 3D IoU. The number of
-    proposals per frame is a fixed model parameter, so each frame is a bounded group; a
-    larger frame is an error, never a silent cut. Frames run in parallel.
+    Cost = weighted class cost + scaled ground L1 + (negative) 3D IoU. An optimal assignment
+    needs all costs of a frame at once, so a frame is one group whatever its size; costs
+    are computed in strips of predictions. Frames run in parallel.
     """
     w_cls, w_l1, w_iou = weights
     ex, ey = extent
 
+    def costs(pred: pd.DataFrame, gt: pd.DataFrame) -> np.ndarray:
+        p = {k: pred[k].to_numpy()[:, None] for k in (*"xyz", "dx", "dy", "dz", "yaw", "name", "score")}
+        g = {k: gt[k].to_numpy()[None, :] for k in (*"xyz", "dx", "dy", "dz", "yaw", "name")}
+        shape = (len(pred), len(gt))
+        flat = [np.broadcast_to(side[k].astype(float), shape).ravel() for side in (p, g) for k in ("x", "y", "dx", "dy", "yaw")]
+        area = overlap_area(*flat).reshape(shape)
+        high = np.maximum(np.minimum(p["z"] + p["dz"], g["z"] + g["dz"]) - np.maximum(p["z"], g["z"]), 0.0)
+        inter = area * high
+        iou = inter / np.maximum(p["dx"] * p["dy"] * p["dz"] + g["dx"] * g["dy"] * g["dz"] - inter, 1e-8)
+        cls = -np.where(p["name"] == g["name"], p["score"], (1 - p["score"]) / 5).astype(float)
+        l1 = np.abs(p["x"] - g["x"]) / ex + np.abs(p["y"] - g["y"]) / ey
+        return w_cls * cls + w_l1 * l1 - w_iou * iou
+
     def per_frame(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pred = left.sort_values("pred_id").reset_index(drop=True)
         gt = right.sort_values("gt_id").reset_index(drop=True)
         out = pd.DataFrame({"frame_id": pred.frame_id, "pred_id": pred.pred_id, "gt_id": -1, "cost": np.nan})
         if len(gt) == 0 or len(pred) == 0:
             return out
-        i, j = np.meshgrid(np.arange(len(pred)), np.arange(len(gt)), indexing="ij")
-        i, j = i.ravel(), j.ravel()
-        p, g = pred.iloc[i].reset_index(drop=True), gt.iloc[j].reset_index(drop=True)
-        cols = ["x", "y", "dx", "dy", "yaw"]
-        area = overlap_area(*[p[k].to_numpy(float) for k in cols], *[g[k].to_numpy(float) for k in cols])
-        high = np.maximum(np.minimum(p.z + p.dz, g.z + g.dz) - np.maximum(p.z, g.z), 0.0).to_numpy()
-        inter = area * high
-        iou = inter / np.maximum((p.dx * p.dy * p.dz + g.dx * g.dy * g.dz).to_numpy() - inter, 1e-8)
-        cls = -np.where(p.name == g.name, p.score, (1 - p.score) / 5).astype(float)
-        l1 = (np.abs(p.x - g.x) / ex + np.abs(p.y - g.y) / ey).to_numpy()
-        cost = (w_cls * cls + w_l1 * l1 - w_iou * iou).reshape(len(pred), len(gt))
+        cost = np.concatenate([costs(pred.iloc[k : k + 256], gt) for k in range(0, len(pred), 256)])
         if len(pred) >= len(gt):
             chosen = optimal_assignment(cost.T)
             rows, cols_ = chosen, np.arange(len(gt))
@@ -108,8 +103,7 @@ def hungarian_assign(predictions: DataFrame, truth: DataFrame, extent: Sequence[
         return out
 
     need = ["frame_id", "x", "y", "z", "dx", "dy", "dz", "yaw", "name"]
-    left = _bounded(predictions.select("pred_id", "score", *need), "frame_id", max_proposals)
-    right = _bounded(truth.select("gt_id", *need), "frame_id", max_proposals)
+    left, right = predictions.select("pred_id", "score", *need), truth.select("gt_id", *need)
     return (left.groupBy("frame_id").cogroup(right.groupBy("frame_id"))
             .applyInPandas(per_frame, "frame_id bigint, pred_id bigint, gt_id bigint, cost double"))
 

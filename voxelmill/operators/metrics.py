@@ -53,16 +53,16 @@ def quality_warnings(stats: DataFrame, cells_per_frame: int, split: Column, clas
         (F.sum("observed_sum") / (F.count("*") * F.lit(float(cells_per_frame)))).alias("coverage"))
     empty = totals.select("split", F.explode(F.array(*[
         F.when(c(f"class_{k}") == 0, F.lit(f"class {k}")) for k in range(classes)])).alias("subject")) \
-        .where(c("subject").isNotNull()).withColumn("warning", F.lit("zero class total"))
+        .where(c("subject").isNotNull()).withColumn("warning", F.lit("class never occurs"))
     low = totals.where(c("coverage") < 0.01).select(
-        "split", F.lit("coverage").alias("subject"), F.lit("observed coverage is below 1%").alias("warning"))
+        "split", F.lit("coverage").alias("subject"), F.lit("less than one cell in a hundred is observed").alias("warning"))
     median = exact_quantiles(rows, ["split"], "point_count", [0.5], ["median"])
     far = F.when(c("median") == 0, c("point_count") > 0).otherwise(
         (c("point_count") < c("median") / 5) | (c("point_count") > c("median") * 5))
     subject = F.concat(F.lit("frame "), c("frame_id").cast("string")).alias("subject")
     outlier = rows.join(median, "split").where(far).select(
         "split", subject, F.lit("point count outside five times the median").alias("warning"))
-    bright = rows.where(c("bad_intensity") > 0).select("split", subject, F.lit("intensity outside [0,1]").alias("warning"))
+    bright = rows.where(c("bad_intensity") > 0).select("split", subject, F.lit("intensity not between 0 and 1").alias("warning"))
     return empty.unionByName(low).unionByName(outlier).unionByName(bright)
 
 
@@ -248,7 +248,7 @@ def fit_floor_plane(points: DataFrame, rounds: int = 6, low: float = 0.015, high
     pts = cut_lineage(points.select("x", "y", "z"))
     total = pts.count()
     if total < need:
-        raise RuntimeError(f"only {total} floor points, {need} are required")
+        raise RuntimeError(f"the floor fit needs {need} points, the table has {total}")
     inlier: Column = F.lit(True)
     coef, kept = np.zeros(3), total
     for _ in range(rounds):
@@ -267,7 +267,7 @@ def fit_floor_plane(points: DataFrame, rounds: int = 6, low: float = 0.015, high
         check = pts.agg(F.sum(updated.cast("bigint")).alias("n"),
                         F.sum((updated != inlier).cast("bigint")).alias("changed")).first()
         if check.n < need:
-            raise RuntimeError("robust floor fit rejected too many points")
+            raise RuntimeError("too few points lie near the floor plane")
         if check.changed == 0:
             break
         inlier, kept = updated, check.n

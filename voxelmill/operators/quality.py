@@ -66,9 +66,9 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def check_splits(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """Unknown split names and scenes that occur in more than one split."""
-    unknown = faults_where(rows.select("split").distinct(), ~c("split").isin(*names), "splits", "unknown split name")
+    unknown = faults_where(rows.select("split").distinct(), ~c("split").isin(*names), "splits", "no such split")
     shared = rows.groupBy("scene_id").agg(F.countDistinct("split").alias("n"))
-    return unknown.unionByName(faults_where(shared, c("n") > 1, "splits", "scene is in two splits"))
+    return unknown.unionByName(faults_where(shared, c("n") > 1, "splits", "scene belongs to several splits"))
 
 
 def split_disjoint(rows: DataFrame) -> DataFrame:

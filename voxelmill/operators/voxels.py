@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from voxelmill.skew import with_row_number
 
 c = F.col
 CELL = ["frame_id", "cx", "cy", "cz"]
@@ -68,23 +69,21 @@ def hard_voxelize(points: DataFrame, g: VoxelGrid, max_points: int, max_voxels:
     cells = inside_voxels(points, g)
     opened = cells.groupBy(*CELL).agg(F.min("point_id").alias("first_point"))
     by_arrival = Window.partitionBy("frame_id").orderBy("first_point")
-    opened = (opened.withColumn("voxel_id", F.row_number().over(by_arrival).cast("bigint") - 1)
-              .where(c("voxel_id") < max_voxels).drop("first_point"))
+    # The filter is on the bare row number, so that Spark cuts each frame inside the input tasks.
+    opened = (opened.withColumn("_rn", F.row_number().over(by_arrival)).where(c("_rn") <= max_voxels)
+              .withColumn("voxel_id", c("_rn").cast("bigint") - 1).drop("first_point", "_rn"))
     in_voxel = Window.partitionBy(*CELL).orderBy("point_id")
     kept = (cells.withColumn("slot", F.row_number().over(in_voxel)).where(c("slot") <= max_points)
             .withColumn("slot", c("slot").cast("bigint") - 1))
     return kept.join(opened, CELL)
 
 
-def voxel_arrival_rank(points: DataFrame, g: VoxelGrid, grid_bound: int) -> DataFrame:
-    """Rank of each voxel in its frame by first point. A frame has at most as many rows as
-    the grid has cells (``grid_bound``), which bounds the window."""
-    if grid_bound < g.shape[0] * g.shape[1] * g.shape[2]:
-        raise ValueError("grid has more cells than the stated bound")
+def voxel_arrival_rank(points: DataFrame, g: VoxelGrid, points_per_slice: int = 1 << 20) -> DataFrame:
+    """Rank of each voxel in its frame by first point, in slices of the point number."""
     opened = inside_voxels(points, g).groupBy(*CELL).agg(
         F.min("point_id").alias("first_point"), F.count("*").alias("n"))
-    by_arrival = Window.partitionBy("frame_id").orderBy("first_point")
-    return opened.withColumn("voxel_id", F.row_number().over(by_arrival).cast("bigint") - 1)
+    ranked = with_row_number(opened, ["frame_id"], [c("first_point")], F.floor(c("first_point") / points_per_slice), "voxel_id")
+    return ranked.select(*CELL, "first_point", "n", (c("voxel_id") - 1).alias("voxel_id"))
 
 
 def dynamic_scatter(cells: DataFrame, features: Sequence[str], how: str) -> DataFrame:

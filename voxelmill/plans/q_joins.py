@@ -114,11 +114,11 @@ def centres(v):
                             (c("z") + 2.0).alias("c_z"))
 
 
-CENTRES = "centres AS (SELECT frame_id, box_id AS centre_id, x AS cx, y AS cy, z + 2.0 AS cz FROM boxes)"
+CENTRES = "centres AS MATERIALIZED (SELECT frame_id, box_id AS centre_id, x AS cx, y AS cy, z + 2.0 AS cz FROM boxes)"
 D2 = "((p.x - k.cx) * (p.x - k.cx) + (p.y - k.cy) * (p.y - k.cy) + (p.z - k.cz) * (p.z - k.cz))"
-BALL = f"""{CENTRES}, hits AS (SELECT k.frame_id, k.centre_id, p.point_id, row_number() OVER (PARTITION BY k.frame_id, k.centre_id ORDER BY p.point_id) - 1 AS slot
+BALL = f"""{CENTRES}, hits AS MATERIALIZED (SELECT k.frame_id, k.centre_id, p.point_id, row_number() OVER (PARTITION BY k.frame_id, k.centre_id ORDER BY p.point_id) - 1 AS slot
   FROM centres k JOIN points p ON p.frame_id = k.frame_id AND ({D2} = 0 OR ({D2} >= 1.0 AND {D2} < 25.0))),
- ball AS (SELECT k.frame_id, k.centre_id, CAST(s AS INTEGER) AS slot, CAST(coalesce(h.point_id, f.point_id, 0) AS BIGINT) AS point_id FROM centres k CROSS JOIN (SELECT unnest(range(4)) AS s)
+ ball AS MATERIALIZED (SELECT k.frame_id, k.centre_id, CAST(s AS INTEGER) AS slot, CAST(coalesce(h.point_id, f.point_id, 0) AS BIGINT) AS point_id FROM centres k CROSS JOIN (SELECT unnest(range(4)) AS s)
   LEFT JOIN hits h ON h.frame_id = k.frame_id AND h.centre_id = k.centre_id AND h.slot = s
   LEFT JOIN hits f ON f.frame_id = k.frame_id AND f.centre_id = k.centre_id AND f.slot = 0)"""
 

@@ -46,10 +46,10 @@ def _(v):
 @query("quality_warnings", f"""WITH {STATS}, s AS (SELECT *, CASE WHEN frame_id % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT * REPLACE (CASE WHEN frame_id % 50 = 3 THEN point_count * 6 ELSE point_count END AS point_count,
    CASE WHEN frame_id % 40 = 7 THEN 1 ELSE bad_intensity END AS bad_intensity, CASE WHEN frame_id % 5 = 0 THEN 0 ELSE class_2 END AS class_2) FROM stats)),
  t AS (SELECT split, sum(class_2) AS c2, sum(observed_sum) / (count(*) * 100000.0) AS cov, median(point_count) AS med FROM s GROUP BY 1)
-SELECT split, 'class 2' AS subject, 'zero class total' AS warning FROM t WHERE c2 = 0
-UNION ALL SELECT split, 'coverage', 'observed coverage is below 1%' FROM t WHERE cov < 0.01
+SELECT split, 'class 2' AS subject, 'class never occurs' AS warning FROM t WHERE c2 = 0
+UNION ALL SELECT split, 'coverage', 'less than one cell in a hundred is observed' FROM t WHERE cov < 0.01
 UNION ALL SELECT split, 'frame ' || frame_id, 'point count outside five times the median' FROM s JOIN t USING (split) WHERE point_count < med / 5 OR point_count > med * 5
-UNION ALL SELECT split, 'frame ' || frame_id, 'intensity outside [0,1]' FROM s WHERE bad_intensity > 0""")
+UNION ALL SELECT split, 'frame ' || frame_id, 'intensity not between 0 and 1' FROM s WHERE bad_intensity > 0""")
 def _(v):
     rows = stats(v).withColumns({
         "point_count": F.when(c("frame_id") % 50 == 3, c("point_count") * 6).otherwise(c("point_count")),

@@ -275,8 +275,8 @@ def _(v):
         "event_id", F.coalesce("record.k", F.lit(-1)).alias("k"), "fault")
 
 
-@query("check_splits", """SELECT CAST(NULL AS VARCHAR) AS scene_id, 'splits' AS field, 'unknown split name' AS message FROM (SELECT DISTINCT c_mktsegment AS s FROM customer) WHERE s NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')
-UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'splits', 'scene is in two splits' FROM customer GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) > 1""")
+@query("check_splits", """SELECT CAST(NULL AS VARCHAR) AS scene_id, 'splits' AS field, 'no such split' AS message FROM (SELECT DISTINCT c_mktsegment AS s FROM customer) WHERE s NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')
+UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'splits', 'scene belongs to several splits' FROM customer GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) > 1""")
 def _(v):
     rows = v.table("customer").select(c("c_nationkey").alias("scene_id"), c("c_mktsegment").alias("split"))
     return ql.check_splits(rows, ("BUILDING", "MACHINERY", "AUTOMOBILE")).drop("frame_id")

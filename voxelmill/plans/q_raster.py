@@ -17,12 +17,13 @@ c = F.col
 ROWS, COLS = 26, 53
 KEYS = ["frame_id", "class_id"]
 OFF = "(SELECT unnest([-1, 0, 1]) AS dr) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dc)"
-TRUTH = "truth AS (SELECT frame_id, class_id, row, col FROM map_cells WHERE label = 1)"
-GROWN = f"grown AS (SELECT DISTINCT frame_id, class_id, row + dr AS row, col + dc AS col FROM truth CROSS JOIN {OFF} WHERE row + dr BETWEEN 0 AND {ROWS - 1} AND col + dc BETWEEN 0 AND {COLS - 1})"
-# Cells with an in-grid neighbour that is not set.
-EXPOSED = f"""exposed AS (SELECT DISTINCT t.frame_id, t.class_id, t.row, t.col FROM truth t CROSS JOIN {OFF}
-  LEFT JOIN truth n ON n.frame_id = t.frame_id AND n.class_id = t.class_id AND n.row = t.row + dr AND n.col = t.col + dc
-  WHERE t.row + dr BETWEEN 0 AND {ROWS - 1} AND t.col + dc BETWEEN 0 AND {COLS - 1} AND n.row IS NULL)"""
+TRUTH = "truth AS MATERIALIZED (SELECT frame_id, class_id, row, col FROM map_cells WHERE label = 1)"
+GROWN = f"grown AS MATERIALIZED (SELECT DISTINCT frame_id, class_id, row + dr AS row, col + dc AS col FROM truth CROSS JOIN {OFF} WHERE row + dr BETWEEN 0 AND {ROWS - 1} AND col + dc BETWEEN 0 AND {COLS - 1})"
+# Cells with an in-grid neighbour that is not set: fewer set neighbours than the grid has there.
+EXPOSED = f"""exposed AS MATERIALIZED (SELECT t.frame_id, t.class_id, t.row, t.col FROM truth t CROSS JOIN {OFF}
+  JOIN truth n ON n.frame_id = t.frame_id AND n.class_id = t.class_id AND n.row = t.row + dr AND n.col = t.col + dc
+  GROUP BY t.frame_id, t.class_id, t.row, t.col
+  HAVING count(*) < (3 - CAST(t.row = 0 AS INTEGER) - CAST(t.row = {ROWS - 1} AS INTEGER)) * (3 - CAST(t.col = 0 AS INTEGER) - CAST(t.col = {COLS - 1} AS INTEGER)))"""
 
 
 def truth(v):

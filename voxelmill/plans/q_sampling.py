@@ -98,9 +98,11 @@ _T = {k: f"({sr.normal(23 + i, 'frame_id')} * 0.5)" for i, k in enumerate("xyz")
 SELECT 'points' AS kind, frame_id, {r6('(x * cos(th) + y * sin(th) + tx) * fa', 4)} AS x, {r6('(y * cos(th) - x * sin(th) + ty) * fa', 4)} AS y, {r6('(z + tz) * fa', 4)} AS z FROM rawpoints JOIN p USING (frame_id)
 UNION ALL SELECT 'boxes', frame_id, {r6('(x * cos(th) + y * sin(th) + tx) * fa', 4)}, {r6('(y * cos(th) - x * sin(th) + ty) * fa', 4)}, {r6('yaw + th', 4)} FROM boxes JOIN p USING (frame_id)""")
 def _(v):
-    params = dg.augmentation_parameters(v.rawpoints().select("frame_id").distinct(), 21, (-0.78, 0.78), (0.9, 1.1), 0.5)
-    p = dg.rot_scale_trans_points(v.rawpoints(), params).select(F.lit("points").alias("kind"), "frame_id", *[rd(k, 4).alias(k) for k in "xyz"])
-    b = dg.rot_scale_trans_boxes(v.boxes(), params).select(F.lit("boxes").alias("kind"), "frame_id", rd("x", 4).alias("x"), rd("y", 4).alias("y"), rd("yaw", 4).alias("z"))
+    def params(rows):
+        return dg.augmentation_parameters(rows, 21, (-0.78, 0.78), (0.9, 1.1), 0.5)
+
+    p = dg.rot_scale_trans_points(params(v.rawpoints())).select(F.lit("points").alias("kind"), "frame_id", *[rd(k, 4).alias(k) for k in "xyz"])
+    b = dg.rot_scale_trans_boxes(params(v.boxes().join(v.rawpoints().select("frame_id").distinct(), "frame_id", "left_semi"))).select(F.lit("boxes").alias("kind"), "frame_id", rd("x", 4).alias("x"), rd("y", 4).alias("y"), rd("yaw", 4).alias("z"))
     return p.unionByName(b)
 
 
@@ -111,9 +113,9 @@ _FH, _FV = f"{sr.draw(31, 'frame_id')} % 2 = 1", f"{sr.draw(32, 'frame_id')} % 2
 SELECT 'points' AS kind, frame_id, {r6('CASE WHEN fv THEN -x ELSE x END')} AS x, {r6('CASE WHEN fh THEN -y ELSE y END')} AS y, 0.0::DOUBLE AS yaw FROM rawpoints JOIN p USING (frame_id)
 UNION ALL SELECT 'boxes', frame_id, {r6('CASE WHEN fv THEN -x ELSE x END')}, {r6('CASE WHEN fh THEN -y ELSE y END')}, {r6('CASE WHEN fh AND fv THEN yaw - pi() WHEN fh THEN pi() - yaw WHEN fv THEN -yaw ELSE yaw END', 5)} FROM boxes JOIN p USING (frame_id)""")
 def _(v):
-    flips = dg.flip_parameters(v.rawpoints().select("frame_id").distinct(), 31)
-    p = dg.random_flip_points(v.rawpoints(), flips).select(F.lit("points").alias("kind"), "frame_id", rd("x").alias("x"), rd("y").alias("y"), F.lit(0.0).alias("yaw"))
-    b = dg.random_flip_boxes(v.boxes(), flips).select(F.lit("boxes").alias("kind"), "frame_id", rd("x").alias("x"), rd("y").alias("y"), rd("yaw", 5).alias("yaw"))
+    seen = v.rawpoints().select("frame_id").distinct()
+    p = dg.random_flip_points(dg.flip_parameters(v.rawpoints(), 31)).select(F.lit("points").alias("kind"), "frame_id", rd("x").alias("x"), rd("y").alias("y"), F.lit(0.0).alias("yaw"))
+    b = dg.random_flip_boxes(dg.flip_parameters(v.boxes().join(seen, "frame_id", "left_semi"), 31)).select(F.lit("boxes").alias("kind"), "frame_id", rd("x").alias("x"), rd("y").alias("y"), rd("yaw", 5).alias("yaw"))
     return p.unionByName(b)
 
 

@@ -58,7 +58,7 @@ def _(v):
 @query("voxel_arrival_rank", f"""SELECT {KEY}, min(point_id) AS first_point, count(*) AS n,
 CAST(row_number() OVER (PARTITION BY frame_id ORDER BY min(point_id)) - 1 AS BIGINT) AS voxel_id FROM {PCELLS} GROUP BY {KEY}""")
 def _(v):
-    return vx.voxel_arrival_rank(v.points(), VOXEL, 10 * 20 * 8)
+    return vx.voxel_arrival_rank(v.points(), VOXEL)
 
 
 @query("empty_cloud_voxels", f"""WITH means AS (SELECT {KEY}, avg(x) AS x, avg(intensity) AS intensity FROM {_index_sql(vx.VoxelGrid((0.0, 0.0, 2.4, 10.0, 10.0, 3.0), (10.0, 10.0, 0.6)), 'rawpoints')} GROUP BY {KEY}),
@@ -96,7 +96,7 @@ def _(v):
 SELECT frame_id, point_id, voxel_id FROM cells JOIN vox USING ({KEY})""")
 def _(v):
     pts = v.points()
-    ranked = vx.voxel_arrival_rank(pts, VOXEL, 10 * 20 * 8).select(*vx.CELL, "voxel_id")
+    ranked = vx.voxel_arrival_rank(pts, VOXEL).select(*vx.CELL, "voxel_id")
     return vx.inside_voxels(pts, VOXEL).join(ranked, vx.CELL).select("frame_id", "point_id", "voxel_id")
 
 

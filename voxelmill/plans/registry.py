@@ -27,7 +27,7 @@ def _with_views(sql: str) -> str:
 
     visit(sql)
     text = sql.strip()
-    parts = [f"{name} AS ({SQL_VIEWS[name].strip()})" for name in needed]
+    parts = [f"{name} AS MATERIALIZED ({SQL_VIEWS[name].strip()})" for name in needed]
     if not parts:
         return text
     for head in ("WITH RECURSIVE ", "WITH "):

@@ -70,14 +70,10 @@ def detection_records(dets: DataFrame, attribute: Column) -> DataFrame:
                        c("score").alias("detection_score"), attribute.alias("attribute_name"))
 
 
-def export_detections(records: DataFrame, folder: str, max_boxes: int = 500) -> None:
-    """JSON with the list of records of every sample. A sample holds at most ``max_boxes`` records
-    (the result format's own limit), anything above is an error."""
-    lists = records.groupBy("frame_id").agg(F.count("*").alias("n"), F.collect_list(F.struct(*[
-        n for n in records.columns if n != "frame_id"])).alias("results"))
-    checked = lists.withColumn("results", F.when(c("n") <= max_boxes, c("results")).otherwise(
-        F.raise_error(F.lit("sample has too many boxes")).cast(lists.schema["results"].dataType)))
-    checked.drop("n").write.mode("overwrite").json(folder)
+def export_detections(records: DataFrame, folder: str) -> None:
+    """JSON with the list of all records of every sample, whatever their number."""
+    fields = F.struct(*[n for n in records.columns if n != "frame_id"])
+    records.groupBy("frame_id").agg(F.collect_list(fields).alias("results")).write.mode("overwrite").json(folder)
 
 
 def convert_legacy(index: DataFrame, path: str, dataset: str) -> DataFrame:
