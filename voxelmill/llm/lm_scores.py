@@ -72,9 +72,18 @@ class Grams:
         return np.bincount(self.word[use], minlength=len(self.grams)) + np.bincount(self.pair[use], minlength=len(self.grams))
 
 
+def steps_of(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as the steps between them, high bytes first, which compress well."""
+    return np.diff(values, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(U).ravel(), dtype=U)
+
+
 def lm_scores(
     docs: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    weight: float = 10.0, floor: float = 0.5, block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20,
+    weight: float = 10.0, floor: float = 0.5, block_bytes: int = 6 << 20, bucket_bytes: int = 4 << 20,
 ) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row.
 
@@ -105,7 +114,7 @@ def lm_scores(
                 target, every = grams.counts(is_target[grams.row]), grams.counts(np.ones(len(grams.row), bool))
                 out = []
                 for k, a, b in by_bucket(grams.bucket):
-                    body = b"".join([grams.grams[a:b].tobytes(), target[a:b].astype(np.uint32).tobytes(), every[a:b].astype(np.uint32).tobytes(), np.packbits(grams.is_word[a:b]).tobytes()])
+                    body = b"".join([steps_of(grams.grams[a:b]), target[a:b].astype(np.uint32).tobytes(), every[a:b].astype(np.uint32).tobytes(), np.packbits(grams.is_word[a:b]).tobytes()])
                     out.append((row["block"], k, np.array([b - a, len(body)], np.uint32).tobytes() + pa.compress(body, "zstd", asbytes=True)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["block", "bucket", "payload"])
@@ -115,7 +124,7 @@ def lm_scores(
         for p in table["payload"].to_pylist():
             n, whole = (int(x) for x in np.frombuffer(p, np.uint32, 2))
             body = pa.decompress(p[8:], whole, "zstd", asbytes=True)
-            grams.append(np.frombuffer(body, U, n))
+            grams.append(from_steps(body[: 8 * n]))
             target.append(np.frombuffer(body, np.uint32, n, 8 * n))
             every.append(np.frombuffer(body, np.uint32, n, 12 * n))
             is_word.append(np.unpackbits(np.frombuffer(body, np.uint8, offset=16 * n), count=n).astype(bool))
