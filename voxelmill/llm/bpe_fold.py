@@ -26,6 +26,7 @@ from voxelmill.llm.pretokens import splitter
 
 ID_BITS = 17
 NO_RANK = (1 << ID_BITS) - 1
+LOW = (1 << 2 * ID_BITS) - 1  # place and id of a piece
 GROUPS, SLOTS = 1 << 15, 1 << 18
 
 
@@ -112,9 +113,9 @@ def fold_merges(letters: Column, tables: Column) -> Column:
                 merged = place_of(low) * (1 << ID_BITS) + F.shiftright(low, 2 * ID_BITS)
                 rest = F.filter(state, lambda x, k: k != i)
                 return F.transform(rest, lambda x, k: F.when(k == i - 1, with_next(merged, F.get(state, i + 1)))
-                                   .when(k == i - 2, with_next(x.bitwiseAND(F.lit((1 << 2 * ID_BITS) - 1)), merged)).otherwise(x))
+                                   .when(k == i - 2, with_next(x.bitwiseAND(F.lit(LOW)), merged)).otherwise(x))
 
-            return F.when(F.shiftright(low, 2 * ID_BITS) < NO_RANK, let(F.size(F.filter(state, lambda x: place_of(x) <= place_of(low))), with_place)).otherwise(state)
+            return F.when(F.shiftright(low, 2 * ID_BITS) < NO_RANK, let(F.size(F.filter(state, lambda x: x.bitwiseAND(F.lit(LOW)) <= low.bitwiseAND(F.lit(LOW)))), with_place)).otherwise(state)
 
         return let(F.array_min(state), at)
 
@@ -153,7 +154,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def encode_decode(
     docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text",
-    block_bytes: int = 3 << 20, bucket_bytes: int = 3 << 20, fold_bytes: int = 256,
+    block_bytes: int = 4 << 20, bucket_bytes: int = 3 << 20, fold_bytes: int = 256,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row: the ids as little-endian unsigned 32-bit
     integers and the bytes decoded from them.
@@ -181,10 +182,10 @@ def encode_decode(
 
     def sent(words: list[bytes]) -> dict[int, list[bytes]]:
         """The words to fold, by bucket: those that are no piece themselves and not too long."""
-        out = defaultdict(list)
+        out, table, crc32 = defaultdict(list), shared.value, zlib.crc32
         for w in words:
-            if len(w) <= fold_bytes and w not in shared.value:
-                out[zlib.crc32(w) % buckets].append(w)
+            if w not in table and len(w) <= fold_bytes:
+                out[crc32(w) % buckets].append(w)
         return out
 
     def send(batches):
@@ -223,7 +224,9 @@ def encode_decode(
     def lay_out(batches):
         find = splitter(pattern)
         table = shared.value
-        spelled = {rank: piece for piece, rank in table.items()}
+        spelled = [b""] * (max(table.values()) + 1)
+        for piece, rank in table.items():
+            spelled[rank] = piece
         for batch in pieces(batches, 1):
             row = batch.to_pylist()[0]
             doc_ids, data, offsets = block_rows(row)
@@ -236,15 +239,18 @@ def encode_decode(
                 n, body = answers.pop(k)
                 ends = (4 * np.cumsum(np.frombuffer(body, np.uint16, n), dtype=np.int64) + 2 * n).tolist()
                 folded.update(zip(ws, (body[a:b] for a, b in zip([2 * n, *ends], ends))))
-            ids = [folded[w] if w in folded else np.array(merge_long(w, table), "<u4").tobytes() for w in words]
-            text = dict(zip(spellings, (b"".join([spelled[i] for i in np.frombuffer(t, "<u4").tolist()]) for t in ids)))
-            ids = dict(zip(spellings, ids))
+            own = table.get
+            ids = {}
+            for word, w in zip(spellings, words):
+                rank = own(w)
+                ids[word] = folded.get(w) or (rank.to_bytes(4, "little") if rank is not None else np.array(merge_long(w, table), "<u4").tobytes())
             del folded, words
             for a in range(0, len(doc_ids), 256):
                 out_ids = [b"".join([ids[w] for w in ws]) for ws in found[a : a + 256]]
+                decoded = [b"".join([spelled[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in out_ids]
                 yield pa.RecordBatch.from_arrays([
                     doc_ids.slice(a, 256), pa.array([len(x) // 4 for x in out_ids], pa.int64()), pa.array(out_ids, pa.binary()),
-                    pa.array([b"".join([text[w] for w in ws]) for ws in found[a : a + 256]], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                    pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     met = texts.mapInArrow(send, RECORD).groupBy("bucket").applyInArrow(meet, "bucket long, blocks array<long>, places array<binary>, words array<array<short>>")
     folded = met.select("bucket", "blocks", "places", let(rank_tables(ranks), lambda tables: F.transform("words", lambda w: fold_merges(w, tables))).alias("words"))
