@@ -57,7 +57,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 def find_items(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    n: int = 3, span: int = 6, least_score: float = 0.5, slice_seeds: int = 1_000_000,
+    n: int = 3, span: int = 6, least_score: float = 0.5, slice_seeds: int = 200_000,
 ) -> DataFrame:
     """(doc_id, item_id, score, item_words, first_byte, last_byte): the documents that hold an item.
 
