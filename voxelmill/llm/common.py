@@ -15,9 +15,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """Let the session's Arrow batches hold about ``size`` bytes, unless they are smaller: the usual
+    64 MB of texts, and as much again in Python, are too much for a task with little memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(filter(str.isdigit, spark.conf.get(name, "0"))) or 0)
+    if not 0 < now <= size:
+        spark.conf.set(name, str(size))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator works on, as (doc_id long, text string). A null text counts as
     empty; all other columns stay behind, so their names cannot clash with the operator's own."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

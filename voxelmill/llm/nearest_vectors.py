@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelmill.llm.common import blocks_for
+from voxelmill.llm.common import blocks_for, bound_batches
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -74,6 +74,7 @@ def nearest_vectors(
     gives no rows; other columns are ignored. In each block ``least`` + ``share`` of its vectors are
     compared, which finds nine tenths of the true neighbours or more (see the tests).
     """
+    bound_batches(vectors.sparkSession)
     value = F.col("vector")
     sound = (F.size(value) > 0) & ~F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(value, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector")).filter("vec_id is not null and vector is not null").filter(sound)
