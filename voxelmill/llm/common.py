@@ -19,8 +19,7 @@ def bound_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Let the session's Arrow batches hold about ``size`` bytes, unless they are smaller: the usual
     64 MB of texts, and as much again in Python, are too much for a task with little memory."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int("".join(filter(str.isdigit, spark.conf.get(name, "0"))) or 0)
-    if not 0 < now <= size:
+    if int("".join(filter(str.isdigit, spark.conf.get(name)))) > size:
         spark.conf.set(name, str(size))
 
 
