@@ -7,7 +7,6 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 from llm_fixtures import SMALL, make_docs, odd_rows  # noqa: F401
 from pyspark.sql import functions as F
 from test_dedup import LOWER, WORD
