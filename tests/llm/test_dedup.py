@@ -215,6 +215,26 @@ def test_items_and_edited_copies_are_found(make_docs, spark):
     assert {r.doc_id for r in left.collect()} == {*range(20), 106, 107, 108, None}
 
 
+@pytest.mark.parametrize("every, clean", [(4, False), (5, False), (6, False), (8, False), (4, True), (8, True)])
+def test_evenly_edited_copies_are_found(make_docs, spark, every, clean):
+    """With and without a clean copy elsewhere, against full alignment of all documents."""
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklm" for c in "nopqr"]
+    rng = random.Random(every)
+    items = {k: rng.sample(words, 32) for k in range(4)}
+    copy = lambda k, first: [f"zz{'abcdefgh'[j // every % 8]}{'abcdefgh'[k]}" if j % every == first else w for j, w in enumerate(items[k])]
+    docs = {k: rng.sample(words, 40) for k in range(12)}
+    docs |= {100 + 10 * k + first: rng.sample(words, 15) + copy(k, first) + rng.sample(words, 15) for k in items for first in ((every - 1,) if k % 2 else range(every))}
+    docs |= {200 + k: items[k] for k in items if clean}
+    number = {w: i for i, w in enumerate(sorted({w for t in [*items.values(), *docs.values()] for w in t}))}
+    coded = lambda t: [number[w] for w in t]
+    want = {(i, k): best_alignment(coded(x), coded(t)) / (2 * len(x)) for i, t in docs.items() for k, x in items.items()}
+    want = {pair: score for pair, score in want.items() if score >= 0.5}
+    assert len(want) == len(docs) - 12
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    found = decontaminate.find_items(make_docs([(i, " ".join(t)) for i, t in docs.items()]), bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == want
+
+
 def test_common_items_are_found_in_all_their_documents(make_docs, spark):
     docs = [(k, f"start{k} the very common passage of all these many documents end{k}") for k in range(60)]
     bench = spark.createDataFrame([(1, "the very common passage of all these many documents")], "item_id long, text string")

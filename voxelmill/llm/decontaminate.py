@@ -1,17 +1,17 @@
-"""Benchmark items inside documents: rare word n-grams as seeds, then local alignment.
+"""Benchmark items inside documents: word n-grams as seeds, then local alignment.
 
-Every n-gram of every item is counted over all documents. In each run of ``span`` consecutive n-grams
-of an item the rarest one is a seed, however common it is, so that no part of an item is without
-one. Where a document holds seeds, its words around them are aligned with the item
-(Smith-Waterman over words), which scores edited copies too. Seeds travel to the documents in slices
-of ``slice_seeds``; a larger benchmark takes more passes over the text, not more memory.
+Every n-gram of every item is a seed, however common it is. A choice of the rarest ones would lose
+edited copies: the n-grams that an edit touches are the rarest, and the copy does not hold them. Where
+a document holds seeds and enough of the item's words, its words around them are aligned with the
+item (Smith-Waterman over words), which scores edited copies too. Seeds travel to the documents in
+slices of ``slice_seeds``; a larger benchmark takes more passes over the text, not more memory.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.llm.common import drop_listed, id_text, materialize
@@ -57,7 +57,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 def find_items(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    n: int = 3, span: int = 6, least_score: float = 0.5, slice_seeds: int = 200_000,
+    n: int = 3, least_score: float = 0.5, slice_seeds: int = 200_000,
 ) -> DataFrame:
     """(doc_id, item_id, score, item_words, first_byte, last_byte): the documents that hold an item.
 
@@ -84,7 +84,7 @@ def find_items(
                     part.column(0).take(pa.array(row[use])), pa.array((places - words.first[row])[use]), pa.array(np.full(use.sum(), size, np.int32)), pa.array(hashes[use].view(np.int64))],
                     names=["item_id", "place", "size", "seed"])
 
-    grams = materialize(tests.mapInArrow(item_seeds, "item_id long, place long, size int, seed long"), "item-grams")
+    seeds = materialize(tests.mapInArrow(item_seeds, "item_id long, place long, size int, seed long"), "seeds")
 
     def sliced(seeds: DataFrame):
         """(slice, size -> sorted hashes) of the distinct seeds, each of bounded size."""
@@ -113,34 +113,6 @@ def find_items(
             yield size, hashes[found], places[found]
 
     spark = docs.sparkSession
-    counted = None
-    for _, _, tables in sliced(grams):
-        shared = spark.sparkContext.broadcast(tables)
-
-        def count(batches, shared=shared):
-            tables = shared.value
-            seen, totals = quick(tables), {s: np.zeros(len(t), np.int64) for s, t in tables.items()}
-            for part in byte_chunks(batches):
-                words = Words(*bytes_of(part.column(1)), letters_only=True)
-                for size, hashes, places in hits(words, tables, seen):
-                    key = np.unique(np.stack([hashes, words.row[places].astype(U)], 1), axis=0)[:, 0]
-                    np.add.at(totals[size], np.searchsorted(tables[size], key), 1)
-            for size, total in totals.items():
-                some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size, np.int32)), pa.array(tables[size][some].view(np.int64)), pa.array(total[some])], names=["size", "seed", "n"])
-
-        part = texts.mapInArrow(count, "size int, seed long, n long")
-        counted = part if counted is None else counted.union(part)
-    counted = counted.groupBy("size", "seed").agg(F.sum("n").alias("n"))
-
-    # Seeds that no document holds can be left out: they find nothing.
-    ranked = grams.join(counted, ["size", "seed"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    run = Window.partitionBy("item_id").orderBy("place").rangeBetween(0, span - 1)
-    last = Window.partitionBy("item_id")
-    rarest = ranked.select("*", F.min(F.struct("n", "place")).over(run).alias("low"), F.max("place").over(last).alias("end"))
-    chosen = rarest.filter((F.col("place") + span - 1 <= F.col("end")) | (F.col("place") == 0)).select("item_id", F.col("low.place").alias("place")).distinct()
-    seeds = materialize(grams.join(chosen, ["item_id", "place"]).join(counted.select("size", "seed"), ["size", "seed"], "left_semi"), "seeds")
-
     found = None
     for k, slices, tables in sliced(seeds):
         part = seeds.filter(F.pmod(F.xxhash64("seed"), F.lit(slices)) == k).join(tests, "item_id").groupBy("item_id").agg(
@@ -174,10 +146,12 @@ def find_items(
                             end += 1
                         low = max(int(words.first[row]), begins[at] - length // 2 - 4)
                         high = min(int(words.first[row + 1]), begins[end] + length + length // 2 + 4)
+                        at = end + 1
+                        if np.isin(sequence, words.hash[low:high]).sum() < least_score * length:
+                            continue  # a score has at most MATCH for each word of the item that is there at all
                         score, first, last = align(sequence, words.hash[low:high])
                         if score > best[0]:
                             best = (score, low + first, low + last)
-                        at = end + 1
                     if best[0] >= least_score * MATCH * length:
                         base = int(offsets_start(part, row))
                         out.append((row, items[item][0], best[0] / (MATCH * length), length, int(words.start[best[1]]) - base, int(words.end[best[2]]) - base))
