@@ -199,6 +199,18 @@ def test_toxicity_on_made_texts(make_docs, spark):
     assert by_id[1003].evidence[0].label == 1
 
 
+def test_copies_of_examples_with_rare_words_are_neighbours(make_docs, spark):
+    """No word here goes with the label often enough to be chosen by it."""
+    lead = "one two three four five six seven eight"
+    rows = [(i, f"{lead} only{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]} {'klmnopqrst'[i // 100]}{'uvwxyzabcd'[i % 10]}") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(400)], "doc_id long, toxic int")
+    copies = [(5000 + i, t) for i, t in rows if not held_out(i)]
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(make_docs(rows + copies), labels).collect()}
+    for i, _ in copies:
+        first = got[i].evidence[0]
+        assert (first.doc_id, first.label) == (i - 5000, int((i - 5000) % 8 == 0)) and abs(first.cosine - 1) < 1e-5
+
+
 def test_labels_of_held_out_rows_change_nothing(make_docs, spark):
     rows = [(i, f"common words here {'nasty' if i % 3 == 0 else 'fine'} {i}") for i in range(120)]
     plain = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")

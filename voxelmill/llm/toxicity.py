@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are words and word beginnings whose presence goes with the label among the examples. The
-examples, at most ``max_examples`` labelled rows, form an inverted index in blocks; the largest
-weight of each term in a block bounds the cosine of all its examples, so that blocks which cannot
-hold a nearest example are passed over. Votes weighted by cosine are calibrated on the examples,
+Terms are all words of the examples, and word beginnings whose presence goes with the label among
+them; how closely a term goes with the label is a factor of its weight and leaves no word out. The
+examples, at most ``max_examples`` labelled rows, form an inverted index: postings of the rarer terms,
+and a table of the commonest in blocks, where the largest weight of each term in a block bounds the
+cosine of all its examples, so that blocks which cannot hold a nearest example are passed over. Votes weighted by cosine are calibrated on the examples,
 each scored without itself. Document frequencies are counted over all documents.
 """
 
@@ -17,15 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.llm.common import id_text, materialize
-from voxelmill.llm.wordhash import U, Words, byte_chunks, bytes_of, mix
+from voxelmill.llm.wordhash import U, Words, byte_chunks, bytes_of, distinct_by_row, mix
 
 PREFIXES = (4, 5, 6, 7, 8)
 BLOCK = 64
+COMMON = 512  # terms in the table at most
+FLOOR = 0.02  # factor of a term that does not go with the label
 LOOKUP_BITS = 20
 
 
 def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of all terms of the texts, repeated as often as they occur."""
+    """(hash, row) of all terms of the texts, repeated as often as they occur; whole words first."""
     words = Words(*bytes_of(column), letters_only=True, prefixes=PREFIXES)
     size = words.end - words.start
     hashes, rows = [words.hash], [words.row]
@@ -38,7 +41,7 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Terms:
-    """The selected terms, sorted by hash, with a table that rejects most others at once."""
+    """The known terms, sorted by hash, with a table that rejects most others at once."""
 
     hashes: np.ndarray
 
@@ -47,7 +50,7 @@ class Terms:
         self.table[(self.hashes >> U(64 - LOOKUP_BITS)).astype(np.int64)] = True
 
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, count) of the selected terms in the texts, by row and term."""
+        """(row, term, count) of the known terms in the texts, by row and term."""
         hashes, rows = term_hashes(column)
         may = self.table[(hashes >> U(64 - LOOKUP_BITS)).astype(np.int64)]
         hashes, rows = hashes[may], rows[may]
@@ -65,29 +68,57 @@ def vectors(count: np.ndarray, term: np.ndarray, row: np.ndarray, idf: np.ndarra
 
 
 class BlockMaxIndex:
-    """Exact nearest examples by cosine. ``weights``: a row of unit length for each example."""
+    """Exact nearest examples by cosine. ``weights``: a row for each example, a column for each of the
+    first terms. ``rare``: (example, term, weight) of the terms that follow. Together a row has unit
+    length."""
 
-    def __init__(self, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray):
+    def __init__(self, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, rare: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         top = weights.argmax(1) if weights.size else np.zeros(len(ids), np.int64)
         order = np.lexsort((ids, weights.max(1, initial=0), top))  # like examples share blocks
         self.weights, self.ids, self.labels = weights[order], ids[order], labels[order]
-        starts = np.arange(0, len(ids), BLOCK)
-        self.most = np.maximum.reduceat(self.weights, starts, axis=0) if len(ids) else np.zeros((0, weights.shape[1]))
+        self.starts = np.arange(0, len(ids), BLOCK)
+        self.most = np.maximum.reduceat(self.weights, self.starts, axis=0) if len(ids) else np.zeros((0, weights.shape[1]), weights.dtype)
+        self.digits = 12 if weights.dtype == np.float64 else 6
+        example, term, weight = rare if rare else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        place = np.empty(len(ids), np.int32)
+        place[order] = np.arange(len(ids))
+        by_term = np.lexsort((place[example], term))
+        self.example, self.weight = place[example][by_term], weight[by_term]
+        self.cuts = np.searchsorted(term[by_term], np.arange(weights.shape[1], int(term.max(initial=weights.shape[1] - 1)) + 2))
+
+    def rare_scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the postings give to the cosine of every example."""
+        own = terms - self.weights.shape[1]
+        start, size = self.cuts[own], self.cuts[own + 1] - self.cuts[own]
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.example[at], self.weight[at] * np.repeat(weights, size), len(self.ids))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, places) of the ``k`` nearest examples with a cosine above 0, ties to smaller ids."""
-        bounds = self.most[:, terms] @ weights
+        if not len(self.ids):
+            return np.empty(0), np.empty(0, np.int64)
+        common = terms < self.weights.shape[1]
+        base = self.rare_scores(terms[~common], weights[~common])
+        full = np.zeros(self.weights.shape[1], self.weights.dtype)
+        full[terms[common]] = weights[common]
+        slack = 10.0**-self.digits
+        bounds = self.most @ full + np.maximum.reduceat(base, self.starts)
         best_score, best_place = np.empty(0), np.empty(0, np.int64)
         order = np.argsort(-bounds, kind="stable")
-        for at in range(0, len(order), 4):
-            if bounds[order[at]] <= 0 or len(best_score) == k and bounds[order[at]] < best_score[-1] - 1e-12:
+        at, step = 0, 4
+        while at < len(order):
+            if bounds[order[at]] <= 0 or len(best_score) == k and bounds[order[at]] < best_score[-1] - slack:
                 break
-            place = (order[at : at + 4, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            place = (order[at : at + step, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
             place = place[place < len(self.ids)]
+            at, step = at + step, 2 * step
             if without is not None:
                 place = place[self.ids[place] != without]
-            score = np.round(self.weights[place][:, terms] @ weights, 12)
-            score, place = np.concatenate([best_score, score[score > 0]]), np.concatenate([best_place, place[score > 0]])
+            score = np.round(base[place] + self.weights[place] @ full, self.digits)
+            may = score > 0
+            if len(place) > k:  # the k largest, with all that equal the last of them
+                may &= score >= np.partition(score, -k)[-k]
+            score, place = np.concatenate([best_score, score[may]]), np.concatenate([best_place, place[may]])
             keep = np.lexsort((self.ids[place], -score))[:k]
             best_score, best_place = score[keep], place[keep]
         return best_score, best_place
@@ -130,8 +161,8 @@ def toxicity_scores(
 
     Labels are learned only from rows outside the held-out fifth (CRC-32 of the id's text modulo 5);
     of these the ``max_examples`` with the least hash of the id. ``evidence`` lists the three nearest
-    examples (id, cosine, label). A text without any selected term, also a null or empty one, has no
-    neighbour and gets the share of label 1 among such examples. Without examples of both kinds all
+    examples (id, cosine, label). A text without any word of the examples, also a null or empty one, has
+    no neighbour and gets the share of label 1 among such examples. Without examples of both kinds all
     scores are that share (0 without any). A document with several labels is toxic if one of them
     says so; null labels count as absent. Null ids are not held out; repeated rows are scored each;
     an empty table gives no rows. Other columns are ignored.
@@ -152,34 +183,34 @@ def toxicity_scores(
             label = np.asarray(part.column(2))[rows[new]]
             key, place = np.unique(hashes[new], return_inverse=True)
             toxic = np.bincount(place, label, len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(place, minlength=len(key)).astype(np.int64)), pa.array(toxic)], names=["term", "n", "toxic"])
+            word = np.isin(key, Words(*bytes_of(part.column(1)), letters_only=True).hash)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(place, minlength=len(key)).astype(np.int64)), pa.array(toxic), pa.array(word)], names=["term", "n", "toxic", "word"])
 
-    def twins(batches):
-        """The least hashes of two kinds over the five-word shingles of a text: copies and near copies
-        share one of them almost always."""
+    def shingle_sets(batches):
+        """A hash of the whole set of five-word shingles of a text."""
         for part in byte_chunks(batches):
-            hashes, rows = Words(*bytes_of(part.column(1))).sequences(5)
-            starts = np.flatnonzero(np.diff(rows, prepend=-1))
-            keys = [np.full(part.num_rows, -1, np.int64), np.full(part.num_rows, -1, np.int64)]
-            for key, salt in zip(keys, (U(0), U(0x9E3779B97F4A7C15))):
-                key[rows[starts]] = np.minimum.reduceat(mix(hashes ^ salt), starts).view(np.int64) if len(starts) else 0
-            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, keys)], names=["doc_id", "text", "label", "k1", "k2"])
-
-    # Copies of a text would lend their label to all its words, so terms are chosen from one of each.
-    distinct = examples.mapInArrow(twins, "doc_id long, text string, label int, k1 long, k2 long")
-    for key in ("k1", "k2"):
-        one = F.min(F.struct("doc_id", "text", "label", "k1", "k2")).alias("one")
-        distinct = distinct.groupBy(key).agg(one).select("one.*")
-    distinct = materialize(distinct.select("doc_id", "text", "label"), "examples")
+            hashes, cuts = distinct_by_row(*Words(*bytes_of(part.column(1))).sequences(5), part.num_rows)
+            total = np.concatenate([np.zeros(1, U), np.cumsum(mix(hashes), dtype=U)])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64))], names=["doc_id", "text", "label", "key"])
+
+    # Copies of a text would lend their label to all its words, so one of each label is counted.
+    distinct = examples.mapInArrow(shingle_sets, "doc_id long, text string, label int, key long")
+    distinct = distinct.groupBy("key", "label").agg(F.min(F.struct("doc_id", "text")).alias("one")).select("one.*", "label")
+    distinct = materialize(distinct, "examples")
     totals = distinct.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     n, n1 = int(totals[0]), int(totals[1])
-    counted = distinct.mapInArrow(distinct_terms, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
+    counted = distinct.mapInArrow(distinct_terms, "term long, n long, toxic long, word boolean").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"), F.max("word").alias("word"))
     a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
     c, d = F.lit(float(n1)) - a, F.lit(float(n - n1)) - b
     chi2 = F.try_divide(F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2.0)), (a + b) * (c + d) * (a + c) * (b + d))
-    picked = [] if n1 in (0, n) else (counted.filter("n >= 5").withColumn("chi2", F.coalesce(chi2, F.lit(0.0)))
-                                      .filter(F.col("chi2") >= max(least_chi2, least_share * n)).orderBy(F.desc("chi2"), "term").limit(max_terms).select("term").collect())
-    terms = np.sort(np.array([r.term for r in picked], np.int64).view(U))
+    counted = materialize(counted.select("term", "n", "word", F.coalesce(chi2, F.lit(0.0)).alias("chi2")), "terms")
+    beginnings = counted.filter("not word and n >= 5").filter(F.col("chi2") >= max(least_chi2, least_share * n)).orderBy(F.desc("chi2"), "term").limit(max_terms)
+    # The words of max_examples rows, and max_terms word beginnings.
+    picked = counted.filter("word").unionByName(beginnings).toArrow()
+    terms = picked["term"].to_numpy().view(U)
+    order = np.argsort(terms)
+    terms, held = terms[order], picked["n"].to_numpy()[order]
+    factor = FLOOR + np.sqrt(picked["chi2"].to_numpy()[order] / max(n, 1)) if 0 < n1 < n else np.ones(len(terms))
 
     def frequencies(batches):
         total = np.zeros(len(terms), np.int64)
@@ -193,13 +224,11 @@ def toxicity_scores(
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keep, -1)), pa.array(np.append(total[keep], rows))], names=["term", "n"])
 
     df = np.zeros(len(terms))
-    all_rows = 0
-    for r in texts.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row for each selected term
-        if r.term < 0:
-            all_rows = r.n
-        else:
-            df[r.term] = r.n
-    idf = np.log((1 + all_rows) / (1 + df)) + 1
+    counts = texts.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row for each term
+    term, total = counts["term"].to_numpy(), counts["n"].to_numpy()
+    all_rows = int(total[term < 0].sum())
+    df[term[term >= 0]] = total[term >= 0]
+    idf = (np.log((1 + all_rows) / (1 + df)) + 1) * factor
 
     def example_counts(batches):
         selected = Terms(terms)
@@ -210,27 +239,37 @@ def toxicity_scores(
                 part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(term)),
                 pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(count))], names=["doc_id", "label", "terms", "counts"])
 
-    found = examples.mapInArrow(example_counts, "doc_id long, label int, terms array<long>, counts array<long>").orderBy("doc_id").collect()  # at most max_examples rows
-    weights = np.zeros((len(found), len(terms)), np.float32)
-    for i, r in enumerate(found):
-        if r.terms:
-            t = np.array(r.terms)
-            weights[i, t] = vectors(np.array(r.counts), t, np.zeros(len(t), int), idf, 1)
-    ids, y = np.array([r.doc_id for r in found], np.int64), np.array([r.label > 0 for r in found], float)
-    some = weights.any(1)
+    found = examples.mapInArrow(example_counts, "doc_id long, label int, terms array<long>, counts array<long>").orderBy("doc_id").toArrow().combine_chunks()  # at most max_examples rows
+    sizes = found["terms"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    term, count = (found[x].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in ("terms", "counts"))
+    weight = vectors(count, term, row, idf, len(sizes)).astype(np.float32)
+    # The commonest terms are numbered first.
+    common = np.lexsort((terms, -held))[: min(COMMON, int((held * 20 > n).sum()))]
+    number = np.full(len(terms), -1)
+    number[common] = np.arange(len(common))
+    number[number < 0] = np.arange(len(common), len(terms))
+    ids, y = found["doc_id"].to_numpy(), (found["label"].to_numpy() > 0).astype(float)
+    some = sizes > 0
     blank = float((y[~some].sum() + 0.5 * y.mean()) / ((~some).sum() + 0.5)) if len(y) else 0.0
     prior = float(y.mean()) if len(y) else 0.0
-    index = BlockMaxIndex(weights[some], ids[some], y[some])
+    row = (np.cumsum(some) - 1)[row]
+    first = number[term] < len(common)
+    table = np.zeros((int(some.sum()), len(common)), np.float32)
+    table[row[first], number[term[first]]] = weight[first]
+    rare = (row[~first].astype(np.int32), number[term[~first]].astype(np.int32), weight[~first])
+    index = BlockMaxIndex(table, ids[some], y[some], rare)
     curve = (1.0, 0.0)
     if some.any() and 0 < y[some].mean() < 1:
-        raw = [vote(index, np.flatnonzero(w), w[w != 0].astype(float), neighbours, prior, i)[0] for w, i in zip(weights[some], ids[some])]
+        cut = np.searchsorted(row, np.arange(len(table) + 1))
+        raw = [vote(index, number[term[s:e]], weight[s:e].astype(float), neighbours, prior, i)[0] for s, e, i in zip(cut[:-1], cut[1:], ids[some])]
         curve = fit_logistic(logit(np.array(raw)), y[some])
-    model = spark.sparkContext.broadcast({"terms": terms, "idf": idf, "weights": weights[some], "ids": ids[some], "labels": y[some], "curve": curve, "blank": blank, "prior": prior})
+    model = spark.sparkContext.broadcast({"terms": terms, "idf": idf, "number": number, "table": table, "rare": rare, "ids": ids[some], "labels": y[some], "curve": curve, "blank": blank, "prior": prior})
 
     def score(batches):
         m = model.value
         if "index" not in m:
-            m["index"] = BlockMaxIndex(m["weights"], m["ids"], m["labels"])
+            m["index"] = BlockMaxIndex(m["table"], m["ids"], m["labels"], m["rare"])
         index, (slope, shift) = m["index"], m["curve"]
         selected = Terms(m["terms"])
         for part in byte_chunks(batches):
@@ -239,7 +278,7 @@ def toxicity_scores(
             out, evidence = np.full(part.num_rows, m["blank"]), [[] for _ in range(part.num_rows)]
             cut = np.flatnonzero(np.diff(row, prepend=-1))
             for s, e in zip(cut, np.append(cut[1:], len(row))):
-                p, cosine, place = vote(index, term[s:e], weight[s:e], neighbours, m["prior"])
+                p, cosine, place = vote(index, m["number"][term[s:e]], weight[s:e], neighbours, m["prior"])
                 out[row[s]] = 1 / (1 + np.exp(-(slope * logit(p) + shift))) if len(place) else m["blank"]
                 evidence[row[s]] = [{"doc_id": int(index.ids[j]), "cosine": float(c), "label": int(index.labels[j])} for c, j in zip(cosine[:3], place[:3])]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
