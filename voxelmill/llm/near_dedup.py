@@ -4,7 +4,7 @@ Two collections of ``bands`` band hashes are computed for each distinct shingle
 hash of one and a hash of the other is the key of a table, so ``bands ** 2`` tables cost
 ``2 * bands * rows`` minhashes. Two sets that share a key may be linked; sets that such keys connect
 form a family, and inside families all pairs are compared on full sets, tile by tile. With the
-defaults a pair at the threshold misses all tables with a probability of 2e-5.
+defaults a pair at the threshold of 0.80 misses all tables with a probability of 3.6e-4; at 0.85 it is 2e-5.
 """
 
 from __future__ import annotations
