@@ -3,8 +3,9 @@
 Vectors get one more component that gives all the same length, so that the largest inner product is
 the nearest point. Every block of vectors is projected on ``projections`` random lines and keeps a sorted
 array for each. A query opens a window around its own projection in every array; a vector collides
-once for each window it lies in. Windows are doubled until enough vectors collide, and the vectors
-whose collisions reach the threshold that leaves enough of them are compared exactly.
+once for each window it lies in. The first window holds most vectors at least once, so in practice it is
+the only one (it is doubled if too few collide), and the vectors whose collisions reach a quantile
+of the block, the threshold that leaves enough of them, are compared exactly.
 """
 
 from __future__ import annotations
