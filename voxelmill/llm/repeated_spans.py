@@ -1,10 +1,11 @@
-"""Repeated byte strings across documents, by prefix doubling on content-chosen positions.
+"""Repeated byte strings across documents, by hashes of content-chosen grams, then of whole strings.
 
-Ranking every byte position by Spark sorts would move many times the input, so the first round ranks
+This is not prefix doubling: no position-rank pairs are sorted and no offset grows. The first round names
 only positions that the content itself chooses: of each string of ``length`` bytes the least gram
 of ``gram`` bytes. Ranks are 64-bit names of the content. Positions whose name is unique drop out;
 the rest are ranked again by all strings of ``length`` bytes around them, which ends the
-doubling. Every string goes to the task of its gram, so equal strings always meet.
+search. Every string goes to the task of its gram, so equal strings always meet; all different
+strings around one frequent gram meet there too, without a bound.
 
 Texts are handled in blocks of consecutive rows. A block sends names to the buckets and gets one bit
 back for each; equal entries of a block are sent once. A block is known by a hash of its rows.
