@@ -101,16 +101,51 @@ def cloud(spark, n=600, seed=5, copies=200):
     return pdf.assign(point_id=np.arange(len(pdf)))
 
 
+def brute_knn(pdf, ctr, k):
+    out = {}
+    for row in ctr.itertuples():
+        part = pdf[pdf.frame_id == row.frame_id]
+        d = (part.x - row.c_x) ** 2 + (part.y - row.c_y) ** 2 + (part.z - row.c_z) ** 2
+        out[row.frame_id, row.centre_id] = part.assign(d=d).sort_values(["d", "point_id"]).point_id.head(k).tolist()
+    return out
+
+
+def found_knn(spark, pdf, ctr, k):
+    got = {}
+    for r in jn.knn(spark.createDataFrame(pdf), spark.createDataFrame(ctr), k).orderBy("rank").collect():
+        got.setdefault((r.frame_id, r.centre_id), []).append(r.point_id)
+    return got
+
+
 def test_knn_in_one_crowded_frame(spark):
-    pdf = cloud(spark)
-    ctr = pd.DataFrame({"frame_id": 0, "centre_id": range(30), "c_x": np.linspace(-5, 45, 30), "c_y": np.linspace(-25, 25, 30), "c_z": 0.0})
+    """Copies, centres on points and outside the cloud, points far from all others, a frame without points."""
+    pdf = cloud(spark, 1500)
+    pdf.loc[5, ["x", "y", "z"]] = [1e12, 0.0, 0.0]
+    pdf.loc[6, ["x", "y", "z"]] = [20.0, -1e9, 3.0]
+    pdf = pd.concat([pdf, cloud(spark, 40, 6, 0).assign(frame_id=1)], ignore_index=True)
+    ctr = pd.DataFrame({"frame_id": 0, "centre_id": range(60), "c_x": np.linspace(-5, 45, 60), "c_y": np.linspace(-25, 25, 60), "c_z": 0.0})
     ctr.loc[0, ["c_x", "c_y", "c_z"]] = pdf.loc[0, ["x", "y", "z"]].to_numpy()
-    got = jn.knn(spark.createDataFrame(pdf), spark.createDataFrame(ctr), 7, base=0.5, levels=4)
-    found = {(r.centre_id, r.rank): r.point_id for r in got.collect()}
-    for row in ctr.itertuples():
-        d = (pdf.x - row.c_x) ** 2 + (pdf.y - row.c_y) ** 2 + (pdf.z - row.c_z) ** 2
-        want = pdf.assign(d=d).sort_values(["d", "point_id"]).point_id.head(7).tolist()
-        assert [found[(row.centre_id, k)] for k in range(1, 8)] == want
+    ctr.loc[1, ["c_x", "c_y", "c_z"]] = [4000.0, -900.0, 70.0]
+    ctr.loc[2, ["c_x", "c_y", "c_z"]] = [9e11, 0.0, 0.0]
+    ctr = pd.concat([ctr, ctr.head(9).assign(frame_id=1), ctr.head(2).assign(frame_id=2)], ignore_index=True)
+    want = brute_knn(pdf, ctr, 7)
+    got = found_knn(spark, pdf, ctr, 7)
+    assert got == {key: ids for key, ids in want.items() if ids}
+
+
+def test_far_centres_open_few_points(spark):
+    """The candidates of a centre do not grow with the frame, wherever the centre lies."""
+    pdf = cloud(spark, 20_000, 8, 0)
+    ctr = pd.DataFrame({"frame_id": 0, "centre_id": range(4), "c_x": [20.0, 500.0, -80.0, 20.0], "c_y": [0.0, 3.0, 60.0, 1000.0], "c_z": 0.0})
+    assert found_knn(spark, pdf, ctr, 5) == brute_knn(pdf, ctr, 5)
+    kept = []
+    whole = jn._within_bound
+    try:
+        jn._within_bound = lambda df, k: kept.append(whole(df, k)) or kept[-1]
+        jn.knn(spark.createDataFrame(pdf), spark.createDataFrame(ctr), 5)
+    finally:
+        jn._within_bound = whole
+    assert kept[-1].groupBy("centre_id").count().agg(F.max("count")).first()[0] <= 60
 
 
 def test_knn_with_fewer_points_than_k(spark):

@@ -78,3 +78,18 @@ def test_groups_stay_whole_across_arrow_batches(spark, rows):
         same(got, rows.groupBy("k").agg(F.count("*").alias("n")))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_far_values_leave_even_slices(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=20_000), [1e12, -1e12, 1e300], np.full(3000, 0.25)])
+    pdf = pd.DataFrame({"k": np.where(np.arange(len(v)) % 10 == 0, 1, 0), "id": range(len(v)), "v": v})
+    df = spark.createDataFrame(pdf)
+    sliced = value_slices(df, ["k"], "v", rows_per_slice=1000, out="s").toPandas()
+    hot = sliced[(sliced.k == 0) & (sliced.v != 0.25)]
+    assert hot.groupby("s").size().max() < 5 * len(hot) / 64  # no slice holds most rows
+    order = sliced[sliced.k == 0].sort_values("v")
+    assert order.s.is_monotonic_increasing and sliced.groupby(["k", "v"]).s.nunique().max() == 1
+    got = exact_quantiles(df, ["k"], "v", [0.0, 0.5, 0.99, 1.0], ["a", "b", "c", "d"]).toPandas().set_index("k")
+    for key, part in pdf.groupby("k"):
+        assert got.loc[key].tolist() == pytest.approx(np.quantile(part.v, [0.0, 0.5, 0.99, 1.0]).tolist())

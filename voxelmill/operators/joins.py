@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import boxes as bx
 from voxelmill.functions.overlap import rectangle_overlap_area
+from voxelmill.operators import cells as cl
+from voxelmill.session import cut_lineage
+from voxelmill.skew import spread_join
 
 c = F.col
 TILE = ["frame_id", "_tx", "_ty"]
@@ -136,40 +139,44 @@ def ball_query(points: DataFrame, centres: DataFrame, rmin: float, rmax: float,
             .select("frame_id", "centre_id", "slot", padded.alias("point_id")))
 
 
-def knn(points: DataFrame, centres: DataFrame, k: int, base: float = 4.0, levels: int = 5) -> DataFrame:
+def _within_bound(found: DataFrame, k: int) -> DataFrame:
+    """Of the nodes listed for a centre those that can hold one of its ``k`` nearest points: not farther
+    than a distance within which other nodes surely hold ``k``."""
+    centre = Window.partitionBy("frame_id", "centre_id")
+    upto = centre.orderBy("_far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("_held", F.sum("_n").over(upto))
+    found = found.withColumn("_bound", F.min(F.when(c("_held") >= k, c("_far"))).over(centre))
+    return found.where(c("_bound").isNull() | (c("_near") <= c("_bound"))).select("frame_id", "centre_id", "c_x", "c_y", "c_z", *[f"_q{i}" for i in range(3)])
+
+
+def knn(points: DataFrame, centres: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest points of every centre by (distance, point id), exact.
 
-    Cells come in ``levels`` sizes ``base * 2**l``; the last level is the whole frame. For
-    every centre the finest level whose own cell already holds ``k`` points bounds the
-    distance by that cell's diagonal, so only the 27 cells of twice the size are searched.
-    The candidates therefore follow the local density, whatever the frame holds. ``base``
-    and ``levels`` only tune the cost: choose them so that the finest cells hold a few
-    points and the coarsest regular ones reach across a frame.
+    The finest cells of a frame are counted once and rolled up twice to an octree of counts whose depth
+    follows from the frame's points and whose cells follow its extent. Every centre walks down: of the
+    nodes it has reached it keeps those no farther than a distance within which ``k`` points surely lie, and
+    opens only these. A centre far from all points prunes like any other. Frames with fewer
+    points give all of them.
     """
-    pts = _keep_first_copies(points.select("frame_id", "point_id", "x", "y", "z"), k)
-    whole = F.lit(levels)
-    size = F.lit(base) * F.pow(F.lit(2.0), c("_l"))
-
-    def at_levels(df, prefix, first):
-        rows = df.withColumn("_l", F.explode(F.sequence(F.lit(first), whole)))
-        flat = [F.when(c("_l") < whole, F.floor(c(prefix + a) / size)).otherwise(F.lit(0).cast("bigint")).alias(f"_q{a}")
-                for a in "xyz"]
-        return rows.select("*", *flat)
-
-    key = ["frame_id", "_l", "_qx", "_qy", "_qz"]
-    filled = at_levels(pts, "", 0).groupBy(*key).agg(F.count("*").alias("_n")).where((c("_n") >= k) | (c("_l") == whole))
-    wanted = at_levels(centres, "c_", 0).join(filled.select(*key), key, "left_semi")
-    chosen = wanted.groupBy("frame_id", "centre_id", "c_x", "c_y", "c_z").agg(F.min("_l").alias("_found"))
-    # one level coarser: its cell side is at least the diagonal bound
-    search = chosen.withColumn("_l", F.least(c("_found") + 1, whole)).drop("_found")
-    for a in "xyz":
-        near = F.sequence(F.floor(c("c_" + a) / size) - 1, F.floor(c("c_" + a) / size) + 1)
-        at_top = F.array(F.lit(0).cast("bigint"))
-        search = search.withColumn(f"_q{a}", F.explode(F.when(c("_l") < whole, near).otherwise(at_top)))
-    used = search.select("frame_id", "_l").distinct()
-    by_level = pts.join(used, "frame_id").select("*", *[
-        F.when(c("_l") < whole, F.floor(c(a) / size)).otherwise(F.lit(0).cast("bigint")).alias(f"_q{a}") for a in "xyz"])
-    pairs = by_level.join(search, key).withColumn("d2", _distance2())
+    axes = ["x", "y", "z"]
+    cell = [f"_q{i}" for i in range(3)]
+    pts = cut_lineage(_keep_first_copies(points.select("frame_id", "point_id", *axes), k))
+    # a surface of n points fills about n / k cells of 2**bits squared; three steps go down to them
+    step = F.greatest(F.lit(1), F.round((F.log2(c("_n") / float(k)) / 2 + 1) / 3)).cast("int")
+    pts = cut_lineage(cl.with_cells(pts, axes, step * 3).withColumn("_step", (c("_bits") / 3).cast("int")).drop("_bits"))
+    levels = [pts.groupBy("frame_id", "_step", *cell).agg(F.count("*").alias("_n"), *cl.bounds(axes))]
+    for _ in range(2):
+        up = [F.expr(f"shiftright({q}, _step)").alias(q) for q in cell]
+        levels.append(levels[-1].groupBy("frame_id", "_step", *up).agg(F.sum("_n").alias("_n"), *cl.merged_bounds(axes)))
+    near, far = cl.nearest2(axes, "c_"), cl.farthest2(axes, "c_")
+    place = centres.select("frame_id", "centre_id", "c_x", "c_y", "c_z")
+    found = spread_join(place, ["frame_id"], c("centre_id"), levels[2].drop("_step"))
+    kept = _within_bound(found.withColumns({"_near": near, "_far": far}), k)
+    for nodes in (levels[1], levels[0]):
+        above = nodes.select("*", *[F.expr(f"shiftright({q}, _step)").alias("_p" + q) for q in cell]).drop("_step")
+        opened = kept.withColumnsRenamed({q: "_p" + q for q in cell}).join(above, ["frame_id", *["_p" + q for q in cell]])
+        kept = _within_bound(opened.withColumns({"_near": near, "_far": far}), k)
+    pairs = pts.join(kept, ["frame_id", *cell]).withColumn("d2", _distance2())
     w = Window.partitionBy("frame_id", "centre_id").orderBy("d2", "point_id")
     return (pairs.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
             .select("frame_id", "centre_id", "rank", "point_id", "d2"))

@@ -4,7 +4,7 @@ A plain window sends a whole key to one task. The helpers here split every key i
 ordered slices (``bucket``: any column that never decreases along the order), run the
 window inside ``(key, slice)`` and repair the slice borders with a small table that has
 one row per slice. Slices that depend only on the row itself (``id >> 20``, the hour of a
-time stamp) need no extra pass; ``value_slices`` derives them from the value range.
+time stamp) need no extra pass; ``value_slices`` derives them from counted values.
 """
 
 from __future__ import annotations
@@ -21,25 +21,46 @@ def _cols(keys: Keys) -> list[Column]:
     return [F.col(k) for k in keys]
 
 
+SALTS = 8
+
+
+def spread_join(rows: DataFrame, keys: Keys, spread: Column, per_key: DataFrame) -> DataFrame:
+    """Join of rows with a table of one or few rows a key: each key's rows are dealt over ``SALTS`` join
+    keys by the hash of ``spread``, and the small table travels in as many copies."""
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def value_slices(df: DataFrame, keys: Keys, value: str, rows_per_slice: int = 1 << 20,
                  out: str = "_slice") -> DataFrame:
-    """Add an order-preserving slice number: equal-width ranges of ``value`` per key,
-    as many as the key's row count needs."""
-    parts = F.struct(
-        F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"),
-        F.ceil(F.count("*") / F.lit(rows_per_slice)).alias("n"))
-    joined = with_group_value(df, keys, parts, "_range")
+    """Add an order-preserving slice number to the rows of each key.
+
+    Keys of more than ``rows_per_slice`` rows are cut at 63 percentiles of a sixteenth of their values, so
+    that a few far values leave even slices; very large slices are cut further by width. The
+    cuts only tune the cost: equal values always share a slice, and slices follow the values.
+    """
+    v = F.col(value).cast("double")
+    drawn = F.pmod(F.xxhash64(value), F.lit(16)) == 0
+    cuts = F.percentile_approx(F.when(drawn, v), [i / 64 for i in range(1, 64)], 1000)
+    big = F.count("*") > rows_per_slice
+    parts = F.struct(F.when(big, cuts).alias("cuts"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+                     F.ceil(F.count("*") / F.lit(64.0 * rows_per_slice)).alias("n"))
+    joined = with_group_value(df, keys, parts, "_range", value)
     r = F.col("_range")
-    span = F.greatest(r.hi - r.lo, F.lit(1e-300))
-    pos = F.floor((F.col(value).cast("double") - r.lo) / span * r.n)
-    return joined.withColumn(out, F.least(pos, r.n - 1)).drop("_range")
+    above = F.size(F.filter(r.cuts, lambda x: x <= v))
+    low, high = F.coalesce(F.get(r.cuts, above - 1), r.lo), F.coalesce(F.get(r.cuts, above), r.hi)
+    inside = F.least(F.floor((v - low) / F.greatest(high - low, F.lit(1e-300)) * r.n), r.n - 1)
+    slice_ = F.when(r.cuts.isNotNull(), above * r.n + inside).otherwise(0).cast("bigint")
+    return joined.withColumn(out, slice_).drop("_range")
 
 
-def with_group_value(df: DataFrame, keys: Keys, value: Column, out: str) -> DataFrame:
-    """Add an aggregate of each key's rows to the rows; without keys it is a scalar subquery."""
+def with_group_value(df: DataFrame, keys: Keys, value: Column, out: str, spread: str) -> DataFrame:
+    """Add an aggregate of each key's rows to the rows; a large key is dealt out by the hash of ``spread``.
+    Without keys the aggregate is a scalar subquery."""
     if not keys:
         return df.withColumn(out, df.agg(value.alias(out)).scalar())
-    return df.join(df.groupBy(*keys).agg(value.alias(out)), list(keys))
+    return spread_join(df, keys, F.col(spread), df.groupBy(*keys).agg(value.alias(out)))
 
 
 def with_row_number(df: DataFrame, keys: Keys, order: Sequence[Column], bucket: Column,
@@ -124,7 +145,7 @@ def exact_quantiles(df: DataFrame, keys: Keys, value: str, points: Sequence[floa
     """
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    counted = with_group_value(counted, keys, F.sum("_n"), "_total")
+    counted = with_group_value(counted, keys, F.sum("_n"), "_total", value)
     sliced = value_slices(counted, keys, value, out="_vs")
     ranked = with_running(sliced, keys, [value], F.col("_vs"), {"_upto": ("sum", "_n")}).drop("_vs")
     last = F.col("_upto") - 1
