@@ -83,15 +83,33 @@ def iou_rot(a, b):
     return area / (a.dx * a.dy + b.dx * b.dy - area)
 
 
-@pytest.mark.parametrize("bound", [10_000, 0])
-def test_suppression_in_groups_and_in_rounds(spark, bound):
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_suppression_with_and_without_leader_piles(spark, crowd):
+    """One frame with most rows, many of them copies of one box; several keys; ties."""
     pdf = random_dets(120, 2, 3, copies=60)
     df = spark.createDataFrame(pdf)
-    got = sp.suppress(df, ["frame_id"], "det_id", sp.rotated(0.2), group_bound=bound)
+    got = sp.suppress(df, ["frame_id"], "det_id", sp.rotated(0.2), crowd=crowd)
     assert sorted(r.det_id for r in got.collect()) == brute_nms(pdf, ["frame_id"], lambda k, r: iou_rot(k, r) > 0.2)
-    got = sp.suppress(df, ["frame_id", "name"], "det_id", sp.circle(9.0), group_bound=bound)
+    got = sp.suppress(df, ["frame_id", "name"], "det_id", sp.circle(9.0), crowd=crowd)
     circle = lambda k, r: (k.x - r.x) ** 2 + (k.y - r.y) ** 2 <= 9.0
     assert sorted(r.det_id for r in got.collect()) == brute_nms(pdf, ["frame_id", "name"], circle)
+    assert got.columns == df.columns
+
+
+def test_suppression_along_a_chain_and_of_nothing(spark):
+    """Every box overlaps the next one only, best first: every second one stays."""
+    pdf = random_dets(40, 1, 1).assign(y=0.0, yaw=0.0, dx=2.0, dy=2.0)
+    pdf = pdf.assign(x=pdf.det_id * 1.2, score=1.0 - pdf.det_id / 100)
+    df = spark.createDataFrame(pdf)
+    got = sp.suppress(df, ["frame_id"], "det_id", sp.axis_aligned(0.2))
+    assert sorted(r.det_id for r in got.collect()) == list(range(0, 40, 2))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # chains that no batch holds whole
+    try:
+        got = sp.suppress(df, ["frame_id"], "det_id", sp.axis_aligned(0.2))
+        assert sorted(r.det_id for r in got.collect()) == list(range(0, 40, 2))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sp.suppress(df.where("score > 2"), ["frame_id"], "det_id", sp.axis_aligned(0.2)).count() == 0
 
 
 def cloud(spark, n=600, seed=5, copies=200):

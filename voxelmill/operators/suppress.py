@@ -1,69 +1,61 @@
 """Greedy suppression of overlapping detections.
 
 The result equals the sequential rule "take the best remaining detection, drop everything
-it suppresses" with ties broken by id. Groups up to ``group_bound`` rows run vectorised,
-one task each. Larger groups run in rounds that never pair all their rows:
-
-* every detection is listed in the ground tiles it can interact in;
-* a detection that is the best of all its tiles cannot be suppressed and is kept;
-* each remaining detection is compared only with the kept ones in its tiles (at most one
-  per tile and round), so a pile of copies vanishes with its leader in one linear step.
-
-Rounds are cut by reliable checkpoints, so a lost executor repeats one round at most.
+it suppresses" with ties broken by id. All groups run together, by priority:
+
+* where tiles are crowded, every tile leader drops its own pile: a detection that is the best
+  of all its tiles cannot be suppressed, and the others are compared with these leaders only,
+  one or few a tile, so a pile of copies goes in one linear step;
+* the overlap graph of the rest links each detection to the better ones it overlaps;
+* in every round the detections without a better undecided neighbour are kept, and what they
+  overlap is dropped, until no link is left. A task runs the rounds on the links of each batch as
+  far as these allow; what depends on other batches waits for the next pass.
+
+Nothing is gathered by group, so a group of any size is treated alike. Passes are cut by
+reliable checkpoints, so a lost executor repeats one of them at most.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.functions import boxes as bx
-from voxelmill.functions.overlap import overlap_area, rectangle_overlap_area
+from voxelmill.functions.overlap import rectangle_overlap_area
 from voxelmill.operators import joins as jn
-from voxelmill.operators.batches import group_ids, map_groups
 from voxelmill.operators.topk import top_per_group
 from voxelmill.session import cut_lineage
-from voxelmill.skew import split_by_group_size
 
 c = F.col
+CELL = 64.0  # side of the ground cells whose links a task decides together
 GEOMETRY = ["x", "y", "z", "dx", "dy", "dz", "yaw"]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """When a kept detection suppresses another one: reach on the ground (column bounds of
-    the tiles), the vectorised test, and the same test as a column on ``k_`` and plain names."""
+    """When a kept detection suppresses another one: reach on the ground (column bounds of the
+    tiles), and the test as a column on ``k_`` (the kept one) and plain names."""
 
     bounds: Callable[[], list[Column]]
-    hits: Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
     test: Callable[[], Column]
 
 
-def _flat_iou(area: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return area / np.maximum(a + b - area, 1e-8)
-
-
 def rotated(threshold: float) -> Rule:
     """Ground IoU of turned rectangles above the threshold."""
 
-    def hits(a, b):
-        cols = ("x", "y", "dx", "dy", "yaw")
-        area = overlap_area(*[a[k] for k in cols], *[b[k] for k in cols])
-        return _flat_iou(area, a["dx"] * a["dy"], b["dx"] * b["dy"]) > threshold
-
     def test():
         cols = ("x", "y", "dx", "dy", "yaw")
         area = rectangle_overlap_area(*[c("k_" + k) for k in cols], *[c(k) for k in cols])
         total = c("k_dx") * c("k_dy") + c("dx") * c("dy")
         return area / F.greatest(total - area, F.lit(1e-8)) > threshold
 
-    return Rule(lambda: bx.bev_bounds(bx.box()), hits, test)
+    return Rule(lambda: bx.bev_bounds(bx.box()), test)
 
 
 def _axis_bounds() -> list[Column]:
@@ -71,112 +63,135 @@ def _axis_bounds() -> list[Column]:
     return [b[0], b[1], b[3], b[4]]
 
 
-def _axis_overlap(a, b, axes):
-    inter = 1.0
-    for k, d, centred in axes:
-        low_a, low_b = (a[k] - a[d] / 2, b[k] - b[d] / 2) if centred else (a[k], b[k])
-        inter = inter * np.maximum(np.minimum(low_a + a[d], low_b + b[d]) - np.maximum(low_a, low_b), 0.0)
-    return inter
-
-
 def axis_aligned(threshold: float) -> Rule:
     """Ground IoU of the unrotated rectangles above the threshold."""
-    axes = (("x", "dx", True), ("y", "dy", True))
-
-    def hits(a, b):
-        inter = _axis_overlap(a, b, axes)
-        return _flat_iou(inter, a["dx"] * a["dy"], b["dx"] * b["dy"]) > threshold
 
     def test():
         a, b = jn.box_bounds_3d(bx.box("k_")), jn.box_bounds_3d(bx.box())
         iou, _ = jn.aabb_iou([a[0], a[1], a[3], a[4]], [b[0], b[1], b[3], b[4]], 1e-8)
         return iou > threshold
 
-    return Rule(_axis_bounds, hits, test)
+    return Rule(_axis_bounds, test)
 
 
 def aligned_3d(threshold: float) -> Rule:
     """3D IoU of axis-aligned boxes above the threshold; classes are separated by the key."""
-    axes = (("x", "dx", True), ("y", "dy", True), ("z", "dz", False))
-
-    def hits(a, b):
-        inter = _axis_overlap(a, b, axes)
-        va, vb = (m["dx"] * m["dy"] * m["dz"] for m in (a, b))
-        return inter / (va + vb - inter) > threshold
 
     def test():
         iou, _ = jn.aabb_iou(jn.box_bounds_3d(bx.box("k_")), jn.box_bounds_3d(bx.box()), 0.0)
         return iou > threshold
 
-    return Rule(_axis_bounds, hits, test)
+    return Rule(_axis_bounds, test)
 
 
 def circle(threshold: float) -> Rule:
     """Squared centre distance at most ``threshold``."""
     half = math.sqrt(threshold) / 2 + 1e-9
 
-    def hits(a, b):
-        return (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 <= threshold
-
     def test():
         dx, dy = c("k_x") - c("x"), c("k_y") - c("y")
         return dx * dx + dy * dy <= threshold
 
-    return Rule(lambda: [c("x") - half, c("y") - half, c("x") + half, c("y") + half], hits, test)
+    return Rule(lambda: [c("x") - half, c("y") - half, c("x") + half, c("y") + half], test)
 
 
-def suppress(dets: DataFrame, keys: Sequence[str], ident: str, rule: Rule, tile: float = 4.0,
-             group_bound: int = 20_000) -> DataFrame:
-    """Kept detections of every group, with all their columns."""
-    keys = list(keys)
-    small, big = split_by_group_size(dets, keys, group_bound)
-    hits = rule.hits  # only the numpy test travels to the workers
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All groups at once: each step takes the best remaining row of every group."""
-        g = {k: pdf[k].to_numpy(float) for k in GEOMETRY}
-        gid = group_ids(pdf, keys)
-        alive, kept = np.ones(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=bool)
-        leader = np.zeros(gid[-1] + 1, dtype=np.int64)
-        while alive.any():
-            idx = np.flatnonzero(alive)
-            groups, first = np.unique(gid[idx], return_index=True)
-            leader[groups] = idx[first]
-            kept[idx[first]] = True
-            alive[idx[first]] = False
-            idx = np.flatnonzero(alive)
-            lead = leader[gid[idx]]
-            hit = hits({k: v[lead] for k, v in g.items()}, {k: v[idx] for k, v in g.items()})
-            alive[idx[hit]] = False
-        return pdf[kept]
-
-    done = map_groups(small, keys, [c("score").desc(), c(ident)], greedy, dets.schema)
-    if big.isEmpty():
-        return done
-    return done.unionByName(suppress_rounds(big, keys, ident, rule, tile))
-
-
-def suppress_rounds(dets: DataFrame, keys: Sequence[str], ident: str, rule: Rule, tile: float) -> DataFrame:
-    """Tile rounds for groups of any size (see the module text)."""
+def suppress(dets: DataFrame, keys: Sequence[str], ident: str, rule: Rule, tile: float = 4.0, crowd: int = 32) -> DataFrame:
+    """Kept detections of every group, with all their columns. While the tiles hold more than ``crowd``
+    pairs a detection, leaders thin them out first; ``tile`` and ``crowd`` only tune the cost."""
     keys = list(keys)
     row = [*keys, ident]
+    named = cut_lineage(dets.withColumn("_b", F.array(*rule.bounds())))
+    rest, gone = named.select(*row, "score", *GEOMETRY, "_b"), []
+    while _crowded(rest, keys, tile, crowd):
+        leaders, lost = _leader_piles(rest, keys, ident, rule, tile)
+        marked = rest.join(leaders.unionByName(lost), row, "left")
+        marked = cut_lineage(marked)
+        gone.append(marked.where("_lost").select(*row))
+        rest = marked.where("_lost IS NULL").drop("_lost")
+    links = cut_lineage(_links(rest, keys, ident, rule, tile))
+    while True:
+        links = cut_lineage(_decide(links, keys))
+        lost, links = links.where("w IS NULL").select(*keys, "l"), links.where("w IS NOT NULL").select(*keys, "l", "w", "_cell")
+        gone.append(lost.withColumnRenamed("l", ident))
+        if links.isEmpty():
+            break
+        for end in ("l", "w"):
+            links = links.join(lost.withColumnRenamed("l", end), [*keys, end], "left_anti")
+    for lost in gone:
+        named = named.join(lost, row, "left_anti")
+    return named.select(*dets.columns)
+
+
+def _tiles(rows: DataFrame, tile: float) -> DataFrame:
+    return jn.spread_tiles(rows, c("_b")[0], c("_b")[1], c("_b")[2], c("_b")[3], tile)
+
+
+def _crowded(rest: DataFrame, keys: list[str], tile: float, crowd: int) -> bool:
+    """Whether pairing the rows of each tile would list more than ``crowd`` pairs a row."""
+    sizes = _tiles(rest, tile).groupBy(*keys, "_tx", "_ty").agg(F.count("*").cast("double").alias("n"))
+    pairs = sizes.agg(F.sum(c("n") * (c("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+    return bool(pairs.pairs and pairs.pairs > crowd * pairs.rows)
+
+
+def _leader_piles(rest: DataFrame, keys: list[str], ident: str, rule: Rule, tile: float) -> tuple[DataFrame, DataFrame]:
+    """Rows that lead all their tiles, and the rows that these suppress, with the flag ``_lost``."""
+    row, at = [*keys, ident], [*keys, "_tx", "_ty"]
+    listed = _tiles(rest, tile)
+    best = listed.groupBy(*at).agg(F.max(F.struct(c("score"), (-c(ident)).alias("_neg"))).alias("_top"))
+    ahead = listed.join(best, at).groupBy(*row).agg(F.min((-c("_top._neg") == c(ident)).cast("int")).alias("_wins"))
+    won = cut_lineage(rest.join(ahead.where(c("_wins") == 1).select(*row), row, "left_semi"))
+    near = _tiles(won, tile).select(*at, c(ident).alias("k_id"), *[c(g).alias("k_" + g) for g in GEOMETRY])
+    lost = listed.select(*row, "_tx", "_ty", *GEOMETRY).join(near, at).where(c("k_id") != c(ident)).where(rule.test())
+    return won.select(*row, F.lit(False).alias("_lost")), lost.select(*row).distinct().withColumn("_lost", F.lit(True))
+
+
+def _links(rest: DataFrame, keys: list[str], ident: str, rule: Rule, tile: float) -> DataFrame:
+    """(keys, l, w, _cell): l, which lies in a ground cell, is suppressed if w is kept. A pair is listed in the tile of
+    its first common corner."""
     at = [*keys, "_tx", "_ty"]
-    named = dets.withColumn("_b", F.array(*rule.bounds()))
-    rest = cut_lineage(named)
-    kept = None
-    while not rest.isEmpty():
-        listed = jn.spread_tiles(rest, c("_b")[0], c("_b")[1], c("_b")[2], c("_b")[3], tile)
-        best = listed.groupBy(*at).agg(F.max(F.struct(c("score"), (-c(ident)).alias("_neg"))).alias("_top"))
-        ahead = listed.join(best, at).groupBy(*row).agg(F.min((-c("_top._neg") == c(ident)).cast("int")).alias("_wins"))
-        won = cut_lineage(rest.join(ahead.where(c("_wins") == 1).select(*row), row, "left_semi"))
-        kept = won if kept is None else kept.unionByName(won)
-        leaders = jn.spread_tiles(won, c("_b")[0], c("_b")[1], c("_b")[2], c("_b")[3], tile).select(
-            *at, c(ident).alias("k_id"), *[c(g).alias("k_" + g) for g in GEOMETRY])
-        lost = (listed.select(*row, "_tx", "_ty", *GEOMETRY).join(leaders, at).where(c("k_id") != c(ident))
-                .where(rule.test()).select(*row).distinct())
-        gone = won.select(*row).unionByName(lost)
-        rest = cut_lineage(rest.join(gone, row, "left_anti"))
-    return kept.drop("_b")
+    better = _tiles(rest, tile).select(*at, c(ident).alias("w"), c("score").alias("k_score"), c("_b").alias("k_b"), *[c(g).alias("k_" + g) for g in GEOMETRY])
+    pairs = _tiles(rest, tile).withColumnRenamed(ident, "l").join(better, at)
+    ahead = (c("k_score") > c("score")) | ((c("k_score") == c("score")) & (c("w") < c("l")))
+    first = [F.floor(F.greatest(c("_b")[i], c("k_b")[i]) / tile) for i in (0, 1)]
+    return pairs.where(ahead & (c("_tx") == first[0]) & (c("_ty") == first[1])).where(rule.test()).select(
+        *keys, "l", "w", F.struct(F.floor(c("x") / CELL).alias("x"), F.floor(c("y") / CELL).alias("y")).alias("_cell"))
+
+
+def _decide(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Priority rounds inside the Arrow batches of the links, which lie together by ground cell.
+
+    A batch knows which winners are no losers anywhere (these are kept) and how many links each loser has,
+    so whatever part of the graph it holds, it decides only what it can be sure of. Dropped rows come back
+    without ``w``, links between rows that are still undecided stay for the next pass.
+    """
+    losers = links.select(*keys, c("l").alias("w")).distinct().withColumn("_doubt", F.lit(True))
+    known = links.withColumn("_all", F.count("*").over(Window.partitionBy(*keys, "l"))).join(losers, [*keys, "w"], "left")
+    known = known.select(*keys, "l", "w", "_cell", c("_doubt").isNull().alias("_free"), "_all")
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            group = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            ends = pd.DataFrame({"g": np.tile(group, 2), "i": np.concatenate([pdf.l.to_numpy(), pdf.w.to_numpy()])})
+            node = ends.groupby(["g", "i"], sort=False).ngroup().to_numpy()
+            lose, win = node[: len(pdf)], node[len(pdf) :]
+            count = node.max(initial=-1) + 1
+            kept, lost = np.zeros(count, bool), np.zeros(count, bool)
+            kept[win[pdf._free.to_numpy()]] = True
+            links_of = np.zeros(count, np.int64)
+            links_of[lose] = pdf._all.to_numpy()
+            before = -1
+            while before != kept.sum() + lost.sum():
+                before = kept.sum() + lost.sum()
+                lost[lose[kept[win]]] = True
+                beaten = np.bincount(lose[lost[win]], minlength=count)
+                kept |= (links_of > 0) & (beaten == links_of) & ~lost
+            first = ~pd.Series(lose).duplicated().to_numpy() & lost[lose]
+            open_ = ~lost[lose] & ~kept[lose] & ~lost[win]
+            pdf = pdf[[*keys, "l", "w", "_cell"]].astype({"w": "Int64"})
+            yield pd.concat([pdf[first].assign(w=pd.NA).astype({"w": "Int64"}), pdf[open_]])
+
+    near = known.repartition(*keys, "_cell").sortWithinPartitions(*keys, "_cell")
+    return near.mapInPandas(decide, links.select(*keys, "l", "w", "_cell").schema)
 
 
 def nms(dets: DataFrame, keys: Sequence[str], ident: str, rule: Rule, pre_max: int | None = None,
