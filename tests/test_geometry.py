@@ -180,20 +180,28 @@ def test_ball_query_pads_with_first_hit_and_zero(spark):
     assert [got[(1, s)] for s in range(4)] == [0, 0, 0, 0]
 
 
-@pytest.mark.parametrize("bound", [10_000, 0])
-def test_farthest_points_in_groups_and_in_rounds(spark, bound):
-    pdf = pd.concat([cloud(spark, 60, s, 0).assign(frame_id=s) for s in (1, 2)])
-    got = sm.farthest_point_sample(spark.createDataFrame(pdf), 6, group_bound=bound).toPandas()
+@pytest.mark.parametrize("bits", [12, 3])
+def test_farthest_points_with_fine_and_coarse_cells(spark, bits):
+    """A crowded frame with copies, a small one and one with fewer points than picks; coarse cells need many passes."""
+    parts = [cloud(spark, 900, 1, 80).assign(frame_id=1), cloud(spark, 60, 2, 0).assign(frame_id=2), cloud(spark, 3, 3, 0).assign(frame_id=3)]
+    pdf = pd.concat(parts).round({"x": 1, "y": 1, "z": 1})  # ties
+    got = sm.farthest_point_sample(spark.createDataFrame(pdf), 9, cell_bits=bits).toPandas()
     for frame, part in pdf.groupby("frame_id"):
         f = part[["x", "y", "z"]].to_numpy()
         idx, best = [0], np.full(len(f), np.inf)
-        for _ in range(5):
+        for _ in range(min(9, len(f)) - 1):
             best = np.minimum(best, ((f - f[idx[-1]]) ** 2).sum(1))
             idx.append(int(best.argmax()))
         want = part.point_id.to_numpy()[idx].tolist()
         assert got[got.frame_id == frame].sort_values("rank").point_id.tolist() == want
 
 
+def test_farthest_features_of_nothing(spark):
+    df = spark.createDataFrame(cloud(spark, 30, 4, 0))
+    assert sm.farthest_point_sample(df.where("x > 100"), 4, ("x", "y", "z", "intensity")).count() == 0
+    assert sm.farthest_point_sample(df, 4, ("x", "y", "z", "intensity")).count() == 4
+
+
 def test_optimal_assignment_against_all_permutations():
     rng = np.random.default_rng(2)
     for _ in range(20):

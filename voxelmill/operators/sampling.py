@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import boxes as bx
 from voxelmill.functions.random import draw, hash_uniform, slice_of, uniform
+from voxelmill.operators import cells as cl
 from voxelmill.operators import joins as jn
 from voxelmill.operators import voxels as vx
 from voxelmill.operators.batches import group_ids, map_groups
 from voxelmill.session import cut_lineage
-from voxelmill.skew import exact_quantiles, split_by_group_size, value_slices, with_lag, with_row_number, with_running
+from voxelmill.skew import exact_quantiles, split_by_group_size, spread_join, value_slices, with_lag, with_row_number, with_running
 
 c = F.col
 
@@ -174,69 +175,91 @@ def voxel_point_sample(points: DataFrame, g: vx.VoxelGrid, max_points: int, max_
 
 # Farthest point sampling ------------------------------------------------------------------
 
-def farthest_point_sample(points: DataFrame, m: int, features: Sequence[str] = ("x", "y", "z"),
-                          group_bound: int = 100_000) -> DataFrame:
+def farthest_point_sample(points: DataFrame, m: int, features: Sequence[str] = ("x", "y", "z"), cell_bits: int = 12) -> DataFrame:
     """``m`` points per frame, each the farthest from those already chosen, starting at the
-    lowest point id.
+    lowest point id; ties take the lowest id.
 
-    Frames up to ``group_bound`` points run as one vectorised group each. Larger frames run
-    as ``m`` rounds over all their points: one update column and one aggregate per round.
+    The points of a frame lie in at most ``2**cell_bits`` cells, in one each where that many suffice; a cell is
+    known by its farthest point and its bounds. A task picks from these as long as no cell can hide a farther point: what a new
+    pick leaves of a cell is bounded by the pick's distance to the cell's far side. So one pass over the
+    points gives many picks; only frames that need more get another one, in which points meet
+    the new picks. Memory holds the cells of some frames, never their points.
     """
     features = list(features)
-    points = points.select("frame_id", "point_id", *features)
-    small, big = split_by_group_size(points, ["frame_id"], group_bound)
-
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All frames of the batch at once: one farthest point per frame and step."""
-        feats, gid = pdf[features].to_numpy(float), group_ids(pdf, ["frame_id"])
-        starts = np.searchsorted(gid, np.arange(gid[-1] + 1))
-        sizes = np.diff(np.append(starts, len(pdf)))
-        best, last = np.full(len(pdf), 1e10), starts.copy()
-        picks = [(last, np.zeros(len(last), dtype=np.int64))]
-        for rank in range(1, m):
-            diff = feats - feats[last][gid]
-            best = np.minimum(best, (diff * diff).sum(axis=1))
-            top = best == np.maximum.reduceat(best, starts)[gid]
-            where = np.flatnonzero(top)
-            last = where[np.unique(gid[where], return_index=True)[1]]
-            open_ = sizes > rank
-            picks.append((last[open_], np.full(int(open_.sum()), rank)))
-        rows, ranks = (np.concatenate(p) for p in zip(*picks))
-        return pd.DataFrame({"frame_id": pdf.frame_id.to_numpy()[rows], "rank": ranks,
-                             "point_id": pdf.point_id.to_numpy()[rows]})
-
-    schema = "frame_id bigint, rank bigint, point_id bigint"
-    done = map_groups(small, ["frame_id"], [c("point_id")], sample, schema)
-    if big.isEmpty():
-        return done
-    return done.unionByName(_fps_rounds(big, m, features))
-
-
-def _fps_rounds(points: DataFrame, m: int, features: Sequence[str]) -> DataFrame:
-    """Distributed rounds for frames of any size; the winners table has one row per frame."""
-    def winner(df, score):
-        return df.groupBy("frame_id").agg(F.max(F.struct(score.alias("_s"), (-c("point_id")).alias("_neg"),
-                                                         *[c(f) for f in features])).alias("_w"))
-
-    def unpack(w, rank):
-        return w.select("frame_id", F.lit(rank).cast("bigint").alias("rank"), (-c("_w._neg")).alias("point_id"),
-                        *[c(f"_w.{f}").alias("w_" + f) for f in features])
-
-    state = points.withColumn("_d", F.lit(1e10))
-    last = cut_lineage(unpack(winner(state, F.lit(0.0)), 0))
-    chosen = last
-    for rank in range(1, m):
-        d2 = None
-        for f in features:
-            term = (c(f) - c("w_" + f)) * (c(f) - c("w_" + f))
-            d2 = term if d2 is None else d2 + term
-        state = (state.join(last.drop("rank").withColumnRenamed("point_id", "_wp"), "frame_id")
-                 .withColumn("_d", F.least(c("_d"), d2)).select("frame_id", "point_id", *features, "_d"))
-        if rank % 8 == 0:
-            state = cut_lineage(state)
-        last = cut_lineage(unpack(winner(state, c("_d")), rank))
-        chosen = chosen.unionByName(last)
-    return chosen.select("frame_id", "rank", "point_id")
+    axis_bits = F.when(c("_n") <= 1 << cell_bits, 0).otherwise(cell_bits // len(features))
+    cell = ["_own", *[f"_q{i}" for i in range(len(features))]]
+    state = cl.with_cells(cut_lineage(points.select("frame_id", "point_id", *features)), features, axis_bits)
+    state = state.withColumn("_own", F.when(c("_bits") == 0, c("point_id"))).drop("_bits")
+    state = cut_lineage(state.withColumns({"_d": F.lit(1e10), "_have": F.lit(0).cast("bigint")}))
+    chosen = None
+    while True:
+        farthest = F.max(F.struct(c("_d"), (-c("point_id")).alias("_neg"), *[c(f) for f in features]))
+        cells = state.groupBy("frame_id", *cell).agg(farthest.alias("_top"), F.count("*").alias("_n"), F.max("_have").alias("_have"), *cl.bounds(features))
+        cells = cells.select("frame_id", "_n", "_have", c("_top._d").alias("_d"), (-c("_top._neg")).alias("point_id"), *[c(f"_top.{f}").alias(f) for f in features],
+                             *["_lo_" + f for f in features], *["_hi_" + f for f in features])
+        schema = "frame_id bigint, rank bigint, point_id bigint, " + ", ".join(f"{f} double" for f in features)
+        picks = cut_lineage(map_groups(cells, ["frame_id"], [c("point_id")], lambda pdf: _pick_from_cells(pdf, m, features), schema))
+        new = picks.where("rank >= 0")
+        chosen = new if chosen is None else chosen.unionByName(new)
+        more = picks.where("rank < 0")  # frames that are not done
+        if more.isEmpty():
+            return chosen.select("frame_id", "rank", "point_id")
+        met = new.join(more.select("frame_id"), "frame_id", "left_semi").groupBy("frame_id").agg(
+            F.collect_list(F.struct(*features)).alias("_new"), (F.max("rank") + 1).alias("_upto"))  # at most m picks
+        state = spread_join(state, ["frame_id"], c("point_id"), met)
+
+        def apart(p, q):
+            return sum(((p[f] - q[f]) * (p[f] - q[f]) for f in features[1:]), (p[features[0]] - q[features[0]]) * (p[features[0]] - q[features[0]]))
+
+        here = {f: c(f) for f in features}
+        nearest = F.array_min(F.transform("_new", lambda q: apart(here, q)))
+        state = cut_lineage(state.withColumns({"_d": F.least(c("_d"), nearest), "_have": c("_upto")}).drop("_new", "_upto"))
+
+
+def _pick_from_cells(pdf: pd.DataFrame, m: int, features: list[str]) -> pd.DataFrame:
+    """Picks of many frames at once from their cells, sorted by frame and point id; rank -1 marks a frame
+    whose next pick needs a look at the points."""
+    gid = group_ids(pdf, ["frame_id"])
+    starts = np.searchsorted(gid, np.arange(gid[-1] + 1))
+    feats, low, high = (pdf[[p + f for f in features]].to_numpy(float) for p in ("", "_lo_", "_hi_"))
+    best, alone = pdf._d.to_numpy(float).copy(), pdf._n.to_numpy() == 1
+    bound = best.copy()  # no point of the cell is farther than this
+    have = pdf._have.to_numpy()[starts]
+    want = np.minimum(m, np.add.reduceat(pdf._n.to_numpy(), starts))
+    going = have < want
+    out = []
+    while going.any():
+        most = np.maximum.reduceat(best, starts)
+        hidden = np.maximum.reduceat(np.where(best < bound, bound, -1.0), starts)
+        going &= most > hidden
+        rows = np.flatnonzero((best == most[gid]) & going[gid])
+        rows = rows[np.unique(gid[rows], return_index=True)[1]]
+        if not len(rows):
+            break
+        frames = gid[rows]
+        out.append((rows, have[frames].copy()))
+        have[frames] += 1
+        last = np.zeros(len(starts), np.int64)
+        last[frames] = rows
+        at = np.flatnonzero(going[gid])
+        pick = feats[last[gid[at]]]
+        gap, far = feats[at] - pick, np.maximum(np.abs(low[at] - pick), np.abs(high[at] - pick))
+        best[at] = np.minimum(best[at], _sum_squares(gap))
+        bound[at] = np.where(alone[at], best[at], np.minimum(bound[at], _sum_squares(far)))
+        going &= have < want
+    open_ = np.flatnonzero(have < want)
+    rows = np.concatenate([r for r, _ in out] + [starts[open_]]).astype(np.int64)
+    ranks = np.concatenate([k for _, k in out] + [np.full(len(open_), -1)]).astype(np.int64)
+    done = pd.DataFrame({"frame_id": pdf.frame_id.to_numpy()[rows], "rank": ranks, "point_id": pdf.point_id.to_numpy()[rows]})
+    return done.assign(**{f: feats[rows, i] for i, f in enumerate(features)})
+
+
+def _sum_squares(gaps: np.ndarray) -> np.ndarray:
+    """Summed axis after axis, as the column expressions do."""
+    total = gaps[:, 0] * gaps[:, 0]
+    for i in range(1, gaps.shape[1]):
+        total = total + gaps[:, i] * gaps[:, i]
+    return total
 
 
 # Objects ----------------------------------------------------------------------------------
