@@ -186,3 +186,54 @@ def test_clipped_bounds():
     tri = np.array([[-10.0, 5.0], [10.0, -15.0], [10.0, 25.0]])
     assert tk.clipped_bounds(tri, 20.0, 10.0) == [0.0, 0.0, 10.0, 10.0]
     assert tk.clipped_bounds(tri + 100, 20.0, 10.0) is None
+
+
+def numpy_pose(t, roll, pitch, yaw):
+    x = np.array([[1, 0, 0], [0, np.cos(roll), -np.sin(roll)], [0, np.sin(roll), np.cos(roll)]])
+    y = np.array([[np.cos(pitch), 0, np.sin(pitch)], [0, 1, 0], [-np.sin(pitch), 0, np.cos(pitch)]])
+    z = np.array([[np.cos(yaw), -np.sin(yaw), 0], [np.sin(yaw), np.cos(yaw), 0], [0, 0, 1]])
+    out = np.eye(4)
+    out[:3, :3], out[:3, 3] = z @ y @ x, t
+    return out
+
+
+def test_nearest_records_and_full_chain(spark):
+    """The nearest record of another sensor over slices of an hour, with ties, and its pose with roll and pitch."""
+    rng = np.random.default_rng(4)
+    n = 400
+    pdf = pd.DataFrame({"scene_id": rng.choice([0, 0, 0, 1], n), "channel": rng.choice(["top", "cam", "radar"], n), "record_id": rng.permutation(n),
+                        "timestamp": rng.integers(0, 60, n) * 600_000_000, **{k: rng.normal(size=n) for k in ("tx", "ty", "tz", "roll", "pitch", "yaw")}})
+    pdf = pd.concat([pdf, pdf[pdf.channel == "top"].head(3).assign(scene_id=7, record_id=[900, 901, 902])])  # no camera there
+    mounts = {"top": (0.5, 0.1, 1.8, 0.1, -0.2, 0.3), "cam": (1.0, -0.4, 1.2, -1.5, 0.2, 0.7)}
+    pairs = ix.nearest_records(spark.createDataFrame(pdf), ["scene_id"], c("channel") == "top", c("channel") == "cam",
+                               ["channel", "tx", "ty", "tz", "roll", "pitch", "yaw"])
+    got = {r.record_id: r for r in ix.sensor_to_lidar(pairs, mounts, "top").collect()}
+    tops, cams = pdf[(pdf.channel == "top") & (pdf.scene_id < 7)], pdf[pdf.channel == "cam"]
+    assert sorted(got) == sorted(tops.record_id)
+    for a in tops.itertuples():
+        def rank(b, a=a):
+            later = (b.timestamp, b.record_id) > (a.timestamp, a.record_id)
+            return abs(a.timestamp - b.timestamp), later, b.record_id if later else -b.record_id
+        b = min(cams[cams.scene_id == a.scene_id].itertuples(), key=rank)
+        assert got[a.record_id].s_record_id == b.record_id
+        ego = [numpy_pose((r.tx, r.ty, r.tz), r.roll, r.pitch, r.yaw) for r in (a, b)]
+        on = [numpy_pose(mounts[k][:3], *mounts[k][3:]) for k in ("top", "cam")]
+        assert np.allclose(got[a.record_id].pose, np.linalg.inv(on[0]) @ np.linalg.inv(ego[0]) @ ego[1] @ on[1])
+
+
+def test_rays_enter_and_leave_the_grid(spark):
+    """Far points, rays along an axis, beside the grid and from outside it give the cells of plain sampling."""
+    far = [(0, 90_000.0, 10.0), (1, 5.0, 2.0), (2, -300.0, 2.0), (3, 0.0, 900.0), (4, 0.0, -55.5), (5, 700.0, -690.0), (6, 1.0, 2.5)]
+    df = spark.createDataFrame([(f, 0, x, y) for f, x, y in far], "frame_id bigint, point_id bigint, x double, y double")
+    grid = CANONICAL_GRID
+    for origin in ((0.0, 2.0), (-20.0, 0.5)):
+        got = {(r.frame_id, r.row, r.col) for r in rs.observed_rays(df, origin, grid).collect()}
+        want = set()
+        for f, x, y in far:
+            dx, dy = x - origin[0], y - origin[1]
+            k = max(int(np.ceil(np.sqrt(dx * dx + dy * dy) / (grid.cell * 0.5))) + 1, 2)
+            t = np.arange(k) / (k - 1)
+            px, py = dx * t + origin[0], dy * t + origin[1]
+            ok = (px >= grid.x0) & (px < grid.x1) & (py >= grid.y0) & (py < grid.y1)
+            want |= {(f, int(r), int(q)) for r, q in zip(np.floor((px[ok] - grid.x0) / grid.cell), np.floor((py[ok] - grid.y0) / grid.cell))}
+        assert got == want

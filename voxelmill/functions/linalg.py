@@ -110,3 +110,23 @@ def yaw_pose(tx: Column, ty: Column, yaw: Column, tz: Column | float = 0.0) -> M
 def relative_pose(current: Mat, history: Mat) -> Mat:
     """Transform from the history frame to the current frame: ``inv(current) @ history``."""
     return matmul(rigid_inverse(current), history)
+
+
+def euler_pose(t: list[Column], roll: Column, pitch: Column, yaw: Column) -> Mat:
+    """4x4 pose that turns about x, then y, then z, and then shifts."""
+    cr, sr, cp, sp, cy, sy = F.cos(roll), F.sin(roll), F.cos(pitch), F.sin(pitch), F.cos(yaw), F.sin(yaw)
+    turn = [
+        [cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr],
+        [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr],
+        [-sp, cp * sr, cp * cr],
+    ]
+    return [[*row, v] for row, v in zip(turn, t)] + lit_matrix([[0, 0, 0, 1]])
+
+
+def with_chain(df: DataFrame, poses: list[Mat], out: str) -> DataFrame:
+    """Add the product of poses as ``array<array<double>>``; one projection a product, so that no term is
+    computed twice."""
+    df = df.withColumn(out, to_array(poses[0]))
+    for pose in poses[1:]:
+        df = df.withColumn("_next", to_array(pose)).withColumn(out, to_array(matmul(from_array(out, 4, 4), from_array("_next", 4, 4)))).drop("_next")
+    return df

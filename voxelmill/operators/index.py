@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.functions import linalg as la
-from voxelmill.skew import with_lag, with_row_number
+from voxelmill.skew import with_lag, with_row_number, with_running
 
 c = F.col
 HOUR_US = 3_600_000_000
@@ -124,3 +124,42 @@ def even_subsample(points: DataFrame, at_most: int) -> DataFrame:
     nth = F.ceil(c("point_id") * (at_most - 1) / gaps)
     hit = F.floor(nth * gaps / F.lit(at_most - 1)) == c("point_id")
     return points.join(counts, "frame_id").where((c("_n") <= at_most) | hit).drop("_n")
+
+
+def nearest_records(records: DataFrame, keys: Sequence[str], target: Column, sensor: Column, cols: Sequence[str]) -> DataFrame:
+    """As-of join of two record streams: every row of ``target`` with the ``sensor`` row of its key that is nearest
+    in time, its columns named ``s_``; of two equally near ones the earlier, and of records of one time the
+    one next to the target in the order of (timestamp, id).
+
+    Both streams run through one ordered pass in each direction that carries the last sensor row, in slices of
+    an hour, so that a long key is no single task. Targets of keys without a sensor row are dropped.
+    """
+    rest = [n for n in cols if n not in ("timestamp", "record_id")]
+    packed = F.when(sensor, F.struct("timestamp", "record_id", *rest))
+    back = F.when(sensor, F.struct((-c("timestamp")).alias("_nt"), (-c("record_id")).alias("_nr"), *rest))
+    both = records.where(target | sensor).withColumns({"_before": packed, "_after": back, "_nt": -c("timestamp"), "_nr": -c("record_id")})
+    seen = with_running(both, keys, ["timestamp", "record_id"], F.floor(c("timestamp") / HOUR_US), {"_last": ("max", "_before")})
+    seen = with_running(seen, keys, ["_nt", "_nr"], F.floor(c("_nt") / HOUR_US), {"_next": ("max", "_after")})
+    late = (-c("_next._nt")) - c("timestamp")
+    early = c("timestamp") - c("_last.timestamp")
+    use_last = c("_next").isNull() | (early <= late)
+    found = {"s_timestamp": F.when(use_last, c("_last.timestamp")).otherwise(-c("_next._nt")), "s_record_id": F.when(use_last, c("_last.record_id")).otherwise(-c("_next._nr"))}
+    found |= {f"s_{n}": F.when(use_last, c(f"_last.{n}")).otherwise(c(f"_next.{n}")) for n in rest}
+    matched = seen.where(target & (c("_last").isNotNull() | c("_next").isNotNull()))
+    return matched.withColumns(found).drop("_before", "_after", "_last", "_next", "_nt", "_nr")
+
+
+def sensor_to_lidar(pairs: DataFrame, mounts: dict[str, Sequence[float]], lidar: str, out: str = "pose") -> DataFrame:
+    """Pose of a sensor in the LiDAR's frame: sensor to its ego, to the world, to the ego at the LiDAR's time, to
+    the LiDAR. ``mounts``: for each channel x, y, z, roll, pitch, yaw on the vehicle; ego poses are the columns
+    ``tx ty tz roll pitch yaw``, those of the sensor's time with ``s_``. Channels without a mount give null."""
+    def mount(channel: Column) -> list[Column]:
+        return [F.coalesce(*[F.when(channel == name, F.lit(float(m[i]))) for name, m in mounts.items()]) for i in range(6)]
+
+    def ego(prefix: str) -> la.Mat:
+        return la.euler_pose([c(prefix + n) for n in ("tx", "ty", "tz")], *[c(prefix + n) for n in ("roll", "pitch", "yaw")])
+
+    on = mount(c("s_channel"))
+    at = [F.lit(float(x)) for x in mounts[lidar]]
+    return la.with_chain(pairs, [
+        la.rigid_inverse(la.euler_pose(at[:3], *at[3:])), la.rigid_inverse(ego("")), ego("s_"), la.euler_pose(on[:3], *on[3:])], out)

@@ -105,12 +105,28 @@ def farthest_per_azimuth(points: DataFrame, origin: Sequence[float], degrees: fl
     return best.select("frame_id", "bin", (-c("m.neg")).alias("point_id"), c("m.r").alias("range"), "m.dx", "m.dy")
 
 
+def _grid_part(origin: float, step: Column, low: float, high: float) -> tuple[Column, Column]:
+    """Parameters at which ``origin + step * t`` enters and leaves ``[low, high]``; nothing is left if it never does."""
+    to_low, to_high = (F.lit(low) - origin) / F.nullif(step, F.lit(0.0)), (F.lit(high) - origin) / F.nullif(step, F.lit(0.0))
+    still = F.lit(low <= origin <= high)
+    none, always = (F.lit(2.0), F.lit(-1.0)), (F.lit(0.0), F.lit(1.0))
+    return tuple(F.when(step == 0, F.when(still, yes).otherwise(no)).otherwise(pick(to_low, to_high))
+                 for yes, no, pick in zip(always, none, (F.least, F.greatest)))
+
+
 def observed_rays(points: DataFrame, origin: Sequence[float], g: Grid) -> DataFrame:
-    """Cells on the way to the farthest point of each azimuth bin, sampled at half a cell."""
+    """Cells on the way to the farthest point of each azimuth bin, sampled at half a cell. A ray's entry
+    into the grid and its exit are known before it is sampled, so samples outside are never made."""
     far = farthest_per_azimuth(points, origin)
-    far = far.withColumn("_n", F.greatest(F.ceil(c("range") / (g.cell * 0.5)) + 1, F.lit(2)))
-    ray = far.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), c("_n") - 1)))
-    t = c("_k") / (c("_n") - 1)
+    last = F.greatest(F.ceil(c("range") / (g.cell * 0.5)) + 1, F.lit(2)) - 1
+    in_x, out_x = _grid_part(origin[0], c("dx"), g.x0, g.x1)
+    in_y, out_y = _grid_part(origin[1], c("dy"), g.y0, g.y1)
+    far = far.withColumns({"_last": last, "_in": F.greatest(in_x, in_y, F.lit(0.0)), "_out": F.least(out_x, out_y, F.lit(1.0))}).where(c("_in") <= c("_out"))
+    # one sample more at both ends, for rounding; the test below decides
+    first = F.greatest(F.floor(c("_in") * c("_last")) - 1, F.lit(0).cast("bigint"))
+    final = F.least(F.ceil(c("_out") * c("_last")) + 1, c("_last"))
+    ray = far.withColumn("_k", F.explode(F.sequence(first, final)))
+    t = c("_k") / c("_last")
     ray = ray.withColumns({"_x": c("dx") * t + origin[0], "_y": c("dy") * t + origin[1]})
     ray = ray.where((c("_x") >= g.x0) & (c("_x") < g.x1) & (c("_y") >= g.y0) & (c("_y") < g.y1))
     return ray.select("frame_id", F.floor((c("_x") - g.x0) / g.cell).alias("row"),

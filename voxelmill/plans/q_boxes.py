@@ -302,13 +302,13 @@ def _(v):
 
 
 PAIR = """pairs AS (SELECT a.frame_id, a.box_id, a.x AS ax, a.y AS ay, a.z AS az, a.dx AS adx, a.dy AS ady, a.dz AS adz, a.yaw AS ayaw,
- d.x, d.y, d.z, d.dx, d.dy + 0.5 AS dy, d.dz, d.yaw FROM boxes a JOIN detections d ON a.frame_id = d.frame_id AND d.det_id = a.box_id * 4 + 2)"""
+ d.x, d.y, d.z, d.dx, d.dy + 0.5 AS dy, d.dz, d.yaw FROM boxes a JOIN detections d ON a.frame_id = d.frame_id AND d.det_id // 4 = a.box_id)"""
 
 
 def anchor_pairs(v):
-    """Every box (as anchor) joined to its second shifted copy."""
+    """Every box (as anchor) joined to its shifted copies."""
     anchors = v.boxes().select("frame_id", "box_id", *[c(n).alias("a" + n) for n in DIMS])
-    targets = v.detections().where(c("det_id") % 4 == 2).select(
+    targets = v.detections().select(
         "frame_id", F.floor(c("det_id") / 4).alias("box_id"), *DIMS).withColumn("dy", c("dy") + 0.5)
     return anchors.join(targets, ["frame_id", "box_id"])
 

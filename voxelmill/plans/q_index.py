@@ -66,12 +66,49 @@ def _(v):
     return out.select("record_id", "rank", c("s_record_id").alias("sweep_id"))
 
 
-@query("sensor_to_lidar", f"""WITH {CHAIN_SQL}
-SELECT a.record_id, b.record_id AS sensor_id, {REL_SQL} FROM chain a JOIN chain b
-ON a.scene_id = b.scene_id AND a.channel = b.channel AND b.pos = a.pos - 1""")
+# Test poses with height, roll and pitch, and two mounts of the fixture robot: x, y, z, roll, pitch, yaw.
+TILT = {"tz": "(record_id % 9) * 0.1", "roll": "(record_id % 5 - 2) * 0.04", "pitch": "(record_id % 7 - 3) * 0.05"}
+MOUNTS = {"click": (0.9, 0.0, 1.8, 0.01, -0.02, -1.57), "view": (1.7, -0.3, 1.5, -1.5, 0.03, 0.4)}
+
+
+def _pose_sql(out, t, roll, pitch, yaw):
+    """The 12 elements of a pose as SQL columns ``out`` + row + column."""
+    cr, sr, cp, sp, cy, sy = (f"{f}({a})" for a in (roll, pitch, yaw) for f in ("cos", "sin"))
+    rows = [[f"{cy} * {cp}", f"{cy} * {sp} * {sr} - {sy} * {cr}", f"{cy} * {sp} * {cr} + {sy} * {sr}", t[0]],
+            [f"{sy} * {cp}", f"{sy} * {sp} * {sr} + {cy} * {cr}", f"{sy} * {sp} * {cr} - {cy} * {sr}", t[1]],
+            [f"-{sp}", f"{cp} * {sr}", f"{cp} * {cr}", t[2]]]
+    return ", ".join(f"CAST({e} AS DOUBLE) AS {out}{i}{j}" for i, row in enumerate(rows) for j, e in enumerate(row))
+
+
+def _inverse_sql(out, m):
+    return ", ".join(
+        f"{m}{j}{i} AS {out}{i}{j}" if j < 3 else f"-({m}0{i} * {m}03 + {m}1{i} * {m}13 + {m}2{i} * {m}23) AS {out}{i}3" for i in range(3) for j in range(4))
+
+
+def _product_sql(out, a, b):
+    return ", ".join(" + ".join(f"{a}{i}{k} * {b}{k}{j}" for k in range(3)) + (f" + {a}{i}3" if j == 3 else "") + f" AS {out}{i}{j}" for i in range(3) for j in range(4))
+
+
+_POSE_OUT = [f"m{i}{j}" for i in range(3) for j in range(4)]
+_LIDAR, _VIEW = MOUNTS["click"], MOUNTS["view"]
+NEAREST_SQL = f"""full3 AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in TILT.items())} FROM records),
+ near AS (SELECT a.record_id, b.record_id AS s_record_id, a.tx, a.ty, a.tz, a.roll, a.pitch, a.yaw, b.tx AS s_tx, b.ty AS s_ty, b.tz AS s_tz, b.roll AS s_roll, b.pitch AS s_pitch, b.yaw AS s_yaw
+  FROM full3 a JOIN full3 b ON a.scene_id = b.scene_id AND a.channel = 'click' AND b.channel = 'view'
+  QUALIFY row_number() OVER (PARTITION BY a.record_id ORDER BY abs(a.timestamp - b.timestamp), (b.timestamp, b.record_id) > (a.timestamp, a.record_id),
+   CASE WHEN (b.timestamp, b.record_id) > (a.timestamp, a.record_id) THEN b.record_id ELSE -b.record_id END) = 1),
+ p1 AS (SELECT *, {_pose_sql('l', _LIDAR[:3], *_LIDAR[3:])}, {_pose_sql('e', ('tx', 'ty', 'tz'), 'roll', 'pitch', 'yaw')}, {_pose_sql('g', ('s_tx', 's_ty', 's_tz'), 's_roll', 's_pitch', 's_yaw')}, {_pose_sql('s', _VIEW[:3], *_VIEW[3:])} FROM near),
+ p2 AS (SELECT record_id, s_record_id, {_inverse_sql('li', 'l')}, {_inverse_sql('ei', 'e')}, {_product_sql('gs', 'g', 's')} FROM p1),
+ p3 AS (SELECT *, {_product_sql('le', 'li', 'ei')} FROM p2),
+ p4 AS (SELECT record_id, s_record_id, {_product_sql('m', 'le', 'gs')} FROM p3)"""
+
+
+@query("sensor_to_lidar", f"WITH {NEAREST_SQL} SELECT record_id, s_record_id AS sensor_id, {', '.join(f'{r6(m, 4)} AS {m}' for m in _POSE_OUT)} FROM p4")
 def _(v):
-    out = ix.earlier_records(chain(v), CHAIN, ["record_id", "tx", "ty", "yaw"], 1)
-    return ix.relative_planar(out).select("record_id", c("s_record_id").alias("sensor_id"), *rel_cols())
+    records = v.records().withColumns({n: F.expr(e).cast("double") for n, e in TILT.items()})
+    pairs = ix.nearest_records(records, ["scene_id"], c("channel") == "click", c("channel") == "view",
+                               ["channel", "tx", "ty", "tz", "roll", "pitch", "yaw"])
+    out = ix.sensor_to_lidar(pairs, MOUNTS, "click")
+    return out.select("record_id", c("s_record_id").alias("sensor_id"), *[rd(c("pose")[i][j], 4).alias(f"m{i}{j}") for i in range(3) for j in range(4)])
 
 
 @query("history_sweeps", f"""SELECT a.scene_id, a.frame_id, CAST(a.frame_id - b.frame_id - 1 AS INTEGER) AS rank, {REL_SQL}

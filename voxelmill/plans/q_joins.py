@@ -349,12 +349,12 @@ def _(v):
     return jn.mask_to_box(boxes, masks).withColumn("iou", rd("iou", 5))
 
 
-@query("heuristic_assign", f"""WITH d AS (SELECT a.frame_id, a.box_id AS gt_id, b.det_id AS pred_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM {BD} AND a.name = b.name AND b.det_id % 4 > 0),
+@query("heuristic_assign", f"""WITH d AS (SELECT a.frame_id, a.box_id AS gt_id, b.det_id AS pred_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM {BD} AND a.name = b.name),
  n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, gt_id ORDER BY distance, pred_id) AS r FROM d WHERE distance <= 10) WHERE r = 1)
 SELECT frame_id, pred_id, gt_id, {r6('distance', 5)} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, pred_id ORDER BY distance, gt_id) AS q FROM n) WHERE q = 1""")
 def _(v):
     truth = v.boxes().withColumnRenamed("box_id", "gt_id")
-    preds = v.detections().where(c("det_id") % 4 > 0).withColumnRenamed("det_id", "pred_id")
+    preds = v.detections().withColumnRenamed("det_id", "pred_id")
     return jn.heuristic_assign(truth, preds, 10.0).withColumn("distance", rd("distance", 5))
 
 
