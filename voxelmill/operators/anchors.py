@@ -64,12 +64,18 @@ def camera_intrinsics(width: int, height: int, hfov: Column) -> list[list[Column
     return [[f, zero, F.lit((width - 1) / 2)], [zero, f, F.lit((height - 1) / 2)], [zero, zero, one]]
 
 
-def image_bounds(df: DataFrame, k) -> DataFrame:
+def image_bounds(df: DataFrame, k, near: float = 0.1) -> DataFrame:
     """2D bounds (u1, v1, u2, v2) of the projected corners of each LiDAR box.
 
-    Corners stay one array column, so the projection is written once and not eight times.
+    Only corners deeper than ``near`` in front of the camera have a place in the image; boxes without
+    such a corner give no row. Corners stay one array column, so the projection is written once and not
+    eight times.
     """
-    pts = df.withColumn("_p", corners_array(box()))
+    def depth(p: Column) -> Column:
+        x, y, z = lidar_to_camera(p.x, p.y, p.z)
+        return x * k[2][0] + y * k[2][1] + z * k[2][2]
+
+    pts = df.withColumn("_p", F.filter(corners_array(box()), lambda p: depth(p) > near)).where(F.size("_p") > 0)
     uvs = pts.withColumn("_q", F.transform("_p", lambda p: F.struct(*[
         e.alias(n) for e, n in zip(project(*lidar_to_camera(p.x, p.y, p.z), k), ("u", "v", "d"))])))
     us, vs = F.transform("_q", lambda q: q.u), F.transform("_q", lambda q: q.v)

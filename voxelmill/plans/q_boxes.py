@@ -101,8 +101,8 @@ def _(v):
     return out(v, box_dict(bx.shift_origin(bx.box(), (0.5, 0.5, 0.5), (0.5, 1.0, 0.0)), ("x", "y", "z")))
 
 
-def _corner_sql(mode):
-    parts = []
+def _corner_sql(mode, digits=5):
+    parts, near = [], (lambda e: r6(e, digits)) if digits else (lambda e: f"({e})")
     for n, bits in enumerate(bx.CORNER_BITS):
         o = bx.ORIGIN[mode]
         a, b, d = (f"{dim} * ({bit - org})" for dim, bit, org in zip(("dx", "dy", "dz"), bits, o))
@@ -110,7 +110,7 @@ def _corner_sql(mode):
             px, py, pz = f"({a}) * cos(yaw) + ({d}) * sin(yaw) + x", f"({b}) + y", f"({d}) * cos(yaw) - ({a}) * sin(yaw) + z"
         else:
             px, py, pz = f"({a}) * cos(yaw) + ({b}) * sin(yaw) + x", f"({b}) * cos(yaw) - ({a}) * sin(yaw) + y", f"({d}) + z"
-        parts.append(f"SELECT '{mode}' AS mode, {ID}, CAST({n} AS INTEGER) AS corner, {r6(px, 5)} AS x, {r6(py, 5)} AS y, {r6(pz, 5)} AS z FROM boxes")
+        parts.append(f"SELECT '{mode}' AS mode, {ID}, CAST({n} AS INTEGER) AS corner, {near(px)} AS x, {near(py)} AS y, {near(pz)} AS z FROM boxes")
     return " UNION ALL ".join(parts)
 
 
@@ -243,18 +243,14 @@ def _(v):
     return out(v, box_dict(bx.convert_box(bx.box(), "camera", "lidar", RT), ("x", "y", "z", "dx", "dy", "dz")))
 
 
-_U = "(-(y + py) * 100.0 + (x + px) * 50.0) / (x + px)"
-_V = "(-(z + pz) * 100.0 + (x + px) * 40.0) / (x + px)"
+_U, _V = "(-y * 100.0 + x * 50.0) / x", "(-z * 100.0 + x * 40.0) / x"
 
 
-@query("project_to_image", f"""WITH k AS (SELECT {ID}, x, y, z, unnest([-2.0, -2.0, -2.0, -2.0, 2.0, 2.0, 2.0, 2.0]) AS px,
-  unnest([-dy / 2, -dy / 2, dy / 2, dy / 2, -dy / 2, -dy / 2, dy / 2, dy / 2]) AS py, unnest([0.0, dz, dz, 0.0, 0.0, dz, dz, 0.0]) AS pz
-  FROM boxes WHERE x > 3)
+@query("project_to_image", f"""WITH k AS (SELECT * FROM ({_corner_sql('lidar', None)}) WHERE x > 0.1)
 SELECT {ID}, {r6(f'min({_U})', 4)} AS u1, {r6(f'min({_V})', 4)} AS v1, {r6(f'max({_U})', 4)} AS u2, {r6(f'max({_V})', 4)} AS v2 FROM k GROUP BY {ID}""")
 def _(v):
     k = [[100.0, 0.0, 50.0], [0.0, 100.0, 40.0], [0.0, 0.0, 1.0]]
-    df = v.boxes().where(c("x") > 3).withColumn("yaw", F.lit(0.0))
-    return out(v, {n: c(n) for n in ("u1", "v1", "u2", "v2")}, 4, an.image_bounds(df, k))
+    return out(v, {n: c(n) for n in ("u1", "v1", "u2", "v2")}, 4, an.image_bounds(v.boxes(), k))
 
 
 @query("in_front_corners", f"""SELECT {ID}, count(*) AS n FROM ({_corner_sql('lidar')}) WHERE x > 3 GROUP BY {ID}""")

@@ -159,9 +159,9 @@ def _(v):
     rule = F.when(F.sqrt(c("vx") * c("vx") + c("vy") * c("vy")) > 0.2, "moving").otherwise("still")
     folder = scratch_folder(v.spark, "detections")
     sk.export_detections(sk.detection_records(v.detections(), rule), folder)
-    item = "array<struct<det_id: bigint, translation: array<double>, detection_score: double, attribute_name: string>>"
-    rows = v.spark.read.schema(f"frame_id bigint, results {item}").json(folder).select("frame_id", F.explode("results").alias("r"))
-    return rows.select("frame_id", "r.det_id", rd("r.detection_score", 5).alias("score"), rd(c("r.translation")[0], 5).alias("x"), c("r.attribute_name").alias("attribute"))
+    item = "frame_id bigint, det_id bigint, translation array<double>, detection_score double, attribute_name string"
+    rows = v.spark.read.schema(item).json(folder)
+    return rows.select("frame_id", "det_id", rd("detection_score", 5).alias("score"), rd(c("translation")[0], 5).alias("x"), c("attribute_name").alias("attribute"))
 
 
 @query("write_dataset", f"WITH {MANIFEST} SELECT split, count(DISTINCT scene_id) AS scenes, count(*) AS frames FROM manifest GROUP BY split")

@@ -71,9 +71,10 @@ def detection_records(dets: DataFrame, attribute: Column) -> DataFrame:
 
 
 def export_detections(records: DataFrame, folder: str) -> None:
-    """JSON with the list of all records of every sample, whatever their number."""
-    fields = F.struct(*[n for n in records.columns if n != "frame_id"])
-    records.groupBy("frame_id").agg(F.collect_list(fields).alias("results")).write.mode("overwrite").json(folder)
+    """JSON lines, one record each with its sample, in order of sample and detection: a sample's records
+    follow each other, and those of a very large sample may continue in the next file."""
+    keys = ["frame_id", "det_id"]
+    records.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").json(folder)
 
 
 def convert_legacy(index: DataFrame, path: str, dataset: str) -> DataFrame:
