@@ -237,3 +237,28 @@ def test_rays_enter_and_leave_the_grid(spark):
             ok = (px >= grid.x0) & (px < grid.x1) & (py >= grid.y0) & (py < grid.y1)
             want |= {(f, int(r), int(q)) for r, q in zip(np.floor((px[ok] - grid.x0) / grid.cell), np.floor((py[ok] - grid.y0) / grid.cell))}
         assert got == want
+
+
+def test_clipped_hulls_equal_dense_sampling():
+    """Bounds of hull and canvas against a fine grid of canvas points and their place in the hull."""
+    rng = np.random.default_rng(7)
+    u, v = rng.uniform(-15, 35, (60, 8)), rng.uniform(-15, 25, (60, 8))
+    valid = rng.random((60, 8)) < 0.7
+    got = tk.clipped_hulls(u, v, valid, 20.0, 10.0)
+    gx, gy = np.meshgrid(np.linspace(0, 20, 401), np.linspace(0, 10, 201))
+    for i in range(60):
+        pts = np.stack([u[i][valid[i]], v[i][valid[i]]], axis=1)
+        inside = np.zeros(gx.shape, bool)
+        for a in range(len(pts)):
+            for b in range(a + 1, len(pts)):
+                for d in range(b + 1, len(pts)):
+                    tri = pts[[a, b, d]]
+                    side = [(q[0] - p[0]) * (gy - p[1]) - (q[1] - p[1]) * (gx - p[0]) for p, q in zip(tri, np.roll(tri, -1, axis=0))]
+                    inside |= (np.min(side, axis=0) >= 0) | (np.max(side, axis=0) <= 0)
+        if inside.sum() > 50:
+            want = [gx[inside].min(), gy[inside].min(), gx[inside].max(), gy[inside].max()]
+            assert np.abs(got[i] - want).max() < 0.6
+            assert (got[i][:2] <= np.array(want[:2]) + 1e-9).all() and (got[i][2:] >= np.array(want[2:]) - 1e-9).all()
+        elif np.isnan(got[i]).any():
+            assert not inside.any()
+    assert np.isnan(got).any() and not np.isnan(got).all()

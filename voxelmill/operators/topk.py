@@ -13,11 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voxelmill.functions import boxes as bx
 from voxelmill.functions.random import draw, uniform
-from voxelmill.operators.points import lidar_to_camera, project
+from voxelmill.operators.points import lidar_to_camera
 
 c = F.col
 
@@ -73,63 +72,77 @@ def image_calibration(images: DataFrame, size: tuple[int, int], final: tuple[int
         "m12": -c("_si") * c("_tx") + c("_co") * c("_ty") + (-c("_si") * -mx + c("_co") * -my + my)})
 
 
-def _hull_2d(pts: np.ndarray) -> np.ndarray:
-    """Convex hull of a few points in counter-clockwise order."""
-    order = pts[np.lexsort((pts[:, 1], pts[:, 0]))]
+def clipped_hulls(u: np.ndarray, v: np.ndarray, valid: np.ndarray, width: float, height: float) -> np.ndarray:
+    """Bounds (x1, y1, x2, y2) of the part of each row's convex hull on the canvas, nan without one.
+
+    Rows hold some points; ``valid`` says which count. The extreme places of hull and canvas are ends of
+    segments between two points, cut at the canvas, and corners of the canvas inside the hull. All rows are
+    cut at once, a segment and a border at a time.
+    """
+    low, high = np.full((len(u), 2), np.inf), np.full((len(u), 2), -np.inf)
+
+    def reach(x, y, use):
+        for k, at in enumerate((x, y)):
+            low[:, k] = np.where(use, np.minimum(low[:, k], at), low[:, k])
+            high[:, k] = np.where(use, np.maximum(high[:, k], at), high[:, k])
+
+    sides = [(u, width - u), (v, height - v)]
+    for i in range(u.shape[1]):
+        for j in range(i, u.shape[1]):
+            first, last, use = np.zeros(len(u)), np.ones(len(u)), valid[:, i] & valid[:, j]
+            for side in (f for pair in sides for f in pair):
+                f, g = side[:, i], side[:, j]
+                t = f / np.where(f == g, 1.0, f - g)
+                first = np.where(f < 0, np.maximum(first, t), first)
+                last = np.where(g < 0, np.minimum(last, t), last)
+                use = use & ~((f < 0) & (g < 0))
+            use = use & (first <= last)
+            for t in (first, last):
+                reach(u[:, i] + t * (u[:, j] - u[:, i]), v[:, i] + t * (v[:, j] - v[:, i]), use)
+    some = valid.any(1)
+    for x in (0.0, width):
+        for y in (0.0, height):
+            turn = np.where(valid, np.arctan2(v - y, u - x), np.nan)
+            turn = np.sort(np.where(valid, turn, np.nanmin(np.where(some[:, None], turn, 0.0), axis=1, keepdims=True)), axis=1)
+            gap = np.maximum(np.diff(turn, axis=1).max(1, initial=0.0), 2 * math.pi - (turn[:, -1] - turn[:, 0]))
+            reach(x, y, some & (gap < math.pi))
+    out = np.concatenate([low, high], axis=1)
+    out[~np.isfinite(out).all(1)] = np.nan
+    return out
 
-    def half(seq):
-        out: list[np.ndarray] = []
-        for p in seq:
-            while len(out) > 1:
-                a, b = out[-1] - out[-2], p - out[-1]
-                if a[0] * b[1] - a[1] * b[0] > 0:
-                    break
-                out.pop()
-            out.append(p)
-        return out[:-1]
 
-    return np.array(half(order) + half(order[::-1]))
-
-
-def _clip(poly: np.ndarray, axis: int, limit: float, sign: float) -> np.ndarray:
-    """Part of a polygon where ``sign * (coordinate - limit) >= 0``."""
-    if len(poly) == 0:
-        return poly
-    d = sign * (poly[:, axis] - limit)
-    out = []
-    for i in range(len(poly)):
-        j = (i + 1) % len(poly)
-        if d[i] >= 0:
-            out.append(poly[i])
-        if d[i] * d[j] < 0:
-            out.append(poly[i] + (poly[j] - poly[i]) * (d[i] / (d[i] - d[j])))
-    return np.array(out).reshape(-1, 2)
+def clipped_bounds(corners: np.ndarray, width: float, height: float) -> list[float] | None:
+    """``clipped_hulls`` of one set of points."""
+    u, v = corners[None, :, 0], corners[None, :, 1]
+    (row,) = clipped_hulls(u, v, np.ones(u.shape, bool), width, height)
+    return None if np.isnan(row).any() else row.tolist()
 
 
-def clipped_bounds(corners: np.ndarray, width: float, height: float) -> list[float] | None:
-    """Bounds of the part of the corners' convex hull that lies on the canvas."""
-    poly = corners if len(corners) < 3 else _hull_2d(corners)
-    for axis, limit, sign in ((0, 0.0, 1.0), (0, width, -1.0), (1, 0.0, 1.0), (1, height, -1.0)):
-        poly = _clip(poly, axis, limit, sign)
-    if len(poly) == 0:
-        return None
-    return [*poly.min(axis=0), *poly.max(axis=0)]
-
-
-def reproject_boxes(boxes: DataFrame, k, canvas: tuple[int, int]) -> DataFrame:
-    """2D bounds of each LiDAR box on the canvas: corners in front of the camera, their convex
-    hull cut at the canvas border. Boxes without common area are dropped."""
+def reproject_boxes(boxes: DataFrame, k, canvas: tuple[int, int], near: float = 0.0) -> DataFrame:
+    """2D bounds of each LiDAR box on the canvas: the convex hull of the corners deeper than ``near``, cut at the
+    canvas border, its area, and the projected centre (``centre_u``, ``centre_v``, ``depth``). Boxes without common
+    area with the canvas or with their centre behind the camera are dropped."""
     width, height = float(canvas[0]), float(canvas[1])
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def bounds(us: pd.Series, vs: pd.Series) -> pd.Series:
-        return pd.Series([
-            clipped_bounds(np.stack([np.asarray(u, float), np.asarray(v, float)], axis=1), width, height)
-            if len(u) else None for u, v in zip(us, vs)])
-
-    pts = boxes.withColumn("_p", bx.corners_array(bx.box())).withColumn("_q", F.transform("_p", lambda p: F.struct(*[
-        e.alias(n) for e, n in zip(project(*lidar_to_camera(p.x, p.y, p.z), k), ("u", "v", "d"))])))
-    front = pts.withColumn("_q", F.filter("_q", lambda q: q.d > 0))
-    out = front.withColumn("_b", bounds(F.transform("_q", lambda q: q.u), F.transform("_q", lambda q: q.v)))
-    out = out.where(c("_b").isNotNull()).withColumns({n: c("_b")[i] for i, n in enumerate(("x1", "y1", "x2", "y2"))})
-    return out.withColumn("area", (c("x2") - c("x1")) * (c("y2") - c("y1"))).drop("_p", "_q", "_b")
+    @F.pandas_udf("x1 double, y1 double, x2 double, y2 double")
+    def bounds(xs: pd.Series, ys: pd.Series, ds: pd.Series) -> pd.DataFrame:
+        x, y, d = (np.stack(s.to_numpy()) for s in (xs, ys, ds)) if len(xs) else [np.zeros((0, 8))] * 3
+        valid = d > near
+        div = np.where(valid, d, 1.0)
+        return pd.DataFrame(clipped_hulls(x / div, y / div, valid, width, height), columns=["x1", "y1", "x2", "y2"])
+
+    def plane(x, y, z):
+        """Image coordinates before the division by depth, and the depth."""
+        x, y, z = lidar_to_camera(x, y, z)
+        return [x * row[0] + y * row[1] + z * row[2] for row in k]
+
+    def part(i):
+        return lambda p: plane(p.x, p.y, p.z)[i]
+
+    pts = boxes.withColumn("_p", bx.corners_array(bx.box()))
+    flat = pts.withColumns({f"_f{i}": F.transform("_p", part(i)) for i in range(3)})
+    u, v, depth = plane(c("x"), c("y"), c("z") + c("dz") / 2)
+    out = flat.withColumns({"_b": bounds("_f0", "_f1", "_f2"), "_u": u, "_v": v, "depth": depth}).where(c("depth") > near)
+    out = out.withColumns({n: c("_b")[n] for n in ("x1", "y1", "x2", "y2")}).where(c("x1").isNotNull() & ~F.isnan("x1"))
+    return out.withColumns({"area": (c("x2") - c("x1")) * (c("y2") - c("y1")), "centre_u": c("_u") / c("depth"), "centre_v": c("_v") / c("depth")}).drop(
+        "_p", "_b", "_u", "_v", *[f"_f{i}" for i in range(3)])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelmill.functions import linalg as la
+from voxelmill.operators import topk as tk
 from voxelmill.plans.q_quality import MANIFEST, manifest
 from voxelmill.plans.q_index import tokens
-from voxelmill.plans.q_raster import COLS, ROWS
+from voxelmill.plans.q_points import K
+from voxelmill.plans.q_raster import COLS, REPROJECT_SQL, ROWS
 from voxelmill.plans.registry import query, r6, rd
 from voxelmill.schemas import METRIC_THRESHOLDS
 from voxelmill.session import scratch_folder
@@ -145,13 +147,14 @@ def _(v):
     return sk.refresh_counts(manifest_, pts.where((c("frame_id") % 4 == 0) & (c("l_linenumber") > 3)))
 
 
-@query("export_coco_2d", f"""SELECT CAST(row_number() OVER (ORDER BY frame_id, box_id) - 1 AS BIGINT) AS id, frame_id AS image_id, CAST(CASE name WHEN 'SMALL' THEN 0 ELSE 1 END AS BIGINT) AS category_id, {r6('dx * dy', 4)} AS area FROM boxes WHERE name IN ('SMALL', 'LARGE')""")
+@query("export_coco_2d", f"""WITH {REPROJECT_SQL} SELECT CAST(row_number() OVER (ORDER BY frame_id, box_id) - 1 AS BIGINT) AS id, frame_id AS image_id, CAST(CASE name WHEN 'SMALL' THEN 0 ELSE 1 END AS BIGINT) AS category_id,
+ {r6('(x2 - x1) * (y2 - y1)', 3)} AS area, {r6('x1', 3)} AS x, {r6('y2 - y1', 3)} AS height FROM seen2d WHERE name IN ('SMALL', 'LARGE')""")
 def _(v):
-    b = v.boxes().withColumns({"x1": c("x") - c("dx") / 2, "x2": c("x") + c("dx") / 2, "y1": c("y") - c("dy") / 2, "y2": c("y") + c("dy") / 2})
+    boxes = tk.reproject_boxes(v.boxes(), K, (100, 80), near=0.1)
     folder = scratch_folder(v.spark, "coco")
-    sk.export_coco(sk.coco_tables(b, v.boxes().select(c("frame_id").alias("id")).distinct(), ("SMALL", "LARGE")), folder)
-    back = v.spark.read.schema("id bigint, image_id bigint, category_id bigint, area double").json(f"{folder}/annotations")
-    return back.withColumn("area", rd("area", 4))
+    sk.export_coco(sk.coco_tables(boxes, v.boxes().select(c("frame_id").alias("id")).distinct(), ("SMALL", "LARGE")), folder)
+    back = v.spark.read.schema("id bigint, image_id bigint, category_id bigint, area double, bbox array<double>").json(f"{folder}/annotations")
+    return back.select("id", "image_id", "category_id", rd("area", 3).alias("area"), rd(c("bbox")[0], 3).alias("x"), rd(c("bbox")[3], 3).alias("height"))
 
 
 @query("export_detections", f"SELECT frame_id, det_id, {r6('score', 5)} AS score, {r6('x', 5)} AS x, CASE WHEN sqrt(vx * vx + vy * vy) > 0.2 THEN 'moving' ELSE 'still' END AS attribute FROM detections")

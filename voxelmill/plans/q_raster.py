@@ -9,6 +9,7 @@ from voxelmill.operators import points as pt
 from voxelmill.operators import raster as rs
 from voxelmill.operators import topk as tk
 from voxelmill.plans import sqlrand as sr
+from voxelmill.plans.q_boxes import _corner_sql
 from voxelmill.plans.q_points import GRID, K, PROJ
 from voxelmill.plans.registry import query, r6, rd
 from voxelmill.schemas import Grid
@@ -256,11 +257,29 @@ def _(v):
         "record_id", rd("m00", 5).alias("m00"), rd("m01", 5).alias("m01"), rd("m02", 3).alias("m02"), rd("m12", 3).alias("m12"))
 
 
-@query("reproject_boxes_2d", f"""WITH k AS (SELECT frame_id, box_id, name, unnest([x - 2.0, x + 2.0, x + 2.0, x - 2.0]) AS cx, unnest([y - dy / 2, y - dy / 2, y + dy / 2, y + dy / 2]) AS cy, z, dz FROM boxes WHERE x > 3),
- uv AS (SELECT frame_id, box_id, name, -cy * 100.0 / cx + 50.0 AS u, unnest([-z * 100.0 / cx + 40.0, -(z + dz) * 100.0 / cx + 40.0]) AS v FROM k),
- b AS (SELECT frame_id, box_id, name, min(u) AS u1, max(u) AS u2 FROM uv GROUP BY ALL)
-SELECT frame_id, box_id, {r6('greatest(u1, 0)', 3)} AS x1, {r6('least(u2, 100)', 3)} AS x2 FROM b WHERE u2 >= 0 AND u1 <= 100 AND name <> 'PROMO'""")
+# The 2D bounds of every box in SQL: segments between corners cut at the canvas, and canvas corners inside.
+def _cut(f, g, enter):
+    kind = f"{f} < 0" if enter else f"{g} < 0"
+    return f"CASE WHEN {kind} AND {f} <> {g} THEN {f} / ({f} - {g}) ELSE {0.0 if enter else 1.0} END"
+
+
+_SIDES = [("a.u", "b.u"), ("100 - a.u", "100 - b.u"), ("a.v", "b.v"), ("80 - a.v", "80 - b.v")]
+_SIDES = [(f"({f})", f"({g})") for f, g in _SIDES]
+_CROSS = ["(p2.u - p1.u) * (q.y - p1.v) - (p2.v - p1.v) * (q.x - p1.u)".replace("p1", m).replace("p2", n) for m, n in (("a", "b"), ("b", "c"), ("c", "a"))]
+REPROJECT_SQL = f"""cor AS (SELECT frame_id, box_id, corner, (-y * 100.0 + x * 50.0) / x AS u, (-z * 100.0 + x * 40.0) / x AS v FROM ({_corner_sql('lidar', None)}) WHERE x > 0.1),
+ seg AS (SELECT a.frame_id, a.box_id, a.u AS au, a.v AS av, b.u - a.u AS du, b.v - a.v AS dv,
+   greatest(0.0, {', '.join(_cut(f, g, True) for f, g in _SIDES)}) AS t0, least(1.0, {', '.join(_cut(f, g, False) for f, g in _SIDES)}) AS t1
+  FROM cor a JOIN cor b ON a.frame_id = b.frame_id AND a.box_id = b.box_id AND a.corner <= b.corner WHERE {' AND '.join(f'NOT ({f} < 0 AND {g} < 0)' for f, g in _SIDES)}),
+ spot AS (SELECT frame_id, box_id, au + t0 * du AS x, av + t0 * dv AS y FROM seg WHERE t0 <= t1 UNION ALL SELECT frame_id, box_id, au + t1 * du, av + t1 * dv FROM seg WHERE t0 <= t1
+  UNION ALL SELECT a.frame_id, a.box_id, q.x, q.y FROM cor a JOIN cor b ON a.frame_id = b.frame_id AND a.box_id = b.box_id AND a.corner < b.corner
+   JOIN cor c ON a.frame_id = c.frame_id AND a.box_id = c.box_id AND b.corner < c.corner CROSS JOIN (SELECT unnest([0.0, 0.0, 100.0, 100.0]) AS x, unnest([0.0, 80.0, 0.0, 80.0]) AS y) q
+   WHERE ({' AND '.join(f'{e} > 0' for e in _CROSS)}) OR ({' AND '.join(f'{e} < 0' for e in _CROSS)})),
+ bound2d AS (SELECT frame_id, box_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM spot GROUP BY ALL),
+ seen2d AS (SELECT frame_id, box_id, name, x1, y1, x2, y2, (-boxes.y * 100.0 + boxes.x * 50.0) / boxes.x AS cu, (-(z + dz / 2) * 100.0 + boxes.x * 40.0) / boxes.x AS cv, boxes.x AS depth
+  FROM bound2d JOIN boxes USING (frame_id, box_id) WHERE boxes.x > 0.1)"""
+
+
+@query("reproject_boxes_2d", f"""WITH {REPROJECT_SQL} SELECT frame_id, box_id, {', '.join(f'{r6(n, 3)} AS {n}' for n in ('x1', 'y1', 'x2', 'y2'))}, {r6('cu', 3)} AS centre_u, {r6('cv', 3)} AS centre_v, depth FROM seen2d""")
 def _(v):
-    boxes = v.boxes().where((c("x") > 3) & (c("name") != "PROMO")).withColumn("yaw", F.lit(0.0))
-    out = tk.reproject_boxes(boxes, K, (100, 80))
-    return out.select("frame_id", "box_id", rd("x1", 3).alias("x1"), rd("x2", 3).alias("x2"))
+    out = tk.reproject_boxes(v.boxes(), K, (100, 80), near=0.1)
+    return out.select("frame_id", "box_id", *[rd(n, 3).alias(n) for n in ("x1", "y1", "x2", "y2", "centre_u", "centre_v")], "depth")
