@@ -5,7 +5,8 @@ them; how closely a term goes with the label is a factor of its weight and leave
 examples, at most ``max_examples`` labelled rows, form an inverted index: postings of the rarer terms,
 and a table of the commonest in blocks, where the largest weight of each term in a block bounds the
 cosine of all its examples, so that blocks which cannot hold a nearest example are passed over. Votes weighted by cosine are calibrated on the examples,
-each scored without itself. Document frequencies are counted over all documents.
+each scored without itself, by tasks. Texts are scored in groups, which meet a block of examples at
+once. Document frequencies are counted over all documents.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm.common import id_text, materialize
+from voxelmill.llm.common import blocks_for, id_text, materialize
 from voxelmill.llm.wordhash import U, Words, byte_chunks, bytes_of, distinct_by_row, mix
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -25,6 +26,7 @@ BLOCK = 64
 COMMON = 512  # terms in the table at most
 FLOOR = 0.02  # factor of a term that does not go with the label
 LOOKUP_BITS = 20
+GROUP = 1 << 21  # postings and (text, example) cells that a task scores at once, or one text
 
 
 def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,50 +86,93 @@ class BlockMaxIndex:
         place[order] = np.arange(len(ids))
         by_term = np.lexsort((place[example], term))
         self.example, self.weight = place[example][by_term], weight[by_term]
+        # (term, block) pairs would be nearly as many as postings, so rare terms are added up exactly
         self.cuts = np.searchsorted(term[by_term], np.arange(weights.shape[1], int(term.max(initial=weights.shape[1] - 1)) + 2))
 
-    def rare_scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the postings give to the cosine of every example."""
+    def postings(self, terms: np.ndarray) -> np.ndarray:
+        """Number of postings of each term, 0 for the terms of the table."""
+        own = np.maximum(terms - self.weights.shape[1], -1)
+        return np.where(own < 0, 0, self.cuts[own + 1] - self.cuts[np.maximum(own, 0)])
+
+    def rare_scores(self, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, rows: int) -> np.ndarray:
+        """What the postings give to the cosine of every text with every example, as [text, block, example]."""
         own = terms - self.weights.shape[1]
         start, size = self.cuts[own], self.cuts[own + 1] - self.cuts[own]
         at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.bincount(self.example[at], self.weight[at] * np.repeat(weights, size), len(self.ids))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines, places) of the ``k`` nearest examples with a cosine above 0, ties to smaller ids."""
-        if not len(self.ids):
-            return np.empty(0), np.empty(0, np.int64)
+        width = len(self.starts) * BLOCK
+        target = np.repeat(row * width, size) + self.example[at]
+        return np.bincount(target, self.weight[at] * np.repeat(weights, size), rows * width).astype(np.float64, copy=False).reshape(rows, -1, BLOCK)
+
+    def nearest_of_all(self, row, terms, weights, rows: int, k: int, without: np.ndarray | None = None):
+        """(text, cosine, place) of the ``k`` nearest examples with a cosine above 0 of each of ``rows``
+        texts, nearest first, ties to smaller ids; for each text without the examples of the id ``without``.
+
+        All texts meet a block at once. Some blocks with the largest bounds are scored for each text; of
+        the others those whose bound reaches the k-th best cosine of these.
+        """
+        if not len(self.ids) or not rows:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
         common = terms < self.weights.shape[1]
-        base = self.rare_scores(terms[~common], weights[~common])
-        full = np.zeros(self.weights.shape[1], self.weights.dtype)
-        full[terms[common]] = weights[common]
-        slack = 10.0**-self.digits
-        bounds = self.most @ full + np.maximum.reduceat(base, self.starts)
-        best_score, best_place = np.empty(0), np.empty(0, np.int64)
-        order = np.argsort(-bounds, kind="stable")
-        at, step = 0, 4
-        while at < len(order):
-            if bounds[order[at]] <= 0 or len(best_score) == k and bounds[order[at]] < best_score[-1] - slack:
-                break
-            place = (order[at : at + step, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            place = place[place < len(self.ids)]
-            at, step = at + step, 2 * step
+        scores = self.rare_scores(row[~common], terms[~common], weights[~common], rows)
+        full = np.zeros((rows, self.weights.shape[1]), self.weights.dtype)
+        full[row[common], terms[common]] = weights[common]
+        bounds = scores.max(2) + full @ self.most.T
+        first = min(max(4, -(-2 * k // BLOCK)), len(self.starts))
+        best = np.argpartition(-bounds, first - 1, axis=1)[:, :first]
+        todo = np.zeros(bounds.shape, bool)
+        np.put_along_axis(todo, best, True, axis=1)
+        self.finish(scores, full, todo, without)
+        seen = scores[np.arange(rows)[:, None], best].reshape(rows, -1)  # those of the first blocks
+        worst = np.partition(seen, -k, axis=1)[:, -k] if k <= seen.shape[1] else np.zeros(rows)
+        self.finish(scores, full, ~todo & (bounds > 0) & (bounds >= worst[:, None] - 10.0**-self.digits), without)
+        # A block that was passed over holds nothing as near as the k-th.
+        if k <= scores[0].size:
+            worst = np.partition(scores.reshape(rows, -1), -k, axis=1)[:, -k]
+        cell = np.flatnonzero(scores >= np.maximum(worst, 0.5 * 10.0**-self.digits)[:, None, None])
+        text, place = np.divmod(cell, len(self.starts) * BLOCK)
+        score = scores.reshape(-1)[cell]
+        order = np.lexsort((self.ids[place], -score, text))
+        text, score, place = text[order], score[order], place[order]
+        keep = np.arange(len(text)) - np.searchsorted(text, text) < k
+        return text[keep], score[keep], place[keep]
+
+    def finish(self, scores: np.ndarray, full: np.ndarray, todo: np.ndarray, without: np.ndarray | None) -> None:
+        """Add the common terms to the cosines of the chosen blocks and texts."""
+        for block in np.flatnonzero(todo.any(0)):
+            texts, span = np.flatnonzero(todo[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+            table, ids = self.weights[span], self.ids[span]
+            score = np.round(scores[texts, block, : len(ids)] + full[texts] @ table.T, self.digits)
             if without is not None:
-                place = place[self.ids[place] != without]
-            score = np.round(base[place] + self.weights[place] @ full, self.digits)
-            may = score > 0
-            if len(place) > k:  # the k largest, with all that equal the last of them
-                may &= score >= np.partition(score, -k)[-k]
-            score, place = np.concatenate([best_score, score[may]]), np.concatenate([best_place, place[may]])
-            keep = np.lexsort((self.ids[place], -score))[:k]
-            best_score, best_place = score[keep], place[keep]
-        return best_score, best_place
+                score[ids[None, :] == without[texts, None]] = 0
+            scores[texts, block, : len(ids)] = score
 
-
-def vote(index: BlockMaxIndex, terms, weights, k: int, prior: float, without: int | None = None):
-    """Weighted share of label 1 among the nearest examples, drawn to the prior by one vote."""
-    score, place = index.nearest(terms, weights, k, without)
-    return (float(score @ index.labels[place]) + prior) / (float(score.sum()) + 1), score, place
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, places) of the ``k`` nearest examples of one text."""
+        excluded = None if without is None else np.array([without])
+        return self.nearest_of_all(np.zeros(len(terms), np.int64), terms, weights, 1, k, excluded)[1:]
+
+
+def votes(index: BlockMaxIndex, row, terms, weights, rows: int, k: int, prior: float, without: np.ndarray | None = None):
+    """Weighted share of label 1 among the nearest examples of each text, drawn to the prior by one
+    vote, and the neighbours: (share, text, cosine, place)."""
+    found = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]
+    # Texts go through in groups with a bounded number of (text, example) cells and postings.
+    cost = np.bincount(row, index.postings(terms), rows) + len(index.ids)
+    group = (np.cumsum(cost) // GROUP).astype(np.int64)
+    for start, stop in zip(*runs_of(group)):
+        s, e = np.searchsorted(row, [start, stop])
+        part = index.nearest_of_all(row[s:e] - start, terms[s:e], weights[s:e], stop - start, k, None if without is None else without[start:stop])
+        for out, new in zip(found, (part[0] + start, part[1], part[2])):
+            out.append(new)
+    text, score, place = (np.concatenate(x) for x in found)
+    share = (np.bincount(text, score * index.labels[place], rows) + prior) / (np.bincount(text, score, rows) + 1)
+    return share, text, score, place
+
+
+def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    start = np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
+    return start, np.append(start[1:], len(values))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -230,59 +275,79 @@ def toxicity_scores(
     df[term[term >= 0]] = total[term >= 0]
     idf = (np.log((1 + all_rows) / (1 + df)) + 1) * factor
 
-    def example_counts(batches):
-        selected = Terms(terms)
-        for part in byte_chunks(batches):
-            row, term, count = selected.counts(part.column(1))
-            cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(term)),
-                pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(count))], names=["doc_id", "label", "terms", "counts"])
-
-    found = examples.mapInArrow(example_counts, "doc_id long, label int, terms array<long>, counts array<long>").orderBy("doc_id").toArrow().combine_chunks()  # at most max_examples rows
-    sizes = found["terms"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    term, count = (found[x].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in ("terms", "counts"))
-    weight = vectors(count, term, row, idf, len(sizes)).astype(np.float32)
     # The commonest terms are numbered first.
     common = np.lexsort((terms, -held))[: min(COMMON, int((held * 20 > n).sum()))]
-    number = np.full(len(terms), -1)
+    number = np.full(len(terms), -1, np.int32)
     number[common] = np.arange(len(common))
     number[number < 0] = np.arange(len(common), len(terms))
+    shared = spark.sparkContext.broadcast({"terms": terms, "idf": idf, "number": number})  # the words of max_examples rows
+
+    def weighted(part, selected, m):
+        """(row, number, weight) of the known terms of a batch, by row."""
+        row, term, count = selected.counts(part.column(1))
+        return row, m["number"][term], vectors(count, term, row, m["idf"], part.num_rows)
+
+    def example_rows(batches):
+        selected = Terms(shared.value["terms"])
+        for part in byte_chunks(batches):
+            row, term, weight = weighted(part, selected, shared.value)
+            cut = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), part.column(2), pa.ListArray.from_arrays(cut, pa.array(term.astype(np.int32))),
+                pa.ListArray.from_arrays(cut, pa.array(weight.astype(np.float32)))], names=["doc_id", "label", "terms", "weights"])
+
+    found = examples.mapInArrow(example_rows, "doc_id long, label int, terms array<int>, weights array<float>").orderBy("doc_id").toArrow().combine_chunks()  # at most max_examples rows
+    sizes = found["terms"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
     ids, y = found["doc_id"].to_numpy(), (found["label"].to_numpy() > 0).astype(float)
     some = sizes > 0
     blank = float((y[~some].sum() + 0.5 * y.mean()) / ((~some).sum() + 0.5)) if len(y) else 0.0
     prior = float(y.mean()) if len(y) else 0.0
-    row = (np.cumsum(some) - 1)[row]
-    first = number[term] < len(common)
-    table = np.zeros((int(some.sum()), len(common)), np.float32)
-    table[row[first], number[term[first]]] = weight[first]
-    rare = (row[~first].astype(np.int32), number[term[~first]].astype(np.int32), weight[~first])
-    index = BlockMaxIndex(table, ids[some], y[some], rare)
-    curve = (1.0, 0.0)
-    if some.any() and 0 < y[some].mean() < 1:
-        cut = np.searchsorted(row, np.arange(len(table) + 1))
-        raw = [vote(index, number[term[s:e]], weight[s:e].astype(float), neighbours, prior, i)[0] for s, e, i in zip(cut[:-1], cut[1:], ids[some])]
-        curve = fit_logistic(logit(np.array(raw)), y[some])
-    model = spark.sparkContext.broadcast({"terms": terms, "idf": idf, "number": number, "table": table, "rare": rare, "ids": ids[some], "labels": y[some], "curve": curve, "blank": blank, "prior": prior})
-
-    def score(batches):
+    rows = {"sizes": sizes[some], "terms": found["terms"].combine_chunks().flatten().to_numpy(), "weights": found["weights"].combine_chunks().flatten().to_numpy(), "ids": ids[some], "labels": y[some]}
+    model = spark.sparkContext.broadcast(rows)
+    mixed = bool(some.any() and 0 < y[some].mean() < 1)
+    del found, rows
+    width = len(common)
+
+    def open_index():
+        """The index of the examples, built once by each worker."""
         m = model.value
         if "index" not in m:
-            m["index"] = BlockMaxIndex(m["table"], m["ids"], m["labels"], m["rare"])
-        index, (slope, shift) = m["index"], m["curve"]
-        selected = Terms(m["terms"])
+            row = np.repeat(np.arange(len(m["sizes"]), dtype=np.int32), m["sizes"])
+            first = m["terms"] < width
+            table = np.zeros((len(m["sizes"]), width), np.float32)
+            table[row[first], m["terms"][first]] = m["weights"][first]
+            m["index"] = BlockMaxIndex(table, m["ids"], m["labels"], (row[~first], m["terms"][~first], m["weights"][~first]))
+        return m["index"]
+
+    def shares(batches):
+        """The votes on examples, each without itself."""
+        index, selected = open_index(), Terms(shared.value["terms"])
+        for part in byte_chunks(batches):
+            row, term, weight = weighted(part, selected, shared.value)
+            share = votes(index, row, term, weight, part.num_rows, neighbours, prior, part.column(0).to_numpy())[0]
+            has = np.bincount(row, minlength=part.num_rows) > 0
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(has)), part.column(2).filter(pa.array(has)), pa.array(share[has])], names=["doc_id", "label", "share"])
+
+    slope, shift = 1.0, 0.0
+    if mixed:
+        held_in = examples.repartition(blocks_for(max_examples, 256), "doc_id").mapInArrow(shares, "doc_id long, label int, share double")
+        fitted = held_in.orderBy("doc_id", "share").toArrow()  # at most max_examples rows
+        slope, shift = fit_logistic(logit(fitted["share"].to_numpy()), (fitted["label"].to_numpy() > 0).astype(float))
+
+    def score(batches):
+        index, selected = open_index(), Terms(shared.value["terms"])
         for part in byte_chunks(batches):
-            row, term, count = selected.counts(part.column(1))
-            weight = vectors(count, term, row, m["idf"], part.num_rows)
-            out, evidence = np.full(part.num_rows, m["blank"]), [[] for _ in range(part.num_rows)]
-            cut = np.flatnonzero(np.diff(row, prepend=-1))
-            for s, e in zip(cut, np.append(cut[1:], len(row))):
-                p, cosine, place = vote(index, m["number"][term[s:e]], weight[s:e], neighbours, m["prior"])
-                out[row[s]] = 1 / (1 + np.exp(-(slope * logit(p) + shift))) if len(place) else m["blank"]
-                evidence[row[s]] = [{"doc_id": int(index.ids[j]), "cosine": float(c), "label": int(index.labels[j])} for c, j in zip(cosine[:3], place[:3])]
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out), pa.array((out >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
+            row, term, weight = weighted(part, selected, shared.value)
+            share, text, cosine, place = votes(index, row, term, weight, part.num_rows, neighbours, prior)
+            near = np.bincount(text, minlength=part.num_rows)
+            out = np.where(near > 0, 1 / (1 + np.exp(-(slope * logit(share) + shift))), blank)
+            top = np.arange(len(text)) - np.searchsorted(text, text) < 3
+            shown = pa.StructArray.from_arrays([pa.array(index.ids[place[top]]), pa.array(cosine[top]), pa.array(index.labels[place[top]].astype(np.int32))], ["doc_id", "cosine", "label"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.minimum(near, 3))).astype(np.int32)), shown)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out), pa.array((out >= 0.5).astype(np.int32)), evidence], names=["doc_id", "score", "predicted", "evidence"])
 
     scored = texts.mapInArrow(score, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>")
+    scored = materialize(scored, "scores")  # so that the model can leave the driver
+    shared.destroy()
+    model.destroy()
     return scored.select("doc_id", in_fifth(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
