@@ -51,6 +51,26 @@ def test_mask_files(spark, tmp_path):
     assert [(r.class_id, r.row, r.col, r.value) for r in row] == [(1, 2, 3, 1)]
 
 
+def test_packed_clouds_keep_ids_and_skip_frames(spark, tmp_path):
+    points = spark.range(250).select((c("id") % 2).alias("frame_id"), F.floor(c("id") / 2).alias("point_id"), *[(c("id") * k).cast("double").alias(n) for k, n in enumerate(ar.POINT_NAMES)])
+    folder = ar.write_files(ar.encode_clouds(points, part=50), str(tmp_path / "clouds"))
+    assert spark.read.parquet(folder).count() == 6  # 125 points a frame in files of 50
+    rows = ar.read_clouds(spark, folder, use_dim=(1, 3), names=("y", "intensity"))
+    want = points.select("frame_id", "point_id", c("y").cast("float"), c("intensity").cast("float"))
+    assert sorted(rows.drop("path").collect()) == sorted(want.collect())
+    one = ar.read_clouds(spark, folder, where=(c("frame_id") == 1) & (c("first") == 100))
+    assert {r.path for r in one.collect()} == {"1/100.bin"} and one.count() == 25
+    assert "PushedFilters: [IsNotNull(frame_id)" in one._jdf.queryExecution().toString()
+
+
+def test_another_shape_is_an_error(spark, tmp_path):
+    np.save(tmp_path / "m.npy", np.ones((2, 4, 4), dtype=np.uint8))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert ar.decode_masks(files, (2, 4, 4)).count() == 32
+    with pytest.raises(Exception, match="expected shape"):
+        ar.decode_masks(files, (2, 4, 5)).collect()
+
+
 def test_calibration_files(spark, tmp_path):
     (tmp_path / "k.txt").write_text("10f\n10f\n3.5f\n3.5f\n")
     r = st.calibration_intrinsics(spark, str(tmp_path / "k.txt")).first()

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelmill.functions import linalg as la
+from voxelmill.operators import points as pt
+from voxelmill.operators import sampling as sm
 from voxelmill.operators import topk as tk
 from voxelmill.plans.q_quality import MANIFEST, manifest
 from voxelmill.plans.q_index import tokens
-from voxelmill.plans.q_points import K
+from voxelmill.plans.q_points import K, _band_sql
 from voxelmill.plans.q_raster import COLS, REPROJECT_SQL, ROWS
 from voxelmill.plans.registry import query, r6, rd
 from voxelmill.schemas import METRIC_THRESHOLDS
@@ -25,24 +27,48 @@ def f4(e):
     return r6(f"CAST({e} AS FLOAT)", 3)
 
 
-@query("read_points", f"SELECT {f4('x')} AS x, {f4('y')} AS y, {f4('z')} AS z, {f4('intensity')} AS intensity FROM rawpoints")
-def _(v):
-    files = ar.encode_points(v.rawpoints(), ar.POINT_NAMES)
-    return ar.decode_points(files, 5, (0, 1, 2, 3)).select(*[rd(k, 3).alias(k) for k in ("x", "y", "z", "intensity")])
+COLOURED = (*ar.POINT_NAMES, "red", "green", "blue")
+COLOUR = {"red": "point_id % 251", "green": "point_id * 7 % 253", "blue": "point_id * 13 % 255"}
+USED = {0: "x", 1: "y", 2: "z", 3: "intensity", 5: "red", 6: "green", 7: "blue"}
 
 
-@query("read_bev_masks", "SELECT CAST(frame_id AS VARCHAR) AS path, CAST(class_id AS BIGINT) AS class_id, row, col FROM map_cells WHERE label = 1")
+@query("read_points", f"""WITH stored AS (SELECT frame_id, point_id, {", ".join(f"CAST(CAST({k} AS FLOAT) AS DOUBLE) AS {k}" for k in ("x", "y", "z", "intensity"))}, {", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in COLOUR.items())} FROM points),
+thinned AS (SELECT * FROM (SELECT *, asin(z / sqrt(x * x + y * y + z * z)) AS t FROM stored) WHERE {_band_sql(16)}),
+floors AS (SELECT frame_id, quantile_cont(z, 0.0099) AS floor_z FROM thinned GROUP BY 1)
+SELECT concat(frame_id, '/', point_id - point_id % {ar.PART}, '.bin') AS path, point_id, {", ".join(f"{r6(k, 3)} AS {k}" for k in USED.values())}, {r6('z - floor_z', 3)} AS height FROM thinned JOIN floors USING (frame_id)""")
 def _(v):
-    cells = v.map_cells().where(c("label") == 1).withColumn("value", F.lit(1))
-    files = ar.encode_rasters(cells, ROWS, COLS, 3)
-    return ar.decode_masks(files).select("path", "class_id", "row", "col")
+    points = v.points().select("frame_id", "point_id", *ar.POINT_NAMES, *[F.expr(e).alias(k) for k, e in COLOUR.items()])
+    folder = ar.write_files(ar.encode_clouds(points, COLOURED), scratch_folder(v.spark, "clouds"))
+    rows = ar.read_clouds(v.spark, folder, len(COLOURED), tuple(USED), tuple(USED.values()))
+    rows = rows.select("path", "frame_id", "point_id", *[c(k).cast("double").alias(k) for k in USED.values()])
+    rows = sm.shift_height(pt.reduce_beams(rows, 16))
+    return rows.select("path", "point_id", *[rd(k, 3).alias(k) for k in (*USED.values(), "height")])
 
 
-@query("read_depth_semantic", "SELECT CAST(frame_id AS VARCHAR) AS path, v AS row, u AS col, depth_mm FROM pixels WHERE depth_mm > 0")
+@query("read_bev_masks", """SELECT CAST(frame_id AS VARCHAR) AS path, CAST(class_id AS BIGINT) AS class_id, row, col, CAST(CASE WHEN observed = 1 THEN 1 ELSE 0 END AS INTEGER) AS observed FROM map_cells WHERE label = 1""")
+def _(v):
+    cells = v.map_cells().withColumn("value", F.lit(1))
+    layers = {}
+    for name, chosen in (("label", cells.where(c("label") == 1)), ("observed", cells.where(c("observed") == 1))):
+        files = ar.encode_rasters(chosen, ROWS, COLS, 3)
+        folder = ar.write_files(files, scratch_folder(v.spark, f"masks-{name}"))
+        layers[name] = ar.decode_masks(v.spark.read.parquet(folder), (3, ROWS, COLS)).drop("value")
+    keys = ["path", "class_id", "row", "col"]
+    seen = layers["observed"].withColumn("seen", F.lit(1))
+    return layers["label"].join(seen, keys, "left").select(*keys, F.coalesce("seen", F.lit(0)).alias("observed"))
+
+
+@query("read_depth_semantic", "SELECT CAST(frame_id AS VARCHAR) AS path, v AS row, u AS col, depth_mm, semantic_id FROM pixels WHERE depth_mm > 0")
 def _(v):
-    px = v.pixels().select("frame_id", F.lit(0).alias("class_id"), c("v").alias("row"), c("u").alias("col"), "depth_mm")
-    files = ar.encode_rasters(px, 48, 64, 1, "depth_mm", "uint16")
-    return ar.decode_masks(files).select("path", "row", "col", c("value").alias("depth_mm"))
+    px = v.pixels().select("frame_id", F.lit(0).alias("class_id"), c("v").alias("row"), c("u").alias("col"), "depth_mm", "semantic_id")
+    layers = {}
+    for name, kind in (("depth_mm", "uint16"), ("semantic_id", "uint8")):
+        folder = ar.write_files(ar.encode_rasters(px, 48, 64, 1, name, kind), scratch_folder(v.spark, f"pixels-{name}"))
+        layers[name] = ar.decode_masks(v.spark.read.parquet(folder), (48, 64)).withColumnRenamed("value", name)
+    keys = ["path", "row", "col"]
+    meaning = layers["semantic_id"].select(*keys, "semantic_id")
+    # class 0 is stored as 0, which has no row of its own
+    return layers["depth_mm"].join(meaning, keys, "left").select(*keys, "depth_mm", F.coalesce("semantic_id", F.lit(0)).alias("semantic_id"))
 
 
 @query("read_augmented_points", f"""SELECT frame_id, point_id, {r6("CASE WHEN point_id % 7 = 0 THEN intensity + 1 ELSE intensity END")} AS intensity, CAST(CASE WHEN point_id % 7 = 0 THEN 0 ELSE 1 END AS INTEGER) AS flag FROM points

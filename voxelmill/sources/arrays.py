@@ -12,12 +12,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 c = F.col
 POINT_NAMES = ("x", "y", "z", "intensity", "time")
+PART = 1 << 16  # points in one file of a large cloud
 
 
 def _matrix(content: bytes, load_dim: int, npy: bool) -> np.ndarray:
@@ -61,8 +62,45 @@ def encode_points(points: DataFrame, names: Sequence[str] = POINT_NAMES) -> Data
     return points.select(*names).mapInPandas(run, "path string, content binary")
 
 
-def decode_masks(files: DataFrame) -> DataFrame:
-    """Set cells ``(path, class_id, row, col, value)`` of ``[C, H, W]`` or ``[H, W]`` arrays."""
+def encode_clouds(points: DataFrame, names: Sequence[str] = POINT_NAMES, part: int = PART) -> DataFrame:
+    """Flat float files ``(frame_id, first, content)`` with the points of a frame in the order of ``point_id``,
+    which counts from 0 without gaps. A file holds ``part`` points at most, ``first`` is the id of its first,
+    so a task never meets a whole large cloud. Ranges of frames stay together for readers that skip."""
+    names = list(names)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.sort_values("point_id")[names].to_numpy(np.float32)
+        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[:1], "first": pdf["first"].iloc[:1], "content": [m.tobytes()]})
+
+    keyed = points.select("frame_id", "point_id", *names, (c("point_id") - c("point_id") % part).alias("first"))
+    ranged = keyed.repartitionByRange("frame_id", "first")
+    return ranged.groupBy("frame_id", "first").applyInPandas(run, "frame_id bigint, first bigint, content binary")
+
+
+def write_files(files: DataFrame, folder: str) -> str:
+    """Pack files, with their content and key columns, into Parquet: one listing of few large files, and a
+    filter on the keys skips row groups without opening their contents."""
+    files.write.mode("overwrite").parquet(folder)
+    return folder
+
+
+def read_clouds(spark: SparkSession, folder: str, load_dim: int = 5, use_dim: Sequence[int] = range(5),
+                names: Sequence[str] = POINT_NAMES, where: Column | None = None) -> DataFrame:
+    """Rows ``(path, frame_id, point_id, <names>)`` of packed clouds. ``where`` on ``frame_id`` or ``first``
+    reaches the scan, and only the values of ``use_dim`` leave Python."""
+    files = spark.read.parquet(folder)
+    files = files if where is None else files.where(where)
+    path = F.concat(c("frame_id").cast("string"), F.lit("/"), c("first").cast("string"), F.lit(".bin"))
+    rows = decode_points(files.select(path.alias("path"), "content"), load_dim, use_dim, names)
+    first = F.regexp_extract("path", r"/(\d+)\.bin$", 1).cast("bigint")
+    return rows.select("path", F.split_part("path", F.lit("/"), F.lit(1)).cast("bigint").alias("frame_id"),
+                       (first + c("point_id")).alias("point_id"), *rows.columns[2:])
+
+
+def decode_masks(files: DataFrame, shape: Sequence[int] | None = None) -> DataFrame:
+    """Set cells ``(path, class_id, row, col, value)`` of ``[C, H, W]`` or ``[H, W]`` arrays; another
+    ``shape`` than the stated one is an error."""
+    shape = None if shape is None else tuple(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,6 +108,8 @@ def decode_masks(files: DataFrame) -> DataFrame:
                 a = np.load(io.BytesIO(content.as_py()))
                 if a.ndim not in (2, 3):
                     raise ValueError(f"{path.as_py()}: expected two or three dimensions, got {a.ndim}")
+                if shape is not None and a.shape != shape:
+                    raise ValueError(f"{path.as_py()}: expected shape {shape}, got {a.shape}")
                 a = a[None] if a.ndim == 2 else a
                 k, r, q = (i.astype(np.int64) for i in np.nonzero(a))
                 yield pa.RecordBatch.from_arrays(
