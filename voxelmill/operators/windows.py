@@ -66,18 +66,28 @@ def radar_compensate(sweeps: DataFrame, mount_yaw: float) -> DataFrame:
     return sweeps.withColumns({"vx": vx, "vy": vy, "lag": lag}).withColumn("x", c("s_yaw") + c("vx") * c("lag"))
 
 
-# Fixed mounts of the planar fixture robot.
-CAMERA_MOUNT = 1.2
+# Fixed LiDAR mount of the planar fixture robot.
 LIDAR_MOUNT = 0.5
 
 
-def camera_calibration(records: DataFrame) -> DataFrame:
-    """Camera-to-ego and LiDAR-to-camera translations of each record."""
-    pose = la.yaw_pose(c("tx"), c("ty"), c("yaw"))
-    cam2ego = la.matmul(pose, la.lit_matrix([[1, 0, 0, CAMERA_MOUNT], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]))
-    lidar = la.lit_matrix([[1, 0, 0, LIDAR_MOUNT], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]])
-    lidar2cam = la.matmul(la.rigid_inverse(pose), lidar)
-    return records.withColumns({"cam2ego_x": cam2ego[0][3], "cam2ego_y": cam2ego[1][3], "lidar2cam_x": lidar2cam[0][3]})
+CALIBRATION = ("ego2global", "lidar2ego", "camera2ego", "camera2lidar", "lidar2camera", "camera_intrinsics", "lidar2image")
+
+
+def frame_calibration(df: DataFrame, ego2global: la.Mat, lidar2ego: la.Mat, camera2ego: la.Mat,
+                      camera2lidar: la.Mat, intrinsics: la.Mat) -> DataFrame:
+    """The seven 4x4 matrices of a camera row as ``array<array<double>>`` columns.
+
+    ``camera2lidar`` is rigid and its inverse exact; the 3x3 ``intrinsics`` are padded with a one, and
+    ``lidar2image`` gives depth-scaled pixels. Each product is a projection of its own.
+    """
+    zero, one = F.lit(0.0), F.lit(1.0)
+    padded = [[*row, zero] for row in intrinsics] + [[zero, zero, zero, one]]
+    given = {"ego2global": ego2global, "lidar2ego": lidar2ego, "camera2ego": camera2ego,
+             "camera2lidar": camera2lidar, "camera_intrinsics": padded}
+    df = df.withColumns({n: la.to_array(m) for n, m in given.items()})
+    df = df.withColumn("lidar2camera", la.to_array(la.rigid_inverse(la.from_array("camera2lidar", 4, 4))))
+    image = la.matmul(la.from_array("camera_intrinsics", 4, 4), la.from_array("lidar2camera", 4, 4))
+    return df.withColumn("lidar2image", la.to_array(image))
 
 
 def training_records(poses: DataFrame, max_sweeps: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxelmill.functions import linalg as la
 from voxelmill.operators import index as ix
 from voxelmill.operators import windows as wn
 from voxelmill.plans.registry import query, r6, rd
@@ -308,11 +309,29 @@ def _(v):
             .select("record_id", "pos", rd("tx", 5).alias("tx"), "n_name"))
 
 
-@query("frame_calibration", f"""SELECT r.scene_id, r.record_id, r.channel, {r6('cos(r.yaw) * 1.2 + r.tx', 5)} AS cam2ego_x, {r6('sin(r.yaw) * 1.2 + r.ty', 5)} AS cam2ego_y,
-{r6('cos(r.yaw) * (0.5 - r.tx) + sin(r.yaw) * (0.0 - r.ty)', 5)} AS lidar2cam_x FROM records r""")
+# The focal length changes from camera record to camera record.
+_FOCAL, _CX, _CY = "(400.0 + s_record_id % 100)", 319.5, 239.5
+_CALIBRATION_SQL = {"ego2global": "e", "lidar2ego": "l", "camera2ego": "s", "camera2lidar": "m", "lidar2camera": "c"}
+_IMAGE_SQL = [[f"{_FOCAL} * c0{j} + {_CX}::DOUBLE * c2{j}" for j in range(4)], [f"{_FOCAL} * c1{j} + {_CY}::DOUBLE * c2{j}" for j in range(4)], [f"c2{j}" for j in range(4)]]
+_CELLS = [(i, j) for i in range(3) for j in range(4)]
+
+
+@query("frame_calibration", f"""WITH {NEAREST_SQL}, p5 AS (SELECT p4.*, {_inverse_sql('c', 'm')} FROM p4), p6 AS (SELECT p5.*, p1.* EXCLUDE (record_id, s_record_id) FROM p5 JOIN p1 USING (record_id))
+SELECT record_id, s_record_id AS camera_id, {', '.join(f'{r6(f"{m}{i}{j}", 4)} AS {n}_{i}{j}' for n, m in _CALIBRATION_SQL.items() for i, j in _CELLS)},
+{', '.join(f'{r6(_IMAGE_SQL[i][j], 4)} AS lidar2image_{i}{j}' for i, j in _CELLS)}, {r6(_FOCAL, 4)} AS fx, {r6(_FOCAL, 4)} AS fy, {r6(_CX, 4)} AS cx, {r6(_CY, 4)} AS cy FROM p6""")
 def _(v):
-    return wn.camera_calibration(v.records()).select(
-        "scene_id", "record_id", "channel", *[rd(n, 5).alias(n) for n in ("cam2ego_x", "cam2ego_y", "lidar2cam_x")])
+    records = v.records().withColumns({n: F.expr(e).cast("double") for n, e in TILT.items()})
+    state = ("tx", "ty", "tz", "roll", "pitch", "yaw")
+    pairs = ix.nearest_records(records, ["scene_id"], c("channel") == "click", c("channel") == "view", ["channel", *state])
+    rows = ix.sensor_to_lidar(pairs, MOUNTS, "click")
+    mount = {n: la.euler_pose([F.lit(x) for x in m[:3]], *[F.lit(x) for x in m[3:]]) for n, m in MOUNTS.items()}
+    ego = la.euler_pose([c("tx"), c("ty"), c("tz")], c("roll"), c("pitch"), c("yaw"))
+    focal, zero = 400.0 + c("s_record_id") % 100, F.lit(0.0)
+    lens = [[focal, zero, F.lit(_CX)], [zero, focal, F.lit(_CY)], [zero, zero, F.lit(1.0)]]
+    out = wn.frame_calibration(rows, ego, mount["click"], mount["view"], la.from_array("pose", 4, 4), lens)
+    cells = [rd(c(n)[i][j], 4).alias(f"{n}_{i}{j}") for n in wn.CALIBRATION if n != "camera_intrinsics" for i, j in _CELLS]
+    k = c("camera_intrinsics")
+    return out.select("record_id", c("s_record_id").alias("camera_id"), *cells, rd(k[0][0], 4).alias("fx"), rd(k[1][1], 4).alias("fy"), rd(k[0][2], 4).alias("cx"), rd(k[1][2], 4).alias("cy"))
 
 
 @query("convert_canonical_to_training", f"""WITH q AS (SELECT scene_id, frame_id, timestamp, tx, ty, CASE WHEN cos((yaw + 0.001) / 2) < 0 THEN -1 ELSE 1 END AS s, yaw + 0.001 AS a FROM poses),
