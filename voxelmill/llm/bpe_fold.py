@@ -170,6 +170,8 @@ def encode_decode(
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = blocks_for(size, bucket_bytes)
+    narrow = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
+    width = np.dtype(narrow).itemsize
 
     def split(data: np.ndarray, offsets: np.ndarray, find):
         """The words of each text."""
@@ -181,15 +183,16 @@ def encode_decode(
         return list(dict.fromkeys(chain.from_iterable(found)))
 
     def sent(words: list[bytes]) -> dict[int, list[bytes]]:
-        """The words to fold, by bucket: those that are no piece themselves and not too long."""
+        """The words to fold, by bucket: those that are no piece themselves and not too long. They are
+        sorted, as neighbours that begin alike travel in less room, and so do their ids."""
         out, table, crc32 = defaultdict(list), shared.value, zlib.crc32
-        for w in words:
+        for w in sorted(words):
             if w not in table and len(w) <= fold_bytes:
                 out[crc32(w) % buckets].append(w)
         return out
 
     def send(batches):
-        find = splitter(pattern)
+        find = splitter(pattern, by_ranks=True)
         for block, _, offsets, data in row_blocks(batches, block_bytes):
             rows = [(block, k, pack(np.array([len(w) for w in ws], np.uint16).tobytes() + b"".join(ws), len(ws))) for k, ws in sent([w.encode() for w in distinct(split(data, offsets, find))]).items()]
             if rows:
@@ -214,7 +217,7 @@ def encode_decode(
             flat = row["words"].flatten()
             size = np.diff(flat.offsets.to_numpy())
             start = np.cumsum(size) - size
-            ids = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            ids = flat.flatten().to_numpy(zero_copy_only=False).astype(narrow)
             for block, places in zip(row["blocks"][0].as_py(), row["places"][0].as_py()):
                 at = np.frombuffer(places, np.int32)
                 n = size[at]
@@ -222,11 +225,12 @@ def encode_decode(
                 yield record_batch([(block, row["bucket"][0].as_py(), pack(n.astype(np.uint16).tobytes() + ids[take].tobytes(), len(at)))])
 
     def lay_out(batches):
-        find = splitter(pattern)
+        find = splitter(pattern, by_ranks=True)
         table = shared.value
         spelled = [b""] * (max(table.values()) + 1)
         for piece, rank in table.items():
             spelled[rank] = piece
+        spelled = pa.array(spelled, pa.large_binary())
         for batch in pieces(batches, 1):
             row = batch.to_pylist()[0]
             doc_ids, data, offsets = block_rows(row)
@@ -237,20 +241,23 @@ def encode_decode(
             folded = {}
             for k, ws in sent(words).items():
                 n, body = answers.pop(k)
-                ends = (4 * np.cumsum(np.frombuffer(body, np.uint16, n), dtype=np.int64) + 2 * n).tolist()
+                ends = (width * np.cumsum(np.frombuffer(body, np.uint16, n), dtype=np.int64) + 2 * n).tolist()
                 folded.update(zip(ws, (body[a:b] for a, b in zip([2 * n, *ends], ends))))
             own = table.get
             ids = {}
             for word, w in zip(spellings, words):
                 rank = own(w)
-                ids[word] = folded.get(w) or (rank.to_bytes(4, "little") if rank is not None else np.array(merge_long(w, table), "<u4").tobytes())
+                ids[word] = folded.get(w) or (rank.to_bytes(width, "little") if rank is not None else np.array(merge_long(w, table), narrow).tobytes())
             del folded, words
             for a in range(0, len(doc_ids), 256):
-                out_ids = [b"".join([ids[w] for w in ws]) for ws in found[a : a + 256]]
-                decoded = [b"".join([spelled[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in out_ids]
+                coded = [b"".join([ids[w] for w in ws]) for ws in found[a : a + 256]]
+                ends = np.cumsum([0, *map(len, coded)]) // width
+                flat = np.frombuffer(b"".join(coded), narrow).astype("<u4")
+                taken = spelled.take(pa.array(flat))
+                letters = np.frombuffer(taken.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    doc_ids.slice(a, 256), pa.array([len(x) // 4 for x in out_ids], pa.int64()), pa.array(out_ids, pa.binary()),
-                    pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                    doc_ids.slice(a, 256), pa.array(np.diff(ends)), joined(4 * ends, pa.py_buffer(flat.tobytes())), joined(letters[ends], taken.buffers()[2])],
+                    names=["doc_id", "n_tokens", "ids", "decoded"])
 
     met = texts.mapInArrow(send, RECORD).groupBy("bucket").applyInArrow(meet, "bucket long, blocks array<long>, places array<binary>, words array<array<short>>")
     folded = met.select("bucket", "blocks", "places", let(rank_tables(ranks), lambda tables: F.transform("words", lambda w: fold_merges(w, tables))).alias("words"))
@@ -258,6 +265,12 @@ def encode_decode(
     return packed.join(gathered(folded.mapInArrow(answer, RECORD), "answers"), "block", "left").mapInArrow(lay_out, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
+def joined(ends: np.ndarray, data: pa.Buffer | None) -> pa.Array:
+    """One binary value from each end to the next, over bytes that lie side by side."""
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), data or pa.py_buffer(b"")])
+    return whole.cast(pa.binary())
+
+
 def pack(body: bytes, n: int) -> bytes:
     return np.array([n, len(body)], np.uint32).tobytes() + pa.compress(body, "zstd", asbytes=True)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
 
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 # Blocks whose letters, digits and spaces are the same in every Unicode version
@@ -28,14 +30,37 @@ PLAIN_PATTERN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{PLAIN_LETTERS}]+| ?[0-9]
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def splitter(pattern: str):
+def splitter(pattern: str, by_ranks: bool = False):
     """A function that gives the matches of ``pattern`` in a text, with white space as Unicode
-    defines it, not as Python does."""
-    general = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-    if pattern != SPLIT_PATTERN:
-        return general
-    plain, other = PLAIN_PATTERN.findall, PLAIN.search
-    return lambda text: general(text) if other(text) else plain(text)
+    defines it, not as Python does. ``by_ranks``: letters and digits are those of the library of rank
+    files, which may follow another Unicode version."""
+    general = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    spans, general = general.finditer, general.findall
+    plain, other, unstable = PLAIN_PATTERN.findall, PLAIN.search, UNSTABLE.search
+    known = pattern == SPLIT_PATTERN
+
+    def find(text: str) -> list[str]:
+        if known and not other(text):
+            return plain(text)
+        if not by_ranks or not unstable(text):
+            return general(text)
+        return [text[m.start() : m.end()] for m in spans(text.translate(stand_ins()))]
+
+    return find
+
+
+@functools.cache
+def stand_ins() -> dict[int, str]:
+    """For each character whose class here is not that of the library of rank files, one that has its
+    class in both: a letter, a digit or neither. The library itself tells the classes."""
+    whole = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    out = {}
+    for kind in (r"\p{L}", r"\p{N}"):
+        bare = tiktoken.Encoding("bare", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        theirs, ours = set(bare.decode_bytes(bare.encode_ordinary(whole)).decode()), set(regex.findall(kind, whole))
+        out |= {ord(x): "\ue000" for x in ours - theirs if ord(x) not in out}
+        out |= {ord(x): "é" if kind == r"\p{L}" else "²" for x in theirs - ours}
+    return out
 
 
 class PretokenEncoder:
