@@ -13,7 +13,6 @@ import heapq
 import json
 import zlib
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -179,16 +178,18 @@ def encode_decode(
         return [find(text[a:b].decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
     def distinct(found: list[list[str]]) -> list[str]:
-        """The distinct words in order of first use."""
-        return list(dict.fromkeys(chain.from_iterable(found)))
+        """The distinct words, in any order."""
+        return list(set().union(*found))
 
     def sent(words: list[bytes]) -> dict[int, list[bytes]]:
         """The words to fold, by bucket: those that are no piece themselves and not too long. They are
         sorted, as neighbours that begin alike travel in less room, and so do their ids."""
         out, table, crc32 = defaultdict(list), shared.value, zlib.crc32
-        for w in sorted(words):
+        for w in words:
             if w not in table and len(w) <= fold_bytes:
                 out[crc32(w) % buckets].append(w)
+        for ws in out.values():
+            ws.sort()
         return out
 
     def send(batches):
@@ -250,7 +251,7 @@ def encode_decode(
                 ids[word] = folded.get(w) or (rank.to_bytes(width, "little") if rank is not None else np.array(merge_long(w, table), narrow).tobytes())
             del folded, words
             for a in range(0, len(doc_ids), 256):
-                coded = [b"".join([ids[w] for w in ws]) for ws in found[a : a + 256]]
+                coded = [b"".join(map(ids.__getitem__, ws)) for ws in found[a : a + 256]]
                 ends = np.cumsum([0, *map(len, coded)]) // width
                 flat = np.frombuffer(b"".join(coded), narrow).astype("<u4")
                 taken = spelled.take(pa.array(flat))
