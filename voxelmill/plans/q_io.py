@@ -263,28 +263,36 @@ def _(v):
     return run(v, sj.dedup_tokens(frames, "at", "60 days"), "append").select("token")
 
 
-def frame_stream(v):
-    """Numbered frames written as a folder of files and read back as a stream."""
-    folder = scratch_folder(v.spark, "frames")
-    frames = tokens(v).select("scene_id", "frame_id", "timestamp", c("event_id").alias("arrival"))
-    frames.write.parquet(folder)
-    return v.spark.readStream.schema(frames.schema).parquet(folder)
+def run_in_parts(v, frames, job):
+    """Early, middle and late frames reach the stream one after the other; the job is started anew for
+    each, so that scenes go on from the state that the checkpoint holds."""
+    whole, arrived, target = (scratch_folder(v.spark, name) for name in ("frames", "arrived", "stream"))
+    frames.write.parquet(whole)
+    frames = v.spark.read.schema(frames.schema).parquet(whole)
+    first, second = frames.agg(F.percentile_approx("frame_id", [0.33, 0.67])).first()[0] or (0, 0)
+    part = F.when(c("frame_id") <= first, 0).when(c("frame_id") <= second, 1).otherwise(2)
+    for number in range(3):
+        frames.where(part == number).write.mode("append").parquet(arrived)
+        out = sj.run_available(job(v.spark.readStream.schema(frames.schema).parquet(arrived)), target, "append")
+    return out
 
 
 @query("stream_sequence_check", """SELECT scene_id, frame_id, CASE WHEN frame_id > first_bad THEN 'frame id is not next' WHEN frame_id = first_bad THEN 'timestamp is not later' ELSE '' END AS fault
 FROM frames LEFT JOIN (SELECT scene_id, min(frame_id) AS first_bad FROM frames WHERE event_id % 211 = 0 AND frame_id > 0 GROUP BY 1) USING (scene_id)""")
 def _(v):
-    rows = frame_stream(v)
+    rows = tokens(v).select("scene_id", "frame_id", "timestamp", c("event_id").alias("arrival"))
     # an early timestamp rejects its frame, and with it every later id of the scene
     late = (c("arrival") % 211 == 0) & (c("frame_id") > 0)
     rows = rows.withColumn("timestamp", F.when(late, F.lit(0)).otherwise(c("timestamp")))
-    return run(v, sj.sequence_check(rows), "append").select("scene_id", "frame_id", "fault")
+    return run_in_parts(v, rows, sj.sequence_check).select("scene_id", "frame_id", "fault")
 
 
-@query("stream_sweep_buffer", """SELECT a.scene_id, a.frame_id, CAST(a.frame_id - b.frame_id - 1 AS INTEGER) AS rank, b.frame_id AS source_frame
-FROM frames a JOIN frames b ON a.scene_id = b.scene_id AND b.frame_id BETWEEN a.frame_id - 3 AND a.frame_id - 1""")
+@query("stream_sweep_buffer", f"""SELECT a.scene_id, a.frame_id, CAST(a.frame_id - b.frame_id - 1 AS INTEGER) AS rank, b.frame_id AS source_frame,
+{r6("cos(a.yaw) * (b.tx - a.tx) + sin(a.yaw) * (b.ty - a.ty)", 5)} AS dx, {r6("cos(a.yaw) * (b.ty - a.ty) - sin(a.yaw) * (b.tx - a.tx)", 5)} AS dy, {r6("b.yaw - a.yaw", 5)} AS dyaw
+FROM poses a JOIN poses b ON a.scene_id = b.scene_id AND b.frame_id BETWEEN a.frame_id - 3 AND a.frame_id - 1""")
 def _(v):
-    return run(v, sj.sweep_buffer(frame_stream(v), 3), "append")
+    links = run_in_parts(v, v.poses(), lambda frames: sj.sweep_buffer(frames, 3, ("tx", "ty", "yaw")))
+    return links.select("scene_id", "frame_id", "rank", "source_frame", *(rd(k, 5).alias(k) for k in ("dx", "dy", "dyaw")))
 
 
 @query("stream_early_stop")

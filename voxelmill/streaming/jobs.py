@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,20 +51,36 @@ def sequence_check(frames: DataFrame) -> DataFrame:
         "append", GroupStateTimeout.NoTimeout)
 
 
-def sweep_buffer(frames: DataFrame, sweeps: int) -> DataFrame:
-    """Links of each new frame to the last ``sweeps`` frames of its scene, newest first."""
+def sweep_buffer(frames: DataFrame, sweeps: int, pose: tuple[str, str, str] | None = None) -> DataFrame:
+    """Links of each new frame to the last ``sweeps`` frames of its scene, newest first.
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids = list(state.get[0]) if state.exists else []
-        out = []
-        for row in _all(batches, ["frame_id"]).itertuples(index=False):
-            out += [(key[0], int(row.frame_id), rank, int(old)) for rank, old in enumerate(reversed(ids))]
-            ids = (ids + [int(row.frame_id)])[-sweeps:]
-        state.update((ids,))
-        yield pd.DataFrame(out, columns=["scene_id", "frame_id", "rank", "source_frame"])
+    With the columns of a pose (x, y, yaw) each link also holds the pose of the older frame as the
+    new one sees it: ``dx``, ``dy`` and ``dyaw``. The state is the ids and poses of the last
+    ``sweeps`` frames. Frames of a batch are taken by id.
+    """
+    kept = ["frame_id", *(pose or ())]
 
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = pd.DataFrame(dict(zip(kept, state.get if state.exists else [[]] * len(kept))))
+        old["frame_id"] = old["frame_id"].astype("int64")
+        new = _all(batches, ["frame_id"])[kept]
+        rows = pd.concat([old, new], ignore_index=True) if len(old) else new
+        for back in range(1, sweeps + 1):
+            first = max(len(old), back)
+            here, there = rows.iloc[first:], rows.iloc[first - back : len(rows) - back]
+            out = pd.DataFrame({"scene_id": key[0], "frame_id": here["frame_id"].to_numpy(), "rank": back - 1, "source_frame": there["frame_id"].to_numpy()})
+            if pose:
+                x, y, yaw = (there[p].to_numpy() - here[p].to_numpy() for p in pose)
+                cos, sin = np.cos(here[pose[2]].to_numpy()), np.sin(here[pose[2]].to_numpy())
+                out = out.assign(dx=cos * x + sin * y, dy=cos * y - sin * x, dyaw=yaw)
+            if len(out):
+                yield out
+        state.update(tuple(rows[k].iloc[-sweeps:].tolist() for k in kept))
+
+    links = "scene_id bigint, frame_id bigint, rank int, source_frame bigint"
+    poses = "".join(f", {p} array<double>" for p in pose or ())
     return frames.groupBy("scene_id").applyInPandasWithState(
-        step, "scene_id bigint, frame_id bigint, rank int, source_frame bigint", "ids array<bigint>",
+        step, links + (", dx double, dy double, dyaw double" if pose else ""), "frame_id array<bigint>" + poses,
         "append", GroupStateTimeout.NoTimeout)
 
 
