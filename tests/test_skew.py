@@ -93,3 +93,22 @@ def test_far_values_leave_even_slices(spark):
     got = exact_quantiles(df, ["k"], "v", [0.0, 0.5, 0.99, 1.0], ["a", "b", "c", "d"]).toPandas().set_index("k")
     for key, part in pdf.groupby("k"):
         assert got.loc[key].tolist() == pytest.approx(np.quantile(part.v, [0.0, 0.5, 0.99, 1.0]).tolist())
+
+
+def test_joins_of_growing_tables_are_not_broadcast(spark):
+    from voxelmill.operators import joins as jn
+    from voxelmill.operators import suppress as sp
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString()
+
+    points = spark.range(40).select((c("id") % 4).alias("frame_id"), c("id").alias("point_id"), *[(c("id") * 1.0).alias(k) for k in "xyz"], F.lit(0.5).alias("intensity"))
+    centres = spark.range(4).select(c("id").alias("frame_id"), c("id").alias("centre_id"), *[F.lit(1.0).alias("c_" + k) for k in "xyz"])
+    boxes = spark.createDataFrame([(i % 4, i, i, float(i), "a", *[1.0] * 7) for i in range(8)],
+                                  ["frame_id", "box_id", "det_id", "score", "name", "x", "y", "z", "dx", "dy", "dz", "yaw"])
+    ball = jn.ball_query(points, centres, 0.0, 5.0, 4)
+    found = [ball, jn.query_and_group(points, centres, ball), jn.box_pairs(boxes, boxes), jn.points_in_boxes_all(points, boxes),
+             sp.nms(boxes, ["frame_id"], "det_id", sp.circle(4.0)), jn.heuristic_assign(boxes.withColumn("gt_id", c("box_id")), boxes.withColumn("pred_id", c("det_id")), 9.0)]
+    for df in found:
+        optimized, physical = plan(df)
+        assert "Join" in optimized and "BroadcastHashJoin" not in physical

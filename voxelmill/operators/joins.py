@@ -17,7 +17,7 @@ from voxelmill.functions import boxes as bx
 from voxelmill.functions.overlap import rectangle_overlap_area
 from voxelmill.operators import cells as cl
 from voxelmill.session import cut_lineage
-from voxelmill.skew import spread_join
+from voxelmill.skew import shuffled_join, spread_join
 
 c = F.col
 TILE = ["frame_id", "_tx", "_ty"]
@@ -48,7 +48,7 @@ def join_points_boxes(points: DataFrame, boxes: DataFrame, test: Column, size: f
     """Points (x, y, z) against boxes (prefix ``b_``) with a residual test."""
     left, right = point_tiles(points, size), box_tiles(boxes, size)
     on = (left.frame_id == right.frame_id) & (left._tx == right._tx) & (left._ty == right._ty) & test
-    joined = left.join(right, on, how)
+    joined = shuffled_join(left, right, on, how)
     if how in ("left_semi", "left_anti"):
         return joined.drop("_tx", "_ty")
     return joined.drop(right.frame_id).drop(left._tx).drop(left._ty).drop(right._tx).drop(right._ty)
@@ -99,7 +99,7 @@ def background_filter(points: DataFrame, boxes: DataFrame, width: float, size: f
     near = join_points_boxes(points, enlarged, inside(), size)
     original = bx.point_in_box(c("x"), c("y"), c("z"), bx.box("b_o"))
     flags = near.groupBy("frame_id", "point_id").agg(F.max(original.cast("int")).alias("_in"))
-    return points.join(flags.where(c("_in") == 0), ["frame_id", "point_id"], "left_anti")
+    return shuffled_join(points, flags.where(c("_in") == 0), ["frame_id", "point_id"], "left_anti")
 
 
 # Neighbours -------------------------------------------------------------------------------
@@ -120,7 +120,7 @@ def radius_pairs(points: DataFrame, centres: DataFrame, rmax: float, rmin: float
     """Pairs at distance 0 or in ``[rmin, rmax)``; centres have ``centre_id, c_x, c_y, c_z``."""
     left = point_tiles(points, rmax)
     right = spread_tiles(centres, c("c_x") - rmax, c("c_y") - rmax, c("c_x") + rmax, c("c_y") + rmax, rmax)
-    pairs = left.join(right, TILE).drop("_tx", "_ty").withColumn("d2", _distance2())
+    pairs = shuffled_join(left, right, TILE).drop("_tx", "_ty").withColumn("d2", _distance2())
     return pairs.where((c("d2") == 0) | ((c("d2") >= rmin * rmin) & (c("d2") < rmax * rmax)))
 
 
@@ -134,7 +134,7 @@ def ball_query(points: DataFrame, centres: DataFrame, rmin: float, rmax: float,
             .groupBy("frame_id", "centre_id")
             .agg(F.array_sort(F.collect_list("point_id")).alias("ids")))  # at most nsample ids
     padded = F.coalesce(F.get(c("ids"), F.col("slot")), F.get(c("ids"), F.lit(0)), F.lit(0).cast("bigint"))
-    return (centres.select("frame_id", "centre_id").join(hits, ["frame_id", "centre_id"], "left")
+    return (shuffled_join(centres.select("frame_id", "centre_id"), hits, ["frame_id", "centre_id"], "left")
             .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(nsample - 1))))
             .select("frame_id", "centre_id", "slot", padded.alias("point_id")))
 
@@ -174,9 +174,9 @@ def knn(points: DataFrame, centres: DataFrame, k: int) -> DataFrame:
     kept = _within_bound(found.withColumns({"_near": near, "_far": far}), k)
     for nodes in (levels[1], levels[0]):
         above = nodes.select("*", *[F.expr(f"shiftright({q}, _step)").alias("_p" + q) for q in cell]).drop("_step")
-        opened = kept.withColumnsRenamed({q: "_p" + q for q in cell}).join(above, ["frame_id", *["_p" + q for q in cell]])
+        opened = shuffled_join(kept.withColumnsRenamed({q: "_p" + q for q in cell}), above, ["frame_id", *["_p" + q for q in cell]])
         kept = _within_bound(opened.withColumns({"_near": near, "_far": far}), k)
-    pairs = pts.join(kept, ["frame_id", *cell]).withColumn("d2", _distance2())
+    pairs = shuffled_join(pts, kept, ["frame_id", *cell]).withColumn("d2", _distance2())
     w = Window.partitionBy("frame_id", "centre_id").orderBy("d2", "point_id")
     return (pairs.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
             .select("frame_id", "centre_id", "rank", "point_id", "d2"))
@@ -184,12 +184,12 @@ def knn(points: DataFrame, centres: DataFrame, k: int) -> DataFrame:
 
 def gather(points: DataFrame, index: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of ``index`` with the listed point columns."""
-    return index.join(points.select("frame_id", "point_id", *columns), ["frame_id", "point_id"])
+    return shuffled_join(index, points.select("frame_id", "point_id", *columns), ["frame_id", "point_id"])
 
 
 def query_and_group(points: DataFrame, centres: DataFrame, index: DataFrame, radius: float | None = None) -> DataFrame:
     """Neighbour offsets to their centre, optionally divided by the radius."""
-    rows = gather(points, index, ["x", "y", "z", "intensity"]).join(centres, ["frame_id", "centre_id"])
+    rows = shuffled_join(gather(points, index, ["x", "y", "z", "intensity"]), centres, ["frame_id", "centre_id"])
     scale = radius or 1.0
     return rows.withColumns({f"o{k}": (c(k) - c("c_" + k)) / scale for k in "xyz"})
 
@@ -207,7 +207,7 @@ def pair_distance(features: DataFrame, pairs: DataFrame, key: str, vector: str,
     diff = F.zip_with("_a", "_b", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
     total = F.aggregate(diff, F.lit(0.0), lambda acc, v: acc + v)
     total = F.sqrt(total) / F.size("_a") if norm else total
-    return pairs.join(left, "left_id").join(right, "right_id").withColumn("distance", total).drop("_a", "_b")
+    return shuffled_join(shuffled_join(pairs, left, "left_id"), right, "right_id").withColumn("distance", total).drop("_a", "_b")
 
 
 # Box pairs --------------------------------------------------------------------------------
@@ -224,7 +224,7 @@ def box_pairs(left: DataFrame, right: DataFrame, size: float = 8.0, extra: list[
     a, b = named(left, "a_"), named(right, "b_")
     a = spread_tiles(a, c("_a_")[0], c("_a_")[1], c("_a_")[2], c("_a_")[3], size)
     b = spread_tiles(b, c("_b_")[0], c("_b_")[1], c("_b_")[2], c("_b_")[3], size)
-    meet = a.join(b, [*keys, "_tx", "_ty"])
+    meet = shuffled_join(a, b, [*keys, "_tx", "_ty"])
     first_x, first_y = F.greatest(c("_a_")[0], c("_b_")[0]), F.greatest(c("_a_")[1], c("_b_")[1])
     return meet.where(
         (first_x <= F.least(c("_a_")[2], c("_b_")[2])) & (first_y <= F.least(c("_a_")[3], c("_b_")[3]))
@@ -323,7 +323,7 @@ def object_database(points: DataFrame, boxes: DataFrame) -> DataFrame:
         *[(c(k) - c("b_" + k)).alias("o" + k) for k in "xyz"])
     counted = pairs.groupBy("frame_id", "box_id").agg(
         F.count("*").alias("num_points"), *[F.avg("o" + k).alias("m" + k) for k in "xyz"])
-    return boxes.select("frame_id", "box_id", "name").join(counted, ["frame_id", "box_id"], "left").withColumn(
+    return shuffled_join(boxes.select("frame_id", "box_id", "name"), counted, ["frame_id", "box_id"], "left").withColumn(
         "num_points", F.coalesce("num_points", F.lit(0).cast("bigint")))
 
 
@@ -341,7 +341,7 @@ def heuristic_assign(truth: DataFrame, predictions: DataFrame, limit: float) ->
     t = truth.select("frame_id", "name", "gt_id", c("x").alias("c_x"), c("y").alias("c_y"))
     t = spread_tiles(t, c("c_x") - limit, c("c_y") - limit, c("c_x") + limit, c("c_y") + limit, limit)
     p = point_tiles(predictions.select("frame_id", "name", "pred_id", "x", "y"), limit)
-    pairs = t.join(p, [*TILE, "name"]).withColumn(
+    pairs = shuffled_join(t, p, [*TILE, "name"]).withColumn(
         "distance", F.sqrt((c("x") - c("c_x")) * (c("x") - c("c_x")) + (c("y") - c("c_y")) * (c("y") - c("c_y"))))
     near = pairs.where(c("distance") <= limit).groupBy("frame_id", "gt_id").agg(
         F.min(F.struct("distance", "pred_id")).alias("_m"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.operators import raster as rs
 from voxelmill.session import cut_lineage
-from voxelmill.skew import exact_quantiles
+from voxelmill.skew import exact_quantiles, shuffled_join
 
 c = F.col
 EPS = 1e-7
@@ -142,12 +142,12 @@ def boundary_f1(cells: DataFrame, keys: Sequence[str], rows: int, cols: int, tol
     # each of the three small tables is read several times below, so it is written once
     core = cut_lineage(rs.erode(cells.where(c("supervised") == 1).select(*ident), keys, tolerance, rows, cols))
     pred, true = (
-        cut_lineage(rs.cell_boundary(cells.where(test).select(*ident), keys, rows, cols).join(core, ident, "left_semi"))
+        cut_lineage(shuffled_join(rs.cell_boundary(cells.where(test).select(*ident), keys, rows, cols), core, ident, "left_semi"))
         for test in (c("score") >= 0.5, c("label") == 1))
 
     def matched(a, b):
         near = rs.dilate(b, keys, tolerance, rows, cols).withColumn("_hit", F.lit(1))
-        return a.join(near, ident, "left").groupBy("class_id").agg(F.count("*").alias("n"), F.count("_hit").alias("m"))
+        return shuffled_join(a, near, ident, "left").groupBy("class_id").agg(F.count("*").alias("n"), F.count("_hit").alias("m"))
 
     p = matched(pred, true).select("class_id", c("n").alias("pred"), c("m").alias("pred_matched"))
     t = matched(true, pred).select("class_id", c("n").alias("truth"), c("m").alias("truth_matched"))

@@ -20,7 +20,7 @@ from voxelmill.operators import joins as jn
 from voxelmill.operators import voxels as vx
 from voxelmill.operators.batches import group_ids, map_groups
 from voxelmill.session import cut_lineage
-from voxelmill.skew import exact_quantiles, split_by_group_size, spread_join, value_slices, with_lag, with_row_number, with_running
+from voxelmill.skew import exact_quantiles, shuffled_join, split_by_group_size, spread_join, value_slices, with_lag, with_row_number, with_running
 
 c = F.col
 
@@ -98,7 +98,7 @@ def assign_scores(index: DataFrame, points: DataFrame, feature: str, scores: Col
     """Sum over neighbours of score times (neighbour minus centre feature), one column per kernel."""
     near = jn.gather(points, index, [feature])
     centre = points.select("frame_id", c("point_id").alias("centre_id"), c(feature).alias("_centre"))
-    rows = near.join(centre, ["frame_id", "centre_id"]).withColumn("_s", scores)
+    rows = shuffled_join(near, centre, ["frame_id", "centre_id"]).withColumn("_s", scores)
     diff = c(feature) - c("_centre")
     return rows.groupBy("frame_id", "centre_id").agg(*[F.sum(c("_s")[k] * diff).alias(f"k{k}") for k in range(kernels)])
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.operators.voxels import CELL, VoxelGrid
+from voxelmill.skew import shuffled_join
 
 c = F.col
 OUT = ["frame_id", "ox", "oy", "oz"]
@@ -48,7 +49,7 @@ def submanifold_pairs(voxels: DataFrame, shape: Sequence[int], kernel: Sequence[
     """As ``conv_pairs`` with stride 1, keeping only outputs that are active voxels."""
     pairs = conv_pairs(voxels, shape, kernel, 1, kernel[0] // 2)
     active = voxels.select("frame_id", *[c(f"c{k}").alias(f"o{k}") for k in "xyz"])
-    return pairs.join(active, OUT, "left_semi")
+    return shuffled_join(pairs, active, OUT, "left_semi")
 
 
 def transposed_pairs(voxels: DataFrame, shape: Sequence[int], kernel: Sequence[int], stride: int,
@@ -94,12 +95,12 @@ def to_dense(frames: DataFrame, voxels: DataFrame, g: VoxelGrid, feature: str) -
     """Full lattice per frame, zero where there is no voxel."""
     nx, ny, nz = g.shape
     lattice = frames.withColumn("cx", _steps(nx)).withColumn("cy", _steps(ny)).withColumn("cz", _steps(nz))
-    return (lattice.join(voxels.select(*CELL, feature), CELL, "left")
+    return (shuffled_join(lattice, voxels.select(*CELL, feature), CELL, "left")
             .withColumn(feature, F.coalesce(feature, F.lit(0.0))))
 
 
 def pillar_scatter(frames: DataFrame, pillars: DataFrame, g: VoxelGrid, feature: str) -> DataFrame:
     nx, ny, _ = g.shape
     lattice = frames.withColumn("cx", _steps(nx)).withColumn("cy", _steps(ny))
-    return (lattice.join(pillars, ["frame_id", "cx", "cy"], "left")
+    return (shuffled_join(lattice, pillars, ["frame_id", "cx", "cy"], "left")
             .withColumn(feature, F.coalesce(feature, F.lit(0.0))))

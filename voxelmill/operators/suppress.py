@@ -31,6 +31,7 @@ from voxelmill.functions.overlap import rectangle_overlap_area
 from voxelmill.operators import joins as jn
 from voxelmill.operators.topk import top_per_group
 from voxelmill.session import cut_lineage
+from voxelmill.skew import shuffled_join
 
 c = F.col
 CELL = 64.0  # side of the ground cells whose links a task decides together
@@ -104,7 +105,7 @@ def suppress(dets: DataFrame, keys: Sequence[str], ident: str, rule: Rule, tile:
     rest, gone = named.select(*row, "score", *GEOMETRY, "_b"), []
     while _crowded(rest, keys, tile, crowd):
         leaders, lost = _leader_piles(rest, keys, ident, rule, tile)
-        marked = rest.join(leaders.unionByName(lost), row, "left")
+        marked = shuffled_join(rest, leaders.unionByName(lost), row, "left")
         marked = cut_lineage(marked)
         gone.append(marked.where("_lost").select(*row))
         rest = marked.where("_lost IS NULL").drop("_lost")
@@ -116,9 +117,9 @@ def suppress(dets: DataFrame, keys: Sequence[str], ident: str, rule: Rule, tile:
         if links.isEmpty():
             break
         for end in ("l", "w"):
-            links = links.join(lost.withColumnRenamed("l", end), [*keys, end], "left_anti")
+            links = shuffled_join(links, lost.withColumnRenamed("l", end), [*keys, end], "left_anti")
     for lost in gone:
-        named = named.join(lost, row, "left_anti")
+        named = shuffled_join(named, lost, row, "left_anti")
     return named.select(*dets.columns)
 
 
@@ -138,10 +139,10 @@ def _leader_piles(rest: DataFrame, keys: list[str], ident: str, rule: Rule, tile
     row, at = [*keys, ident], [*keys, "_tx", "_ty"]
     listed = _tiles(rest, tile)
     best = listed.groupBy(*at).agg(F.max(F.struct(c("score"), (-c(ident)).alias("_neg"))).alias("_top"))
-    ahead = listed.join(best, at).groupBy(*row).agg(F.min((-c("_top._neg") == c(ident)).cast("int")).alias("_wins"))
-    won = cut_lineage(rest.join(ahead.where(c("_wins") == 1).select(*row), row, "left_semi"))
+    ahead = shuffled_join(listed, best, at).groupBy(*row).agg(F.min((-c("_top._neg") == c(ident)).cast("int")).alias("_wins"))
+    won = cut_lineage(shuffled_join(rest, ahead.where(c("_wins") == 1).select(*row), row, "left_semi"))
     near = _tiles(won, tile).select(*at, c(ident).alias("k_id"), *[c(g).alias("k_" + g) for g in GEOMETRY])
-    lost = listed.select(*row, "_tx", "_ty", *GEOMETRY).join(near, at).where(c("k_id") != c(ident)).where(rule.test())
+    lost = shuffled_join(listed.select(*row, "_tx", "_ty", *GEOMETRY), near, at).where(c("k_id") != c(ident)).where(rule.test())
     return won.select(*row, F.lit(False).alias("_lost")), lost.select(*row).distinct().withColumn("_lost", F.lit(True))
 
 
@@ -150,7 +151,7 @@ def _links(rest: DataFrame, keys: list[str], ident: str, rule: Rule, tile: float
     its first common corner."""
     at = [*keys, "_tx", "_ty"]
     better = _tiles(rest, tile).select(*at, c(ident).alias("w"), c("score").alias("k_score"), c("_b").alias("k_b"), *[c(g).alias("k_" + g) for g in GEOMETRY])
-    pairs = _tiles(rest, tile).withColumnRenamed(ident, "l").join(better, at)
+    pairs = shuffled_join(_tiles(rest, tile).withColumnRenamed(ident, "l"), better, at)
     ahead = (c("k_score") > c("score")) | ((c("k_score") == c("score")) & (c("w") < c("l")))
     first = [F.floor(F.greatest(c("_b")[i], c("k_b")[i]) / tile) for i in (0, 1)]
     return pairs.where(ahead & (c("_tx") == first[0]) & (c("_ty") == first[1])).where(rule.test()).select(
@@ -165,7 +166,7 @@ def _decide(links: DataFrame, keys: list[str]) -> DataFrame:
     without ``w``, links between rows that are still undecided stay for the next pass.
     """
     losers = links.select(*keys, c("l").alias("w")).distinct().withColumn("_doubt", F.lit(True))
-    known = links.withColumn("_all", F.count("*").over(Window.partitionBy(*keys, "l"))).join(losers, [*keys, "w"], "left")
+    known = shuffled_join(links.withColumn("_all", F.count("*").over(Window.partitionBy(*keys, "l"))), losers, [*keys, "w"], "left")
     known = known.select(*keys, "l", "w", "_cell", c("_doubt").isNull().alias("_free"), "_all")
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,7 @@ from voxelmill.functions import coders as cd
 from voxelmill.functions import linalg as la
 from voxelmill.operators import anchors as an
 from voxelmill.plans.registry import query, r6, rd
+from voxelmill.skew import shuffled_join
 
 c = F.col
 ID = "frame_id, box_id"
@@ -306,7 +307,7 @@ def anchor_pairs(v):
     anchors = v.boxes().select("frame_id", "box_id", *[c(n).alias("a" + n) for n in DIMS])
     targets = v.detections().select(
         "frame_id", F.floor(c("det_id") / 4).alias("box_id"), *DIMS).withColumn("dy", c("dy") + 0.5)
-    return anchors.join(targets, ["frame_id", "box_id"])
+    return shuffled_join(anchors, targets, ["frame_id", "box_id"])
 
 
 _ENC = {"tx": "(x - ax) / sqrt(adx * adx + ady * ady)", "ty": "(y - ay) / sqrt(adx * adx + ady * ady)",

@@ -9,6 +9,7 @@ from voxelmill.operators import joins as jn
 from voxelmill.operators import matching as mt
 from voxelmill.operators import sampling as sm
 from voxelmill.plans.registry import query, r6, rd
+from voxelmill.skew import shuffled_join
 
 c = F.col
 
@@ -326,7 +327,7 @@ def _(v):
     a = v.boxes().select("frame_id", "box_id", *[c(n).alias("a_" + n) for n in ("x", "y", "z", "dx", "dy", "dz", "yaw")])
     b = v.detections().select("frame_id", "det_id", F.expr("det_id div 4").alias("box_id"), *[c(n).alias("b_" + n) for n in ("x", "y", "z", "dx", "dy", "dz", "yaw")])
     _, giou = jn.aabb_iou(jn.box_bounds_3d(bx.box("a_")), jn.box_bounds_3d(bx.box("b_")))
-    return a.join(b, ["frame_id", "box_id"]).select("frame_id", "det_id", rd(giou, 5).alias("giou"))
+    return shuffled_join(a, b, ["frame_id", "box_id"]).select("frame_id", "det_id", rd(giou, 5).alias("giou"))
 
 
 @query("camera_height_overlaps", f"SELECT a.frame_id, a.box_id, b.det_id, {r6('greatest(least(a.y, b.y) - greatest(a.y - a.dy, b.y - b.dy), 0)', 5)} AS overlap FROM {BD} AND b.det_id // 4 = a.box_id")
@@ -334,7 +335,7 @@ def _(v):
     a = v.boxes().select("frame_id", "box_id", *[c(n).alias("a_" + n) for n in ("x", "y", "z", "dx", "dy", "dz", "yaw")])
     b = v.detections().select("frame_id", "det_id", F.expr("det_id div 4").alias("box_id"), *[c(n).alias("b_" + n) for n in ("x", "y", "z", "dx", "dy", "dz", "yaw")])
     h = jn.height_overlap(bx.box("a_"), bx.box("b_"), "camera")
-    return a.join(b, ["frame_id", "box_id"]).select("frame_id", "box_id", "det_id", rd(h, 5).alias("overlap"))
+    return shuffled_join(a, b, ["frame_id", "box_id"]).select("frame_id", "box_id", "det_id", rd(h, 5).alias("overlap"))
 
 
 _M = [[f"{p}.x - {p}.dx / 2", f"{p}.y - {p}.dy / 2", f"{p}.x + {p}.dx / 2", f"{p}.y + {p}.dy / 2"] for p in "ab"]
@@ -363,7 +364,7 @@ SELECT frame_id, box_id, det_id, {r6('bev_l1 * 0.25', 5)} AS bev_l1, {r6('box_l1
 def _(v):
     a = v.boxes().select("frame_id", "box_id", *[c(n).alias("a_" + n) for n in ("x", "y", "z", "dx", "dy", "dz")])
     b = v.detections().select("frame_id", "det_id", F.expr("det_id div 4").alias("box_id"), *[c(n).alias("b_" + n) for n in ("x", "y", "z", "dx", "dy", "dz")])
-    return a.join(b, ["frame_id", "box_id"]).select(
+    return shuffled_join(a, b, ["frame_id", "box_id"]).select(
         "frame_id", "box_id", "det_id", rd(mt.bev_l1_cost((50.0, 100.0), 0.25), 5).alias("bev_l1"), rd(mt.box_l1_cost(0.5), 5).alias("box_l1"))
 
 

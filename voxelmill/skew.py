@@ -24,6 +24,13 @@ def _cols(keys: Keys) -> list[Column]:
 SALTS = 8
 
 
+def shuffled_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of two tables that both grow with the input. The planner derives sizes from compressed files and does not
+    count what an explode adds, also behind a checkpoint, and would send millions of rows through the driver as
+    a broadcast; the hint has both sides shuffled."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def spread_join(rows: DataFrame, keys: Keys, spread: Column, per_key: DataFrame) -> DataFrame:
     """Join of rows with a table of one or few rows a key: each key's rows are dealt over ``SALTS`` join
     keys by the hash of ``spread``, and the small table travels in as many copies."""
