@@ -270,3 +270,52 @@ def test_boundaries_of_the_in_box_test(spark):
     df = spark.createDataFrame(rows, "x double, y double, z double").withColumns({n: F.lit(v) for n, v in b})
     got = [r.h for r in df.select(bx.point_in_box(c("x"), c("y"), c("z"), bx.box("b_")).alias("h")).collect()]
     assert got == [True, True, False, True, False, True, False]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 17])
+def test_cell_windows_across_words(spark, radius):
+    from voxelmill.operators import raster as rs
+
+    rng = np.random.default_rng(radius)
+    rows, cols = 40, 75
+    full = np.ones((rows, cols), bool)
+    full[rng.integers(0, rows, 3), rng.integers(0, cols, 3)] = False
+    grids = {0: rng.random((rows, cols)) < 0.02, 1: full}
+
+    def window(g, fn):
+        return np.array([[fn(g[max(r - radius, 0) : r + radius + 1, max(q - radius, 0) : q + radius + 1]) for q in range(cols)] for r in range(rows)])
+
+    cells = spark.createDataFrame([(k, int(r), int(q)) for k, g in grids.items() for r, q in zip(*np.nonzero(g))] * 2, "frame_id long, row long, col long")
+
+    def cells_of(df):
+        got = [tuple(x) for x in df.select("frame_id", "row", "col").collect()]
+        assert len(got) == len(set(got))
+        return set(got)
+
+    def expected(fn):
+        return {(k, int(r), int(q)) for k, g in grids.items() for r, q in zip(*np.nonzero(fn(g)))}
+
+    assert cells_of(rs.dilate(cells, ["frame_id"], radius, rows, cols)) == expected(lambda g: window(g, np.any))
+    assert cells_of(rs.erode(cells, ["frame_id"], radius, rows, cols)) == expected(lambda g: g & window(g, np.all))
+    if radius == 1:
+        assert cells_of(rs.cell_boundary(cells, ["frame_id"], rows, cols)) == expected(lambda g: g & ~window(g, np.all))
+
+
+def test_cell_windows_send_words_not_cells(spark):
+    from voxelmill.operators import raster as rs
+
+    cells = spark.range(0, 4000, 1, 2).select((c("id") / 4000).cast("long").alias("frame_id"), (c("id") / 100).cast("long").alias("row"), (c("id") % 100).alias("col"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for out in (rs.dilate(cells, ["frame_id"], 1, 40, 100), rs.erode(cells, ["frame_id"], 1, 40, 100)):
+            rows = out._jdf.queryExecution().executedPlan()
+            out._jdf.queryExecution().toRdd().count()
+            sent, todo = [], [rows]
+            while todo:
+                node = todo.pop()
+                if node.nodeName() == "Exchange":
+                    sent.append(node.metrics().apply("shuffleRecordsWritten").value())
+                todo += [node.children().apply(i) for i in range(node.children().size())]
+            assert sent and max(sent) < 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -1,8 +1,8 @@
 """Grid and image rasters as sparse cell tables.
 
-Neighbourhood operators send every cell to the cells it touches (a fixed number of copies)
-and aggregate; partial sums are combined before the shuffle and no table is joined to
-itself. Zero cells are never materialised unless the result asks for a dense grid.
+Neighbourhood operators send every cell, or words of 32 cells, to the cells they touch (a fixed
+number of copies) and aggregate; partial results are combined before the shuffle and no table is
+joined to itself. Zero cells are never materialised unless the result asks for a dense grid.
 """
 
 from __future__ import annotations
@@ -39,44 +39,89 @@ def in_grid(rows: int, cols: int, cell: Sequence[str] = CELL) -> Column:
     return c(r).between(0, rows - 1) & c(q).between(0, cols - 1)
 
 
-def _line(df: DataFrame, axis: str, radius: int) -> DataFrame:
-    """Copies of each cell along one axis; ``_d`` is the step taken."""
-    steps = F.explode(F.array(*[F.lit(d) for d in range(-radius, radius + 1)]))
-    return df.withColumn("_d", steps).withColumn(axis, c(axis) + c("_d"))
+WORD = 32  # columns of a block of cells; its word has 16 more places on both sides for the columns beyond
+HALO = 16
 
 
-def dilate(cells: DataFrame, keys: Sequence[str], radius: int, rows: int, cols: int) -> DataFrame:
-    """Square growth, one axis after the other: ``2 (2r + 1)`` copies instead of ``(2r + 1)^2``."""
-    out = cells.select(*keys, *CELL)
-    for axis, size in zip(CELL, (rows, cols)):
-        out = _line(out, axis, radius).where(c(axis).between(0, size - 1)).select(*keys, *CELL).distinct()
+def _steps(radius: int) -> list[int]:
+    """A radius as steps that words can take."""
+    return [HALO] * (radius // HALO) + ([radius % HALO] if radius % HALO or radius == 0 else [])
+
+
+def _shift(word: Column, by: int | Column) -> Column:
+    return F.call_function("shiftleft", word, by if isinstance(by, Column) else F.lit(by))
+
+
+def _to_words(cells: DataFrame, keys: Sequence[str], halo: int) -> DataFrame:
+    """Cells as bits of one word for each (keys, row, block of columns), with ``halo`` columns of the blocks
+    beside it. Many cells meet in one word already in the task that holds them."""
+    near = cells.where(c("col").isNotNull()).select(*keys, "row", "col", F.explode(F.sequence(
+        F.shiftright(c("col").cast("bigint") - halo, 5), F.shiftright(c("col").cast("bigint") + halo, 5))).alias("_block"))
+    bit = _shift(F.lit(1).cast("bigint"), (c("col") - c("_block") * WORD + HALO).cast("int"))
+    return near.groupBy(*keys, "row", "_block").agg(F.bit_or(bit).alias("_word"))
+
+
+def _own(word: Column) -> Column:
+    """The word's own columns, from bit 0."""
+    return F.shiftrightunsigned(word, HALO).bitwiseAND(F.lit((1 << WORD) - 1))
+
+
+def _to_cells(words: DataFrame, keys: Sequence[str], bits: Column) -> DataFrame:
+    places = F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))
+    set_ = words.select(*keys, "row", "_block", bits.alias("_bits")).where(c("_bits") != 0).withColumn("_i", places)
+    set_ = set_.where(F.getbit("_bits", c("_i")) == 1)
+    return set_.select(*keys, "row", (c("_block") * WORD + c("_i")).cast("bigint").alias("col"))
+
+
+def _moved(word: Column, step: int, how: str) -> Column:
+    """Words shifted by up to ``step`` places both ways, joined by ``bitwiseOR`` or ``bitwiseAND``."""
+    out = word
+    for d in range(1, step + 1):
+        out = getattr(getattr(out, how)(_shift(word, d)), how)(F.shiftrightunsigned(word, d))
     return out
 
 
-def _window_size(radius: int, rows: int, cols: int) -> Column:
-    high = F.least(c("row") + radius, F.lit(rows - 1)) - F.greatest(c("row") - radius, F.lit(0)) + 1
-    wide = F.least(c("col") + radius, F.lit(cols - 1)) - F.greatest(c("col") - radius, F.lit(0)) + 1
-    return high * wide
+def _down(words: DataFrame, step: int) -> DataFrame:
+    """Copies of each word along the rows; ``_d`` is the step taken."""
+    return words.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in range(-step, step + 1)]))).withColumn("row", c("row") + c("_d"))
 
 
-def neighbour_counts(cells: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
-    """For every set cell the number of set cells in its window, itself included; summed along
-    rows, then along columns."""
-    out = cells.select(*keys, *CELL, F.lit(1).cast("bigint").alias("n"), F.lit(1).alias("own"))
-    for axis in CELL:
-        out = _line(out, axis, radius).groupBy(*keys, *CELL).agg(
-            F.sum("n").alias("n"), F.max(F.when(c("_d") == 0, c("own")).otherwise(0)).alias("own"))
-    return out.where(c("own") == 1).drop("own")
+def dilate(cells: DataFrame, keys: Sequence[str], radius: int, rows: int, cols: int) -> DataFrame:
+    """Square growth on words of 32 cells: shifts along the columns, ``2r + 1`` copies of a word along the rows."""
+    out = cells.select(*keys, *CELL)
+    for step in _steps(radius):
+        wide = _to_words(out, keys, step).withColumn("_word", _own(_moved(c("_word"), step, "bitwiseOR"))).where(c("_word") != 0)
+        grown = _down(wide, step).groupBy(*keys, "row", "_block").agg(F.bit_or("_word").alias("_word"))
+        out = _to_cells(grown, keys, c("_word"))
+    return out.where(in_grid(rows, cols))
+
+
+def _eroded_words(cells: DataFrame, keys: Sequence[str], step: int, rows: int, cols: int) -> DataFrame:
+    """(keys, row, _block, _set, _core): the cells of the grid that are set, and those of them whose whole window is
+    (places outside the grid count as set)."""
+    words = _to_words(cells.select(*keys, *CELL).where(in_grid(rows, cols)), keys, step)
+    beyond = (cols - c("_block") * WORD + HALO).cast("int")  # the first place right of the grid
+    outside = F.when(c("_block") == 0, F.lit((1 << HALO) - 1)).otherwise(F.lit(0)).cast("bigint").bitwiseOR(
+        F.when(beyond < 64, _shift(F.lit(-1).cast("bigint"), beyond)).otherwise(F.lit(0).cast("bigint")))
+    wide = words.withColumns({"_set": _own(c("_word")), "_in": _own(_moved(c("_word").bitwiseOR(outside), step, "bitwiseAND"))})
+    wide = wide.where(c("_set") != 0).withColumn("_in", c("_in").bitwiseAND(c("_set")))
+    met = _down(wide.select(*keys, "row", "_block", "_set", "_in"), step).where(c("row").between(0, rows - 1)).groupBy(*keys, "row", "_block").agg(
+        F.bit_or(F.when(c("_d") == 0, c("_set"))).alias("_set"), F.bit_and("_in").alias("_core"), F.count("*").alias("_n"))
+    window = F.least(c("row") + step, F.lit(rows - 1)) - F.greatest(c("row") - step, F.lit(0)) + 1
+    return met.where(c("_set").isNotNull()).withColumn("_core", F.when(c("_n") == window, c("_core")).otherwise(F.lit(0).cast("bigint"))).drop("_n")
 
 
 def erode(cells: DataFrame, keys: Sequence[str], radius: int, rows: int, cols: int) -> DataFrame:
     """Cells whose whole window (clipped at the border) is set."""
-    return neighbour_counts(cells, keys, radius).where(c("n") == _window_size(radius, rows, cols)).drop("n")
+    out = cells
+    for step in _steps(radius):
+        out = _to_cells(_eroded_words(out, keys, step, rows, cols), keys, c("_core"))
+    return out
 
 
 def cell_boundary(cells: DataFrame, keys: Sequence[str], rows: int, cols: int) -> DataFrame:
     """Set cells that erosion removes."""
-    return neighbour_counts(cells, keys, 1).where(c("n") < _window_size(1, rows, cols)).drop("n")
+    return _to_cells(_eroded_words(cells, keys, 1, rows, cols), keys, c("_set").bitwiseAND(F.bitwise_not("_core")))
 
 
 def semantic_boundary(pixels: DataFrame, radius: int, rows: int, cols: int) -> DataFrame:
@@ -125,12 +170,13 @@ def observed_rays(points: DataFrame, origin: Sequence[float], g: Grid) -> DataFr
     # one sample more at both ends, for rounding; the test below decides
     first = F.greatest(F.floor(c("_in") * c("_last")) - 1, F.lit(0).cast("bigint"))
     final = F.least(F.ceil(c("_out") * c("_last")) + 1, c("_last"))
-    ray = far.withColumn("_k", F.explode(F.sequence(first, final)))
+    # a frame has one ray an azimuth bin at most, so its samples meet where its rays are and are never shuffled
+    ray = far.repartition("frame_id").withColumn("_k", F.explode(F.sequence(first, final)))
     t = c("_k") / c("_last")
     ray = ray.withColumns({"_x": c("dx") * t + origin[0], "_y": c("dy") * t + origin[1]})
     ray = ray.where((c("_x") >= g.x0) & (c("_x") < g.x1) & (c("_y") >= g.y0) & (c("_y") < g.y1))
-    return ray.select("frame_id", F.floor((c("_x") - g.x0) / g.cell).alias("row"),
-                      F.floor((c("_y") - g.y0) / g.cell).alias("col")).distinct()
+    cells = ray.select("frame_id", F.floor((c("_x") - g.x0) / g.cell).alias("row"), F.floor((c("_y") - g.y0) / g.cell).alias("col"))
+    return _to_cells(_to_words(cells, ["frame_id"], 0), ["frame_id"], _own(c("_word")))
 
 
 def depth_map(points: DataFrame, u: Column, v: Column, depth: Column, height: int, width: int) -> DataFrame:
