@@ -43,8 +43,10 @@ def two_stage_topk(heat: DataFrame, k: int, cols: int) -> DataFrame:
 
 
 def top_queries(scores: DataFrame, k: int, classes: int) -> DataFrame:
-    """Top flat scores per frame; label and query are the rest and quotient of the index."""
-    top = top_per_group(scores, ["frame_id"], [c("s").desc(), c("flat")], k)
+    """Top flat scores per frame; label and query are the rest and quotient of the index. Scores may be exploded from a
+    small file that one task reads: they are dealt over tasks before any of them sorts its rows."""
+    dealt = scores.repartition("frame_id", F.pmod(F.xxhash64("flat"), F.lit(8)))
+    top = top_per_group(dealt, ["frame_id"], [c("s").desc(), c("flat")], k)
     return top.withColumns({"label": c("flat") % classes, "query": F.floor(c("flat") / classes)})
 
 
