@@ -19,6 +19,7 @@ from voxelmill.operators import cells as cl
 from voxelmill.operators import joins as jn
 from voxelmill.operators import voxels as vx
 from voxelmill.operators.batches import group_ids, map_groups
+from voxelmill.operators.topk import top_per_group
 from voxelmill.session import cut_lineage
 from voxelmill.skew import exact_quantiles, shuffled_join, split_by_group_size, spread_join, value_slices, with_lag, with_row_number, with_running
 
@@ -74,7 +75,8 @@ def choose_sweeps(sweeps: DataFrame, n: int, train: bool, seed: int) -> DataFram
     Chains are at most 10 long, so the rank works on tiny groups."""
     if not train:
         return sweeps.where(c("rank") < n)
-    return (ranked_by_draw(sweeps, ["record_id"], "rank", seed, "_r", slices=1).where(c("_r") <= n).drop("_r"))
+    drawn = sweeps.withColumn("_draw", draw(seed, "rank", "record_id"))
+    return top_per_group(drawn, ["record_id"], [c("_draw"), c("rank")], n, "_r").drop("_r", "_draw")
 
 
 def frame_dropout(points: DataFrame, prob: float, seed: int) -> DataFrame:
