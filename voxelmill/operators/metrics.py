@@ -138,16 +138,21 @@ def boundary_f1(cells: DataFrame, keys: Sequence[str], rows: int, cols: int, tol
     matched when the other edge comes within ``tolerance`` cells.
     """
     keys = list(keys)
-    ident = [*keys, "row", "col"]
-    # each of the three small tables is read several times below, so it is written once
-    core = cut_lineage(rs.erode(cells.where(c("supervised") == 1).select(*ident), keys, tolerance, rows, cols))
-    pred, true = (
-        cut_lineage(shuffled_join(rs.cell_boundary(cells.where(test).select(*ident), keys, rows, cols), core, ident, "left_semi"))
-        for test in (c("score") >= 0.5, c("label") == 1))
+    ident, word = [*keys, "row", "col"], [*keys, "row", "_block"]
+    # words of 32 cells from here on; each of the three tables is read several times below, so it is written once
+    core = cut_lineage(rs.core_words(cells.where(c("supervised") == 1).select(*ident), keys, tolerance, rows, cols)).withColumnRenamed("_bits", "_core")
+
+    def edges(test):
+        found = shuffled_join(rs.boundary_words(cells.where(test).select(*ident), keys, rows, cols), core, word)
+        return cut_lineage(found.select(*word, c("_bits").bitwiseAND(c("_core")).alias("_bits")).where(c("_bits") != 0))
+
+    pred, true = edges(c("score") >= 0.5), edges(c("label") == 1)
 
     def matched(a, b):
-        near = rs.dilate(b, keys, tolerance, rows, cols).withColumn("_hit", F.lit(1))
-        return shuffled_join(a, near, ident, "left").groupBy("class_id").agg(F.count("*").alias("n"), F.count("_hit").alias("m"))
+        near = rs.grown_words(b, keys, tolerance).withColumnRenamed("_bits", "_near")
+        hit = c("_bits").bitwiseAND(F.coalesce("_near", F.lit(0).cast("bigint")))
+        return shuffled_join(a, near, word, "left").groupBy("class_id").agg(
+            F.sum(F.bit_count("_bits").cast("bigint")).alias("n"), F.sum(F.bit_count(hit).cast("bigint")).alias("m"))
 
     p = matched(pred, true).select("class_id", c("n").alias("pred"), c("m").alias("pred_matched"))
     t = matched(true, pred).select("class_id", c("n").alias("truth"), c("m").alias("truth_matched"))

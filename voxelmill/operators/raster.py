@@ -52,7 +52,7 @@ def _shift(word: Column, by: int | Column) -> Column:
     return F.call_function("shiftleft", word, by if isinstance(by, Column) else F.lit(by))
 
 
-def _to_words(cells: DataFrame, keys: Sequence[str], halo: int) -> DataFrame:
+def to_words(cells: DataFrame, keys: Sequence[str], halo: int) -> DataFrame:
     """Cells as bits of one word for each (keys, row, block of columns), with ``halo`` columns of the blocks
     beside it. Many cells meet in one word already in the task that holds them."""
     near = cells.where(c("col").isNotNull()).select(*keys, "row", "col", F.explode(F.sequence(
@@ -90,7 +90,7 @@ def dilate(cells: DataFrame, keys: Sequence[str], radius: int, rows: int, cols:
     """Square growth on words of 32 cells: shifts along the columns, ``2r + 1`` copies of a word along the rows."""
     out = cells.select(*keys, *CELL)
     for step in _steps(radius):
-        wide = _to_words(out, keys, step).withColumn("_word", _own(_moved(c("_word"), step, "bitwiseOR"))).where(c("_word") != 0)
+        wide = to_words(out, keys, step).withColumn("_word", _own(_moved(c("_word"), step, "bitwiseOR"))).where(c("_word") != 0)
         grown = _down(wide, step).groupBy(*keys, "row", "_block").agg(F.bit_or("_word").alias("_word"))
         out = _to_cells(grown, keys, c("_word"))
     return out.where(in_grid(rows, cols))
@@ -99,7 +99,7 @@ def dilate(cells: DataFrame, keys: Sequence[str], radius: int, rows: int, cols:
 def _eroded_words(cells: DataFrame, keys: Sequence[str], step: int, rows: int, cols: int) -> DataFrame:
     """(keys, row, _block, _set, _core): the cells of the grid that are set, and those of them whose whole window is
     (places outside the grid count as set)."""
-    words = _to_words(cells.select(*keys, *CELL).where(in_grid(rows, cols)), keys, step)
+    words = to_words(cells.select(*keys, *CELL).where(in_grid(rows, cols)), keys, step)
     beyond = (cols - c("_block") * WORD + HALO).cast("int")  # the first place right of the grid
     outside = F.when(c("_block") == 0, F.lit((1 << HALO) - 1)).otherwise(F.lit(0)).cast("bigint").bitwiseOR(
         F.when(beyond < 64, _shift(F.lit(-1).cast("bigint"), beyond)).otherwise(F.lit(0).cast("bigint")))
@@ -124,6 +124,31 @@ def cell_boundary(cells: DataFrame, keys: Sequence[str], rows: int, cols: int) -
     return _to_cells(_eroded_words(cells, keys, 1, rows, cols), keys, c("_set").bitwiseAND(F.bitwise_not("_core")))
 
 
+def core_words(cells: DataFrame, keys: Sequence[str], radius: int, rows: int, cols: int) -> DataFrame:
+    """``erode`` as words: (keys, row, _block, _bits) with the first column of the block at bit 0."""
+    *first, last = _steps(radius)
+    for step in first:
+        cells = _to_cells(_eroded_words(cells, keys, step, rows, cols), keys, c("_core"))
+    return _eroded_words(cells, keys, last, rows, cols).select(*keys, "row", "_block", c("_core").alias("_bits")).where(c("_bits") != 0)
+
+
+def boundary_words(cells: DataFrame, keys: Sequence[str], rows: int, cols: int) -> DataFrame:
+    """``cell_boundary`` as words."""
+    edge = c("_set").bitwiseAND(F.bitwise_not("_core")).alias("_bits")
+    return _eroded_words(cells, keys, 1, rows, cols).select(*keys, "row", "_block", edge).where(c("_bits") != 0)
+
+
+def grown_words(words: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
+    """``dilate`` from words to words, also beyond the grid."""
+    side = {-1: _shift(c("_bits"), WORD + HALO), 0: _shift(c("_bits"), HALO), 1: F.shiftrightunsigned("_bits", HALO)}
+    copies = F.inline(F.array(*[F.struct((c("_block") + d).alias("_to"), w.alias("_word")) for d, w in side.items()]))
+    for step in _steps(radius):
+        wide = words.select(*keys, "row", copies).where(c("_word") != 0).groupBy(*keys, "row", c("_to").alias("_block")).agg(F.bit_or("_word").alias("_word"))
+        wide = wide.withColumn("_bits", _own(_moved(c("_word"), step, "bitwiseOR"))).where(c("_bits") != 0)
+        words = _down(wide.select(*keys, "row", "_block", "_bits"), step).groupBy(*keys, "row", "_block").agg(F.bit_or("_bits").alias("_bits"))
+    return words
+
+
 def semantic_boundary(pixels: DataFrame, radius: int, rows: int, cols: int) -> DataFrame:
     """Pixels whose right, left, upper or lower neighbour has another label, then dilated."""
     seen = spread(pixels.select("frame_id", c("v").alias("row"), c("u").alias("col"), "semantic_id"), 1, plus=True)
@@ -176,7 +201,7 @@ def observed_rays(points: DataFrame, origin: Sequence[float], g: Grid) -> DataFr
     ray = ray.withColumns({"_x": c("dx") * t + origin[0], "_y": c("dy") * t + origin[1]})
     ray = ray.where((c("_x") >= g.x0) & (c("_x") < g.x1) & (c("_y") >= g.y0) & (c("_y") < g.y1))
     cells = ray.select("frame_id", F.floor((c("_x") - g.x0) / g.cell).alias("row"), F.floor((c("_y") - g.y0) / g.cell).alias("col"))
-    return _to_cells(_to_words(cells, ["frame_id"], 0), ["frame_id"], _own(c("_word")))
+    return _to_cells(to_words(cells, ["frame_id"], 0), ["frame_id"], _own(c("_word")))
 
 
 def depth_map(points: DataFrame, u: Column, v: Column, depth: Column, height: int, width: int) -> DataFrame:
@@ -261,9 +286,12 @@ def flatten_by_priority(scores: DataFrame, threshold: float, priority: Column) -
 
 
 def lattice(frames: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Every cell of a grid for each frame. Frames are dealt over a given number of tasks first: they are few bytes, and
+    coalescing by bytes would have one task make the cells of thousands of frames."""
     def steps(n):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    return frames.withColumn("row", steps(rows)).withColumn("col", steps(cols))
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frames.repartition(tasks).withColumn("row", steps(rows)).withColumn("col", steps(cols))
 
 
 def missing_region(frames: DataFrame, g: Grid, region: Sequence[float]) -> DataFrame:
