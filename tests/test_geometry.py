@@ -398,3 +398,18 @@ def test_lattice_is_made_by_many_tasks(spark):
     cells = rs.lattice(frames, 3, 4)
     assert cells.count() == 60
     assert cells.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_local_peaks_without_aggregate(spark):
+    pdf, df = _random_cells(spark)
+    found = rs.local_peaks(df, 2, 12, 70, single=(1,))
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    cells = {(r.class_id, r.row, r.col): r.score for r in pdf.itertuples()}
+
+    def peak(k, r, q, s):
+        near = [v for (a, b, d), v in cells.items() if a == k and abs(b - r) <= 2 and abs(d - q) <= 2]
+        return k == 1 or (2 <= r <= 9 and 2 <= q <= 67 and s == max(near))
+
+    want = {(*key, s) for key, s in cells.items() if peak(*key, s)}
+    got = [(r.class_id, r.row, r.col, r.score) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -302,13 +302,13 @@ def missing_region(frames: DataFrame, g: Grid, region: Sequence[float]) -> DataF
 
 def local_peaks(heat: DataFrame, radius: int, rows: int, cols: int, single: Sequence[int] = ()) -> DataFrame:
     """Cells that equal the largest value of their window. Border cells never count (their
-    window does not fit); classes in ``single`` use a window of one cell."""
-    seen = spread(heat.select("frame_id", "class_id", *CELL, "score"), radius)
-    best = seen.groupBy("frame_id", "class_id", *CELL).agg(
-        F.max("score").alias("_top"), F.max(F.when(c("own") == 1, c("score"))).alias("score"))
+    window does not fit); classes in ``single`` use a window of one cell. A cell of a class has one score.
+    A cell is copied to the rows of its window only; along a row a range of columns is looked at, without an aggregate."""
+    w = Window.partitionBy("frame_id", "class_id", "row").orderBy("col").rangeBetween(-radius, radius)
+    seen = _down(heat.select("frame_id", "class_id", *CELL, "score"), radius).withColumn("_top", F.max("score").over(w))
     inner = c("row").between(radius, rows - 1 - radius) & c("col").between(radius, cols - 1 - radius)
     peak = (inner & (c("score") == c("_top"))) | c("class_id").isin(*single)
-    return best.where(c("score").isNotNull() & peak).drop("_top")
+    return seen.where((c("_d") == 0) & c("score").isNotNull() & peak).drop("_top", "_d")
 
 
 def lift_features(pixels: DataFrame, logits: str, context: str) -> DataFrame:
