@@ -413,3 +413,14 @@ def test_local_peaks_without_aggregate(spark):
     want = {(*key, s) for key, s in cells.items() if peak(*key, s)}
     got = [(r.class_id, r.row, r.col, r.score) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_label_edges_without_aggregate(spark):
+    pdf, _ = _random_cells(spark, 600)
+    px = spark.createDataFrame(pdf.rename(columns={"row": "v", "col": "u", "label": "semantic_id"})[["frame_id", "v", "u", "semantic_id"]])
+    found = rs.semantic_boundary(px, 0, 12, 70)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    label = {(r.row, r.col): r.label for r in pdf.itertuples()}
+    want = {(r, q) for (r, q), s in label.items() if any(label.get(n, s) != s for n in ((r - 1, q), (r + 1, q), (r, q - 1), (r, q + 1)))}
+    got = [(r.row, r.col) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want

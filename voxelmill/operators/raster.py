@@ -150,11 +150,13 @@ def grown_words(words: DataFrame, keys: Sequence[str], radius: int) -> DataFrame
 
 
 def semantic_boundary(pixels: DataFrame, radius: int, rows: int, cols: int) -> DataFrame:
-    """Pixels whose right, left, upper or lower neighbour has another label, then dilated."""
-    seen = spread(pixels.select("frame_id", c("v").alias("row"), c("u").alias("col"), "semantic_id"), 1, plus=True)
-    edge = seen.groupBy("frame_id", *CELL).agg(
-        F.max("own").alias("own"), F.min("semantic_id").alias("_lo"), F.max("semantic_id").alias("_hi"))
-    edge = edge.where((c("own") == 1) & (c("_lo") != c("_hi"))).select("frame_id", *CELL)
+    """Pixels whose right, left, upper or lower neighbour has another label, then dilated. The neighbours are seen by
+    windows along the rows and the columns of a frame, so no pixel is copied; a pixel has one label."""
+    at = pixels.select("frame_id", c("v").alias("row"), c("u").alias("col"), "semantic_id")
+    for line, along in (CELL, CELL[::-1]):
+        w = Window.partitionBy("frame_id", line).orderBy(along).rangeBetween(-1, 1)
+        at = at.withColumns({f"_{f.__name__}_{along}": f("semantic_id").over(w) for f in (F.min, F.max)})
+    edge = at.where(F.least("_min_col", "_min_row") != F.greatest("_max_col", "_max_row")).select("frame_id", *CELL)
     return edge if radius == 0 else dilate(edge, ["frame_id"], radius, rows, cols)
 
 
