@@ -15,6 +15,7 @@ from voxelmill.operators import matching as mt
 from voxelmill.operators import metrics as mx
 from voxelmill.operators import raster as rs
 from voxelmill.operators import sampling as sm
+from voxelmill.operators import sparse
 from voxelmill.operators import suppress as sp
 
 c = F.col
@@ -424,3 +425,24 @@ def test_label_edges_without_aggregate(spark):
     want = {(r, q) for (r, q), s in label.items() if any(label.get(n, s) != s for n in ((r - 1, q), (r + 1, q), (r, q - 1), (r, q + 1)))}
     got = [(r.row, r.col) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("kernel", [(3, 3, 3), (3, 1, 5), (2, 3, 4)])
+def test_submanifold_pairs_by_words(spark, kernel):
+    rng = np.random.default_rng(7)
+    shape = (5, 6, 70)
+    at = {tuple(int(rng.integers(0, n)) for n in shape) for _ in range(500)}
+    vox = spark.createDataFrame([(0, *v, 0.5) for v in sorted(at)], "frame_id bigint, cx bigint, cy bigint, cz bigint, f double")
+    found = sparse.submanifold_pairs(vox, shape, kernel)
+    assert "_block" in found._jdf.queryExecution().optimizedPlan().toString()
+    pad = kernel[0] // 2
+    limit = [n + 2 * pad - k + 1 for n, k in zip(shape, kernel)]
+    want = set()
+    for v in at:
+        for n, off in enumerate(itertools.product(*[range(k) for k in kernel])):
+            o = tuple(a + pad - d for a, d in zip(v, off))
+            if o in at and all(0 <= a < m for a, m in zip(o, limit)):
+                want.add((*v, n, *o))
+    got = [(r.cx, r.cy, r.cz, r.kernel, r.ox, r.oy, r.oz) for r in found.collect()]
+    assert found.columns == [*vox.columns, "kernel", "ox", "oy", "oz"]
+    assert len(got) == len(want) and set(got) == want

@@ -12,6 +12,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelmill.operators import raster as rs
 from voxelmill.operators.voxels import CELL, VoxelGrid
 from voxelmill.skew import shuffled_join
 
@@ -46,10 +47,27 @@ def conv_pairs(voxels: DataFrame, shape: Sequence[int], kernel: Sequence[int], s
 
 
 def submanifold_pairs(voxels: DataFrame, shape: Sequence[int], kernel: Sequence[int]) -> DataFrame:
-    """As ``conv_pairs`` with stride 1, keeping only outputs that are active voxels."""
-    pairs = conv_pairs(voxels, shape, kernel, 1, kernel[0] // 2)
-    active = voxels.select("frame_id", *[c(f"c{k}").alias(f"o{k}") for k in "xyz"])
-    return shuffled_join(pairs, active, OUT, "left_semi")
+    """As ``conv_pairs`` with stride 1, keeping only outputs that are active voxels.
+
+    Active voxels are packed into words along z, so a voxel is sent to the columns of its kernel, not to every
+    offset, and finds the active outputs of a column in one word. Kernels reach ``rs.HALO`` voxels along z at most.
+    """
+    pad = kernel[0] // 2
+    halo = max(pad, kernel[2] - 1 - pad)
+    if halo > rs.HALO:
+        raise ValueError(f"a kernel may reach {rs.HALO} voxels along z")
+    words = rs.to_words(voxels.select("frame_id", c("cx").alias("ox"), c("cy").alias("row"), c("cz").alias("col")), ["frame_id", "ox"], halo)
+    sent = voxels.withColumn("_block", F.shiftright(c("cz").cast("bigint"), 5))
+    out_n = [n + 2 * pad - size + 1 for size, n in zip(kernel, shape)]
+    for k, size, n in zip("xy", kernel, out_n):
+        sent = sent.withColumn(f"o{k}", F.explode(F.sequence(c(f"c{k}") + (pad - size + 1), c(f"c{k}") + pad).cast("array<bigint>")))
+        sent = sent.where(c(f"o{k}").between(0, n - 1))
+    met = shuffled_join(sent, words.withColumnRenamed("row", "oy"), ["frame_id", "ox", "oy", "_block"])
+    met = met.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(kernel[2] - 1))))
+    met = met.withColumn("oz", (c("cz") + pad - c("_d")).cast("bigint")).where(c("oz").between(0, out_n[2] - 1))
+    met = met.where(F.getbit("_word", (c("oz") - c("_block") * rs.WORD + rs.HALO).cast("int")) == 1)
+    number = ((c("cx") + pad - c("ox")) * kernel[1] + c("cy") + pad - c("oy")) * kernel[2] + c("_d")
+    return met.select(*voxels.columns, number.cast("bigint").alias("kernel"), "ox", "oy", "oz")
 
 
 def transposed_pairs(voxels: DataFrame, shape: Sequence[int], kernel: Sequence[int], stride: int,
