@@ -446,3 +446,19 @@ def test_submanifold_pairs_by_words(spark, kernel):
     got = [(r.cx, r.cy, r.cz, r.kernel, r.ox, r.oy, r.oz) for r in found.collect()]
     assert found.columns == [*vox.columns, "kernel", "ox", "oy", "oz"]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_assignment_of_many_frames_equals_that_of_each(spark):
+    pdf = random_dets(300, 12, 8).rename(columns={"det_id": "pred_id"})
+    gt = pdf[(pdf.pred_id % 3 == 0) & (pdf.frame_id != 5)].rename(columns={"pred_id": "gt_id"})  # frame 5 has no truth
+
+    def run(p, g):
+        found = mt.hungarian_assign(spark.createDataFrame(p), spark.createDataFrame(g), (20.0, 20.0))
+        assert "FlatMapCoGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+        return {(r.frame_id, r.pred_id): (r.gt_id, r.cost) for r in found.collect()}
+
+    whole = run(pdf, gt)
+    assert len(whole) == 300 and all(whole[k][0] == -1 for k in whole if k[0] == 5)
+    for f in (0, 7):
+        part = run(pdf[pdf.frame_id == f], gt[gt.frame_id == f])
+        assert part and all(whole[k] == v or (np.isnan(v[1]) and whole[k][0] == v[0]) for k, v in part.items())

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 
 def group_ids(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
-    """0-based number of the run of equal keys each row belongs to."""
+    """0-based number of the run of equal keys each row belongs to; nulls are equal."""
     new = np.zeros(len(pdf), dtype=bool)
     for k in keys:
         v = pdf[k].to_numpy()
-        new[1:] |= v[1:] != v[:-1]
+        null = pdf[k].isna().to_numpy()
+        new[1:] |= (v[1:] != v[:-1]) & ~(null[1:] & null[:-1])
     return np.cumsum(new)
 
 

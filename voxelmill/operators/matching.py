@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions.overlap import overlap_area
 from voxelmill.functions.random import draw, slice_of
+from voxelmill.operators.batches import group_ids, map_groups
 from voxelmill.skew import with_row_number
 
 c = F.col
+PAIRS = 1 << 16  # costs that are computed at once
 
 
 def bev_l1_cost(extent: Sequence[float], weight: float) -> Column:
@@ -67,18 +69,17 @@ def hungarian_assign(predictions: DataFrame, truth: DataFrame, extent: Sequence[
     """Optimal prediction-to-truth assignment per frame; unmatched predictions get gt_id -1.
 
     Cost = weighted class cost + scaled ground L1 + (negative) 3D IoU. An optimal assignment
-    needs all costs of a frame at once, so a frame is one group whatever its size; costs
-    are computed in strips of predictions. Frames run in parallel.
+    needs all costs of a frame at once, so a frame is one group whatever its size. Costs of many frames
+    are computed together, those of a large frame in strips of predictions. Frames run in parallel.
     """
     w_cls, w_l1, w_iou = weights
     ex, ey = extent
+    shape = ["x", "y", "z", "dx", "dy", "dz", "yaw"]
 
-    def costs(pred: pd.DataFrame, gt: pd.DataFrame) -> np.ndarray:
-        p = {k: pred[k].to_numpy()[:, None] for k in (*"xyz", "dx", "dy", "dz", "yaw", "name", "score")}
-        g = {k: gt[k].to_numpy()[None, :] for k in (*"xyz", "dx", "dy", "dz", "yaw", "name")}
-        shape = (len(pred), len(gt))
-        flat = [np.broadcast_to(side[k].astype(float), shape).ravel() for side in (p, g) for k in ("x", "y", "dx", "dy", "yaw")]
-        area = overlap_area(*flat).reshape(shape)
+    def costs(rows: dict[str, np.ndarray], pred: np.ndarray, gt: np.ndarray) -> np.ndarray:
+        """Cost of each pair of row numbers."""
+        p, g = ({k: v[at] for k, v in rows.items()} for at in (pred, gt))
+        area = overlap_area(*[side[k] for side in (p, g) for k in ("x", "y", "dx", "dy", "yaw")])
         high = np.maximum(np.minimum(p["z"] + p["dz"], g["z"] + g["dz"]) - np.maximum(p["z"], g["z"]), 0.0)
         inter = area * high
         iou = inter / np.maximum(p["dx"] * p["dy"] * p["dz"] + g["dx"] * g["dy"] * g["dz"] - inter, 1e-8)
@@ -86,26 +87,39 @@ def hungarian_assign(predictions: DataFrame, truth: DataFrame, extent: Sequence[
         l1 = np.abs(p["x"] - g["x"]) / ex + np.abs(p["y"] - g["y"]) / ey
         return w_cls * cls + w_l1 * l1 - w_iou * iou
 
-    def per_frame(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pred = left.sort_values("pred_id").reset_index(drop=True)
-        gt = right.sort_values("gt_id").reset_index(drop=True)
-        out = pd.DataFrame({"frame_id": pred.frame_id, "pred_id": pred.pred_id, "gt_id": -1, "cost": np.nan})
-        if len(gt) == 0 or len(pred) == 0:
-            return out
-        cost = np.concatenate([costs(pred.iloc[k : k + 256], gt) for k in range(0, len(pred), 256)])
-        if len(pred) >= len(gt):
-            chosen = optimal_assignment(cost.T)
-            rows, cols_ = chosen, np.arange(len(gt))
-        else:
-            rows, cols_ = np.arange(len(pred)), optimal_assignment(cost)
-        out.loc[rows, "gt_id"] = gt.gt_id.to_numpy()[cols_]
-        out.loc[rows, "cost"] = cost[rows, cols_]
-        return out
-
-    need = ["frame_id", "x", "y", "z", "dx", "dy", "dz", "yaw", "name"]
-    left, right = predictions.select("pred_id", "score", *need), truth.select("gt_id", *need)
-    return (left.groupBy("frame_id").cogroup(right.groupBy("frame_id"))
-            .applyInPandas(per_frame, "frame_id bigint, pred_id bigint, gt_id bigint, cost double"))
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = {k: pdf[k].to_numpy(float) for k in (*shape, "score")} | {"name": pdf["name"].to_numpy()}
+        ident = pdf["_id"].to_numpy()
+        first = np.flatnonzero(np.diff(group_ids(pdf, ["frame_id"]), prepend=-1))
+        last = np.append(first[1:], len(pdf))
+        middle = first + np.add.reduceat((pdf["_side"] == 0).to_numpy().astype(int), first)  # truth boxes start here
+        gt_id, cost = np.full(len(pdf), -1, np.int64), np.full(len(pdf), np.nan)
+        pairs = (middle - first) * (last - middle)
+        block = np.cumsum(pairs) // PAIRS  # frames whose costs are computed together
+        for number in np.unique(block[pairs > 0]):
+            frames = np.flatnonzero((block == number) & (pairs > 0))
+            strips = [(np.arange(first[f], middle[f]), np.arange(middle[f], last[f])) for f in frames]
+            if len(frames) == 1:  # a frame of any size
+                (pred, gt), step = strips[0], max(PAIRS // len(strips[0][1]), 1)
+                parts = [pred[k : k + step] for k in range(0, len(pred), step)]
+                found = [np.concatenate([costs(rows, np.repeat(part, len(gt)), np.tile(gt, len(part))) for part in parts])]
+            else:
+                flat = costs(rows, *(np.concatenate(side) for side in zip(*[(np.repeat(p, len(g)), np.tile(g, len(p))) for p, g in strips])))
+                found = np.split(flat, np.cumsum(pairs[frames])[:-1])
+            for (pred, gt), table in zip(strips, found):
+                table = table.reshape(len(pred), len(gt))
+                if len(pred) >= len(gt):
+                    left, right = optimal_assignment(table.T), np.arange(len(gt))
+                else:
+                    left, right = np.arange(len(pred)), optimal_assignment(table)
+                gt_id[pred[left]], cost[pred[left]] = ident[gt[right]], table[left, right]
+        out = pd.DataFrame({"frame_id": pdf["frame_id"], "pred_id": ident, "gt_id": gt_id, "cost": cost})
+        return out[(pdf["_side"] == 0).to_numpy()]
+
+    left = predictions.select("frame_id", F.lit(0).alias("_side"), c("pred_id").alias("_id"), "score", "name", *shape)
+    right = truth.select("frame_id", F.lit(1).alias("_side"), c("gt_id").alias("_id"), F.lit(0.0).alias("score"), "name", *shape)
+    return map_groups(left.unionByName(right), ["frame_id"], [c("_side"), c("_id")], assign,
+                      "frame_id bigint, pred_id bigint, gt_id bigint, cost double")
 
 
 def negative_piecewise_sample(negatives: DataFrame, expected: int, edges: Sequence[float],
