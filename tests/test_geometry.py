@@ -462,3 +462,16 @@ def test_assignment_of_many_frames_equals_that_of_each(spark):
     for f in (0, 7):
         part = run(pdf[pdf.frame_id == f], gt[gt.frame_id == f])
         assert part and all(whole[k] == v or (np.isnan(v[1]) and whole[k][0] == v[0]) for k, v in part.items())
+
+
+def test_objects_of_many_frames_move_as_in_each(spark):
+    pdf = _boxes(spark, 120, 3, 9, 12.0)
+
+    def run(part):
+        found = sm.object_noise(spark.createDataFrame(part), 6, 1.0, 0.3, 5)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+        return {tuple(r) for r in found.collect()}
+
+    whole = run(pdf)
+    assert len(whole) == 120 and len({r[2] for r in whole}) > 2  # some objects need several tries
+    assert set.union(*[run(pdf[pdf.frame_id == f]) for f in (0, 4)]) == {r for r in whole if r[0] in (0, 4)}

@@ -310,7 +310,7 @@ def object_noise(boxes: DataFrame, tries: int, shift: float, turn: float, seed:
     """Move every object by the first of its seeded tries that collides with no other object.
 
     Tries are columns of the row; which try is free depends on the objects moved before, so
-    each frame is one group. Frames beyond the bound are cut into ground regions that are
+    each frame is one group; many groups are moved together. Frames beyond the bound are cut into ground regions that are
     farther apart than any object can reach (see ``_regions``).
     """
     def draws(s: int) -> Column:
@@ -320,26 +320,35 @@ def object_noise(boxes: DataFrame, tries: int, shift: float, turn: float, seed:
 
     drawn = boxes.select("frame_id", "box_id", "x", "y", "dx", "dy", "yaw", *[draws(s) for s in range(3)])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("box_id").reset_index(drop=True)
+    def move(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The groups of a batch side by side: first object of each, second of each, and so on."""
         pos = pdf[["x", "y", "yaw"]].to_numpy(float).copy()
         dims = pdf[["dx", "dy"]].to_numpy(float)
+        u = np.stack([np.stack(pdf[f"u{s}"].to_numpy()) for s in range(3)], axis=2)
+        step = np.stack([(u[..., 0] - 0.5) * 2 * shift, (u[..., 1] - 0.5) * 2 * shift, (u[..., 2] - 0.5) * 2 * turn], axis=2)
         moved = np.full(len(pdf), -1, dtype=np.int64)
-        for i in range(len(pdf)):
-            u = np.stack([np.asarray(pdf[f"u{s}"][i], dtype=float) for s in range(3)], axis=1)
-            cand = pos[i] + np.stack([(u[:, 0] - 0.5) * 2 * shift, (u[:, 1] - 0.5) * 2 * shift, (u[:, 2] - 0.5) * 2 * turn], axis=1)
-            others = np.arange(len(pdf)) != i
-            free = ~_touch(cand, dims[i], pos[others], dims[others]).any(axis=1)
-            if free.any():
-                moved[i] = int(np.argmax(free))
-                pos[i] = cand[moved[i]]
+        first = np.flatnonzero(np.diff(group_ids(pdf, ["frame_id", "_region"]), prepend=-1))
+        size = np.diff(np.append(first, len(pdf)))
+        for i in range(size.max(initial=0)):
+            start, n = first[size > i], size[size > i]
+            own = start + i
+            cand = pos[own][:, None, :] + step[own]
+            # every object of the group against the tries of this one, which does not hit itself
+            run = np.repeat(np.arange(len(n)), n)
+            begin = np.cumsum(n) - n
+            other = start[run] + np.arange(n.sum()) - begin[run]
+            hit = _touch_pairs(cand[run], dims[own][run], pos[other], dims[other]) & (other != own[run])[:, None]
+            free = ~np.logical_or.reduceat(hit, begin, axis=0)
+            some = free.any(axis=1)
+            moved[own[some]] = free[some].argmax(axis=1)
+            pos[own[some]] = cand[some, moved[own[some]]]
         return pd.DataFrame({"frame_id": pdf.frame_id, "box_id": pdf.box_id, "attempt": moved,
                              "x": pos[:, 0], "y": pos[:, 1], "yaw": pos[:, 2]})
 
     reach = F.sqrt(c("dx") * c("dx") + c("dy") * c("dy")) / 2 + shift * 1.5
     regions = _regions(drawn.withColumn("_reach", reach), group_bound)
-    return regions.groupBy("frame_id", "_region").applyInPandas(
-        one, "frame_id bigint, box_id bigint, attempt bigint, x double, y double, yaw double")
+    return map_groups(regions, ["frame_id", "_region"], [c("box_id")], move,
+                      "frame_id bigint, box_id bigint, attempt bigint, x double, y double, yaw double")
 
 
 def _regions(boxes: DataFrame, bound: int) -> DataFrame:
@@ -356,14 +365,13 @@ def _regions(boxes: DataFrame, bound: int) -> DataFrame:
     return small.unionByName(out.drop("_vs", "_lo", "_hi", "_far", "_before", "_new"))
 
 
-def _touch(cand: np.ndarray, dim: np.ndarray, pos: np.ndarray, dims: np.ndarray) -> np.ndarray:
-    """Separating-axis test of candidates of one box against other boxes: ``[tries, others]``."""
-    d = pos[None, :, :2] - cand[:, None, :2]
-    ya, yb = cand[:, None, 2], pos[None, :, 2]
+def _touch_pairs(cand: np.ndarray, dim: np.ndarray, pos: np.ndarray, dims: np.ndarray) -> np.ndarray:
+    """Separating-axis test of the candidates of a box (``[pairs, tries, 3]``) with one other box each: ``[pairs, tries]``."""
+    d = pos[:, None, :2] - cand[..., :2]
+    ya, yb = cand[..., 2], pos[:, 2, None]
     co, si = np.abs(np.cos(ya - yb)), np.abs(np.sin(ya - yb))
     hit = np.ones(d.shape[:2], dtype=bool)
-    own = (np.broadcast_to(dim[0] / 2, d.shape[:2]), np.broadcast_to(dim[1] / 2, d.shape[:2]))
-    oth = (np.broadcast_to(dims[None, :, 0] / 2, d.shape[:2]), np.broadcast_to(dims[None, :, 1] / 2, d.shape[:2]))
+    own, oth = ((dim[:, 0, None] / 2, dim[:, 1, None] / 2), (dims[:, 0, None] / 2, dims[:, 1, None] / 2))
     for yaw, (w, h), (ow, oh) in ((ya, own, oth), (yb, oth, own)):
         u = d[..., 0] * np.cos(yaw) - d[..., 1] * np.sin(yaw)
         v = d[..., 0] * np.sin(yaw) + d[..., 1] * np.cos(yaw)
