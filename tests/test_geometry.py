@@ -475,3 +475,12 @@ def test_objects_of_many_frames_move_as_in_each(spark):
     whole = run(pdf)
     assert len(whole) == 120 and len({r[2] for r in whole}) > 2  # some objects need several tries
     assert set.union(*[run(pdf[pdf.frame_id == f]) for f in (0, 4)]) == {r for r in whole if r[0] in (0, 4)}
+
+
+def test_levels_of_neighbour_search_are_counted_where_points_meet(spark):
+    points = spark.range(400).select((c("id") % 3).alias("frame_id"), c("id").alias("point_id"), *[F.rand(k).alias(a) for k, a in enumerate("xyz")])
+    centres = spark.range(3).select(c("id").alias("frame_id"), c("id").alias("centre_id"), *[F.lit(0.5).alias("c_" + k) for k in "xyz"])
+    plan = jn.knn(points, centres, 4)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert dealt and all("_p_q0" in line for line in dealt)
+    assert "isnotnull(shiftright" not in plan  # the uses of a level would differ and each would count it again

@@ -163,18 +163,22 @@ def knn(points: DataFrame, centres: DataFrame, k: int) -> DataFrame:
     pts = cut_lineage(_keep_first_copies(points.select("frame_id", "point_id", *axes), k))
     # a surface of n points fills about n / k cells of 2**bits squared; three steps go down to them
     step = F.greatest(F.lit(1), F.round((F.log2(c("_n") / float(k)) / 2 + 1) / 3)).cast("int")
-    pts = cut_lineage(cl.with_cells(pts, axes, step * 3).withColumn("_step", (c("_bits") / 3).cast("int")).drop("_bits"))
-    levels = [pts.groupBy("frame_id", "_step", *cell).agg(F.count("*").alias("_n"), *cl.bounds(axes))]
+    # a step that may be null would put other null filters under each use of the levels, and each would be counted anew
+    pts = cut_lineage(cl.with_cells(pts, axes, step * 3).withColumn("_step", F.coalesce((c("_bits") / 3).cast("int"), F.lit(1))).drop("_bits"))
+    # points meet under the parent of their cell, where the two finer levels are counted and joined without moving again
+    parent = ["_p" + q for q in cell]
+    above = [F.expr(f"shiftright({q}, _step)").alias("_p" + q) for q in cell]
+    met = pts.select("*", *above).repartition("frame_id", *parent)
+    levels = [met.groupBy("frame_id", "_step", *parent, *cell).agg(F.count("*").alias("_n"), *cl.bounds(axes))]
     for _ in range(2):
-        up = [F.expr(f"shiftright({q}, _step)").alias(q) for q in cell]
-        levels.append(levels[-1].groupBy("frame_id", "_step", *up).agg(F.sum("_n").alias("_n"), *cl.merged_bounds(axes)))
+        up = levels[-1].groupBy("frame_id", "_step", *parent).agg(F.sum("_n").alias("_n"), *cl.merged_bounds(axes))
+        levels.append(up.withColumnsRenamed(dict(zip(parent, cell))).select("*", *above))
     near, far = cl.nearest2(axes, "c_"), cl.farthest2(axes, "c_")
     place = centres.select("frame_id", "centre_id", "c_x", "c_y", "c_z")
-    found = spread_join(place, ["frame_id"], c("centre_id"), levels[2].drop("_step"))
+    found = spread_join(place, ["frame_id"], c("centre_id"), levels[2].drop("_step", *parent))
     kept = _within_bound(found.withColumns({"_near": near, "_far": far}), k)
     for nodes in (levels[1], levels[0]):
-        above = nodes.select("*", *[F.expr(f"shiftright({q}, _step)").alias("_p" + q) for q in cell]).drop("_step")
-        opened = shuffled_join(kept.withColumnsRenamed({q: "_p" + q for q in cell}), above, ["frame_id", *["_p" + q for q in cell]])
+        opened = shuffled_join(kept.withColumnsRenamed(dict(zip(cell, parent))), nodes.drop("_step"), ["frame_id", *parent])
         kept = _within_bound(opened.withColumns({"_near": near, "_far": far}), k)
     pairs = shuffled_join(pts, kept, ["frame_id", *cell]).withColumn("d2", _distance2())
     w = Window.partitionBy("frame_id", "centre_id").orderBy("d2", "point_id")

@@ -95,10 +95,9 @@ class Views:
 
     def points(self) -> DataFrame:
         """Points with their arrival position inside the frame; slices are single order keys
-        and part-key ranges, so a frame of any size is numbered by many tasks."""
+        and ranges of eight lines, so a frame of any size is numbered by many tasks and slices are fewer than points."""
         raw = self.rawpoints()
-        part_slice = F.least(F.expr("l_partkey div 1048576"), F.lit((1 << 32) - 1))
-        order_slice = ((c("l_orderkey") % 64) * 16 + c("l_linenumber")) * (1 << 32) + part_slice
+        order_slice = (c("l_orderkey") % 64) * (1 << 32) + F.expr("l_linenumber div 8")
         order = [c(k) for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x", "y")]
         return with_row_number(raw, ["frame_id"], order, order_slice, "rn").select(
             "frame_id", (c("rn") - 1).alias("point_id"), "x", "y", "z", "intensity", "time",
