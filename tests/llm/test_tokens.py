@@ -102,6 +102,13 @@ def test_table_of_pairs_finds_every_pair():
         assert entries[slot] == (a << bpe_fold.ID_BITS | b) << bpe_fold.ID_BITS | rank
 
 
+def test_bpe_plan_holds_no_tables(make_docs):
+    """Plans are kept as strings for every execution; the ranks once made up 8 MB of each."""
+    docs = make_docs([(1, "some unheardof wordsmithery")])
+    plan = bpe_fold.encode_decode(docs, RANKS, P.PATTERN)._jdf.queryExecution().toString()
+    assert len(plan) < 200_000
+
+
 def test_characters_that_newer_unicode_calls_letters(make_docs, coder):
     """Letters and digits are those of the library, also where the splitter's own classes differ."""
     odd = sorted(pretokens.stand_ins())[::40]

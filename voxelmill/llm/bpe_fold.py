@@ -1,8 +1,8 @@
 """Byte-level BPE by folding ranked merges with Spark's higher-order functions.
 
 Blocks of texts send their distinct words to hash buckets, where each distinct word of the corpus
-is folded once: Spark merges its array of byte ids by the ranks, which are a literal. The blocks get
-the ids of their words back and lay them out along their texts; decoding joins the binary pieces of
+is folded once: Spark merges its array of byte ids by the ranks, which each bucket's row carries as two
+arrays, so that no plan spells them out. The blocks get the ids of their words back and lay them out along their texts; decoding joins the binary pieces of
 the ids.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 import zlib
 from collections import defaultdict
 
@@ -65,14 +64,10 @@ def place_keys(pairs: dict[tuple[int, int], int]) -> tuple[int, list[int], list[
     raise ValueError("too many pairs for the table")
 
 
-def literal(values: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-
-
-def rank_tables(ranks: dict[bytes, int]) -> Column:
-    """The ranks of pairs of ids as one literal. A lookup reads one entry."""
+def rank_tables(ranks: dict[bytes, int]) -> tuple[int, np.ndarray, np.ndarray]:
+    """The ranks of pairs of ids: factor, shifts and entries. A lookup reads one entry."""
     factor, shifts, entries = place_keys(pair_ranks(ranks))
-    return F.struct(F.lit(factor).cast("long").alias("factor"), literal(shifts, "array<long>").alias("shifts"), literal(entries, "array<long>").alias("entries"))
+    return factor, np.array(shifts, np.int64), np.array(entries, np.int64)
 
 
 def let(value: Column, body) -> Column:
@@ -167,6 +162,9 @@ def encode_decode(
     texts = id_text(docs, id_col, text_col)
     ranks = read_ranks(rank_path)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    factor, shifts, entries = rank_tables(ranks)
+    tables = docs.sparkSession.sparkContext.broadcast((shifts, entries))
+    del shifts, entries
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = blocks_for(size, bucket_bytes)
     narrow = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
@@ -200,7 +198,7 @@ def encode_decode(
                 yield record_batch(rows)
 
     def meet(table):
-        """One row for each bucket: its distinct words, and for each block the places of its words."""
+        """One row for each bucket: its distinct words, for each block the places of its words, and the ranks."""
         words, places = {}, []
         for p in table["payload"].to_pylist():
             n, body = unpack(p)
@@ -209,8 +207,9 @@ def encode_decode(
         byte_ids = np.array([shared.value[bytes([i])] for i in range(256)], np.int16)
         ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
         letters = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
+        shifts, entries = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in tables.value)
         return pa.table([table["bucket"].slice(0, 1), pa.array([table["block"].to_pylist()], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())),
-                         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), letters)], names=["bucket", "blocks", "places", "words"])
+                         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), letters), shifts, entries], names=["bucket", "blocks", "places", "words", "shifts", "entries"])
 
     def answer(batches):
         for batch in pieces(batches, 1):
@@ -260,8 +259,10 @@ def encode_decode(
                     doc_ids.slice(a, 256), pa.array(np.diff(ends)), joined(4 * ends, pa.py_buffer(flat.tobytes())), joined(letters[ends], taken.buffers()[2])],
                     names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    met = texts.mapInArrow(send, RECORD).groupBy("bucket").applyInArrow(meet, "bucket long, blocks array<long>, places array<binary>, words array<array<short>>")
-    folded = met.select("bucket", "blocks", "places", let(rank_tables(ranks), lambda tables: F.transform("words", lambda w: fold_merges(w, tables))).alias("words"))
+    met = texts.mapInArrow(send, RECORD).groupBy("bucket").applyInArrow(
+        meet, "bucket long, blocks array<long>, places array<binary>, words array<array<short>>, shifts array<long>, entries array<long>")
+    own_tables = F.struct(F.lit(factor).cast("long").alias("factor"), "shifts", "entries")
+    folded = met.select("bucket", "blocks", "places", let(own_tables, lambda t: F.transform("words", lambda w: fold_merges(w, t))).alias("words"))
     packed = texts.mapInArrow(lambda batches: packed_blocks(batches, block_bytes), PACKED)
     return packed.join(gathered(folded.mapInArrow(answer, RECORD), "answers"), "block", "left").mapInArrow(lay_out, "doc_id long, n_tokens long, ids binary, decoded binary")
 
