@@ -51,6 +51,27 @@ def test_mask_files(spark, tmp_path):
     assert [(r.class_id, r.row, r.col, r.value) for r in row] == [(1, 2, 3, 1)]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_clouds_of_many_frames_in_one_call(spark, tmp_path):
+    """Groups cost a Python call each; frames also cross the borders of Arrow batches here."""
+    points = spark.range(30_000).select((c("id") % 7).alias("frame_id"), F.floor(c("id") / 7).alias("point_id"), *[(c("id") % (k + 9)).cast("double").alias(n) for k, n in enumerate(ar.POINT_NAMES)])
+    files = ar.encode_clouds(points, part=1000)
+    assert "FlatMapGroupsInPandas" not in _plan(files)
+    rows = ar.read_clouds(spark, ar.write_files(files, str(tmp_path / "clouds")), use_dim=(2,), names=("z",))
+    assert sorted(rows.drop("path").collect()) == sorted(points.select("frame_id", "point_id", c("z").cast("float")).collect())
+
+
+def test_rasters_of_many_frames_in_one_call(spark):
+    cells = spark.range(30_000).select(F.floor(c("id") / 6).alias("frame_id"), F.lit(0).alias("class_id"), (c("id") % 2).alias("row"), (c("id") % 3).alias("col"), (c("id") % 250 + 1).alias("value"))
+    files = ar.encode_rasters(cells, 2, 3)
+    assert "FlatMapGroupsInPandas" not in _plan(files)
+    back = ar.decode_masks(files, (2, 3)).select(c("path").cast("bigint").alias("frame_id"), "row", "col", "value")
+    assert sorted(back.collect()) == sorted(cells.select("frame_id", "row", "col", "value").collect())
+
+
 def test_packed_clouds_keep_ids_and_skip_frames(spark, tmp_path):
     points = spark.range(250).select((c("id") % 2).alias("frame_id"), F.floor(c("id") / 2).alias("point_id"), *[(c("id") * k).cast("double").alias(n) for k, n in enumerate(ar.POINT_NAMES)])
     folder = ar.write_files(ar.encode_clouds(points, part=50), str(tmp_path / "clouds"))

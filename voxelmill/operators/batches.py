@@ -26,8 +26,9 @@ def group_ids(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
 
 
 def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-               fn: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
-    """Apply ``fn`` to sorted frames that hold one or more complete groups of bounded size."""
+               fn: Callable[[pd.DataFrame], pd.DataFrame], schema, ranged: bool = False) -> DataFrame:
+    """Apply ``fn`` to sorted frames that hold one or more complete groups of bounded size. ``ranged``: a
+    partition holds a range of keys, not the keys of one hash."""
     keys = list(keys)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,5 +44,6 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         if carry is not None and len(carry):
             yield fn(carry)
 
-    sorted_rows = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
-    return sorted_rows.mapInPandas(run, schema)
+    by_key = [F.col(k) for k in keys]
+    dealt = df.repartitionByRange(*by_key) if ranged else df.repartition(*by_key)
+    return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

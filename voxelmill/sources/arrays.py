@@ -1,7 +1,8 @@
 """Flat float files and .npy rasters as long tables.
 
 Files are read with the ``binaryFile`` source (Spark plans and splits the listing) and
-decoded inside tasks, one Arrow batch per file; only wanted columns leave Python.
+decoded inside tasks, one Arrow batch per file; only wanted columns leave Python. Files are made of
+many frames at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from voxelmill.operators.batches import group_ids, map_groups
+
 c = F.col
 POINT_NAMES = ("x", "y", "z", "intensity", "time")
 PART = 1 << 16  # points in one file of a large cloud
@@ -69,12 +72,21 @@ def encode_clouds(points: DataFrame, names: Sequence[str] = POINT_NAMES, part: i
     names = list(names)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.sort_values("point_id")[names].to_numpy(np.float32)
-        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[:1], "first": pdf["first"].iloc[:1], "content": [m.tobytes()]})
+        m = pdf[names].to_numpy(np.float32)
+        start, stop = _runs(pdf, keys)
+        content = [m[a:b].tobytes() for a, b in zip(start, stop)]
+        return pd.DataFrame({"frame_id": pdf["frame_id"].to_numpy()[start], "first": pdf["first"].to_numpy()[start], "content": content})
 
+    keys = ["frame_id", "first"]
     keyed = points.select("frame_id", "point_id", *names, (c("point_id") - c("point_id") % part).alias("first"))
-    ranged = keyed.repartitionByRange("frame_id", "first")
-    return ranged.groupBy("frame_id", "first").applyInPandas(run, "frame_id bigint, first bigint, content binary")
+    return map_groups(keyed, keys, [c("point_id")], run, "frame_id bigint, first bigint, content binary", ranged=True)
+
+
+def _runs(pdf: pd.DataFrame, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the groups of a sorted frame."""
+    ids = group_ids(pdf, keys)
+    start = np.flatnonzero(np.diff(ids, prepend=-1))
+    return start, np.append(start[1:], len(ids))
 
 
 def write_files(files: DataFrame, folder: str) -> str:
@@ -129,14 +141,20 @@ def encode_rasters(cells: DataFrame, rows: int, cols: int, classes: int = 1, val
     bounds the group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((classes, rows, cols), dtype=dtype)
-        a[pdf.class_id.to_numpy(int), pdf.row.to_numpy(int), pdf.col.to_numpy(int)] = pdf[value].to_numpy()
-        out = io.BytesIO()
-        np.save(out, a[0] if classes == 1 else a)
-        return pd.DataFrame({"path": [str(pdf.frame_id.iloc[0])], "content": [out.getvalue()]})
+        place = [pdf[k].to_numpy(int) for k in ("class_id", "row", "col")]
+        values = pdf[value].to_numpy()
+        start, stop = _runs(pdf, ["frame_id"])
+        contents = []
+        for a, b in zip(start, stop):
+            raster = np.zeros((classes, rows, cols), dtype=dtype)
+            raster[tuple(p[a:b] for p in place)] = values[a:b]
+            out = io.BytesIO()
+            np.save(out, raster[0] if classes == 1 else raster)
+            contents.append(out.getvalue())
+        return pd.DataFrame({"path": [str(f) for f in pdf["frame_id"].to_numpy()[start]], "content": contents})
 
     unique = cells.groupBy("frame_id", "class_id", "row", "col").agg(F.max(value).alias(value))
-    return unique.groupBy("frame_id").applyInPandas(run, "path string, content binary")
+    return map_groups(unique, ["frame_id"], [], run, "path string, content binary")
 
 
 def merge_painted(points: DataFrame, painted: DataFrame, virtual: DataFrame | None, columns: Sequence[str]) -> DataFrame:
