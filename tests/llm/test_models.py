@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -170,6 +171,37 @@ def test_block_max_search_equals_full_search():
         assert index.ids[place].tolist() == ids[want].tolist() and np.allclose(score, full[want])
 
 
+def test_block_max_index_with_rare_terms():
+    rng = np.random.default_rng(6)
+    full = rng.random((300, 400)).astype(np.float32) * (rng.random((300, 400)) < 0.1)
+    full /= np.linalg.norm(full, axis=1)[:, None]
+    row, term = np.nonzero(full)
+    ids = rng.permutation(300).astype(np.int64)
+    index = toxicity.BlockMaxIndex(full[:, :20], ids, np.ones(300), (row, term, full[row, term]))
+    for i in range(0, 300, 7):
+        terms = np.flatnonzero(full[i])
+        score, place = index.nearest(terms, full[i, terms], 15)
+        by_id = dict(zip(ids.tolist(), full @ full[i]))
+        assert np.allclose(score, [by_id[j] for j in index.ids[place].tolist()], atol=2e-6)
+        assert np.allclose(score, sorted(by_id.values(), reverse=True)[:15], atol=2e-6)
+
+
+def test_block_max_index_takes_little_memory_to_build():
+    rng = np.random.default_rng(7)
+    size = 1 << 21
+    term = rng.integers(0, 50_000, size).astype(np.int32)
+    row = np.repeat(np.arange(size // 256, dtype=np.int32), 256)
+    weight, table = np.ones(size, np.float32), np.zeros((size // 256, 8), np.float32)
+    tracemalloc.start()
+    try:
+        index = toxicity.BlockMaxIndex(table, np.arange(size // 256), np.ones(size // 256), (row, term, weight))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert index.cuts[-1] == np.count_nonzero(term >= 8)
+    assert peak <= 3 * 8 * size  # a posting takes 8 bytes
+
+
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 

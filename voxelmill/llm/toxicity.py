@@ -26,7 +26,8 @@ BLOCK = 64
 COMMON = 512  # terms in the table at most
 FLOOR = 0.02  # factor of a term that does not go with the label
 LOOKUP_BITS = 20
-GROUP = 1 << 21  # postings and (text, example) cells that a task scores at once, or one text
+GROUP = 1 << 20  # postings and (text, example) cells that a task scores at once, or one text
+SLICE = 1 << 17  # postings that are put in place at once
 
 
 def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +72,8 @@ def vectors(count: np.ndarray, term: np.ndarray, row: np.ndarray, idf: np.ndarra
 
 class BlockMaxIndex:
     """Exact nearest examples by cosine. ``weights``: a row for each example, a column for each of the
-    first terms. ``rare``: (example, term, weight) of the terms that follow. Together a row has unit
-    length."""
+    first terms. ``rare``: (example, term, weight) of the terms that follow; those of the first terms are
+    skipped. Together a row has unit length."""
 
     def __init__(self, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, rare: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         top = weights.argmax(1) if weights.size else np.zeros(len(ids), np.int64)
@@ -84,10 +85,21 @@ class BlockMaxIndex:
         example, term, weight = rare if rare else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         place = np.empty(len(ids), np.int32)
         place[order] = np.arange(len(ids))
-        by_term = np.lexsort((place[example], term))
-        self.example, self.weight = place[example][by_term], weight[by_term]
         # (term, block) pairs would be nearly as many as postings, so rare terms are added up exactly
-        self.cuts = np.searchsorted(term[by_term], np.arange(weights.shape[1], int(term.max(initial=weights.shape[1] - 1)) + 2))
+        width = weights.shape[1]
+        self.cuts = np.append(0, np.cumsum(np.bincount(term, minlength=width)[width:]))
+        self.example, self.weight = np.empty(self.cuts[-1], np.int32), np.empty(self.cuts[-1], weight.dtype)
+        # Slice by slice: to sort all postings at once takes several times their memory.
+        free = self.cuts[:-1].copy()
+        for start in range(0, len(term), SLICE):
+            span = slice(start, start + SLICE)
+            own = term[span] - width
+            by_term = np.argsort(own, kind="stable")[np.count_nonzero(own < 0) :]
+            own = own[by_term]
+            begin, end = runs_of(own)
+            at = np.repeat(free[own[begin]] - begin, end - begin) + np.arange(len(own))
+            self.example[at], self.weight[at] = place[example[span][by_term]], weight[span][by_term]
+            free[own[begin]] += end - begin
 
     def postings(self, terms: np.ndarray) -> np.ndarray:
         """Number of postings of each term, 0 for the terms of the table."""
@@ -98,10 +110,15 @@ class BlockMaxIndex:
         """What the postings give to the cosine of every text with every example, as [text, block, example]."""
         own = terms - self.weights.shape[1]
         start, size = self.cuts[own], self.cuts[own + 1] - self.cuts[own]
-        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        at = np.repeat(start - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
         width = len(self.starts) * BLOCK
-        target = np.repeat(row * width, size) + self.example[at]
-        return np.bincount(target, self.weight[at] * np.repeat(weights, size), rows * width).astype(np.float64, copy=False).reshape(rows, -1, BLOCK)
+        weight = np.repeat(weights, size)
+        weight *= self.weight[at]
+        target = self.example[at]
+        del at
+        target = np.repeat(row * width, size) + target
+        return np.bincount(target, weight, rows * width).astype(np.float64, copy=False).reshape(rows, -1, BLOCK)
 
     def nearest_of_all(self, row, terms, weights, rows: int, k: int, without: np.ndarray | None = None):
         """(text, cosine, place) of the ``k`` nearest examples with a cosine above 0 of each of ``rows``
@@ -316,7 +333,9 @@ def toxicity_scores(
             first = m["terms"] < width
             table = np.zeros((len(m["sizes"]), width), np.float32)
             table[row[first], m["terms"][first]] = m["weights"][first]
-            m["index"] = BlockMaxIndex(table, m["ids"], m["labels"], (row[~first], m["terms"][~first], m["weights"][~first]))
+            del first
+            m["index"] = BlockMaxIndex(table, m["ids"], m["labels"], (row, m["terms"], m["weights"]))
+            del m["terms"], m["weights"]  # a worker keeps the index alone
         return m["index"]
 
     def shares(batches):
