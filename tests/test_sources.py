@@ -147,3 +147,28 @@ def test_early_stop_example(spark, tmp_path):
     stream = spark.readStream.schema("run string, epoch bigint, value double").json(str(src))
     got = {r.epoch: r for r in sj.run_available(sj.early_stop(stream, 2, 0.001), str(out), "append").collect()}
     assert got[5].stop and got[5].best == 0.12 and got[5].best_epoch == 2 and 3 not in got and 6 not in got
+
+
+def test_sweep_buffer_makes_one_table_for_a_scene():
+    import pandas as pd
+
+    class Frames:
+        def groupBy(self, *keys):
+            return self
+
+        def applyInPandasWithState(self, step, *rest):
+            return step
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    step, state = sj.sweep_buffer(Frames(), 2), State()
+    first, second = ([pd.DataFrame({"scene_id": 5, "frame_id": ids})] for ids in ([2, 0, 1], [4, 3]))
+    (links,) = step((5,), iter(first), state)
+    assert sorted(zip(links.frame_id, links["rank"], links.source_frame)) == [(1, 0, 0), (2, 0, 1), (2, 1, 0)]
+    (links,) = step((5,), iter(second), state)
+    assert sorted(zip(links.frame_id, links["rank"], links.source_frame)) == [(3, 0, 2), (3, 1, 1), (4, 0, 3), (4, 1, 2)]
+    assert state.get == ([3, 4],)

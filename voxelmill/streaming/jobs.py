@@ -61,21 +61,25 @@ def sweep_buffer(frames: DataFrame, sweeps: int, pose: tuple[str, str, str] | No
     kept = ["frame_id", *(pose or ())]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = pd.DataFrame(dict(zip(kept, state.get if state.exists else [[]] * len(kept))))
-        old["frame_id"] = old["frame_id"].astype("int64")
-        new = _all(batches, ["frame_id"])[kept]
-        rows = pd.concat([old, new], ignore_index=True) if len(old) else new
-        for back in range(1, sweeps + 1):
-            first = max(len(old), back)
-            here, there = rows.iloc[first:], rows.iloc[first - back : len(rows) - back]
-            out = pd.DataFrame({"scene_id": key[0], "frame_id": here["frame_id"].to_numpy(), "rank": back - 1, "source_frame": there["frame_id"].to_numpy()})
-            if pose:
-                x, y, yaw = (there[p].to_numpy() - here[p].to_numpy() for p in pose)
-                cos, sin = np.cos(here[pose[2]].to_numpy()), np.sin(here[pose[2]].to_numpy())
-                out = out.assign(dx=cos * x + sin * y, dy=cos * y - sin * x, dyaw=yaw)
-            if len(out):
-                yield out
-        state.update(tuple(rows[k].iloc[-sweeps:].tolist() for k in kept))
+        # Scenes are many and short: a table made and sorted for each takes longer than its rows.
+        parts = list(batches)
+        new = [np.concatenate([part[k].to_numpy() for part in parts]) for k in kept]
+        order = np.argsort(new[0], kind="stable")
+        old = state.get if state.exists else [[]] * len(kept)
+        rows = [np.concatenate([np.asarray(o, n.dtype), n[order]]) for o, n in zip(old, new)]
+        known, size = len(old[0]), len(rows[0])
+        here = [np.arange(min(max(known, back), size), size) for back in range(1, sweeps + 1)]
+        back = np.repeat(np.arange(1, sweeps + 1), [len(h) for h in here])
+        here = np.concatenate(here)
+        there = here - back
+        out = {"scene_id": key[0], "frame_id": rows[0][here], "rank": (back - 1).astype("int32"), "source_frame": rows[0][there]}
+        if pose:
+            x, y, yaw = (values[there] - values[here] for values in rows[1:])
+            cos, sin = np.cos(rows[3])[here], np.sin(rows[3])[here]
+            out |= {"dx": cos * x + sin * y, "dy": cos * y - sin * x, "dyaw": yaw}
+        state.update(tuple(values[-sweeps:].tolist() for values in rows))
+        if len(here):
+            yield pd.DataFrame(out)
 
     links = "scene_id bigint, frame_id bigint, rank int, source_frame bigint"
     poses = "".join(f", {p} array<double>" for p in pose or ())
