@@ -172,3 +172,14 @@ def test_sweep_buffer_makes_one_table_for_a_scene():
     (links,) = step((5,), iter(second), state)
     assert sorted(zip(links.frame_id, links["rank"], links.source_frame)) == [(3, 0, 2), (3, 1, 1), (4, 0, 3), (4, 1, 2)]
     assert state.get == ([3, 4],)
+
+
+def test_voxel_point_sample_reads_its_points_once(spark):
+    from voxelmill.operators import sampling as sm
+    from voxelmill.operators import voxels as vx
+
+    rows = spark.range(40).selectExpr("id div 20 AS frame_id", "id % 20 AS point_id", "cast(id % 7 AS double) AS x", "cast(id % 5 AS double) AS y",
+                                      "0.0D AS z", "cast(id % 2 AS double) AS time")
+    out = sm.voxel_point_sample(rows, vx.VoxelGrid((0.0, -51.2, -5.0, 51.2, 51.2, 3.0), (5.12, 5.12, 8.0)), 2, 4, 1)
+    assert "Range (" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.groupBy("part", "frame_id").agg(F.countDistinct("voxel_id").alias("n")).where("n <> 4").isEmpty()

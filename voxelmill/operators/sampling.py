@@ -155,14 +155,17 @@ def replace_invalid_frames(frames: DataFrame, valid: DataFrame, groups: int, see
 
 def voxel_point_sample(points: DataFrame, g: vx.VoxelGrid, max_points: int, max_voxels: int, seed: int) -> DataFrame:
     """Per frame a fixed number of voxels of the current and of the earlier sweeps, padded
-    with the first voxel; frames without earlier sweeps use the current points twice."""
+    with the first voxel; frames without earlier sweeps use the current points twice.
+
+    Points and picked voxels are read by several branches each, so both are written once."""
+    points = cut_lineage(points.select("frame_id", "point_id", "x", "y", "z", "time"))
     now = points.where(c("time") == 0)
     old = points.where(c("time") != 0)
     alone = now.join(old.select("frame_id").distinct(), "frame_id", "left_anti")
     out = None
     for part, rows in (("current", now), ("previous", old.unionByName(alone))):
         mixed = point_shuffle(rows, seed).withColumns({"_old": c("point_id"), "point_id": c("new_id")})
-        picked = vx.hard_voxelize(mixed, g, max_points, max_voxels)
+        picked = cut_lineage(vx.hard_voxelize(mixed, g, max_points, max_voxels).select("frame_id", "voxel_id", "slot", "_old"))
         first = picked.where(c("voxel_id") == 0).select("frame_id", c("slot"), c("_old"))
         used = picked.groupBy("frame_id").agg((F.max("voxel_id") + 1).alias("_used"))
         pads = (used.where(c("_used") < max_voxels)
