@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from voxelmill.functions import boxes as bx
@@ -17,6 +18,7 @@ from voxelmill.operators import raster as rs
 from voxelmill.operators import sampling as sm
 from voxelmill.operators import sparse
 from voxelmill.operators import suppress as sp
+from voxelmill.plans import catalog
 
 c = F.col
 
@@ -484,3 +486,29 @@ def test_levels_of_neighbour_search_are_counted_where_points_meet(spark):
     dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
     assert dealt and all("_p_q0" in line for line in dealt)
     assert "isnotnull(shiftright" not in plan  # the uses of a level would differ and each would count it again
+
+
+@pytest.mark.parametrize("n", [200, 384, 385, 30_000])
+def test_neighbours_carry_features_at_every_depth(spark, n):
+    """Frames that need one level and three, each beside small frames, a point without a place and centres of far ids."""
+    pdf = pd.concat([cloud(spark, n, 3, 0), cloud(spark, 30, 4, 0).assign(frame_id=1), cloud(spark, 2, 5, 0).assign(frame_id=2)], ignore_index=True)
+    pdf.loc[7, "y"] = None
+    ctr = pd.DataFrame({"centre_id": np.arange(12) * 5000, "c_x": np.linspace(-5, 60, 12), "c_y": np.linspace(25, -30, 12), "c_z": 0.5})
+    ctr = pd.concat([ctr.assign(frame_id=f) for f in range(3)], ignore_index=True)
+    points = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in pdf.itertuples(index=False, name=None)],
+                                   "frame_id long, x double, y double, z double, intensity double, point_id long")
+    found = jn.knn(points, spark.createDataFrame(ctr), 3, ["intensity"])
+    got = {}
+    for r in found.orderBy("rank").collect():
+        got.setdefault((r.frame_id, r.centre_id), []).append((r.point_id, r.intensity))
+    value = dict(zip(zip(pdf.frame_id, pdf.point_id), pdf.intensity))
+    assert got == {key: [(i, value[key[0], i]) for i in ids] for key, ids in brute_knn(pdf, ctr, 3).items()}
+
+
+def test_interpolation_does_not_look_at_the_points_again(spark):
+    """The features come with the neighbours: points are neither numbered nor joined another time, and the nodes of
+    small frames meet all their centres at once."""
+    plan = catalog.QUERIES["three_interpolate"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+    assert plan.count("Join") == 3  # nodes to blocks of centres, centres to nodes, cells to points
+    assert plan.count("Window [") == 1  # the rank

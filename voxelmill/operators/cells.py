@@ -7,7 +7,7 @@ therefore carry the bounds of the points they hold, and searches use those, neve
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,16 +41,16 @@ def merged_bounds(axes: Sequence[str]) -> list[Column]:
     return [f(p + a).alias(p + a) for a in axes for p, f in (("_lo_", F.min), ("_hi_", F.max))]
 
 
-def nearest2(axes: Sequence[str], prefix: str) -> Column:
-    """Least squared distance of a point (``prefix`` + axis) to the bounds. Computed like a distance to a point,
+def nearest2(axes: Sequence[str], prefix: str, of: Callable[[str], Column] = F.col) -> Column:
+    """Least squared distance of a point (``prefix`` + axis) to the bounds, which ``of`` names. Computed like a distance to a point,
     so that rounding can never put it above the distance of a point inside."""
-    gaps = [F.greatest(c("_lo_" + a) - c(prefix + a), c(prefix + a) - c("_hi_" + a), F.lit(0.0)) for a in axes]
+    gaps = [F.greatest(of("_lo_" + a) - c(prefix + a), c(prefix + a) - of("_hi_" + a), F.lit(0.0)) for a in axes]
     return _squares(gaps)
 
 
-def farthest2(axes: Sequence[str], prefix: str) -> Column:
+def farthest2(axes: Sequence[str], prefix: str, of: Callable[[str], Column] = F.col) -> Column:
     """Largest squared distance of a point to the bounds."""
-    return _squares([F.greatest(F.abs(c("_lo_" + a) - c(prefix + a)), F.abs(c("_hi_" + a) - c(prefix + a))) for a in axes])
+    return _squares([F.greatest(F.abs(of("_lo_" + a) - c(prefix + a)), F.abs(of("_hi_" + a) - c(prefix + a))) for a in axes])
 
 
 def _squares(gaps: list[Column]) -> Column:

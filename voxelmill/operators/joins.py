@@ -9,6 +9,7 @@ distinct is needed. A crowded tile is split at run time by the adaptive skew joi
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from voxelmill.functions import boxes as bx
 from voxelmill.functions.overlap import rectangle_overlap_area
 from voxelmill.operators import cells as cl
 from voxelmill.session import cut_lineage
-from voxelmill.skew import shuffled_join, spread_join
+from voxelmill.skew import SALTS, shuffled_join
 
 c = F.col
 TILE = ["frame_id", "_tx", "_ty"]
@@ -141,49 +142,76 @@ def ball_query(points: DataFrame, centres: DataFrame, rmin: float, rmax: float,
 
 def _within_bound(found: DataFrame, k: int) -> DataFrame:
     """Of the nodes listed for a centre those that can hold one of its ``k`` nearest points: not farther
-    than a distance within which other nodes surely hold ``k``."""
+    than a distance within which other nodes surely hold ``k``. That distance goes along as ``_bound``, null if there are fewer."""
     centre = Window.partitionBy("frame_id", "centre_id")
     upto = centre.orderBy("_far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = found.withColumn("_held", F.sum("_n").over(upto))
     found = found.withColumn("_bound", F.min(F.when(c("_held") >= k, c("_far"))).over(centre))
-    return found.where(c("_bound").isNull() | (c("_near") <= c("_bound"))).select("frame_id", "centre_id", "c_x", "c_y", "c_z", *[f"_q{i}" for i in range(3)])
-
-
-def knn(points: DataFrame, centres: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest points of every centre by (distance, point id), exact.
-
-    The finest cells of a frame are counted once and rolled up twice to an octree of counts whose depth
-    follows from the frame's points and whose cells follow its extent. Every centre walks down: of the
-    nodes it has reached it keeps those no farther than a distance within which ``k`` points surely lie, and
-    opens only these. A centre far from all points prunes like any other. Frames with fewer
-    points give all of them.
+    return found.where(_reaches("_near")).select("frame_id", "centre_id", "c_x", "c_y", "c_z", "_bound", *[f"_q{i}" for i in range(3)])
+
+
+def _reaches(distance: str | Column) -> Column:
+    distance = c(distance) if isinstance(distance, str) else distance
+    return c("_bound").isNull() | (distance <= c("_bound"))
+
+
+def _uppermost(place: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """As ``_within_bound`` for the few uppermost nodes of each frame, which travel as one list: a centre meets all of
+    them in its own row, so nothing is sorted or shuffled by centre. Blocks of centres are dealt over join keys and a
+    frame's list travels to those its centres have."""
+    axes, cell = ["x", "y", "z"], [f"_q{i}" for i in range(3)]
+    place = place.withColumn("_salt", F.pmod(F.xxhash64(F.shiftright("centre_id", 10)), F.lit(SALTS)).cast("int"))
+    lists = nodes.groupBy("frame_id").agg(F.collect_list(F.struct(*cell, "_n", *[p + a for a in axes for p in ("_lo_", "_hi_")])).alias("_nodes"))
+    lists = shuffled_join(lists, place.select("frame_id", "_salt").distinct(), "frame_id")
+    seen = F.transform("_nodes", lambda m: F.struct(
+        cl.farthest2(axes, "c_", m.__getitem__).alias("far"), m["_n"].alias("n"), cl.nearest2(axes, "c_", m.__getitem__).alias("near"), *[m[q].alias(q) for q in cell]))
+    found = shuffled_join(place, lists, ["frame_id", "_salt"]).withColumn("_seen", F.array_sort(seen)).drop("_nodes", "_salt")
+    none = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(None).cast("double").alias("bound"))
+    found = found.withColumn("_bound", F.aggregate("_seen", none, lambda acc, m: F.struct(
+        (acc["held"] + m["n"]).alias("held"), F.coalesce(acc["bound"], F.when(acc["held"] + m["n"] >= k, m["far"])).alias("bound")), lambda acc: acc["bound"]))
+    found = found.withColumn("_node", F.explode(F.filter("_seen", lambda m: _reaches(m["near"]))))
+    return found.select("frame_id", "centre_id", "c_x", "c_y", "c_z", "_bound", *[c("_node")[q].alias(q) for q in cell])
+
+
+def knn(points: DataFrame, centres: DataFrame, k: int, carry: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` nearest points of every centre by (distance, point id), exact, with the ``carry`` columns of the points.
+
+    The finest cells of a frame are counted once and rolled up to an octree of counts whose depth
+    follows from the points of the frames and whose cells follow their extent; where the largest frame is small, its
+    uppermost level is all. Every centre walks down: of the nodes it has reached it keeps those no farther than a distance within which
+    ``k`` points surely lie, and opens only these. The distance goes down with them, so that nodes and points beyond it
+    drop out where they are joined and are not shuffled. A centre far from all points prunes like any other. Frames
+    with fewer points give all of them.
     """
     axes = ["x", "y", "z"]
     cell = [f"_q{i}" for i in range(3)]
-    pts = cut_lineage(_keep_first_copies(points.select("frame_id", "point_id", *axes), k))
-    # a surface of n points fills about n / k cells of 2**bits squared; three steps go down to them
-    step = F.greatest(F.lit(1), F.round((F.log2(c("_n") / float(k)) / 2 + 1) / 3)).cast("int")
+    pts = cut_lineage(_keep_first_copies(points.select("frame_id", "point_id", *axes, *[a for a in carry if a not in axes]), k))
+    # a surface of n points fills about n / k cells of 2**bits squared; three steps go down to them. Small frames stop two bits
+    # earlier, which one step does: their few nodes meet the centres at once, while every further level is shuffled by centre
+    most = pts.groupBy("frame_id").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    depth, finer = (1, -1) if most <= 128 * k else (3, 1)
+    step = F.greatest(F.lit(1), F.round((F.log2(c("_n") / float(k)) / 2 + finer) / depth)).cast("int")
     # a step that may be null would put other null filters under each use of the levels, and each would be counted anew
-    pts = cut_lineage(cl.with_cells(pts, axes, step * 3).withColumn("_step", F.coalesce((c("_bits") / 3).cast("int"), F.lit(1))).drop("_bits"))
-    # points meet under the parent of their cell, where the two finer levels are counted and joined without moving again
+    pts = cut_lineage(cl.with_cells(pts, axes, step * depth).withColumn("_step", F.coalesce((c("_bits") / depth).cast("int"), F.lit(1))).drop("_bits"))
+    # points meet under the parent of their cell, where the finer levels are counted and joined without moving again
     parent = ["_p" + q for q in cell]
     above = [F.expr(f"shiftright({q}, _step)").alias("_p" + q) for q in cell]
     met = pts.select("*", *above).repartition("frame_id", *parent)
-    levels = [met.groupBy("frame_id", "_step", *parent, *cell).agg(F.count("*").alias("_n"), *cl.bounds(axes))]
-    for _ in range(2):
+    placed = F.count(c("x") + c("y") + c("z"))  # a point without a place is no near one
+    levels = [met.groupBy("frame_id", "_step", *parent, *cell).agg(placed.alias("_n"), *cl.bounds(axes))]
+    for _ in range(depth - 1):
         up = levels[-1].groupBy("frame_id", "_step", *parent).agg(F.sum("_n").alias("_n"), *cl.merged_bounds(axes))
         levels.append(up.withColumnsRenamed(dict(zip(parent, cell))).select("*", *above))
+    levels = levels[::-1]
     near, far = cl.nearest2(axes, "c_"), cl.farthest2(axes, "c_")
-    place = centres.select("frame_id", "centre_id", "c_x", "c_y", "c_z")
-    found = spread_join(place, ["frame_id"], c("centre_id"), levels[2].drop("_step", *parent))
-    kept = _within_bound(found.withColumns({"_near": near, "_far": far}), k)
-    for nodes in (levels[1], levels[0]):
+    kept = _uppermost(centres.select("frame_id", "centre_id", "c_x", "c_y", "c_z"), levels[0], k)
+    for nodes in levels[1:]:
         opened = shuffled_join(kept.withColumnsRenamed(dict(zip(cell, parent))), nodes.drop("_step"), ["frame_id", *parent])
-        kept = _within_bound(opened.withColumns({"_near": near, "_far": far}), k)
-    pairs = shuffled_join(pts, kept, ["frame_id", *cell]).withColumn("d2", _distance2())
-    w = Window.partitionBy("frame_id", "centre_id").orderBy("d2", "point_id")
+        kept = _within_bound(opened.withColumns({"_near": near, "_far": far}).where(_reaches("_near")), k)
+    pairs = shuffled_join(pts, kept, ["frame_id", *cell]).withColumn("d2", _distance2()).where(_reaches("d2"))
+    w = Window.partitionBy("frame_id", "centre_id").orderBy(c("d2").asc_nulls_last(), "point_id")
     return (pairs.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
-            .select("frame_id", "centre_id", "rank", "point_id", "d2"))
+            .select("frame_id", "centre_id", "rank", "point_id", "d2", *carry))
 
 
 def gather(points: DataFrame, index: DataFrame, columns: list[str]) -> DataFrame:
@@ -199,8 +227,10 @@ def query_and_group(points: DataFrame, centres: DataFrame, index: DataFrame, rad
 
 
 def three_interpolate(neighbours: DataFrame, points: DataFrame, feature: str) -> DataFrame:
-    """Inverse-distance weighted mean of the feature over each centre's neighbours."""
-    rows = gather(points, neighbours, [feature]).withColumn("_w", 1.0 / (F.sqrt("d2") + 1e-8))
+    """Inverse-distance weighted mean of the feature over each centre's neighbours. Neighbours that carry the
+    feature (see ``knn``) need no second look at the points."""
+    rows = neighbours if feature in neighbours.columns else gather(points, neighbours, [feature])
+    rows = rows.withColumn("_w", 1.0 / (F.sqrt("d2") + 1e-8))
     return rows.groupBy("frame_id", "centre_id").agg((F.sum(c("_w") * c(feature)) / F.sum("_w")).alias(feature))
 
 

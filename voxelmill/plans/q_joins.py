@@ -149,7 +149,7 @@ def _(v):
 FROM nn JOIN points p ON p.frame_id = nn.frame_id AND p.point_id = nn.point_id GROUP BY nn.frame_id, centre_id""")
 def _(v):
     pts = v.points()
-    return jn.three_interpolate(jn.knn(pts, centres(v), 3), pts, "intensity").withColumn("intensity", rd("intensity", 5))
+    return jn.three_interpolate(jn.knn(pts, centres(v), 3, ["intensity"]), pts, "intensity").withColumn("intensity", rd("intensity", 5))
 
 
 @query("gather_points", f"WITH {BALL} SELECT b.frame_id, b.centre_id, b.slot, b.point_id, {r6('p.x')} AS x, {r6('p.intensity')} AS intensity FROM ball b JOIN points p ON p.frame_id = b.frame_id AND p.point_id = b.point_id")
