@@ -512,3 +512,63 @@ def test_interpolation_does_not_look_at_the_points_again(spark):
     assert "l_orderkey" not in plan
     assert plan.count("Join") == 3  # nodes to blocks of centres, centres to nodes, cells to points
     assert plan.count("Window [") == 1  # the rank
+
+
+@pytest.mark.parametrize("scene_turn", [(0.0, 0.0), (-0.4, 0.9)])
+def test_moved_objects_take_their_points_along(spark, scene_turn):
+    """Centres shift along all three axes, points in a box turn and shift with it, the first box of a point decides, all others stay."""
+    pdf = pd.concat([_boxes(spark, 40, 5, 3, 30.0), _boxes(spark, 12, 6, 1, 7.0).assign(frame_id=7, box_id=range(100, 112))], ignore_index=True)
+    rng = np.random.default_rng(2)
+    pts = pd.DataFrame({"frame_id": rng.choice([0, 1, 2, 7, 8], 6000), "point_id": range(6000), "x": rng.uniform(-2, 32, 6000), "y": rng.uniform(-2, 32, 6000), "z": rng.uniform(-1, 3, 6000)})
+    pts.loc[pts.frame_id == 7, ["x", "y"]] /= 4
+    pts.loc[3, ["x", "y", "z"]] = [np.inf, 0.0, 0.0]
+    moves = sm.object_moves(spark.createDataFrame(pdf), 20, (0.5, 0.25, 0.1), (-0.2, 0.6), 3, scene_turn).toPandas().sort_values(["frame_id", "box_id"])
+    assert len(moves) == len(pdf) and (moves.attempt < 0).any() and (moves.attempt > 0).any()
+    stayed = moves[moves.attempt < 0]
+    assert (stayed[["x", "y", "z", "yaw"]].to_numpy() == stayed[["nx", "ny", "nz", "nyaw"]].to_numpy()).all()
+    lifted = (moves.nz - moves.z)[moves.attempt >= 0]
+    assert (lifted != 0).all() and 0.05 < lifted.std() < 0.2
+    got = sm.moved_points(spark.createDataFrame(pts), spark.createDataFrame(moves)).toPandas().set_index("point_id")
+    assert sorted(got.index) == list(range(6000))
+    several = 0
+    for p in pts.itertuples():
+        inside = []
+        for b in moves[moves.frame_id == p.frame_id].itertuples():
+            u = (p.x - b.x) * np.cos(b.yaw) - (p.y - b.y) * np.sin(b.yaw) if np.isfinite(p.x) else np.inf
+            v = (p.x - b.x) * np.sin(b.yaw) + (p.y - b.y) * np.cos(b.yaw)
+            if abs(u) < b.dx / 2 and abs(v) < b.dy / 2 and b.z < p.z < b.z + b.dz:
+                inside.append((b, u, v))
+        several += len(inside) > 1
+        row, want, box = got.loc[p.point_id], [p.x, p.y, p.z], None
+        if inside:
+            b, u, v = inside[0]
+            box = b.box_id
+            want = [b.nx + u * np.cos(b.nyaw) + v * np.sin(b.nyaw), b.ny - u * np.sin(b.nyaw) + v * np.cos(b.nyaw), p.z + b.nz - b.z]  # the same place in the box
+        assert row.box_id == box if inside else pd.isna(row.box_id)
+        assert np.allclose([row.x, row.y, row.z], want, atol=1e-9)
+    assert several and got.box_id.notna().sum() > 100
+
+
+@pytest.mark.parametrize("scene_turn", [(0.0, 0.0), (-0.3, 0.3)])
+def test_regions_of_a_large_frame_move_as_the_whole_frame(spark, scene_turn):
+    """Shifts are normal draws without a bound, and objects may be carried round: regions still hold all that can meet."""
+    rng = np.random.default_rng(8)
+    pdf = _boxes(spark, 150, 4, 1, 14.0)
+    at, far = rng.uniform(0, 1.2, 150), rng.choice([20.0, 45.0, 200.0], 150) + rng.uniform(0, 14, 150)
+    pdf[["x", "y"]] = np.stack([far * np.sin(at), far * np.cos(at)], axis=1) if scene_turn[1] else np.stack([far, pdf.y], axis=1)
+    def run(bound):
+        return sorted(tuple(r) for r in sm.object_noise(spark.createDataFrame(pdf), 12, 1.0, 0.3, 5, scene_turn, group_bound=bound).collect())
+    whole = run(1000)
+    assert whole == run(20) and len({r[2] for r in whole}) > 3
+    moved = [r for r in whole if r[2] >= 0]
+    if not scene_turn[1]:
+        step = pd.DataFrame(moved, columns=["frame_id", "box_id", "attempt", "x", "y", "z", "yaw"]).merge(pdf, on="box_id", suffixes=("", "_o"))
+        assert ((step.x - step.x_o).abs() > 1.0).mean() > 0.1  # a uniform shift would end at 1
+
+
+def test_object_noise_returns_the_whole_cloud(spark):
+    out = catalog.QUERIES["object_noise"](spark, SMALL)
+    parts = {r.part: r for r in out.groupBy("part").agg(F.count("*").alias("n"), F.sum((c("attempt") >= 0).cast("int")).alias("moved")).collect()}
+    assert parts["box"].n == spark.read.parquet(f"{SMALL}/part.parquet").count()
+    assert parts["point"].n == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert parts["box"].moved > 0 and parts["point"].moved > 0

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +52,30 @@ def hash_uniform(seed: int, *keys: str | Column) -> Column:
 def hash_normal(seed: int, *keys: str | Column) -> Column:
     u = 1.0 - hash_uniform(2 * seed, *keys)
     return F.sqrt(F.log(u) * -2.0) * F.cos(hash_uniform(2 * seed + 1, *keys) * (2 * math.pi))
+
+
+def _mixed(word: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    word = (word ^ (word >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    word = (word ^ (word >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return word ^ (word >> np.uint64(31))
+
+
+def key_words(seed: int, *keys: np.ndarray) -> np.ndarray:
+    """One 64-bit word for each row of integer keys, for ``array_uniform``."""
+    word = np.full(len(keys[0]), seed % (1 << 64), np.uint64)
+    for key in keys:
+        word = _mixed(word + np.uint64(0x9E3779B97F4A7C15)) ^ key.astype(np.int64).view(np.uint64)
+    return _mixed(word + np.uint64(0x9E3779B97F4A7C15))
+
+
+def array_uniform(words: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Double in ``[0, 1)`` for each word (rows) and number of the draw (columns): draws inside tasks, as many as are needed."""
+    steps = (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (_mixed(words[:, None] + steps) >> np.uint64(11)).astype(float) * (1.0 / 9007199254740992.0)
+
+
+def array_normal(words: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Standard normal value from the uniform draws ``number`` and ``number + 1``."""
+    u = 1.0 - array_uniform(words, number)
+    return np.sqrt(np.log(u) * -2.0) * np.cos(array_uniform(words, number + 1) * (2 * math.pi))

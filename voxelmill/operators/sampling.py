@@ -6,7 +6,7 @@ by many tasks. Limits here are the sampling feature itself; nothing else is cut.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.functions import boxes as bx
-from voxelmill.functions.random import draw, hash_uniform, slice_of, uniform
+from voxelmill.functions.random import array_normal, array_uniform, draw, key_words, slice_of, uniform
 from voxelmill.operators import cells as cl
 from voxelmill.operators import joins as jn
 from voxelmill.operators import voxels as vx
@@ -309,57 +309,123 @@ def paste_objects(scene: DataFrame, pool: DataFrame, quotas: dict[str, int], see
     return accepted
 
 
-def object_noise(boxes: DataFrame, tries: int, shift: float, turn: float, seed: int, group_bound: int = 5000) -> DataFrame:
-    """Move every object by the first of its seeded tries that collides with no other object.
+def object_moves(boxes: DataFrame, tries: int, shift: float | Sequence[float], turn: float | Sequence[float], seed: int,
+                 scene_turn: Sequence[float] = (0.0, 0.0), group_bound: int = 5000) -> DataFrame:
+    """Every object with the pose ``nx, ny, nz, nyaw`` that the first of its seeded tries gives it which collides with no
+    other object; ``attempt`` -1 and the old pose if there is none.
 
-    Tries are columns of the row; which try is free depends on the objects moved before, so
-    each frame is one group; many groups are moved together. Frames beyond the bound are cut into ground regions that are
+    A try shifts the centre by normal draws of standard deviation ``shift`` along x, y and z and turns the object by a
+    uniform draw within ``turn`` (or plus and minus it). With a ``scene_turn`` of some width the object is first carried round the origin to a
+    direction drawn in that range. Which try is free depends on the objects moved before, so
+    each frame is one group; many groups are moved together, and tries are drawn as they are needed. Frames beyond the bound are cut into regions that are
     farther apart than any object can reach (see ``_regions``).
     """
-    def draws(s: int) -> Column:
-        """Array of one uniform value per try."""
-        return F.transform(F.sequence(F.lit(0), F.lit(tries - 1)),
-                           lambda t: hash_uniform(seed * 7 + s, "box_id", "frame_id", t)).alias(f"u{s}")
+    std = np.broadcast_to(np.asarray(shift, float), 3)
+    low, high = (-turn, turn) if np.isscalar(turn) else turn
+    around = abs(scene_turn[1] - scene_turn[0]) >= 1e-3
+    cols = ["x", "y", "z", "dx", "dy", "dz", "yaw"]
 
-    drawn = boxes.select("frame_id", "box_id", "x", "y", "dx", "dy", "yaw", *[draws(s) for s in range(3)])
+    def words(pdf: pd.DataFrame) -> np.ndarray:
+        return key_words(seed, pdf.frame_id.fillna(-1).to_numpy(np.int64), pdf.box_id.fillna(-1).to_numpy(np.int64))
+
+    def tried(pose: np.ndarray, word: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Poses ``[objects, tries, 3]`` (x, y, yaw) after the numbered tries. Each try has eight draws: two for each axis, the turn, the direction."""
+        n = t * 8
+        x, y, yaw = (pose[:, i, None] for i in range(3))
+        if around:
+            old = np.arctan2(x, y)
+            new = scene_turn[0] + array_uniform(word, n + 7) * (scene_turn[1] - scene_turn[0])
+            radius = np.sqrt(x * x + y * y)
+            x, y, yaw = radius * np.sin(new), radius * np.cos(new), yaw + (new - old)
+        return np.stack([x + array_normal(word, n) * std[0], y + array_normal(word, n + 2) * std[1],
+                         yaw + low + array_uniform(word, n + 6) * (high - low)], axis=2)
+
+    def blocks(size: int = 8):
+        """Numbers of the tries, some at a time: most objects are settled by the first."""
+        return [np.arange(t, min(t + size, tries)) for t in range(0, tries, size)]
 
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
         """The groups of a batch side by side: first object of each, second of each, and so on."""
         pos = pdf[["x", "y", "yaw"]].to_numpy(float).copy()
         dims = pdf[["dx", "dy"]].to_numpy(float)
-        u = np.stack([np.stack(pdf[f"u{s}"].to_numpy()) for s in range(3)], axis=2)
-        step = np.stack([(u[..., 0] - 0.5) * 2 * shift, (u[..., 1] - 0.5) * 2 * shift, (u[..., 2] - 0.5) * 2 * turn], axis=2)
+        word = words(pdf)
         moved = np.full(len(pdf), -1, dtype=np.int64)
         first = np.flatnonzero(np.diff(group_ids(pdf, ["frame_id", "_region"]), prepend=-1))
         size = np.diff(np.append(first, len(pdf)))
         for i in range(size.max(initial=0)):
             start, n = first[size > i], size[size > i]
-            own = start + i
-            cand = pos[own][:, None, :] + step[own]
-            # every object of the group against the tries of this one, which does not hit itself
-            run = np.repeat(np.arange(len(n)), n)
-            begin = np.cumsum(n) - n
-            other = start[run] + np.arange(n.sum()) - begin[run]
-            hit = _touch_pairs(cand[run], dims[own][run], pos[other], dims[other]) & (other != own[run])[:, None]
-            free = ~np.logical_or.reduceat(hit, begin, axis=0)
-            some = free.any(axis=1)
-            moved[own[some]] = free[some].argmax(axis=1)
-            pos[own[some]] = cand[some, moved[own[some]]]
-        return pd.DataFrame({"frame_id": pdf.frame_id, "box_id": pdf.box_id, "attempt": moved,
-                             "x": pos[:, 0], "y": pos[:, 1], "yaw": pos[:, 2]})
-
-    reach = F.sqrt(c("dx") * c("dx") + c("dy") * c("dy")) / 2 + shift * 1.5
-    regions = _regions(drawn.withColumn("_reach", reach), group_bound)
-    return map_groups(regions, ["frame_id", "_region"], [c("box_id")], move,
-                      "frame_id bigint, box_id bigint, attempt bigint, x double, y double, yaw double")
-
-
-def _regions(boxes: DataFrame, bound: int) -> DataFrame:
-    """Region 0 for frames up to ``bound`` objects. In larger frames x gaps that no object's
-    reach crosses separate regions, found by running maxima over x slices."""
+            for numbers in blocks():
+                own = start + i
+                cand = tried(pos[own], word[own], numbers)
+                # every object of the group against the tries of this one, which does not hit itself
+                run = np.repeat(np.arange(len(n)), n)
+                begin = np.cumsum(n) - n
+                other = start[run] + np.arange(n.sum()) - begin[run]
+                hit = _touch_pairs(cand[run], dims[own][run], pos[other], dims[other]) & (other != own[run])[:, None]
+                free = ~np.logical_or.reduceat(hit, begin, axis=0)
+                some = free.any(axis=1)
+                picked = free[some].argmax(axis=1)
+                moved[own[some]] = numbers[picked]
+                pos[own[some]] = cand[some, picked]
+                start, n = start[~some], n[~some]
+                if not len(n):
+                    break
+        z = pdf.z.to_numpy(float).copy()
+        done = np.flatnonzero(moved >= 0)
+        z[done] += array_normal(word[done], moved[done, None] * 8 + 4)[:, 0] * std[2]
+        return pdf[["frame_id", "box_id", *cols]].assign(attempt=moved, nx=pos[:, 0], ny=pos[:, 1], nz=z, nyaw=pos[:, 2])
+
+    def reaches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The stretch ``_lo`` to ``_hi`` that the object covers in its old pose and in all tries: of x, or of the distance from the origin if it is
+        carried round."""
+        for pdf in frames:
+            pose, word = pdf[["x", "y", "yaw"]].to_numpy(float), words(pdf)
+            half = np.sqrt(pdf.dx.to_numpy(float) ** 2 + pdf.dy.to_numpy(float) ** 2) / 2
+            lo = hi = np.hypot(pose[:, 0], pose[:, 1]) if around else pose[:, 0]
+            for numbers in blocks():
+                at = tried(pose, word, numbers)
+                at = np.hypot(at[..., 0], at[..., 1]) if around else at[..., 0]
+                lo, hi = np.minimum(lo, at.min(axis=1)), np.maximum(hi, at.max(axis=1))
+            yield pdf.assign(_lo=lo - half, _hi=hi + half)
+
+    regions = _regions(boxes.select("frame_id", "box_id", *[c(k).cast("double") for k in cols]), group_bound, reaches)
+    schema = ", ".join(["frame_id bigint", "box_id bigint", *[f"{k} double" for k in cols], "attempt bigint", *[f"n{k} double" for k in ("x", "y", "z", "yaw")]])
+    return map_groups(regions, ["frame_id", "_region"], [c("box_id")], move, schema)
+
+
+def object_noise(boxes: DataFrame, tries: int, shift: float | Sequence[float], turn: float | Sequence[float], seed: int,
+                 scene_turn: Sequence[float] = (0.0, 0.0), group_bound: int = 5000) -> DataFrame:
+    """The boxes after ``object_moves``."""
+    return moved_boxes(object_moves(boxes, tries, shift, turn, seed, scene_turn, group_bound))
+
+
+def moved_boxes(moves: DataFrame) -> DataFrame:
+    return moves.select("frame_id", "box_id", "attempt", *[c("n" + k).alias(k) for k in ("x", "y", "z", "yaw")])
+
+
+def moved_points(points: DataFrame, moves: DataFrame, size: float = 8.0) -> DataFrame:
+    """All points; those strictly inside an object's old box turn about its centre and shift with it. A point in several boxes
+    goes with the lowest id, also when that object stayed. ``box_id`` and ``attempt`` are null outside all boxes.
+
+    A point has one ground tile, so what meets there also holds all boxes of a point and the choice takes no shuffle."""
+    left, right = jn.point_tiles(points, size), jn.box_tiles(moves, size)
+    on = (left.frame_id == right.frame_id) & (left._tx == right._tx) & (left._ty == right._ty) & jn.strictly_inside()
+    met = shuffled_join(left, right, on, "left").drop(right.frame_id).drop(right._tx).drop(right._ty)
+    named = ["box_id", "attempt", "x", "y", "z", "yaw", "nx", "ny", "nz", "nyaw"]
+    first = met.groupBy(*points.columns, "_tx", "_ty").agg(F.min(F.struct(*[c("b_" + n).alias(n) for n in named])).alias("_b")).drop("_tx", "_ty")
+    b = c("_b")
+    ox, oy, angle = c("x") - b.x, c("y") - b.y, b.nyaw - b.yaw
+    place = {"x": ox * F.cos(angle) + oy * F.sin(angle) + b.nx, "y": oy * F.cos(angle) - ox * F.sin(angle) + b.ny, "z": c("z") + (b.nz - b.z)}
+    return first.select(*[F.when(b.attempt >= 0, place[k]).otherwise(c(k)).alias(k) if k in place else c(k) for k in points.columns],
+                        b.box_id.alias("box_id"), b.attempt.alias("attempt"))
+
+
+def _regions(boxes: DataFrame, bound: int, reaches: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Region 0 for frames up to ``bound`` objects. In larger frames gaps that no object's
+    reach crosses separate regions, found by running maxima over slices."""
     small, big = split_by_group_size(boxes, ["frame_id"], bound)
     small = small.withColumn("_region", F.lit(0).cast("bigint"))
-    big = big.withColumns({"_lo": c("x") - c("_reach"), "_hi": c("x") + c("_reach")})
+    big = big.mapInPandas(reaches, f"{', '.join(f'{n} {t}' for n, t in big.dtypes)}, _lo double, _hi double")
     sliced = value_slices(big, ["frame_id"], "_lo", max(bound, 1), "_vs")
     upto = with_running(sliced, ["frame_id"], ["_lo", "box_id"], c("_vs"), {"_far": ("max", "_hi")})
     gap = with_lag(upto, ["frame_id"], ["_lo", "box_id"], c("_vs"), {"_before": "_far"})

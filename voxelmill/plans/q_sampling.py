@@ -11,6 +11,7 @@ from voxelmill.operators import voxels as vx
 from voxelmill.plans import sqlrand as sr
 from voxelmill.plans.q_index import CHAIN, CHAIN_SQL, chain
 from voxelmill.plans.registry import query, r6, rd
+from voxelmill.session import cut_lineage
 
 c = F.col
 
@@ -223,8 +224,11 @@ def _(v):
 
 @query("object_noise")
 def _(v):
-    out = sm.object_noise(v.boxes(), 10, 1.0, 0.3, 111)
-    return out.select("frame_id", "box_id", "attempt", *[rd(k, 5).alias(k) for k in ("x", "y", "yaw")])
+    moves = cut_lineage(sm.object_moves(v.boxes(), 100, 1.0, 0.3, 111))  # read by both parts
+    none = F.lit(None)
+    boxes = sm.moved_boxes(moves).withColumns({"part": F.lit("box"), "point_id": none.cast("bigint")})
+    points = sm.moved_points(v.points().select("frame_id", "point_id", "x", "y", "z"), moves).withColumns({"part": F.lit("point"), "yaw": none.cast("double")})
+    return boxes.unionByName(points).select("part", "frame_id", "box_id", "point_id", "attempt", *[rd(k, 5).alias(k) for k in ("x", "y", "z", "yaw")])
 
 
 @query("shift_height", f"WITH q AS (SELECT frame_id, quantile_cont(z, 0.0099) AS floor_z FROM rawpoints GROUP BY 1) SELECT frame_id, {r6('z')} AS z, {r6('z - floor_z', 5)} AS height FROM rawpoints JOIN q USING (frame_id)")
